@@ -22,7 +22,9 @@ _COMMON = r"""
 File <- Hashbang? ModuleItem* `\Z`
 -Hashbang <- `#![^\n]*`
 -End <- ";" | &`\}` | @nl
-ModuleItem <- Import | Export | Stmt
+ModuleItem <- Import | Export | TopConst | Stmt
+TopConst <- `const(?![\w$])(?=[\s\[{/])` TopBinding ("," TopBinding)* End
+TopBinding <- ArrowBinding | Binding
 -Name <- `(?:(?!\d)[\w$‌‍]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$‌‍]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*`
 -Ident <- !`(?:RESERVED)(?![\w$])` Name
 -Str <- `"(?:[^"\\\n\r]|\\(?:u(?:[0-9a-fA-F]{4}|\{[0-9a-fA-F]+\})|x[0-9a-fA-F]{2}|\r\n|[^ux1-9]))*"|'(?:[^'\\\n\r]|\\(?:u(?:[0-9a-fA-F]{4}|\{[0-9a-fA-F]+\})|x[0-9a-fA-F]{2}|\r\n|[^ux1-9]))*'`
@@ -38,7 +40,7 @@ ImportSpec <- TypeOnly? (Name | Str) "as" Ident | TypeOnly? Ident
 With <- `with|assert` Object
 Export <- Decorators "export" (`default(?![\w$])` (FuncDefault | ClassDefault TYPED_DEFAULT | Assign End)
         | TypeOnly? `\*` ("as" (Name | Str))? "from" Str With? End | TypeOnly? "{" (ExportSpec ("," ExportSpec)* ","?)? "}" ("from" Str With?)? End
-        | Decl EXPORT_EQ)
+        | TopConst | Decl EXPORT_EQ)
 ExportSpec <- TypeOnly? (Name | Str) ("as" (Name | Str))?
 FuncDefault{fn} <- `async(?![\w$])(?=[ \t]+function)|` "function" `\*?` (!`[(<]` FuncName)? Signature (Body | NOBODY)
 ClassDefault{cls} <- Abstract? "class" (!`extends(?![\w$])|\{` ClassName)? ClassRest
@@ -64,14 +66,13 @@ Element <- `\.\.\.` Target | Target (`=(?![=>])` Assign)?
 ObjectPattern <- "{" (PropPattern ("," PropPattern)* ","?)? "}"
 PropPattern <- `\.\.\.` Target | (Name | Str | Number | Computed) ":" Target (`=(?![=>])` Assign)? | Ident (`=(?![=>])` Assign)?
 Lexical <- `(?:const|let|using)(?![\w$])(?=[\s\[{/])` Binding ("," Binding)*
-Binding <- ArrowBinding | Target `!?` TypeAnn? (`=(?![=>])` Assign)?
-ArrowBinding{arrow} <- FuncName TypeAnn? `=(?![=>])` ArrowBlock &`[;,}]|\Z` | FuncName TypeAnn? `=(?![=>])` ArrowBlock &(@nl)
-ArrowBlock <- ArrowHead Body !`[.(\[?*/%+<>=&|^-]`
+Binding <- Target `!?` TypeAnn? (`=(?![=>])` Assign)?
+ArrowBinding{arrow} <- FuncName TypeAnn? `=(?![=>])` ArrowHead Body
 ArrowHead <- `(?:async(?![\w$])(?![ \t]*=>))?` (Signature | Ident) !@nl `=>`
 
 Block <- "{" Stmt* "}"
 Stmt <- Block | ";" | FuncDecl | ClassDecl | If | For | While | DoWhile | Switch | Try | Jump | With_ | `debugger(?![\w$])` End | Label
-      | Lexical End | "var" Binding ("," Binding)* End TYPED_DECL | !`(?:function|class|import\s*[\w${*"']|export)(?![\w$(])|async[ \t]+function` Exprs End
+      | Lexical End | "var" Binding ("," Binding)* End TYPED_DECL | !`\{|(?:function|class|import\s*[\w${*"']|export)(?![\w$(])|async[ \t]+function` Exprs End
 If <- "if" "(" Exprs ")" Stmt ("else" Stmt)?
 For <- "for" `(?:await(?![\w$]))?` "(" ((`(?:const|let|var|using)(?![\w$])` Target TypeAnn? | Unary3) `(?:of|in)(?![\w$])` Exprs
      | (Lexical | "var" Binding ("," Binding)* | Exprs)? ";" Exprs? ";" Exprs?) ")" Stmt

@@ -1,2 +1,29 @@
-QUERIES = {}
-SQL = {}
+"""Queries of the operators for training text, with their SQL where SQL can express them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from codestrata.llm.source_text import checked_files, documented_functions, parse_rates
+from codestrata.session import table
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return checked_files(table(spark, d, "source_files")).filter("not ok").select("source_id")
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return parse_rates(table(spark, d, "source_files"), table(spark, d, "repos"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return documented_functions(table(spark, d, "source_files")).select("source_id", "name")
+
+
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return documented_functions(table(spark, d, "source_files"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_pairs": p5_pairs}
+
+SQL: dict[str, str] = {}
