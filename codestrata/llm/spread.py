@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, *key: str) -> DataFrame:
     """Rows by hash of a unique key, at least three tasks a core.
 
     The number is given explicitly, as adaptive coalescing measures bytes and
@@ -13,4 +13,4 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     spark = df.sparkSession
     n = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, key)
+    return df.repartition(n, *key)
