@@ -1,2 +1,465 @@
-def schema_changes(df): raise NotImplementedError
-def consistent_table(df): raise NotImplementedError
+"""Schemas that drift between files: one consistent table, and each change reported.
+
+Method: similarity flooding. Every file of a stream has a schema graph: the
+record, its fields with their types, item fields of nested arrays, value
+profiles, and the order in which fields follow one another. For consecutive
+files the graphs are joined to a graph of field pairs; first scores from names
+and value profiles are propagated along the edges (same neighbour before and
+after, same parent, same item fields) until they converge; from the converged
+scores consistent one-to-one correspondences are selected. Fields without a
+correspondence were added or removed, those with another name renamed, those
+with another type retyped. The correspondences of a stream, chained, give each
+field its canonical name, under which all lines are cast and united.
+
+Plan: lines are profiled where they lie and summed per (stream, file, field,
+feature), first inside each batch, so a file or stream with a third of all lines
+sends a few thousand summed rows. A profile is bounded by design (a bottom-k
+sketch of values, histograms of shapes), so matching two files is a small task;
+pairs of files are spread over all tasks.
+"""
+
+from __future__ import annotations
+
+import json
+import math
+import re
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from codestrata.session import materialise
+
+#: Size of the bottom-k sketch of a field's values.
+SKETCH = 96
+#: Correspondences need at least this score.
+ACCEPT = 0.5
+#: Item fields of the structure format's symbols array, in its versions.
+SYMBOL_ITEMS = frozenset(["name", "kind", "line", "hash", "doc"])
+SYMBOL_KINDS = frozenset(["function", "class", "export", "import", "import_name", "export_wildcard", "unexported", "field"])
+
+_SEP = "\x1f"
+
+
+def json_type(value: object) -> str:
+    """Type of a JSON value; '' for null, 'array' for an array without non-null items."""
+    if value is None:
+        return ""
+    if isinstance(value, bool):
+        return "boolean"
+    if isinstance(value, int):
+        return "integer"
+    if isinstance(value, float):
+        return "fraction"
+    if isinstance(value, str):
+        return "string"
+    if isinstance(value, dict):
+        return "object"
+    kinds = Counter(json_type(v) for v in value if v is not None)
+    return f"array<{min(kinds, key=lambda k: (-kinds[k], k))}>" if kinds else "array"
+
+
+def read_object(body: str | None) -> dict | None:
+    """The JSON object of a line, None for anything else."""
+    if not body:
+        return None
+
+    def no(word: str) -> None:
+        raise ValueError(word)
+
+    try:
+        got = json.loads(body, parse_constant=no)
+    except (ValueError, RecursionError):
+        return None
+    return got if isinstance(got, dict) else None
+
+
+_SHAPE = [
+    (re.compile(r"[0-9a-f]{8,}"), lambda m: f"hex{len(m[0])}"),
+    (re.compile(r"\d{4}-\d\d-\d\dT[\d:.]+(?:Z|[+-]\d\d:\d\d)"), lambda m: "time"),
+]
+
+
+def _shape(text: str) -> str:
+    for rx, name in _SHAPE:
+        m = rx.fullmatch(text)
+        if m and any(c.isdigit() for c in text):
+            return name(m)
+    out = re.sub(r"[^\W\d_]+", "a", text[:80])
+    return re.sub(r"\d+", "9", out)[:24]
+
+
+def _features(value: object, out: Counter, depth: int = 0) -> None:
+    """Adds what a value says about its field: shapes, hashed values, magnitudes, keys."""
+    if value is None:
+        return
+    if isinstance(value, bool):
+        out["s:bool"] += 1
+    elif isinstance(value, (int, float)):
+        scale = 0 if value == 0 or not math.isfinite(value) else round(math.copysign(math.log2(1 + abs(value)), value) * 2)
+        out[f"m:{scale}"] += 1
+    elif isinstance(value, str):
+        out["s:" + _shape(value)] += 1
+        out[f"v:{xxhash.xxh64_intdigest(value):016x}"] += 1
+        out[f"l:{round(math.log2(1 + len(value)) * 2)}"] += 1
+    elif isinstance(value, dict):
+        for k, v in value.items():
+            out[f"k:{_shape(k)}"] += 1
+            out[f"v:{xxhash.xxh64_intdigest('k' + k):016x}"] += 1
+            if depth < 2:
+                _features(v, out, depth + 1)
+    else:
+        out[f"n:{round(math.log2(1 + len(value)) * 2)}"] += 1
+        for v in value:
+            if isinstance(v, dict):
+                for k, x in v.items():
+                    out["i:" + k] += x is not None
+                    if depth < 2:
+                        _features(x, out, depth + 1)
+            else:
+                _features(v, out, depth)
+
+
+def _profile(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lines -> (stream, opened_at, file_name, field, feature, n), summed over the batch."""
+    for part in parts:
+        sums: Counter = Counter()
+        for key, lines in part.groupby(["stream", "opened_at", "file_name"], sort=False)["body"]:
+            fields: dict[str, Counter] = defaultdict(Counter)
+            seen = False
+            for body in lines:
+                record = read_object(body)
+                if record is None:
+                    continue
+                seen = True
+                names = [k for k, v in record.items() if v is not None]
+                for k, (name, before, after) in enumerate(zip(names, ["", *names], [*names[1:], ""], strict=False)):
+                    value = record[name]
+                    mine = fields[name]
+                    mine["t:" + json_type(value)] += 1
+                    mine["b:" + before] += 1
+                    mine["a:" + after] += 1
+                    del k
+                    _features(value, mine)
+                    if isinstance(value, list):
+                        for item in value:
+                            if isinstance(item, dict):
+                                for sub, x in item.items():
+                                    if x is not None:
+                                        nested = fields[f"{name}{_SEP}{sub}"]
+                                        nested["t:" + json_type(x)] += 1
+                                        _features(x, nested)
+            for name, features in fields.items():
+                values = sorted(f for f in features if f.startswith("v:"))
+                for f in values[SKETCH:]:
+                    del features[f]
+                for f, n in features.items():
+                    sums[(*key, name, f)] += n
+            if seen or len(lines):
+                sums[(*key, "", "")] += 1  # a file without any readable line is a file too
+        rows = [(*k, n) for k, n in sums.items()]
+        yield pd.DataFrame(rows, columns=["stream", "opened_at", "file_name", "field", "feature", "n"])
+
+
+def file_profiles(lines: DataFrame) -> DataFrame:
+    """Summed profile rows of every file; lines without stream, file name or opening time are left out."""
+    rows = lines.dropna(subset=["stream", "file_name", "opened_at"]).select("stream", "opened_at", "file_name", "body")
+    schema = "stream string, opened_at timestamp_ntz, file_name string, field string, feature string, n long"
+    partial = rows.select("stream", F.col("opened_at").cast("timestamp_ntz"), "file_name", "body").mapInPandas(_profile, schema)
+    return partial.groupBy("stream", "opened_at", "file_name", "field", "feature").agg(F.sum("n").alias("n"))
+
+
+class Schema:
+    """The schema graph of one file."""
+
+    def __init__(self, rows: Iterator[tuple[str, str, int]], structured: bool):
+        fields: dict[str, Counter] = defaultdict(Counter)
+        for field, feature, n in rows:
+            if field:
+                fields[field][feature] += n
+        self.features = dict(fields)
+        self.top = sorted(f for f in fields if _SEP not in f)
+        self.types: dict[str, str] = {}
+        for name, counts in fields.items():
+            kinds = {f[2:]: n for f, n in counts.items() if f.startswith("t:") and f not in ("t:array", "t:")}
+            self.types[name] = min(kinds, key=lambda k: (-kinds[k], k)) if kinds else ""
+        self.before = {f: self._neighbours(f, "b:") for f in self.top}
+        self.after = {f: self._neighbours(f, "a:") for f in self.top}
+        self.symbols = self._symbols_array() if structured else None
+        self._parts: dict[str, dict[str, Counter]] = {}
+
+    def _neighbours(self, field: str, mark: str) -> dict[str, float]:
+        counts = {f[2:]: n for f, n in self.features[field].items() if f.startswith(mark)}
+        total = sum(counts.values()) or 1
+        return {k: n / total for k, n in counts.items()}
+
+    def items(self, array: str) -> dict[str, str]:
+        """Item fields of an array -> their full names."""
+        head = array + _SEP
+        return {f[len(head) :]: f for f in self.features if f.startswith(head)}
+
+    def _symbols_array(self) -> str | None:
+        """The array of symbols, whatever its name: its items carry symbol names, kinds and lines."""
+        best, found = 0.0, None
+        for f in self.top:
+            if self.types[f] != "array<object>":
+                continue
+            items = self.items(f)
+            score = sum(max((name_similarity(i, s) for s in SYMBOL_ITEMS), default=0.0) >= 0.6 for i in items)
+            score += f == "symbols"
+            if score > best:
+                best, found = score, f
+        return found
+
+    def part(self, field: str, mark: str) -> Counter:
+        parts = self._parts.setdefault(field, {})
+        if mark not in parts:
+            got = {f[2:]: n for f, n in self.features[field].items() if f.startswith(mark + ":")}
+            if mark == "v":
+                got = {k: got[k] for k in sorted(got)[:SKETCH]}
+            parts[mark] = Counter(got)
+        return parts[mark]
+
+
+def _words(name: str) -> list[str]:
+    return [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", name)]
+
+
+def name_similarity(a: str, b: str) -> float:
+    """0..1 from shared words and trigrams."""
+    if a == b:
+        return 1.0
+    wa, wb = set(_words(a)), set(_words(b))
+    if wa and wa == wb:
+        return 0.98
+    words = len(wa & wb) / max(1, min(len(wa), len(wb)))
+    grams = [{f" {x.lower()} "[k : k + 3] for k in range(len(x))} for x in ("".join(_words(a)), "".join(_words(b)))]
+    dice = 2 * len(grams[0] & grams[1]) / max(1, len(grams[0]) + len(grams[1]))
+    prefix = min(len(a), len(b)) >= 3 and (a.lower().startswith(b.lower()) or b.lower().startswith(a.lower()))
+    return max(0.8 * words, dice, 0.75 * prefix)
+
+
+def _overlap(a: Counter, b: Counter) -> float | None:
+    """Common share of two distributions, None if both are empty."""
+    if not a and not b:
+        return None
+    sa, sb = sum(a.values()) or 1, sum(b.values()) or 1
+    return sum(min(a[k] / sa, b[k] / sb) for k in a.keys() & b.keys())
+
+
+def value_similarity(a: Schema, fa: str, b: Schema, fb: str) -> float:
+    """0..1: whether the same kind of values goes on; 0 for different types."""
+    ta, tb = a.types[fa], b.types[fb]
+    if ta != tb or not ta:
+        return 0.0
+    weights = {"s": 3.0, "k": 3.0, "i": 4.0, "m": 4.0, "l": 1.0, "n": 1.0}
+    total = got = 0.0
+    for mark, weight in weights.items():
+        share = _overlap(a.part(fa, mark), b.part(fb, mark))
+        if share is not None:
+            got += weight * (share if mark != "m" else min(1.0, share * 1.5))
+            total += weight
+    score = got / total if total else 1.0
+    va, vb = a.part(fa, "v"), b.part(fb, "v")
+    if va and vb:
+        # repeated values tell more: a field of few values must go on with the same ones
+        def few(v: Counter) -> float:
+            return 1 - len(v) / max(1, sum(v.values()))
+
+        repeating = math.sqrt(max(0.0, few(va)) * max(0.0, few(vb)))
+        same = len(va.keys() & vb.keys()) / max(1, min(len(va), len(vb)))
+        unlike = abs(few(va) - few(vb))
+        score = score * (1 - 0.6 * repeating) + same * 0.6 * repeating + 0.25 * same * (1 - repeating) - 0.3 * unlike
+    return max(0.0, min(1.0, score))
+
+
+def flooded(a: Schema, fields_a: list[str], b: Schema, fields_b: list[str], ordered: bool) -> dict[tuple[str, str], float]:
+    """Converged scores of field pairs.
+
+    Fields of one name are taken as the fixed pairs that similarity flows from;
+    the others start from names and values and receive from the pairs before and
+    after them in the records.
+    """
+    start = {}
+    for x in fields_a:
+        for y in fields_b:
+            if x == y:
+                start[x, y] = 1.0
+            else:
+                values = value_similarity(a, x, b, y)
+                if values > 0:
+                    label = name_similarity(x.split(_SEP)[-1], y.split(_SEP)[-1])
+                    start[x, y] = 0.65 * values + 0.35 * label * min(1.0, 2 * values)
+    scores = dict(start)
+    if not ordered:
+        return scores
+    for _ in range(24):
+        new = {}
+        for (x, y), base in start.items():
+            if x == y:
+                new[x, y] = 1.0
+                continue
+            flow = 0.0
+            for na, nb in ((a.before[x], b.before[y]), (a.after[x], b.after[y])):
+                for p, wp in na.items():
+                    if p == "" or (p, p) in scores:
+                        flow += min(wp, nb.get(p, 0.0))
+                    else:
+                        flow += wp * sum(wq * scores.get((p, q), 0.0) for q, wq in nb.items() if q != p) * 0.5
+            new[x, y] = 0.8 * base + 0.2 * min(1.0, flow)
+        change = max((abs(new[k] - scores[k]) for k in new), default=0.0)
+        scores = new
+        if change < 1e-4:
+            break
+    return scores
+
+
+def select(scores: dict[tuple[str, str], float], gone: list[str], come: list[str]) -> dict[str, str]:
+    """One-to-one correspondences, best scores first; old name -> new name."""
+    taken: dict[str, str] = {}
+    used: set[str] = set()
+    order = sorted(((s, x, y) for (x, y), s in scores.items() if x in gone and y in come), key=lambda t: (-t[0], t[1], t[2]))
+    for score, x, y in order:
+        if score >= ACCEPT and x not in taken and y not in used:
+            taken[x] = y
+            used.add(y)
+    return taken
+
+
+def compare(a: Schema, b: Schema) -> list[tuple[str, str, str]]:
+    """(field, new_field, change) from the earlier schema to the later."""
+    out: list[tuple[str, str, str]] = []
+
+    def sets(fa: dict[str, str], fb: dict[str, str], label_a, label_b, ordered: bool) -> None:
+        """fa, fb: short name -> full name."""
+        gone = sorted(set(fa) - set(fb))
+        come = sorted(set(fb) - set(fa))
+        renamed: dict[str, str] = {}
+        if gone and come:
+            scores = flooded(a, sorted(fa.values()), b, sorted(fb.values()), ordered)
+            full = select(scores, [fa[g] for g in gone], [fb[c] for c in come])
+            short_a, short_b = {v: k for k, v in fa.items()}, {v: k for k, v in fb.items()}
+            renamed = {short_a[x]: short_b[y] for x, y in full.items()}
+        out.extend((label_a(x), label_b(y), "renamed") for x, y in renamed.items())
+        out.extend((label_a(x), "", "removed") for x in gone if x not in renamed)
+        out.extend((label_b(y), "", "added") for y in come if y not in renamed.values())
+        for x in sorted(set(fa) & set(fb)):
+            ta, tb = a.types[fa[x]], b.types[fb[x]]
+            if ta and tb and ta != tb:
+                out.append((label_b(x), "", "retyped"))
+
+    sets({f: f for f in a.top}, {f: f for f in b.top}, str, str, True)
+    if a.symbols and a.symbols == b.symbols:
+        array = a.symbols
+        if not any(f == array or n == array for f, n, _ in out):
+            label = lambda item: f"{array}.{item}"
+            # fields of one name are compared under it; items flow without an order
+            sets(a.items(array), b.items(array), label, label, False)
+    return out
+
+
+def _pairs_of_files(profiles: DataFrame) -> DataFrame:
+    """Every profile row twice: as the later file of one pair and the earlier of the next."""
+    files = profiles.select("stream", "opened_at", "file_name").distinct()
+    order = Window.partitionBy("stream").orderBy("opened_at", "file_name")
+    places = files.withColumn("k", F.row_number().over(order))
+    placed = profiles.join(places, ["stream", "opened_at", "file_name"])
+    return placed.select(
+        "stream", F.explode(F.array("k", F.col("k") + 1)).alias("pair"), "k", "file_name", "field", "feature", "n"
+    )
+
+
+def _compare_pair(group: pd.DataFrame) -> pd.DataFrame:
+    pair, stream = int(group["pair"].iloc[0]), group["stream"].iloc[0]
+    later, earlier = group[group["k"] == pair], group[group["k"] == pair - 1]
+    columns = ["stream", "pair", "file_name", "field", "new_field", "change"]
+    if not len(later) or not len(earlier):
+        return pd.DataFrame([], columns=columns)
+    structured = stream.startswith("ir-")
+    a, b = (
+        Schema(zip(g["field"], g["feature"], g["n"], strict=True), structured) for g in (earlier, later)
+    )
+    name = later["file_name"].iloc[0]
+    return pd.DataFrame([(stream, pair, name, *change) for change in compare(a, b)], columns=columns)
+
+
+def _all_changes(lines: DataFrame) -> DataFrame:
+    profiles = materialise(file_profiles(lines), "file-profiles")  # read for the order and for the pairs
+    schema = "stream string, pair int, file_name string, field string, new_field string, change string"
+    return _pairs_of_files(profiles).groupBy("stream", "pair").applyInPandas(_compare_pair, schema)
+
+
+def schema_changes(lines: DataFrame) -> DataFrame:
+    """(file_name, field, new_field, change) of every file against the one before it in its stream.
+
+    Files of a stream are ordered by opened_at, then name; a stream's first file
+    has no changes. Lines that are no JSON object are ignored; a file without any
+    readable line has no fields. ``new_field`` is '' unless renamed. A field that
+    held only empty arrays has no type and is not retyped.
+    """
+    return _all_changes(lines).select("file_name", "field", "new_field", "change")
+
+
+def canonical_names(lines: DataFrame) -> DataFrame:
+    """(stream, pair, field, canonical): the name of a field in its stream's first form, by chained renames.
+
+    Each stream's renames are folded in order of its files: one small group a stream.
+    """
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        rows, names = [], {}
+        stream = group["stream"].iloc[0]
+        for pair, part in group.sort_values("pair").groupby("pair"):
+            moved = {n: names.get(f, f) for f, n in zip(part["field"], part["new_field"], strict=True)}
+            for f in part["field"]:
+                names.pop(f, None)
+            names.update(moved)
+            rows += [(stream, pair, f, c) for f, c in names.items() if f != c]
+        return pd.DataFrame(rows, columns=["stream", "pair", "field", "canonical"])
+
+    renames = _all_changes(lines).filter("change = 'renamed' and instr(field, '.') = 0")
+    return renames.groupBy("stream").applyInPandas(fold, "stream string, pair int, field string, canonical string")
+
+
+def consistent_table(lines: DataFrame) -> DataFrame:
+    """Every readable line as (stream, file_name, line_no, field, type, value), fields under their canonical names.
+
+    One row per non-null field; ``value`` is the value as JSON text (strings as
+    they are), so that all types of one field's history fit one column. Lines
+    delivered several times count once.
+    """
+
+    def explode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for stream, opened, name, line, body in part.itertuples(index=False, name=None):
+                for field, value in (read_object(body) or {}).items():
+                    if value is not None:
+                        text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
+                        rows.append((stream, opened, name, line, field, json_type(value), text))
+            yield pd.DataFrame(rows, columns=["stream", "opened_at", "file_name", "line_no", "field", "type", "value"])
+
+    once = (
+        lines.dropna(subset=["stream", "file_name", "opened_at"])
+        .select("stream", F.col("opened_at").cast("timestamp_ntz").alias("opened_at"), "file_name", "line_no", "body")
+        .distinct()
+    )
+    schema = "stream string, opened_at timestamp_ntz, file_name string, line_no int, field string, type string, value string"
+    values = once.mapInPandas(explode, schema)
+    order = Window.partitionBy("stream").orderBy("opened_at", "file_name")
+    places = once.select("stream", "opened_at", "file_name").distinct().withColumn("k", F.row_number().over(order))
+    names = canonical_names(lines)
+    steps = Window.partitionBy("stream").orderBy("pair")
+    # a mapping holds from its file until the stream's next rename
+    spans = names.join(
+        names.select("stream", "pair").distinct().withColumn("until", F.lead("pair").over(steps)), ["stream", "pair"]
+    )
+    known = places.join(spans, "stream").filter(
+        (F.col("k") >= F.col("pair")) & (F.col("until").isNull() | (F.col("k") < F.col("until")))
+    ).select("stream", "opened_at", "file_name", "field", "canonical")
+    return values.join(known, ["stream", "opened_at", "file_name", "field"], "left").select(
+        "stream", "file_name", "line_no", F.coalesce("canonical", "field").alias("field"), "type", "value"
+    )
