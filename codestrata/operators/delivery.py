@@ -166,7 +166,7 @@ def mark_repeats(
     """``order``, ``keys`` and ``carry`` columns of every row, and ``is_repeat``.
 
     Of the rows with equal ``keys`` (null equals null) the one that comes first
-    by ``order`` is not a repeat; ``order`` must be a total order. Exact rows
+    by ``order`` (nulls last) is not a repeat; ``order`` must be a total order. Exact rows
     delivered twice under one order value are repeats too. ``time_bucket`` is a
     bigint function of the keys; rows where it is null take bucket -1. An empty
     table gives an empty result. Extra columns are ignored unless carried.
@@ -181,6 +181,6 @@ def mark_repeats(
         F.lit(False).alias(_LOST),
     )
     combined = rows.mapInArrow(_combine(keys, order), rows.schema)
-    routed = combined.repartition(_ROUTE).sortWithinPartitions(_BUCKET, *order)
+    routed = combined.repartition(_ROUTE).sortWithinPartitions(_BUCKET, *[F.col(c).asc_nulls_last() for c in order])
     screened = routed.mapInArrow(_screen(keys), rows.schema)
     return screened.select(*names, F.col(_LOST).alias("is_repeat"))
