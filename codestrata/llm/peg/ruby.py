@@ -13,7 +13,7 @@ KEYWORDS = (
     "|while|yield"
 )
 _LEX = re.compile(
-    r"""(?P<doc>^=begin\b[\s\S]*?^=end\b[^\n]*)|(?P<stop>^__END__$[\s\S]*)|'(?:[^'\\]|\\[\s\S])*'|"(?:[^"\\]|\\[\s\S])*"|(?P<note>\#[^\n]*)"""
+    r"""(?P<doc>^=begin\b[\s\S]*?^=end\b[^\n]*)|(?P<stop>^__END__$[\s\S]*)|'(?:[^'\\]|\\[\s\S])*'|"(?:[^"\\]|\\[\s\S])*"|(?P<note>(?:(?<![^\s;])\#|\#(?!\{))[^\n]*)"""
     r"""|(?<![\w)\]}])<<(?P<kind>[~-]?)(?P<q>["'`]?)(?P<word>[A-Z_]\w*)(?P=q)|(?P<nl>\n)""",
     re.M,
 )
@@ -114,7 +114,7 @@ If <- `if\b` ExprStmt Then Stmts (`elsif\b` ExprStmt Then Stmts)* (`else\b` Term
 Unless <- `unless\b` ExprStmt Then Stmts (`else\b` Terms? Stmts)? `end\b`
 While <- `(?:while|until)\b` ExprStmtN (Terms? `do\b` Terms? | Terms) Stmts `end\b`
 For <- `for\b` MultiItem ("," MultiItem)* `in\b` ExprStmtN (Terms? `do\b` Terms? | Terms) Stmts `end\b`
-Case <- `case\b` ExprStmt? Terms ((`when\b` NLs Args Then Stmts)+ | (`in\b` Pattern (`(?:if|unless)\b` ExprStmt)? Then Stmts)+) (`else\b` Terms? Stmts)? `end\b`
+Case <- `case\b` ExprStmt? Terms? ((`when\b` NLs Args Then Stmts)+ | (`in\b` Pattern (`(?:if|unless)\b` ExprStmt)? Then Stmts)+) (`else\b` Terms? Stmts)? `end\b`
 Pattern <- PatternAlt ("," NLs PatternAlt)* `,?`
 PatternAlt <- PatternOne (`\|` NLs PatternOne)* (`=>` Ident)?
 PatternOne <- `\*\*?(?:nil\b)?` Ident? | `[^\W\d]\w*[?!]?:(?!:)` (!`[,)}\]\n]|then\b|if\b|unless\b` PatternAlt)? | `\^` (Ident | Var | "(" ExprStmt ")") | `\[` NLs Pattern? NLs `\]` | `\{` NLs Pattern? NLs `\}`

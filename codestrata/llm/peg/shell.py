@@ -66,9 +66,9 @@ Word <- !`\#` Part+ B
 Part <- =`(?:[^\s"'\x60$\;&|()<>?*+@!]|\\[\s\S]|[?*+@!](?!\())+` | =`'[^']*'` | Double | Expansion | =`\x60(?:[^\x60\\]|\\[\s\S])*\x60` | =`[?*+@!]\((?:[^()\n]|\([^()\n]*\))*\)` | `[<>]\(` NL* List =`\)`
 Double <- =`"` DoublePart* =`"`
 DoublePart <- =`(?:[^"\\$\x60]|\\[\s\S])+` | ExpansionQ | =`\x60(?:[^\x60\\]|\\[\s\S])*\x60`
-Expansion <- =`\$\(\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)\)` | `\$\(` NL* List? =`\)` | =`\$\{` ParamPart* =`\}` | =`\$'(?:[^'\\]|\\[\s\S])*'` | =`\$(?:\w+|[@*\#?$!-])?`
+Expansion <- =`\$\(\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)\)` | `\$\(` NL* List? =`\)` | =`\$\{` ParamPart* =`\}` | =`\$'(?:[^'\\]|\\[\s\S])*'` | =`\$(?:\w+|[@*\#?$!-]|(?![({]))`
 ParamPart <- =`(?:[^"'\x60$\\}]|\\[\s\S])+` | =`'[^']*'` | Double | Expansion | =`\x60(?:[^\x60\\]|\\[\s\S])*\x60`
-ExpansionQ <- =`\$\(\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)\)` | `\$\(` NL* List? =`\)` | =`\$\{` ParamPartQ* =`\}` | =`\$(?:\w+|[@*\#?$!-])?`
+ExpansionQ <- =`\$\(\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)\)` | `\$\(` NL* List? =`\)` | =`\$\{` ParamPartQ* =`\}` | =`\$(?:\w+|[@*\#?$!-]|(?![({]))`
 ParamPartQ <- =`(?:[^"\x60$\\}]|\\[\s\S])+` | Double | ExpansionQ | =`\x60(?:[^\x60\\]|\\[\s\S])*\x60`
 Redirect <- `(?:\d+(?=[<>])|\{\w+\}(?=[<>]))?(?:<<<|<<-?|<>|<&|>&|>>|>\||&>>?|[<>](?!\())` Word
 """,
