@@ -43,7 +43,7 @@ LOWER_OPENERS = frozenset(["approx."])
 CARRY_ON = ("と", "って", "という", "とか", "は", "が", "を", "に", "の")
 
 _LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
-_MARK = re.compile(r"(?:[-*]|\d+\.)[ \t ]")
+_MARK = re.compile(r"[^\S\n\r\x0b\x0c\x85  ]*(?:[-*]|\d+\.)[ \t ]")
 _STOP = re.compile(r"[.!?…؟۔。！？｡।॥]+")
 _THAI_SPACE = re.compile(r"(?<=[฀-๿])[^\S\n\r\x0b\x0c\x85  ]+(?=[฀-๿])")
 _CODE = re.compile(r"`[^`\n]*(?:\n[^`\n]+)?`")
@@ -60,7 +60,7 @@ UNBALANCED, WHOLE_QUOTE, EMPTY = -12.0, 4.0, -8.0
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
-    """Spans between blank lines and before list marks; a list mark belongs to its item."""
+    """Spans between blank lines and before list marks (blanks may stand before one); a list mark belongs to its item."""
     out: list[tuple[int, int]] = []
     start, at, open_block = 0, 0, False
     while True:

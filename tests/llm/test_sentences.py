@@ -47,6 +47,10 @@ def test_layout():
     assert split(text) == ["## Heading", "A wrapped\nline here", "- item one.", "Second.", "* star", "12. third", "Last without stop", "End"]
 
 
+def test_blanks_before_a_list_mark():
+    assert split(" \u00a01. The item. More.\n  - next") == ["1. The item.", "More.", "- next"]
+
+
 def test_blank_null_and_odd_texts():
     assert [split(t) for t in (None, "", "  \n\t ", "...", "?", "“", "a")] == [[], [], [], ["..."], ["?"], ["“"], ["a"]]
 
