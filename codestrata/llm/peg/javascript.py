@@ -25,7 +25,7 @@ File <- Hashbang? ModuleItem* `\Z`
 ModuleItem <- Import | Export | TopConst | Stmt
 TopConst <- `const(?![\w$])(?=[\s\[{/])` TopBinding ("," TopBinding)* End
 TopBinding <- ArrowBinding | Binding
--Name <- `(?:(?!\d)[\w$‌‍]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$‌‍]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*`
+-Name <- `(?:(?!\d)[\w$\u200c\u200d]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$\u200c\u200d]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*`
 -Ident <- !`(?:RESERVED)(?![\w$])` Name
 -Str <- `"(?:[^"\\\n\r]|\\(?:u(?:[0-9a-fA-F]{4}|\{[0-9a-fA-F]+\})|x[0-9a-fA-F]{2}|\r\n|[^ux1-9]))*"|'(?:[^'\\\n\r]|\\(?:u(?:[0-9a-fA-F]{4}|\{[0-9a-fA-F]+\})|x[0-9a-fA-F]{2}|\r\n|[^ux1-9]))*'`
 -Number <- `(?:0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[bB][01](?:_?[01])*n?|0[oO][0-7](?:_?[0-7])*n?|(?:0|[1-9](?:_?\d)*)n|(?:(?:0|[1-9](?:_?\d)*)\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d+)?)(?![\w$])`
@@ -180,7 +180,7 @@ def _grammar(typed: bool) -> Grammar:
     }
     for k in sorted(fill, key=len, reverse=True):
         text = text.replace(k, fill[k])
-    return Grammar(text, skip=r"(?:[\s﻿]+|//[^\n\r  ]*|/\*[\s\S]*?\*/)*+")
+    return Grammar(text, skip=r"(?:[\s\ufeff]+|//[^\n\r\u2028\u2029]*|/\*[\s\S]*?\*/)*+")
 
 
 GRAMMAR = _grammar(typed=False)

@@ -54,7 +54,7 @@ class FileParse:
 
 def normalise(content: str) -> str:
     """Without a leading byte order mark and with plain line ends; both are valid everywhere."""
-    content = content[1:] if content.startswith("﻿") else content
+    content = content[1:] if content.startswith("\ufeff") else content
     return _SPLIT_CALLS.sub("\n", content)
 
 

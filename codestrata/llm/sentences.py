@@ -42,10 +42,10 @@ LOWER_OPENERS = frozenset(["approx."])
 #: Particles that carry on after a quotation (Japanese).
 CARRY_ON = ("と", "って", "という", "とか", "は", "が", "を", "に", "の")
 
-_LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
-_MARK = re.compile(r"[^\S\n\r\x0b\x0c\x85  ]*(?:[-*]|\d+\.)[ \t ]")
+_LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
+_MARK = re.compile(r"[^\S\n\r\x0b\x0c\x85\u2028\u2029]*(?:[-*]|\d+\.)[ \t\u00a0]")
 _STOP = re.compile(r"[.!?…؟۔。！？｡।॥]+")
-_THAI_SPACE = re.compile(r"(?<=[฀-๿])[^\S\n\r\x0b\x0c\x85  ]+(?=[฀-๿])")
+_THAI_SPACE = re.compile(r"(?<=[฀-๿])[^\S\n\r\x0b\x0c\x85\u2028\u2029]+(?=[฀-๿])")
 _CODE = re.compile(r"`[^`\n]*(?:\n[^`\n]+)?`")
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "»": "«", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "《": "》", '"': '"'}
 _CLOSERS = frozenset("”“»«」』)）]》\"’'")
@@ -122,7 +122,7 @@ def _candidates(block: str, first: int) -> tuple[list[int], list[float], dict[in
         closed_at = None
         while end < len(block):
             k = end
-            while k < len(block) and block[k] in "   " and k - end < 1 and block[k + 1 : k + 2] == "»":
+            while k < len(block) and block[k] in " \u00a0\u202f" and k - end < 1 and block[k + 1 : k + 2] == "»":
                 k += 1
             if block[k : k + 1] in _CLOSERS and (k in closing or block[k] in "’'" and not block[k + 1 : k + 2].isalnum()):
                 closed_at = k

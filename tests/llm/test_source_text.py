@@ -59,7 +59,7 @@ BAD = {
 def test_valid_text(lang):
     got = parse_file(lang, GOOD[lang])
     assert got.ok, (got.line, got.column, got.cause)
-    assert parse_file(lang, "﻿" + GOOD[lang].replace("\n", "\r\n")).ok
+    assert parse_file(lang, "\ufeff" + GOOD[lang].replace("\n", "\r\n")).ok
 
 
 @pytest.mark.parametrize("lang", sorted(BAD))
