@@ -84,6 +84,6 @@ def dropped_imports(old: DataFrame, new: DataFrame) -> DataFrame:
 def duplicate_definitions(facts: DataFrame, paths: DataFrame) -> DataFrame:
     """(source_id, name): Go functions another file of the directory defines too; ``init``, methods and test files are exempt."""
     rows = _of(facts, "def").filter("lang = 'go' and detail = '' and name <> 'init'").join(paths.select("source_id", "path"), "source_id")
-    rows = rows.filter(~F.col("path").endswith("_test.go")).select("repo_id", F.regexp_replace("path", "/[^/]*$", "").alias("dir"), "name", "source_id").distinct()
+    rows = rows.filter(~F.col("path").endswith("_test.go")).select("repo_id", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), "name", "source_id").distinct()
     many = rows.groupBy("repo_id", "dir", "name").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     return rows.join(many, ["repo_id", "dir", "name"], "left_semi").select("source_id", "name")

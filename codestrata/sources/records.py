@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from codestrata.functions.instants import instant_seconds
 from codestrata.operators.structure import visible
@@ -15,7 +14,7 @@ from codestrata.operators.structure import visible
 #: Largest source file, structure file and diff line in bytes.
 MAX_SOURCE, MAX_STRUCTURE, MAX_LINE = 10 << 20, 100 << 20, 64 << 10
 
-DECISION = T.StructType.fromDDL(
+DECISION = (
     "v int, gv string, ts string, mode string, repo string, file string, lang string, decision string, reason string, "
     "symbols array<string>, learn_symbols array<string>, contract string, contract_hash string, edit string, `join` string, "
     "checks map<string,string>, check_reasons map<string,string>"
@@ -68,22 +67,18 @@ def structure_facts(spark: SparkSession, path: str) -> DataFrame:
     """
     docs = spark.read.schema(STRUCTURE).option("multiLine", True).json(path)
     files = docs.select(F.explode("files").alias("path", "f"))
-    old = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.coalesce(F.col(f"f.{plural}"), F.array().cast("array<string>")),
-                    lambda n, kind=kind: F.struct(
-                        n.alias("name"), F.lit(kind).alias("kind"),
-                        F.coalesce(F.try_element_at("f.symbol_lines", F.concat(F.lit(kind + ":"), n)), F.lit(0)).alias("line"),
-                        F.coalesce(F.try_element_at("f.symbol_hashes", F.concat(F.lit(kind + ":"), n)), F.lit("")).alias("hash"),
-                        F.lit(None).cast("string").alias("doc"),
-                    ),
-                )
-                for plural, kind in (("functions", "function"), ("classes", "class"), ("exports", "export"), ("imports", "import"))
-            ]
-        )
-    )
+    def listed(plural: str, kind: str) -> Column:
+        key = lambda n: F.concat(F.lit(kind + ":"), n)
+        return F.transform(
+            F.coalesce(F.col(f"f.{plural}"), F.array().cast("array<string>")),
+            lambda n: F.struct(
+                n.alias("name"), F.lit(kind).alias("kind"), F.coalesce(F.try_element_at("f.symbol_lines", key(n)), F.lit(0)).alias("line"),
+                F.coalesce(F.try_element_at("f.symbol_hashes", key(n)), F.lit("")).alias("hash"), F.lit(None).cast("string").alias("doc"),
+            ),
+        )
+
+    kinds = (("functions", "function"), ("classes", "class"), ("exports", "export"), ("imports", "import"))
+    old = F.flatten(F.array(*[listed(plural, kind) for plural, kind in kinds]))
     symbols = F.when(F.size("f.symbols") > 0, F.col("f.symbols")).otherwise(old)
     return files.select("path", F.col("f.hash").alias("content_hash"), F.explode(symbols).alias("s")).select(
         "path", "content_hash", "s.kind", "s.name", F.coalesce("s.line", F.lit(0)).alias("line"), F.coalesce("s.hash", F.lit("")).alias("hash")
@@ -186,7 +181,7 @@ def module_requires(gomods: DataFrame, key: str, text: str) -> DataFrame:
     opens = F.when(F.col("line").rlike(r"^\s*(require|replace|exclude|retract)\s*\("), word).when(F.col("line").rlike(r"^\s*\)"), F.lit(""))
     inside = F.coalesce(F.last(opens, ignorenulls=True).over(order), F.lit(""))
     kind = F.when(inside != "", inside).otherwise(word)
-    bare = F.trim(F.regexp_replace("line", r"^\s*(require|replace)\b", ""))
+    bare = F.regexp_replace(F.regexp_replace("line", r"^\s*(require|replace)\b", ""), r"^\s+|\s+$", "")
     rows = lines.withColumn("kind", kind).withColumn("bare", bare).filter("bare not in ('', ')') and not startswith(bare, '(')")
     required = rows.filter("kind = 'require'").select(key, F.regexp_extract("bare", r"^(\S+)\s+(\S+)", 1).alias("module"), F.regexp_extract("bare", r"^(\S+)\s+(\S+)", 2).alias("version"))
     replaced = rows.filter("kind = 'replace'").select(key, F.regexp_extract("bare", r"^(\S+)", 1).alias("module"), F.lit(True).alias("replaced")).distinct()
