@@ -13,9 +13,9 @@ field its canonical name, under which all lines are cast and united.
 
 Plan: lines are profiled where they lie and summed per (stream, file, field,
 feature), first inside each batch, so a file or stream with a third of all lines
-sends a few thousand summed rows. A profile is bounded by design (a bottom-k
-sketch of values, histograms of shapes), so matching two files is a small task;
-pairs of files are spread over all tasks.
+sends a few thousand summed rows under a 64-bit identifier of the file. A profile
+is bounded by design (a bottom-k sketch of values, histograms of shapes), so
+matching two files is a small task; pairs of files are spread over all tasks.
 """
 
 from __future__ import annotations
@@ -124,25 +124,22 @@ def _features(value: object, out: Counter, depth: int = 0) -> None:
 
 
 def _profile(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Lines -> (stream, opened_at, file_name, field, feature, n), summed over the batch."""
+    """Lines -> (file_id, field, feature, n), summed over the batch."""
     for part in parts:
         sums: Counter = Counter()
-        for key, lines in part.groupby(["stream", "opened_at", "file_name"], sort=False)["body"]:
+        for key, lines in part.groupby("file_id", sort=False)["body"]:
             fields: dict[str, Counter] = defaultdict(Counter)
-            seen = False
             for body in lines:
                 record = read_object(body)
                 if record is None:
                     continue
-                seen = True
                 names = [k for k, v in record.items() if v is not None]
-                for k, (name, before, after) in enumerate(zip(names, ["", *names], [*names[1:], ""], strict=False)):
+                for name, before, after in zip(names, ["", *names], [*names[1:], ""], strict=False):
                     value = record[name]
                     mine = fields[name]
                     mine["t:" + json_type(value)] += 1
                     mine["b:" + before] += 1
                     mine["a:" + after] += 1
-                    del k
                     _features(value, mine)
                     if isinstance(value, list):
                         for item in value:
@@ -157,19 +154,31 @@ def _profile(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for f in values[SKETCH:]:
                     del features[f]
                 for f, n in features.items():
-                    sums[(*key, name, f)] += n
-            if seen or len(lines):
-                sums[(*key, "", "")] += 1  # a file without any readable line is a file too
+                    sums[(key, name, f)] += n
         rows = [(*k, n) for k, n in sums.items()]
-        yield pd.DataFrame(rows, columns=["stream", "opened_at", "file_name", "field", "feature", "n"])
+        yield pd.DataFrame(rows, columns=["file_id", "field", "feature", "n"])
+
+
+def _identified(lines: DataFrame) -> DataFrame:
+    """Lines of files with stream, name and opening time, and a 64-bit identifier of the file."""
+    rows = lines.dropna(subset=["stream", "file_name", "opened_at"]).select(
+        "stream", F.col("opened_at").cast("timestamp_ntz").alias("opened_at"), "file_name", "line_no", "body"
+    )
+    return rows.withColumn("file_id", F.xxhash64("stream", "opened_at", "file_name"))
+
+
+def file_places(lines: DataFrame) -> DataFrame:
+    """(file_id, stream, opened_at, file_name, k, next_id): every file's place in its stream, from 1."""
+    order = Window.partitionBy("stream").orderBy("opened_at", "file_name")
+    files = _identified(lines).select("file_id", "stream", "opened_at", "file_name").distinct()
+    return files.withColumn("k", F.row_number().over(order)).withColumn("next_id", F.lead("file_id").over(order))
 
 
 def file_profiles(lines: DataFrame) -> DataFrame:
-    """Summed profile rows of every file; lines without stream, file name or opening time are left out."""
-    rows = lines.dropna(subset=["stream", "file_name", "opened_at"]).select("stream", "opened_at", "file_name", "body")
-    schema = "stream string, opened_at timestamp_ntz, file_name string, field string, feature string, n long"
-    partial = rows.select("stream", F.col("opened_at").cast("timestamp_ntz"), "file_name", "body").mapInPandas(_profile, schema)
-    return partial.groupBy("stream", "opened_at", "file_name", "field", "feature").agg(F.sum("n").alias("n"))
+    """(file_id, field, feature, n): summed profile rows of every file."""
+    rows = _identified(lines).select("file_id", "body")
+    partial = rows.mapInPandas(_profile, "file_id long, field string, feature string, n long")
+    return partial.groupBy("file_id", "field", "feature").agg(F.sum("n").alias("n"))
 
 
 class Schema:
@@ -361,35 +370,28 @@ def compare(a: Schema, b: Schema) -> list[tuple[str, str, str]]:
     return out
 
 
-def _pairs_of_files(profiles: DataFrame) -> DataFrame:
-    """Every profile row twice: as the later file of one pair and the earlier of the next."""
-    files = profiles.select("stream", "opened_at", "file_name").distinct()
-    order = Window.partitionBy("stream").orderBy("opened_at", "file_name")
-    places = files.withColumn("k", F.row_number().over(order))
-    placed = profiles.join(places, ["stream", "opened_at", "file_name"])
-    return placed.select(
-        "stream", F.explode(F.array("k", F.col("k") + 1)).alias("pair"), "k", "file_name", "field", "feature", "n"
-    )
-
-
-def _compare_pair(group: pd.DataFrame) -> pd.DataFrame:
-    pair, stream = int(group["pair"].iloc[0]), group["stream"].iloc[0]
-    later, earlier = group[group["k"] == pair], group[group["k"] == pair - 1]
-    columns = ["stream", "pair", "file_name", "field", "new_field", "change"]
-    if not len(later) or not len(earlier):
-        return pd.DataFrame([], columns=columns)
-    structured = stream.startswith("ir-")
-    a, b = (
-        Schema(zip(g["field"], g["feature"], g["n"], strict=True), structured) for g in (earlier, later)
-    )
-    name = later["file_name"].iloc[0]
-    return pd.DataFrame([(stream, pair, name, *change) for change in compare(a, b)], columns=columns)
+def _compare_pair(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    later = group["later"].to_numpy(dtype=bool)
+    structured = bool(group["structured"].iloc[0])
+    a, b = (Schema(zip(g["field"], g["feature"], g["n"], strict=True), structured) for g in (group[~later], group[later]))
+    rows = [(key[0], *change) for change in compare(a, b)]
+    return pd.DataFrame(rows, columns=["file_id", "field", "new_field", "change"])
 
 
 def _all_changes(lines: DataFrame) -> DataFrame:
-    profiles = materialise(file_profiles(lines), "file-profiles")  # read for the order and for the pairs
-    schema = "stream string, pair int, file_name string, field string, new_field string, change string"
-    return _pairs_of_files(profiles).groupBy("stream", "pair").applyInPandas(_compare_pair, schema)
+    """Every profile row goes to its file as the later one of a pair, and to the next file as the earlier one."""
+    places = materialise(file_places(lines), "file-places")
+    known = places.select("file_id", "k", "next_id", F.startswith("stream", F.lit("ir-")).alias("structured"))
+    placed = file_profiles(lines).join(known, "file_id")
+    sides = F.array(
+        F.struct(F.when(F.col("k") > 1, F.col("file_id")).alias("pair"), F.lit(True).alias("later")),
+        F.struct(F.col("next_id").alias("pair"), F.lit(False).alias("later")),
+    )
+    rows = placed.select(F.explode(sides).alias("side"), "structured", "field", "feature", "n").filter("side.pair is not null")
+    rows = rows.select("side.pair", "side.later", "structured", "field", "feature", "n")
+    changes = rows.groupBy("pair").applyInPandas(_compare_pair, "file_id long, field string, new_field string, change string")
+    names = places.select("file_id", "stream", F.col("k").alias("pair"), "file_name")
+    return changes.join(names, "file_id").select("stream", "pair", "file_name", "field", "new_field", "change")
 
 
 def schema_changes(lines: DataFrame) -> DataFrame:
@@ -442,15 +444,10 @@ def consistent_table(lines: DataFrame) -> DataFrame:
                         rows.append((stream, opened, name, line, field, json_type(value), text))
             yield pd.DataFrame(rows, columns=["stream", "opened_at", "file_name", "line_no", "field", "type", "value"])
 
-    once = (
-        lines.dropna(subset=["stream", "file_name", "opened_at"])
-        .select("stream", F.col("opened_at").cast("timestamp_ntz").alias("opened_at"), "file_name", "line_no", "body")
-        .distinct()
-    )
+    once = _identified(lines).drop("file_id").distinct()
     schema = "stream string, opened_at timestamp_ntz, file_name string, line_no int, field string, type string, value string"
     values = once.mapInPandas(explode, schema)
-    order = Window.partitionBy("stream").orderBy("opened_at", "file_name")
-    places = once.select("stream", "opened_at", "file_name").distinct().withColumn("k", F.row_number().over(order))
+    places = file_places(lines).drop("file_id", "next_id")
     names = canonical_names(lines)
     steps = Window.partitionBy("stream").orderBy("pair")
     # a mapping holds from its file until the stream's next rename
