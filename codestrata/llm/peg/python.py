@@ -14,8 +14,8 @@ KEYWORDS = (
 NEWLINE, INDENT, DEDENT, BAD = "\x1e", "\x0e", "\x0f", "\x00"
 _LEX = re.compile(
     r"""(?P<str>(?:[fF][rR]?|[rR][fF])(?:\"{3}(?:[^\\{]|\\[\s\S]|\{)*?\"{3}|'{3}(?:[^\\]|\\[\s\S])*?'{3}"""
-    r"""|"(?:[^"\\\n{]|\\[\s\S]|\{\{|\{(?:[^{}\n]|\{[^{}\n]*\})*\})*"|'(?:[^'\\\n{]|\\[\s\S]|\{\{|\{(?:[^{}\n]|\{[^{}\n]*\})*\})*')"""
-    r"""|\"{3}(?:[^\\]|\\[\s\S])*?\"{3}|'{3}(?:[^\\]|\\[\s\S])*?'{3}|"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*')"""
+    r"""|"(?!"")(?:[^"\\\n{]|\\[\s\S]|\{\{|\{(?:[^{}\n]|\{[^{}\n]*\})*\})*"|'(?!'')(?:[^'\\\n{]|\\[\s\S]|\{\{|\{(?:[^{}\n]|\{[^{}\n]*\})*\})*')"""
+    r"""|\"{3}(?:[^\\]|\\[\s\S])*?\"{3}|'{3}(?:[^\\]|\\[\s\S])*?'{3}|"(?!"")(?:[^"\\\n\x1e]|\\[\s\S])*"|'(?!'')(?:[^'\\\n\x1e]|\\[\s\S])*')"""
     r"""|(?P<note>\#[^\n]*)|(?P<join>\\\r?\n)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<nl>\n)|(?P<blank>[ \t\f\r]+)|(?P<other>\w+|.)"""
 )
 
@@ -90,9 +90,9 @@ GRAMMAR = Grammar(
 File <- Stmt* `\Z`
 -NL <- `\x1e`
 -Name <- `(?!(?:KEYWORDS)\b)[^\W\d]\w*`
--Plain <- `(?:[uU]|[rR])?(?:\"{3}(?:[^\\]|\\[\s\S])*?\"{3}|'{3}(?:[^\\]|\\[\s\S])*?'{3}|"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*')`
--Bytes <- `(?:[bB][rR]?|[rR][bB])(?:\"{3}(?:[^\\]|\\[\s\S])*?\"{3}|'{3}(?:[^\\]|\\[\s\S])*?'{3}|"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*')`
--Format <- `(?:[fF][rR]?|[rR][fF])(?:\"{3}(?:[^"\\{}]|\\[\s\S]|\{\{|\}\}|"(?!"")|\{(?:[^{}]|\{[^{}]*\})+\})*\"{3}|'{3}(?:[^'\\{}]|\\[\s\S]|\{\{|\}\}|'(?!'')|\{(?:[^{}]|\{[^{}]*\})+\})*'{3}|"(?:[^"\\\n{}]|\\[\s\S]|\{\{|\}\}|\{(?:[^{}\n]|\{[^{}\n]*\})+\})*"|'(?:[^'\\\n{}]|\\[\s\S]|\{\{|\}\}|\{(?:[^{}\n]|\{[^{}\n]*\})+\})*')`
+-Plain <- `(?:[uU]|[rR])?(?:\"{3}(?:[^\\]|\\[\s\S])*?\"{3}|'{3}(?:[^\\]|\\[\s\S])*?'{3}|"(?!"")(?:[^"\\\n\x1e]|\\[\s\S])*"|'(?!'')(?:[^'\\\n\x1e]|\\[\s\S])*')`
+-Bytes <- `(?:[bB][rR]?|[rR][bB])(?:\"{3}(?:[^\\]|\\[\s\S])*?\"{3}|'{3}(?:[^\\]|\\[\s\S])*?'{3}|"(?!"")(?:[^"\\\n\x1e]|\\[\s\S])*"|'(?!'')(?:[^'\\\n\x1e]|\\[\s\S])*')`
+-Format <- `(?:[fF][rR]?|[rR][fF])(?:\"{3}(?:[^"\\{}]|\\[\s\S]|\{\{|\}\}|"(?!"")|\{(?:[^{}]|\{[^{}]*\})+\})*\"{3}|'{3}(?:[^'\\{}]|\\[\s\S]|\{\{|\}\}|'(?!'')|\{(?:[^{}]|\{[^{}]*\})+\})*'{3}|"(?!"")(?:[^"\\\n\x1e{}]|\\[\s\S]|\{\{|\}\}|\{(?:[^{}\n]|\{[^{}\n]*\})+\})*"|'(?!'')(?:[^'\\\n\x1e{}]|\\[\s\S]|\{\{|\}\}|\{(?:[^{}\n]|\{[^{}\n]*\})+\})*')`
 -Number <- `(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?!\w)`
 
 Stmt <- Compound | Simple

@@ -46,7 +46,7 @@ L:
 }
 BAD = {
     "go": ["package p\nfunc f( {\n}\n", "package p\nvar x = \n", "", "package p\n<<<<<<< HEAD\n", "package p\nfunc f() { /* open\n}\n", "package p\nfunc f() { x := `a\n}\n"],
-    "python": ["def f(:\n pass", "x = = 1", "if x:\npass", "  x = 1", "f(1 = 2)", "'''open", "print 'x'", "a = 1\n  b = 2\n", "x = (1\n", "for x in\n  y: pass", "f() = 1"],
+    "python": ["def f(:\n pass", "x = = 1", "if x:\npass", "  x = 1", "f(1 = 2)", "'''open", "print 'x'", "a = 1\n  b = 2\n", "x = (1\n", "for x in\n  y: pass", "f() = 1", 'def f():\n    """open\n    a "\n', "x = \n"],
     "javascript": ["function (", "let x: number = 1;", "{ \"a\": 1, \"b\": 2 }", "const = 1", "if (x { }", "x = `a${`", "a b", "export { a", "class A { f( { } }", "import a from", "/* open"],
     "typescript": ["let x: = 1;", "interface {", "class A { f(): { }", "type A =", "enum E { A"],
     "shell": ["if x; then", "f() {", "case x in a) b", "echo 'x", "echo \"$(ls\"", "<<<<<<< a", "for i in a; do", "x=(1", "fi", "{ }"],
