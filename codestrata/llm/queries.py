@@ -11,7 +11,7 @@ from codestrata.llm.mixing import mixed, share_report, token_sizes
 from codestrata.llm.nearest import TOLERANCE_SECONDS, edit_partners
 from codestrata.llm.sentences import sentences
 from codestrata.llm.source_text import checked_files, documented_functions, parse_rates
-from codestrata.llm.terms import COMMON_SHARE, RARE_RECORDS, name_frequencies
+from codestrata.llm.terms import COMMON_PERCENT, RARE_RECORDS, name_frequencies
 from codestrata.plans.core_queries import ranked_decisions_sql
 from codestrata.session import table
 
@@ -109,7 +109,7 @@ WITH k AS (SELECT 'd' || delivery_id AS record, symbols FROM {ranked_decisions_s
  f AS (SELECT name, sum(coalesce(n, 0))::BIGINT AS occurrences, count(DISTINCT record) AS records
        FROM p WHERE name IS NOT NULL GROUP BY name)
 SELECT name, occurrences, records, CASE WHEN records < {RARE_RECORDS} THEN 'rare'
-       WHEN records > total * {COMMON_SHARE} THEN 'common' END AS mark FROM f, t"""
+       WHEN records * 100 > total * {COMMON_PERCENT} THEN 'common' END AS mark FROM f, t"""
 
 SQL = {
     "p2_found": f"""

@@ -26,7 +26,7 @@ from codestrata.session import materialise
 
 #: Bounds of the production query: fewer records than this are rare, a larger share is common.
 RARE_RECORDS = 3
-COMMON_SHARE = 0.02
+COMMON_PERCENT = 2
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,5 +108,5 @@ def name_frequencies(decisions: DataFrame, tallies: DataFrame) -> DataFrame:
     pairs, total = _records(decisions, tallies)
     # the total is one row, whatever the size of the data
     marked = term_counts(pairs).crossJoin(F.broadcast(total))
-    mark = F.when(F.col("records") < RARE_RECORDS, "rare").when(F.col("records") > F.col("total") * COMMON_SHARE, "common")
+    mark = F.when(F.col("records") < RARE_RECORDS, "rare").when(F.col("records") * 100 > F.col("total") * COMMON_PERCENT, "common")
     return marked.select("name", "occurrences", "records", mark.alias("mark"))
