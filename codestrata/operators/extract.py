@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions.text import language_tag
@@ -67,11 +67,25 @@ def mask(lang: str, text: str) -> str:
     return rx.sub(blank, text)
 
 
+def literal_spans(lang: str, text: str) -> list[tuple[int, int]]:
+    """Offsets of literals and comments that hold a line end."""
+    rx = _LITERALS.get(lang)
+    return [m.span() for m in rx.finditer(text) if "\n" in m[0]] if rx else []
+
+
 _DEFS = {
     "go": re.compile(r"^func\s+(?:\((?P<recv>[^)]*)\)\s*)?(?P<n>\w+)|^type\s+(?P<t>\w+)", re.M),
     "js": re.compile(r"\b(?:function\s*\*?|class|interface|enum|type)\s+(?P<n>[A-Za-z_$][\w$]*)|\b(?:const|let|var)\s+(?P<t>[A-Za-z_$][\w$]*)"),
     "python": re.compile(r"^[ \t]*(?:async\s+)?(?:def|class)\s+(?P<n>\w+)|^(?P<t>[A-Z][A-Z0-9_]+)\s*(?::[^=\n]+)?=(?!=)", re.M),
 }
+_DEFS["shell"] = re.compile(r"^[ \t]*(?:function\s+(?P<n>[\w:.-]+)|(?P<t>[\w:.-]+)\s*\(\))", re.M)
+_DEFS["rust"] = re.compile(r"\b(?:fn|struct|enum|trait|union|mod)\s+(?P<n>\w+)|\b(?:const|static|type)\s+(?:mut\s+)?(?P<t>\w+)")
+_DEFS["ruby"] = re.compile(r"^[ \t]*def\s+(?:self\.)?(?P<n>\w+[?!=]?)|^[ \t]*(?:class|module)\s+(?P<t>[\w:]+)", re.M)
+#: Languages of which only definitions are taken.
+DEFINITION_ONLY = {".sh": "shell", ".bash": "shell", ".rs": "rust", ".rb": "ruby"}
+_LITERALS["shell"] = re.compile(r"(?<![^\s;&|()])\#[^\n]*|'[^']*(?:'|\Z)|\"(?:[^\"\\]|\\[\s\S])*(?:\"|\Z)|<<-?\s*(['\"]?)(\w+)\1[^\n]*\n[\s\S]*?(?:^[ \t]*\2$|\Z)", re.M)
+_LITERALS["rust"] = re.compile(r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|r(\#*)\"[\s\S]*?\"\1|\"(?:[^\"\\]|\\[\s\S])*(?:\"|\Z)|'(?:[^'\\\n]|\\.)'")
+_LITERALS["ruby"] = re.compile(r"\#[^\n{]*|'(?:[^'\\]|\\[\s\S])*(?:'|\Z)|\"(?:[^\"\\]|\\[\s\S])*(?:\"|\Z)|<<[~-]([A-Z]\w*)[^\n]*\n[\s\S]*?(?:^[ \t]*\1$|\Z)", re.M)
 _CALL = re.compile(r"(?<![\w.$])([A-Za-z_]\w*)\s*(?:\[[\w\s,.*\[\]]*\])?\(")
 _CONST = re.compile(r"(?<![\w.])([A-Z][A-Z0-9]*_[A-Z0-9_]*|[A-Z]{3,}[A-Z0-9]*)(?![\w(])")
 _QUALIFIED = re.compile(r"(?<![\w.)\]])([A-Za-z_]\w*)\.([A-Za-z_]\w*)")
@@ -187,6 +201,8 @@ def file_facts(lang: str, text: str) -> Iterator[tuple[str, str, int, str]]:
     line = lambda at: masked.count("\n", 0, at) + 1
     for name, at, recv in definitions(lang, masked):
         yield "def", name, line(at), recv
+    if lang in DEFINITION_ONLY.values():
+        return
     for name, at in references(lang, masked):
         yield "ref", name, line(at), ""
     for name, at, module in imports(lang, text, masked):
@@ -207,8 +223,17 @@ def file_facts(lang: str, text: str) -> Iterator[tuple[str, str, int, str]]:
             yield "signature", name, at, ("**" if anything or decorated else "") + ",".join(keywords)
 
 
+def _language(path: Column) -> Column:
+    out = language_tag(path)
+    for suffix, lang in DEFINITION_ONLY.items():
+        out = F.when(path.endswith(suffix), lang).otherwise(out)
+    return out
+
+
 def extract_facts(files: DataFrame) -> DataFrame:
-    """(source_id, repo_id, lang, fact, name, line, detail) of every file in the three languages; null content gives none."""
+    """(source_id, repo_id, lang, fact, name, line, detail) of every supported file; null content gives none.
+
+    Shell, Rust and Ruby give definitions only."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -219,7 +244,7 @@ def extract_facts(files: DataFrame) -> DataFrame:
             ]
             yield pd.DataFrame(rows, columns=["source_id", "repo_id", "lang", "fact", "name", "line", "detail"])
 
-    rows = files.filter("content is not null").select("source_id", "repo_id", language_tag(F.col("path")).alias("lang"), "content").filter("lang <> ''")
+    rows = files.filter("content is not null").select("source_id", "repo_id", _language(F.col("path")).alias("lang"), "content").filter("lang <> ''")
     spark = files.sparkSession
     n = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     schema = "source_id long, repo_id long, lang string, fact string, name string, line int, detail string"
