@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,18 +19,30 @@ def consecutive_pairs(snapshots: DataFrame, by: str, last: int | None = None) ->
     )
 
 
+def _sides(pairs: DataFrame) -> DataFrame:
+    """Every pair twice: (snapshot_id, old) for its earlier and its later snapshot."""
+    both = F.array(
+        F.struct(F.col("before_id").alias("snapshot_id"), F.lit(True).alias("old")),
+        F.struct(F.col("after_id").alias("snapshot_id"), F.lit(False).alias("old")),
+    )
+    return pairs.withColumn("side", F.explode(both)).select("*", "side.snapshot_id", "side.old").drop("side")
+
+
+def _of_side(old: bool, value: str) -> Column:
+    return F.max(F.when(F.col("old") == old, F.col(value)))
+
+
 def file_changes(pairs: DataFrame, files: DataFrame) -> DataFrame:
     """(before_id, after_id, path, status) of all pairs in one join; files of equal hash are left out.
 
-    Both sides are unions of listings tagged with their pair, so one aggregate
-    by (pair, path) replaces a full outer join per pair; it combines before the
+    Listings are joined to both sides of their pairs at once, so one aggregate by
+    (pair, path) replaces a full outer join per pair; it combines before the
     shuffle and has no hot key, as a path is listed once in a snapshot.
     """
     listing = files.groupBy("snapshot_id", "path").agg(F.max_by("content_hash", "file_id").alias("h"))
-    ids = pairs.select("before_id", "after_id")
-    old = ids.join(listing, ids.before_id == listing.snapshot_id).select("before_id", "after_id", "path", F.col("h").alias("a"), F.lit(None).cast("string").alias("b"))
-    new = ids.join(listing, ids.after_id == listing.snapshot_id).select("before_id", "after_id", "path", F.lit(None).cast("string").alias("a"), F.col("h").alias("b"))
-    both = old.unionByName(new).groupBy("before_id", "after_id", "path").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    both = _sides(pairs.select("before_id", "after_id")).join(listing, "snapshot_id").groupBy("before_id", "after_id", "path").agg(
+        _of_side(True, "h").alias("a"), _of_side(False, "h").alias("b")
+    )
     status = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("modified")
     return both.filter(~F.col("a").eqNullSafe(F.col("b"))).select("before_id", "after_id", "path", status.alias("status"))
 
@@ -44,13 +56,9 @@ def symbol_changes(changes: DataFrame, files: DataFrame, symbols: DataFrame) ->
     listed = symbols.join(files.select("file_id", "snapshot_id", "path"), "file_id")
     known = listed.groupBy("snapshot_id", "path", "kind", "name").agg(F.max_by("sig_hash", "symbol_id").alias("h"))
     key = ["before_id", "after_id", "path", "kind", "name"]
-
-    def side(which: str, a: str, b: str) -> DataFrame:
-        rows = changes.join(known.withColumnRenamed("snapshot_id", which), [which, "path"])
-        return rows.select(*key, F.col("h").alias(a), F.lit(None).cast("string").alias(b))
-
-    both = side("before_id", "a", "b").unionByName(side("after_id", "a", "b").select(*key, F.col("b").alias("a"), F.col("a").alias("b")))
-    one = both.groupBy(*key).agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    one = _sides(changes.select("before_id", "after_id", "path")).join(known, ["snapshot_id", "path"]).groupBy(*key).agg(
+        _of_side(True, "h").alias("a"), _of_side(False, "h").alias("b")
+    )
     status = (
         F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed")
         .when((F.col("a") != "") & (F.col("b") != "") & (F.col("a") != F.col("b")), "modified")

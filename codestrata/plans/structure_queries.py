@@ -41,7 +41,7 @@ def listed(spark: SparkSession, d: str) -> DataFrame:
 
 _OSNAPS = "(SELECT o_orderkey AS snapshot_id, o_custkey AS repo_id, o_orderpriority AS label, o_orderstatus AS session_id, o_orderdate AS timestamp FROM orders)"
 _OFILES = """(SELECT l_orderkey * 100 + l_linenumber AS file_id, l_orderkey AS snapshot_id, 'src/f' || l_linenumber || '.go' AS path,
-  md5(string_agg(l_partkey % 3 || ':' || l_suppkey % 2, ',' ORDER BY l_partkey, l_suppkey)) AS content_hash
+  md5(sum(l_partkey % 3)::VARCHAR || ':' || sum(l_suppkey % 2)::VARCHAR || ':' || count(*)::VARCHAR) AS content_hash
   FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
 _OSYMBOLS = """(SELECT l_orderkey * 100 + l_linenumber AS file_id, 'S' || l_suppkey % 10 AS name,
   CASE l_returnflag WHEN 'A' THEN 'function' WHEN 'N' THEN 'class' ELSE 'field' END AS kind,
@@ -56,16 +56,24 @@ def stored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
         F.col("o_orderkey").alias("snapshot_id"), F.col("o_custkey").alias("repo_id"), F.col("o_orderpriority").alias("label"),
         F.col("o_orderstatus").alias("session_id"), F.col("o_orderdate").alias("timestamp"),
     )
-    li = table(spark, d, "lineitem").withColumn("file_id", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
-    parts = F.array_sort(F.collect_list(F.struct("l_partkey", "l_suppkey")))
-    text = F.array_join(
-        F.transform(parts, lambda x: F.concat((x["l_partkey"] % 3).cast("string"), F.lit(":"), (x["l_suppkey"] % 2).cast("string"))), ","
-    )
-    f = li.groupBy("file_id", F.col("l_orderkey").alias("snapshot_id"), F.concat(F.lit("src/f"), "l_linenumber", F.lit(".go")).alias("path")).agg(F.md5(text).alias("content_hash"))
+    li = table(spark, d, "lineitem")
+    file_id = (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("file_id")
+    name = lambda c: F.concat(F.lit("S"), F.col(c).cast("string")).alias("name")
+    # numbers are grouped and only the groups get their texts
+    sums = li.groupBy("l_orderkey", "l_linenumber").agg(F.sum(F.col("l_partkey") % 3).alias("p"), F.sum(F.col("l_suppkey") % 2).alias("q"), F.count("*").alias("n"))
+    f = sums.select(
+        file_id, F.col("l_orderkey").alias("snapshot_id"), F.concat(F.lit("src/f"), "l_linenumber", F.lit(".go")).alias("path"),
+        F.md5(F.concat_ws(":", F.col("p").cast("string"), F.col("q").cast("string"), F.col("n").cast("string"))).alias("content_hash"),
+    )
+    # '' sorts before every hash, so -1 stands for it
+    hashed = F.when(F.col("l_partkey") % 4 == 0, -1).otherwise(F.col("l_partkey") % 3)
+    named = li.groupBy("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 10).alias("s"), "l_returnflag").agg(F.max(hashed).alias("h"))
     kind = F.when(F.col("l_returnflag") == "A", "function").when(F.col("l_returnflag") == "N", "class").otherwise("field")
-    hashed = F.when(F.col("l_partkey") % 4 == 0, "").otherwise(F.concat(F.lit("h"), (F.col("l_partkey") % 3).cast("string")))
-    sy = li.groupBy("file_id", F.concat(F.lit("S"), (F.col("l_suppkey") % 10).cast("string")).alias("name"), kind.alias("kind")).agg(F.max(hashed).alias("sig_hash")).withColumn("symbol_id", F.lit(0))
-    rf = li.select("file_id", F.concat(F.lit("S"), (F.col("l_partkey") % 10).cast("string")).alias("name")).distinct()
+    sy = named.select(
+        file_id, name("s"), kind.alias("kind"), F.when(F.col("h") < 0, "").otherwise(F.concat(F.lit("h"), F.col("h").cast("string"))).alias("sig_hash"),
+        F.lit(0).alias("symbol_id"),
+    )
+    rf = li.select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 10).alias("s")).distinct().select(file_id, name("s"))
     return s, f, sy, rf
 
 
