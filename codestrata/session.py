@@ -41,18 +41,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a temporary one is
-    made and kept for the session.
+    Only on one machine, as in tests, a temporary one is made where the session
+    names none, and kept for the session; a cluster must name one.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("codestrata.shared.dir", None)
     if not found:
-        found = spark.conf.get("codestrata.shared.dir", None)
-        if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="codestrata-")
-            spark.conf.set("codestrata.shared.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="codestrata-")
+        spark.conf.set("codestrata.shared.dir", found)
     return found.rstrip("/")
 
 
+def clear_shared(spark: SparkSession) -> None:
+    """Remove the tables that ``materialise`` has written; results read from them must be done with."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/codestrata")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by a table written in the shared folder.
 
