@@ -36,7 +36,7 @@ from codestrata.session import materialise
 #: Size of the bottom-k sketch of a field's values.
 SKETCH = 96
 #: Correspondences need at least this score.
-ACCEPT = 0.5
+ACCEPT = 0.49
 #: Item fields of the structure format's symbols array, in its versions.
 SYMBOL_ITEMS = frozenset(["name", "kind", "line", "hash", "doc"])
 SYMBOL_KINDS = frozenset(["function", "class", "export", "import", "import_name", "export_wildcard", "unexported", "field"])
@@ -88,8 +88,21 @@ def _shape(text: str) -> str:
         m = rx.fullmatch(text)
         if m and any(c.isdigit() for c in text):
             return name(m)
-    out = re.sub(r"[^\W\d_]+", "a", text[:80])
-    return re.sub(r"\d+", "9", out)[:24]
+    return _WORD.sub(_word_kind, text[:80])[:24]
+
+
+_WORD = re.compile(r"\w+")
+_PIECES = re.compile(r"[,;|+]")
+
+
+def _word_kind(m: re.Match) -> str:
+    """9 digits, s snake case, a lower, U upper, P Pascal, c camel case."""
+    w = m[0]
+    if w.isdigit():
+        return "9"
+    if "_" in w:
+        return "s"
+    return "a" if w.islower() else "U" if w.isupper() else "P" if w[0].isupper() else "c"
 
 
 def _features(value: object, out: Counter, depth: int = 0) -> None:
@@ -102,8 +115,13 @@ def _features(value: object, out: Counter, depth: int = 0) -> None:
         scale = 0 if value == 0 or not math.isfinite(value) else round(math.copysign(math.log2(1 + abs(value)), value) * 2)
         out[f"m:{scale}"] += 1
     elif isinstance(value, str):
-        out["s:" + _shape(value)] += 1
-        out[f"v:{xxhash.xxh64_intdigest(value):016x}"] += 1
+        # prose is of one shape; a list written as one text goes on with the same pieces
+        prose = len(value.split(None, 3)) > 2
+        whole = prose or len(value) > 400 or _shape(value) == "time"
+        for piece in (value,) if whole else _PIECES.split(value):
+            if piece:
+                out["s:" + ("text" if prose else _shape(piece))] += 1
+                out[f"v:{xxhash.xxh64_intdigest(piece):016x}"] += 1
         out[f"l:{round(math.log2(1 + len(value)) * 2)}"] += 1
     elif isinstance(value, dict):
         for k, v in value.items():
