@@ -20,6 +20,7 @@ document by document.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -77,8 +78,16 @@ def _plan(totals: list, targets: list, all_tokens: int, exact: bool) -> list[tup
     ]
 
 
-def mixed(documents: DataFrame, targets: DataFrame, exact: bool = False, path: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
-    """(selection, plan). Selection: (doc_id, source, tokens, copies) of every chosen document.
+class Mix(NamedTuple):
+    """What is chosen, the plan by source, and the number of all tokens there are."""
+
+    selection: DataFrame
+    plan: DataFrame
+    all_tokens: int
+
+
+def mixed(documents: DataFrame, targets: DataFrame, exact: bool = False, path: str = VOCABULARY) -> Mix:
+    """Selection: (doc_id, source, tokens, copies) of every chosen document.
 
     ``exact=False``: the budget is the number of all tokens of the documents, and
     every source comes as near to its share of it as its repeats allow.
@@ -127,20 +136,21 @@ def mixed(documents: DataFrame, targets: DataFrame, exact: bool = False, path: s
     chosen = whole.unionByName(none).unionByName(cut)
     copies = F.least(F.col("passes") + F.col("extra"), F.col("max_repeats")).cast("int")
     selection = chosen.select("doc_id", "source", "tokens", copies.alias("copies")).filter("copies > 0")
-    return selection, spark.createDataFrame(plan, "source string, target_share double, max_repeats int, available long, quota double")
+    planned = spark.createDataFrame(plan, "source string, target_share double, max_repeats int, available long, quota double")
+    return Mix(selection, planned, all_tokens)
 
 
-def share_report(selection: DataFrame, plan: DataFrame, all_tokens_of: DataFrame) -> DataFrame:
+def share_report(mix: Mix) -> DataFrame:
     """Per source: target, tokens there and taken, largest number of copies, share of the mix and of all tokens."""
-    taken = selection.groupBy("source").agg(
+    taken = mix.selection.groupBy("source").agg(
         F.sum(F.col("tokens") * F.col("copies")).alias("taken"), F.max("copies").alias("most_copies"),
         F.count("*").alias("documents"),
     )
-    total = Window.partitionBy()
-    rows = plan.join(F.broadcast(taken), "source", "left").fillna(0, ["taken", "most_copies", "documents"])
-    budget = all_tokens_of.agg(F.sum("tokens").alias("all_tokens"))
-    return rows.crossJoin(F.broadcast(budget)).select(
+    # one row a source of the targets
+    rows = mix.plan.join(F.broadcast(taken), "source", "left").fillna(0, ["taken", "most_copies", "documents"])
+    whole = Window.partitionBy(F.lit(0))
+    return rows.select(
         "source", "target_share", "max_repeats", "available", "documents", "taken", "most_copies",
-        F.try_divide(F.col("taken"), F.sum("taken").over(total)).alias("share_of_mix"),
-        F.try_divide(F.col("taken"), F.col("all_tokens")).alias("share_of_all_tokens"),
+        F.try_divide(F.col("taken"), F.sum("taken").over(whole)).alias("share_of_mix"),
+        F.try_divide(F.col("taken"), F.lit(mix.all_tokens)).alias("share_of_all_tokens"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.paths import path_form_sql
 from codestrata.llm.encode import encode_corpus
-from codestrata.llm.mixing import mixed, share_report, token_sizes
+from codestrata.llm.mixing import mixed, share_report
 from codestrata.llm.nearest import TOLERANCE_SECONDS, edit_partners
 from codestrata.llm.sentences import sentences
 from codestrata.llm.source_text import checked_files, documented_functions, parse_rates
@@ -57,19 +57,15 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    return mixed(table(spark, d, "documents"), table(spark, d, "mix_targets")).selection
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
-    selection, plan = mixed(documents, table(spark, d, "mix_targets"))
-    return share_report(selection, plan, token_sizes(documents))
+    return share_report(mixed(table(spark, d, "documents"), table(spark, d, "mix_targets")))
 
 
 def p9_exact_shares(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
-    selection, plan = mixed(documents, table(spark, d, "mix_targets"), exact=True)
-    return share_report(selection, plan, token_sizes(documents))
+    return share_report(mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"), exact=True))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

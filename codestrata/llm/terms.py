@@ -82,7 +82,7 @@ def term_counts(pairs: DataFrame) -> DataFrame:
     return partial.groupBy("name").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
-def _records(decisions: DataFrame, tallies: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _records(decisions: DataFrame, tallies: DataFrame) -> tuple[DataFrame, int]:
     """(pairs, number of records): records are kept decisions and distinct sessions of the tallies."""
     kept = kept_decisions(decisions, ["symbols"]).select(F.concat(F.lit("d"), F.col("delivery_id")).alias("record"), "symbols")
     kept = materialise(kept, "kept-symbols")  # read twice, and sampled for the ranges: the exact dedup runs once
@@ -90,11 +90,8 @@ def _records(decisions: DataFrame, tallies: DataFrame) -> tuple[DataFrame, DataF
     pairs = kept.select(F.explode("symbols").alias("name"), "record", F.lit(1).cast("bigint").alias("n")).unionByName(
         sessions.select("name", F.concat(F.lit("s"), F.col("session_id")).alias("record"), F.col("count").alias("n"))
     )
-    total = (
-        kept.agg(F.count("*").alias("n"))
-        .unionByName(sessions.select("session_id").distinct().agg(F.count("*").alias("n")))
-        .agg(F.sum("n").alias("total"))
-    )
+    # two counts, whatever the size of the data
+    total = kept.count() + sessions.select("session_id").distinct().count()
     return pairs, total
 
 
@@ -106,7 +103,5 @@ def name_frequencies(decisions: DataFrame, tallies: DataFrame) -> DataFrame:
     both rare and common only in tables of few records; rare wins then.
     """
     pairs, total = _records(decisions, tallies)
-    # the total is one row, whatever the size of the data
-    marked = term_counts(pairs).crossJoin(F.broadcast(total))
-    mark = F.when(F.col("records") < RARE_RECORDS, "rare").when(F.col("records") * 100 > F.col("total") * COMMON_PERCENT, "common")
-    return marked.select("name", "occurrences", "records", mark.alias("mark"))
+    mark = F.when(F.col("records") < RARE_RECORDS, "rare").when(F.col("records") * 100 > total * COMMON_PERCENT, "common")
+    return term_counts(pairs).select("name", "occurrences", "records", mark.alias("mark"))

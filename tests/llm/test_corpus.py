@@ -6,7 +6,7 @@ import random
 import pytest
 
 from codestrata.llm.encode import decode, encode_corpus, encode_text
-from codestrata.llm.mixing import blended, mixed, share_report, token_sizes
+from codestrata.llm.mixing import blended, mixed, share_report
 from codestrata.llm.terms import name_frequencies, term_counts
 
 HAVE = os.path.exists("/opt/tokenizers/byte_bpe_50k.json")
@@ -75,21 +75,20 @@ def test_mixing(spark):
     docs += [(5000, None, "big", "x"), (5001, "", "small", "x"), (5002, "text", None, "x"), (5003, "text", "unwanted", "x")]
     df = spark.createDataFrame(docs, DOC)
     targets = spark.createDataFrame([("big", 0.5, 1, "x"), ("small", 0.3, 2, "x"), ("tiny", 0.15, 3, "x"), ("absent", 0.05, 9, "x"), (None, 0.5, 1, "x")], TGT)
-    sizes = token_sizes(df)
     for exact in (False, True):
-        selection, plan = mixed(df, targets, exact)
-        report = {r.source: r for r in share_report(selection, plan, sizes).collect()}
+        mix = mixed(df, targets, exact)
+        report = {r.source: r for r in share_report(mix).collect()}
         assert set(report) == {"big", "small", "tiny", "absent"}
         assert report["absent"].taken == 0
         limits = {"big": 1, "small": 2, "tiny": 3}
-        assert all(r.copies <= limits[r.source] for r in selection.collect())
+        assert all(r.copies <= limits[r.source] for r in mix.selection.collect())
         if exact:
             for s, t in (("big", 0.5), ("small", 0.3), ("tiny", 0.15)):
                 assert abs(report[s].share_of_mix - t / 0.95) < 0.01
         else:
             assert abs(report["big"].share_of_all_tokens - 0.5) < 0.01
             assert abs(report["small"].share_of_all_tokens - 0.3) < 0.01
-    empty = mixed(df.limit(0), targets)[0]
+    empty = mixed(df.limit(0), targets).selection
     assert empty.count() == 0
 
 
