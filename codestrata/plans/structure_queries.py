@@ -139,16 +139,15 @@ def count_snapshots(spark, d):
 )
 def store_health(spark, d):
     r, s, f = table(spark, d, "repos"), snaps(spark, d), table(spark, d, "files")
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    parts = [
-        one(r, "repos"), one(s, "snapshots"), one(f, "files"),
-        one(s.filter("repo_id is not null").join(r, "repo_id", "left_anti"), "orphan_snapshots"),
-        one(f.join(s, "snapshot_id", "left_anti"), "orphan_files"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(p)  # single rows
-    return out
+    parts = {
+        "repos": r, "snapshots": s, "files": f,
+        "orphan_snapshots": s.filter("repo_id is not null").join(r, "repo_id", "left_anti"), "orphan_files": f.join(s, "snapshot_id", "left_anti"),
+    }
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, df in parts.items()]
+    rows = counts[0]
+    for c in counts[1:]:
+        rows = rows.unionByName(c)
+    return rows.agg(*[F.max(F.when(F.col("part") == name, F.col("n"))).alias(name) for name in parts])
 
 
 @R.query("repo_lookup", "SELECT repo_id, name, path FROM repos WHERE name = 'amber-quill' OR path = '/work/trees/nimble-meadow' OR common_dir = '/work/git/cobalt-anvil.git'")
