@@ -53,9 +53,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/codestrata/{spark.sparkContext.applicationId}"
+
+
 def clear_shared(spark: SparkSession) -> None:
-    """Remove the tables that ``materialise`` has written; results read from them must be done with."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/codestrata")
+    """Remove the tables this application has materialised; results read from them must be done with."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -65,6 +69,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     Unlike blocks held by executors the files outlive any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/codestrata/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

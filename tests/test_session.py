@@ -9,9 +9,10 @@ from codestrata.session import clear_shared, materialise, shared_dir
 
 def test_materialise_and_clear(spark):
     df = materialise(spark.range(5), "t")
-    assert df.count() == 5 and "codestrata" in shared_dir(spark)
+    own = Path(shared_dir(spark).removeprefix("file://")) / "codestrata" / spark.sparkContext.applicationId
+    assert df.count() == 5 and list(own.glob("t-*"))
     clear_shared(spark)
-    assert not list(Path(shared_dir(spark).removeprefix("file://")).glob("codestrata/*"))
+    assert not own.exists()
 
 
 def test_nothing_but_the_entry_point_imports_the_llm_folder():
