@@ -285,6 +285,22 @@ def structure_tree(spark, d):
     return rows.groupBy("source_id").agg(text.alias("symbols"))
 
 
+@R.query("structure_hashes", """SELECT source_id, string_agg(kind || ':' || name || '@' || coalesce(sig_hash, ''), ',' ORDER BY kind, name, coalesce(sig_hash, '')) AS symbols FROM
+  (SELECT DISTINCT source_id, kind, name, sig_hash FROM symbols WHERE kind NOT IN ('unexported', 'field')) GROUP BY source_id""")
+def structure_hashes(spark, d):
+    rows = table(spark, d, "symbols").filter(~F.col("kind").isin(*structure.INTERNAL_KINDS)).withColumn("h", F.coalesce("sig_hash", F.lit("")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("kind", "name", "h"))), lambda x: F.concat(x["kind"], F.lit(":"), x["name"], F.lit("@"), x["h"])), ",")
+    return rows.groupBy("source_id").agg(text.alias("symbols"))
+
+
+@R.query("structure_counts", """SELECT source_id, count(*) FILTER (WHERE kind = 'function') AS functions, count(*) FILTER (WHERE kind = 'class') AS classes,
+  count(*) FILTER (WHERE kind NOT IN ('unexported', 'field')) AS visible FROM symbols GROUP BY source_id""")
+def structure_counts(spark, d):
+    n = lambda c, a: F.count_if(c).alias(a)
+    kind = F.col("kind")
+    return table(spark, d, "symbols").groupBy("source_id").agg(n(kind == "function", "functions"), n(kind == "class", "classes"), n(~kind.isin(*structure.INTERNAL_KINDS), "visible"))
+
+
 @R.query("known_expand", "SELECT DISTINCT unnest([name, split_part(name, '.', -1)]) AS name FROM symbols")
 def known_expand(spark, d):
     return structure.expanded(table(spark, d, "symbols"))
