@@ -25,6 +25,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 
 import pandas as pd
 import xxhash
@@ -396,11 +397,11 @@ def _compare_pair(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["file_id", "field", "new_field", "change"])
 
 
-def _all_changes(lines: DataFrame) -> DataFrame:
+def _all_changes(lines: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     """Every profile row goes to its file as the later one of a pair, and to the next file as the earlier one."""
     places = materialise(file_places(lines), "file-places")
     known = places.select("file_id", "k", "next_id", F.startswith("stream", F.lit("ir-")).alias("structured"))
-    placed = file_profiles(lines).join(known, "file_id")
+    placed = (file_profiles(lines) if profiles is None else profiles).join(known, "file_id")
     sides = F.array(
         F.struct(F.when(F.col("k") > 1, F.col("file_id")).alias("pair"), F.lit(True).alias("later")),
         F.struct(F.col("next_id").alias("pair"), F.lit(False).alias("later")),
@@ -423,58 +424,263 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     return _all_changes(lines).select("file_name", "field", "new_field", "change")
 
 
-def canonical_names(lines: DataFrame) -> DataFrame:
-    """(stream, pair, field, canonical): the name of a field in its stream's first form, by chained renames.
+def _joined(names: list[str], together: set[tuple[str, str]], evidence: list[tuple[str, str]]) -> dict[str, list[str]]:
+    """Name -> its group. Evidence is taken best first; names that stand in one file are different fields."""
+    groups = {n: [n] for n in names}
+    for x, y in evidence:
+        if x not in groups or y not in groups:
+            continue
+        a, b = groups[x], groups[y]
+        if a is b or any((p, q) in together for p in a for q in b):
+            continue
+        a.extend(b)
+        for n in b:
+            groups[n] = a
+    return groups
+
+
+def one_schema(
+    rows: list[tuple[str, str, int]], together: set[tuple[str, str]], renames: list[tuple[str, str, int]], first: dict[str, object], structured: bool
+) -> dict[str, str]:
+    """Field -> canonical field of one kind of stream, from its pooled profile; items as array, separator, item.
+
+    ``together`` has the pairs of fields of one file, in both orders, ``renames`` the
+    counted renames of all its streams, ``first`` where a field came first: the
+    canonical name of a group.
+    """
+
+    def groups(schema: Schema, fields: list[str], pairs: set, moved: list, ordered: bool) -> dict[str, list[str]]:
+        scores = flooded(schema, fields, schema, fields, ordered)
+        flowing = sorted((-s, x, y) for (x, y), s in scores.items() if x < y and s >= ACCEPT)
+        found = [(x, y) for x, y, _ in sorted(moved, key=lambda m: (-m[2], m[0], m[1]))]
+        return _joined(fields, pairs, found + [(x, y) for _, x, y in flowing])
+
+    whole = Schema(iter(rows), False)
+    tops = groups(whole, whole.top, together, [m for m in renames if "." not in m[0]], True)
+    out = {n: min(g, key=lambda m: (first[m], m)) for n, g in tops.items()}
+    if not structured:
+        return out
+    under: dict[str, set[str]] = defaultdict(set)
+    for f in whole.features:
+        if _SEP in f:
+            array, item = f.split(_SEP, 1)
+            under[out.get(array, array)].add(item)
+    score = lambda array: sum(max(name_similarity(i, s) for s in SYMBOL_ITEMS) >= 0.6 for i in under[array])
+    array = max(sorted(under), key=lambda a: (score(a) + (a == "symbols"), a), default=None)
+    if array is None or not score(array):
+        return out
+    same = lambda f: _SEP in f and out.get(f.split(_SEP, 1)[0]) == array
+    place = lambda f: f"{array}{_SEP}{f.split(_SEP, 1)[1]}"
+    items = Schema(((place(f), x, n) for f, x, n in rows if same(f)), False)
+    pairs = {(place(x), place(y)) for x, y in together if same(x) and same(y)}
+    moved: Counter = Counter()
+    for x, y, n in renames:
+        head, _, item = x.partition(".")
+        if item and out.get(head) == array:
+            moved[f"{array}{_SEP}{item}", f"{array}{_SEP}{y.partition('.')[2]}"] += n
+    begun: dict[str, object] = {}
+    for f in filter(same, first):
+        begun[place(f)] = min(begun.get(place(f), first[f]), first[f])
+    inner = groups(items, sorted(items.features), pairs, [(x, y, n) for (x, y), n in moved.items()], False)
+    for f in filter(same, whole.features):
+        out[f] = min(inner[place(f)], key=lambda m: (begun[m], m))
+    return out
+
+
+def _kind(stream: str = "stream"):
+    return F.substring_index(stream, "-", 1)
+
 
-    Each stream's renames are folded in order of its files: one small group a stream.
+def canonical_names(lines: DataFrame) -> dict[tuple[str, str], str]:
+    """(kind, field) -> canonical field, one consistent schema for all streams of a kind.
+
+    What reaches the driver is bounded by the number of field names: a pooled
+    profile (bottom-k sketch of values), pairs of names and counted renames.
     """
+    profiles = materialise(file_profiles(lines), "file-profiles")
+    places = file_places(lines).select("file_id", _kind().alias("kind"), "opened_at", "stream", "file_name")
+    placed = profiles.join(places, "file_id")
+    pooled = placed.groupBy("kind", "field", "feature").agg(F.sum("n").alias("n"))
+    least = Window.partitionBy("kind", "field").orderBy("feature")
+    values = pooled.filter(F.col("feature").startswith("v:")).withColumn("rn", F.row_number().over(least)).filter(F.col("rn") <= SKETCH).drop("rn")
+    pooled = pooled.filter(~F.col("feature").startswith("v:")).unionByName(values)
+    sets = placed.groupBy("kind", "file_id").agg(F.array_sort(F.collect_set("field")).alias("x")).select("kind", "x").distinct()
+    pairs = sets.select("kind", "x", F.explode("x").alias("a")).select("kind", "a", F.explode("x").alias("b")).filter("a <> b").distinct()
+    order = F.min(F.struct("opened_at", "stream", "file_name"))
+    firsts = placed.groupBy("kind", "field").agg(order.alias("first"))
+    moves = _all_changes(lines, profiles).filter("change = 'renamed'").groupBy(_kind().alias("kind"), "field", "new_field").agg(F.count("*").alias("n"))
+    by: dict[str, tuple[list, set, list, dict]] = defaultdict(lambda: ([], set(), [], {}))
+    for r in pooled.collect():
+        by[r["kind"]][0].append((r["field"], r["feature"], r["n"]))
+    for r in pairs.collect():
+        by[r["kind"]][1].add((r["a"], r["b"]))
+    for r in moves.collect():
+        by[r["kind"]][2].append((r["field"], r["new_field"], r["n"]))
+    for r in firsts.collect():
+        by[r["kind"]][3][r["field"]] = tuple(r["first"])
+    return {(k, f): c for k, parts in by.items() for f, c in one_schema(*parts, structured=k == "ir").items()}
+
+
+_TEXTS = [("text:integer", re.compile(r"0|-?[1-9]\d{0,14}")), ("text:fraction", re.compile(r"-?\d+\.\d+")), ("text:time", _SHAPE[1][0])]
+
+
+def form(value: object) -> str:
+    """Type of a value as casts tell them apart: what a text holds, how many keys the items of an array have."""
+    if isinstance(value, str):
+        return next((n for n, rx in _TEXTS if rx.fullmatch(value)), "text")
+    if isinstance(value, dict):
+        parts = value.keys() == {"major", "minor", "patch"} and all(type(x) is int for x in value.values())
+        return "version" if parts else "object"
+    if isinstance(value, list) and value and all(isinstance(x, dict) for x in value):
+        keys = {tuple(x) for x in value}
+        only = keys.pop() if len(keys) == 1 else ()
+        if len(only) == 1 and all(isinstance(x[only[0]], str) for x in value):
+            return "array<name>"
+        heads = [x[only[0]] for x in value] if len(only) == 2 else []
+        if heads and all(isinstance(h, str) for h in heads) and len(set(heads)) == len(heads):
+            return "array<entry>"
+        return "array<object>"
+    if type(value) is int and abs(value) > 2**53:
+        return "wide"  # no fraction holds it
+    if isinstance(value, list) and len({json_type(x) for x in value if x is not None}) > 1:
+        return "array<any>"
+    return json_type(value)
+
+
+def common_type(forms: set[str]) -> str:
+    """The type all forms of a field can be cast to without loss."""
+    if "wide" in forms:
+        return "integer" if forms <= {"wide", "integer", "text:integer"} else "string"
+    texts = {f for f in forms if f.startswith("text")}
+    rest = forms - texts
+    if not rest or "version" in rest and rest == {"version"} and texts:
+        return "string"
+    if rest == {"version"}:
+        return "object"
+    if rest <= {"integer", "fraction"} and texts <= {"text:integer", "text:fraction"}:
+        return "integer" if rest == {"integer"} and texts <= {"text:integer"} else "fraction"
+    if not texts and rest <= {"object", "version", "array<entry>", "array"} and rest & {"object", "version"}:
+        return "object"
+    if rest <= {"array", "array<string>", "array<name>"}:
+        return "array<string>" if texts or "array<string>" in rest else "array<object>" if "array<name>" in rest else "array"
+    if rest <= {"array", "array<string>", "array<name>", "array<entry>", "array<object>"}:
+        return "array<object>"
+    typed = rest - {"array"}
+    return next(iter(typed)) if not texts and len(typed) == 1 and (len(rest) == 1 or next(iter(typed)).startswith("array")) else "string"
+
+
+def _time_text(ms: int) -> str:
+    at = datetime(1970, 1, 1) + timedelta(milliseconds=ms)
+    return at.isoformat(timespec="milliseconds" if ms % 1000 else "seconds") + "Z"
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        rows, names = [], {}
-        stream = group["stream"].iloc[0]
-        for pair, part in group.sort_values("pair").groupby("pair"):
-            moved = {n: names.get(f, f) for f, n in zip(part["field"], part["new_field"], strict=True)}
-            for f in part["field"]:
-                names.pop(f, None)
-            names.update(moved)
-            rows += [(stream, pair, f, c) for f, c in names.items() if f != c]
-        return pd.DataFrame(rows, columns=["stream", "pair", "field", "canonical"])
 
-    renames = _all_changes(lines).filter("change = 'renamed' and instr(field, '.') = 0")
-    return renames.groupBy("stream").applyInPandas(fold, "stream string, pair int, field string, canonical string")
+def cast(value: object, to: str, times: bool = False, lead: str = "name", kind_item: str = "") -> object:
+    """A value as the common type of its field.
+
+    ``times``: integers beside texts of times are milliseconds since 1970. ``lead`` is the item
+    field that names in an array without item fields have; ``kind_item`` that of a kind before a colon.
+    """
+    if to == "string" and not isinstance(value, str):
+        if times and type(value) is int and abs(value) < 250_000_000_000_000:
+            return _time_text(value)
+        if form(value) == "version":
+            return f"{value['major']}.{value['minor']}.{value['patch']}"
+        return json.dumps(value, ensure_ascii=False, sort_keys=True)
+    if to == "integer":
+        return int(value)
+    if to == "fraction":
+        return float(value)
+    if to == "object" and isinstance(value, list):
+        return dict(tuple(x.values()) for x in value)
+    if to in ("array<string>", "array<object>"):
+        items = [x for x in (p.strip() for p in re.split("[,+]", value)) if x] if isinstance(value, str) else value
+        if to == "array<string>":
+            return [next(iter(x.values())) if isinstance(x, dict) else x for x in items]
+
+        def item(text: str) -> dict:
+            head, colon, name = text.partition(":")
+            return {kind_item: head, lead: name} if kind_item and colon and head in SYMBOL_KINDS else {lead: text}
+
+        return [item(x) if isinstance(x, str) else x for x in items]
+    return value
+
+
+def _leads(counts: dict[tuple[str, str], Counter]) -> dict[tuple[str, str], str]:
+    """Array -> the item field its items begin with most often."""
+    return {k: min(c, key=lambda i: (-c[i], i)) for k, c in counts.items()}
 
 
 def consistent_table(lines: DataFrame) -> DataFrame:
     """Every readable line as (stream, file_name, line_no, field, type, value), fields under their canonical names.
 
-    One row per non-null field; ``value`` is the value as JSON text (strings as
-    they are), so that all types of one field's history fit one column. Lines
+    One row per non-null field; ``type`` is the common type of the field in all
+    streams of its kind, ``value`` the value cast to it as JSON text (strings as they
+    are). Item fields of the symbols array are renamed and cast inside it. Lines
     delivered several times count once.
     """
+    names = canonical_names(lines)
+    inner: dict[tuple[str, str], dict[str, str]] = defaultdict(dict)
+    for (kind, f), c in names.items():
+        if _SEP in f:
+            inner[kind, c.split(_SEP, 1)[0]][f.split(_SEP, 1)[1]] = c.split(_SEP, 1)[1]
+    inner = dict(inner)
+
+    def read(kind: str, body: str) -> Iterator[tuple[str, object]]:
+        for field, value in (read_object(body) or {}).items():
+            if value is not None:
+                name = names.get((kind, field), field)
+                items = inner.get((kind, name))
+                if items and isinstance(value, list):
+                    value = [{items.get(k, k): x for k, x in v.items()} if isinstance(v, dict) else v for v in value]
+                yield name, value
+
+    def forms(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            seen: Counter = Counter()
+            for kind, body in part.itertuples(index=False, name=None):
+                for name, value in read(kind, body):
+                    seen[kind, name, form(value), ""] += 1
+                    for v in value if isinstance(value, list) else ():
+                        if isinstance(v, dict) and v:
+                            seen[kind, name, "", next(iter(v))] += 1
+                            if (kind, name) in inner:
+                                for k, x in v.items():
+                                    if x is not None:
+                                        seen[kind, f"{name}{_SEP}{k}", form(x), ""] += 1
+            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["kind", "field", "form", "lead", "n"])
+
+    once = _identified(lines).drop("file_id").withColumn("kind", _kind())
+    found: dict[tuple[str, str], set[str]] = defaultdict(set)
+    heads: dict[tuple[str, str], Counter] = defaultdict(Counter)
+    told = once.select("kind", "body").mapInPandas(forms, "kind string, field string, form string, lead string, n long")
+    for r in told.groupBy("kind", "field", "form", "lead").agg(F.sum("n").alias("n")).collect():
+        if r["form"]:
+            found[r["kind"], r["field"]].add(r["form"])
+        else:
+            heads[r["kind"], r["field"]][r["lead"]] += r["n"]
+    types = {k: common_type(f) for k, f in found.items()}
+    times = {k for k, f in found.items() if "text:time" in f}
+    leads = _leads(heads)
+    # the item fields that a kind and a name go on under
+    kinds = {k: items.get("kind", "kind") for k, items in inner.items()}
 
     def explode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for stream, opened, name, line, body in part.itertuples(index=False, name=None):
-                for field, value in (read_object(body) or {}).items():
-                    if value is not None:
-                        text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
-                        rows.append((stream, opened, name, line, field, json_type(value), text))
-            yield pd.DataFrame(rows, columns=["stream", "opened_at", "file_name", "line_no", "field", "type", "value"])
-
-    once = _identified(lines).drop("file_id").distinct()
-    schema = "stream string, opened_at timestamp_ntz, file_name string, line_no int, field string, type string, value string"
-    values = once.mapInPandas(explode, schema)
-    places = file_places(lines).drop("file_id", "next_id")
-    names = canonical_names(lines)
-    steps = Window.partitionBy("stream").orderBy("pair")
-    # a mapping holds from its file until the stream's next rename
-    spans = names.join(
-        names.select("stream", "pair").distinct().withColumn("until", F.lead("pair").over(steps)), ["stream", "pair"]
-    )
-    known = places.join(spans, "stream").filter(
-        (F.col("k") >= F.col("pair")) & (F.col("until").isNull() | (F.col("k") < F.col("until")))
-    ).select("stream", "opened_at", "file_name", "field", "canonical")
-    return values.join(known, ["stream", "opened_at", "file_name", "field"], "left").select(
-        "stream", "file_name", "line_no", F.coalesce("canonical", "field").alias("field"), "type", "value"
-    )
+            for stream, name, line, kind, body in part.itertuples(index=False, name=None):
+                for field, value in read(kind, body):
+                    at = (kind, field)
+                    to = types[at]
+                    value = cast(value, to, at in times, leads.get(at, "name"), kinds.get(at, ""))
+                    if at in inner and isinstance(value, list):
+                        value = [
+                            {k: x if x is None else cast(x, types.get((kind, f"{field}{_SEP}{k}"), ""), (kind, f"{field}{_SEP}{k}") in times) for k, x in v.items()}
+                            if isinstance(v, dict) else v for v in value
+                        ]
+                    text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
+                    rows.append((stream, name, line, field, to, text))
+            yield pd.DataFrame(rows, columns=["stream", "file_name", "line_no", "field", "type", "value"])
+
+    schema = "stream string, file_name string, line_no int, field string, type string, value string"
+    rows = once.distinct().select("stream", "file_name", "line_no", "kind", "body")
+    return rows.mapInPandas(explode, schema)

@@ -3,7 +3,7 @@ from __future__ import annotations
 import json
 from datetime import datetime, timedelta
 
-from codestrata.operators.drift import consistent_table, json_type, name_similarity, read_object, schema_changes
+from codestrata.operators.drift import cast, common_type, consistent_table, form, json_type, name_similarity, read_object, schema_changes
 
 SCHEMA = "file_name string, stream string, opened_at timestamp, line_no int, body string, received_at timestamp, field string"
 T0 = datetime(2026, 1, 1)
@@ -76,6 +76,43 @@ def test_consistent_table_uses_first_names(spark):
     assert got.filter("field = 'lang'").count() == 60
 
 
+def test_streams_of_one_kind_end_under_one_schema_and_one_type(spark):
+    a = [record(k, took=k) for k in range(40)]
+    b = [renamed(record(k, took=k + 0.5), "lang", "language") for k in range(40, 80)]
+    files = [("f1", "log-1", a), ("f2", "log-2", b), ("f3", "ir-1", [{"language": "x", "n": 1}])]
+    got = consistent_table(lines(spark, files)).groupBy("stream", "field", "type").count().collect()
+    names = {s: {(r.field, r.type) for r in got if r.stream == s} for s in ("log-1", "log-2", "ir-1")}
+    assert names["log-1"] == names["log-2"] == {("v", "integer"), ("ts", "string"), ("lang", "string"), ("symbols", "array<string>"), ("took", "fraction")}
+    assert names["ir-1"] == {("language", "string"), ("n", "integer")}
+
+
+def test_items_are_renamed_and_cast_inside_the_symbols_array(spark):
+    item = lambda k, **x: {"name": f"fn{k}", "kind": ["function", "class"][k % 2], "line": k * 7, **x}
+    a = [{"path": f"p{k}.go", "symbols": [item(k), item(k + 1)]} for k in range(20)]
+    b = [{"path": f"p{k}.go", "symbols": [renamed(item(k), "line", "start_line")]} for k in range(20)]
+    c = [{"path": "p.go", "symbols": ["class:fn3"]}, {"path": "q.go", "symbols": [{**item(4), "line": "28"}]}]
+    got = consistent_table(lines(spark, [("f1", "ir-1", a), ("f2", "ir-1", b), ("f3", "ir-1", c)])).filter("field = 'symbols'").collect()
+    items = [i for r in got for i in json.loads(r.value)]
+    assert {r.type for r in got} == {"array<object>"} and len(items) == 62
+    assert {tuple(sorted(i)) for i in items} == {("kind", "line", "name"), ("kind", "name")}
+    assert all(type(i.get("line", 0)) is int for i in items)
+
+
+def test_casts():
+    def united(*values):
+        to = common_type({form(v) for v in values})
+        return [to, *(cast(v, to, any(form(v) == "text:time" for v in values)) for v in values)]
+
+    assert united(1, "2") == ["integer", 1, 2]
+    assert united(1, "2", 0.5) == ["fraction", 1.0, 2.0, 0.5]
+    assert united(2**60, 0.5) == ["string", str(2**60), "0.5"]
+    assert united(1767225600500, "2026-01-01T00:00:00Z") == ["string", "2026-01-01T00:00:00.500Z", "2026-01-01T00:00:00Z"]
+    assert united({"major": 0, "minor": 15, "patch": 4}, "0.16.0") == ["string", "0.15.4", "0.16.0"]
+    assert united(["a"], "a,b", [{"name": "c"}], []) == ["array<string>", ["a"], ["a", "b"], ["c"], []]
+    assert united({"lint": "ok"}, [{"check": "scope", "status": "ok"}]) == ["object", {"lint": "ok"}, {"scope": "ok"}]
+    assert united(True, "x", [1]) == ["string", "true", "x", "[1]"]
+
+
 def test_helpers():
     assert [json_type(x) for x in (None, True, 1, 1.5, "", {}, [], [None], [1, 2], ["a"])] == [
         "", "boolean", "integer", "fraction", "string", "object", "array", "array", "array<integer>", "array<string>",
