@@ -64,3 +64,31 @@ def symbol_changes(changes: DataFrame, files: DataFrame, symbols: DataFrame) ->
         .when((F.col("a") != "") & (F.col("b") != "") & (F.col("a") != F.col("b")), "modified")
     )
     return one.select(*key, status.alias("status")).filter(F.col("status").isNotNull())
+
+
+def change_receipt(
+    files: DataFrame, symbols: DataFrame, recent_files: DataFrame, repos: DataFrame, callers: DataFrame, stale: DataFrame
+) -> DataFrame:
+    """(after_id, part, path, kind, name, status, callers, changes, doc_id): what a change did, with its context.
+
+    ``files`` and ``symbols`` are the changes of pairs, part ``file`` and ``symbol``; every
+    symbol stands whether or not it has callers. ``callers`` (snapshot_id, caller, name) gives
+    the files that refer to a removed name in the earlier snapshot. ``recent_files`` are
+    the file changes of each repository's churn window and ``repos`` (after_id, repo_id):
+    ``changes`` counts the path's changes there if at least two. ``stale`` (doc_id, symbol)
+    are claims that nothing defines, part ``stale``.
+    """
+    hot = recent_files.join(repos, "after_id").groupBy("repo_id", "path").agg(F.count("*").alias("changes")).filter("changes >= 2")
+    pair = ["before_id", "after_id", "path"]
+    none = F.lit(None).cast("string")
+    whole = files.select(*pair, F.lit("file").alias("part"), none.alias("kind"), none.alias("name"), "status")
+    rows = whole.unionByName(symbols.select(*pair, F.lit("symbol").alias("part"), "kind", "name", "status"))
+    gone = symbols.filter("status = 'removed'").select("before_id", "name").distinct()
+    asked = callers.withColumnRenamed("snapshot_id", "before_id").join(gone, ["before_id", "name"], "left_semi")
+    lists = asked.groupBy("before_id", "name").agg(F.array_sort(F.collect_set("caller")).alias("callers")).withColumn("status", F.lit("removed"))
+    found = rows.join(lists, ["before_id", "name", "status"], "left").join(repos, "after_id", "left").join(hot, ["repo_id", "path"], "left")
+    called = F.when(F.col("status") == "removed", F.when(F.col("part") == "symbol", F.coalesce("callers", F.array().cast("array<string>"))))
+    columns = ["after_id", "part", "path", "kind", "name", "status", "callers", "changes", "doc_id"]
+    receipt = found.withColumn("callers", called).withColumn("doc_id", F.lit(None).cast("long")).select(*columns)
+    claims = stale.select(F.lit("stale").alias("part"), F.col("symbol").alias("name"), F.col("doc_id").cast("long").alias("doc_id"))
+    return receipt.unionByName(claims, allowMissingColumns=True)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Outcome windows in seconds (fingerprint track, symbol track) and the duplicate-fire window.
 KEYED_WINDOW, SYMBOL_WINDOW, DUPLICATE_SECONDS = 86_400, 300, 5
+#: Fixed value: rateable asks a gate needs.
+GATE_ASKS = 20
 #: Statuses a check can have.
 STATUSES = ("ok", "violation", "unknown", "skipped")
 
@@ -107,6 +109,33 @@ def approvals(records: DataFrame) -> DataFrame:
     return rateable.groupBy("file").cogroup(approved.groupBy("file")).applyInPandas(_match, schema)
 
 
+def approval_buckets(records: DataFrame, since_sec: int, max_rate: float = 0.5) -> DataFrame:
+    """(bucket, key, asks, approved, unrated, total, versions, rate, coverage, gate) since an instant.
+
+    ``bucket`` is window (all asks, no key), reason, check, lang or version; an ask counts
+    for each check of its compound reason. Asks without symbols are unrated: coverage is
+    the share of asks the rate is over. The gate is tripped by a rate above ``max_rate``
+    over at least 20 rateable asks of one version; of several it does not speak.
+    """
+    recent = records.filter(F.col("ts_sec") >= since_sec)
+    asks = unique_asks(recent).withColumn("version", canonical_version(F.col("gv")))
+    paired = asks.join(approvals(recent).select(F.col("ask_id").alias("delivery_id"), F.lit(1).alias("hit")), "delivery_id", "left")
+    entry = lambda b, c: F.struct(F.lit(b).alias("bucket"), c.cast("string").alias("key"))
+    whole = F.array(entry("window", F.lit(None)), *[entry(c, F.col(c)) for c in ("reason", "lang", "version")])
+    checks = F.transform(F.coalesce(split_checks(F.col("reason")), F.array().cast("array<string>")), lambda c: entry("check", c))
+    rows = paired.select(F.explode(F.concat(whole, checks)).alias("e"), "symbol_key", "hit", "version").select("e.*", "symbol_key", "hit", "version")
+    rated = F.col("symbol_key") != ""
+    sums = rows.groupBy("bucket", "key").agg(
+        F.count_if(rated).alias("asks"), F.count("hit").alias("approved"), F.count_if(~rated).alias("unrated"),
+        F.count_distinct(F.when(rated, F.col("version"))).alias("versions"),
+    )
+    total = F.col("asks") + F.col("unrated")
+    rate = F.when(F.col("asks") == 0, F.lit(0.0)).otherwise(F.col("approved") / F.col("asks"))
+    coverage = F.when(total == 0, F.lit(1.0)).otherwise(F.col("asks") / total)
+    gate = (F.col("asks") >= GATE_ASKS) & (F.col("versions") == 1) & (F.col("rate") > max_rate)
+    return sums.withColumns({"total": total, "rate": rate, "coverage": coverage}).withColumn("gate", gate)
+
+
 def duplicate_fires(records: DataFrame) -> DataFrame:
     """(delivery_id, fires_after): asks within five seconds of the last *kept* ask of the same file, reason and symbols.
 

@@ -147,15 +147,9 @@ def greedy_approvals(spark, d):
 
 @R.query("approval_report")
 def approval_report(spark, d):
-    """Asks, approvals and rate by check, reason, language and version in one pass."""
+    """Asks, approvals, rate and coverage of the window, by reason, check, language and version in one pass."""
     r = records(spark, d, "repo", "lang", "gv", "reason", "mode", "symbols")
-    asks = log_stats.unique_asks(r).withColumn("version", log_stats.canonical_version(F.col("gv")))
-    paired = asks.join(log_stats.approvals(r).select(F.col("ask_id").alias("delivery_id"), F.lit(1).alias("hit")), "delivery_id", "left")
-    sets = paired.groupingSets([["reason"], ["lang"], ["version"], []], "reason", "lang", "version").agg(
-        F.count_if(F.col("symbol_key") != "").alias("asks"), F.count("hit").alias("approved"), F.count_if(F.col("symbol_key") == "").alias("unrated"),
-    )
-    rate = F.when(F.col("asks") == 0, F.lit(0.0)).otherwise(F.col("approved") / F.col("asks"))
-    return sets.withColumn("rate", rate).withColumn("gate", (F.col("asks") >= 20) & (rate > 0.5))
+    return log_stats.approval_buckets(r, NOW_SEC - DAYS * 86400)
 
 
 @R.query("approval_latency")

@@ -371,6 +371,19 @@ def truth_trail(spark, d):
     return gone.join(calls, ["before_id", "name"]).groupBy("after_id", "path", "name").agg(F.countDistinct("caller").alias("callers"))
 
 
+@R.query("truth_trail_receipt")
+def truth_trail_receipt(spark, d):
+    """All four parts of the trail: changes, callers of removed names, churn over the last 20 snapshots, stale claims."""
+    from codestrata.plans.text_queries import stale_claims
+
+    s, f, _, rf = stored(spark, d)
+    files, symbols = _changes(spark, d)
+    recent = history.file_changes(history.consecutive_pairs(s, "repo_id", 20), f)
+    repos = s.select(F.col("snapshot_id").alias("after_id"), "repo_id")
+    callers = f.join(rf, "file_id").select("snapshot_id", F.col("path").alias("caller"), "name").distinct()
+    return history.change_receipt(files, symbols, recent, repos, callers, stale_claims(spark, d))
+
+
 @R.query("dangling_refs", f"""SELECT after_id, name, string_agg(path, ',' ORDER BY path) AS referrers FROM (SELECT *, row_number() OVER (PARTITION BY after_id, name ORDER BY path) AS n
   FROM (SELECT DISTINCT c.after_id, name, f.path FROM {_SDIFF} c JOIN {_OFILES} f ON f.snapshot_id = after_id AND f.path <> c.path JOIN {_OREFS} USING (file_id, name)
         WHERE status = 'removed' AND kind IN ('function', 'class'))) WHERE n <= 5 GROUP BY ALL""")

@@ -65,3 +65,37 @@ def test_definitions_of_more_languages():
 def test_synthetic_cases_are_reproducible():
     a = reports.synthetic_cases(1, ["loadIndex", "saveAll"], ["zap"], 2)
     assert a == reports.synthetic_cases(1, ["loadIndex", "saveAll"], ["zap"], 2) and any(c[2] for c in a) and any(not c[2] for c in a)
+
+
+def test_approval_buckets(spark):
+    from codestrata.operators.log_stats import approval_buckets
+
+    row = lambda k, ts, decision, reason, gv, symbols: (k, ts, "000000", decision, reason, "hook", "r", "go", gv, "f.go", symbols, None)
+    data = [row(0, 10, "ask", "a", "1.0", ["old"])]  # before the window
+    data += [row(100 + k, 1000 + k * 1000, "ask", "a+b" if k % 2 else "a", "1.0", [f"s{k}"]) for k in range(24)]
+    data += [row(200 + k, 1001 + k * 1000, "outcome", "approved", "1.0", [f"s{k}"]) for k in range(18)]
+    data += [row(300 + k, 1000 + k * 1000, "ask", "b", "1.0", []) for k in range(4)]
+    schema = "delivery_id long, ts_sec long, ts_frac string, decision string, reason string, mode string, repo string, lang string, gv string, file string, symbols array<string>, edit string"
+    got = {(r.bucket, r.key): r for r in approval_buckets(spark.createDataFrame(data, schema), 1000).collect()}
+    pick = lambda *k: (got[k].asks, got[k].approved, got[k].unrated, got[k].gate)
+    assert pick("window", None) == (24, 18, 4, True) and got["window", None].coverage == 24 / 28
+    assert pick("check", "a") == (24, 18, 0, True) and pick("check", "b") == (12, 9, 4, False) and pick("reason", "a+b") == (12, 9, 0, False)
+    mixed = data[:-1] + [row(400, 90000, "ask", "a", "2.0", ["z"])]
+    got = {(r.bucket, r.key): r for r in approval_buckets(spark.createDataFrame(mixed, schema), 1000).collect()}
+    assert (got["window", None].versions, got["window", None].gate, got["version", "v1.0"].gate) == (2, False, True)
+
+
+def test_change_receipt_keeps_symbols_without_callers_and_adds_churn_and_claims(spark):
+    from codestrata.operators.history import change_receipt
+
+    files = spark.createDataFrame([(1, 2, "a.go", "modified"), (1, 2, "b.go", "removed")], "before_id long, after_id long, path string, status string")
+    symbols = spark.createDataFrame([(1, 2, "a.go", "function", "f", "removed"), (1, 2, "b.go", "function", "g", "removed"), (1, 2, "a.go", "function", "h", "added")], "before_id long, after_id long, path string, kind string, name string, status string")
+    recent = spark.createDataFrame([(0, 1, "a.go", "modified"), (1, 2, "a.go", "modified"), (1, 2, "b.go", "removed")], files.schema)
+    repos = spark.createDataFrame([(1, 7), (2, 7)], "after_id long, repo_id long")
+    callers = spark.createDataFrame([(1, "c.go", "f"), (1, "b.go", "f"), (2, "x.go", "g")], "snapshot_id long, caller string, name string")
+    stale = spark.createDataFrame([(5, "loadAll")], "doc_id long, symbol string")
+    got = sorted((r.part, r.path or "", r.name or "", r.callers, r.changes, r.doc_id) for r in change_receipt(files, symbols, recent, repos, callers, stale).collect())
+    assert got == [
+        ("file", "a.go", "", None, 2, None), ("file", "b.go", "", None, None, None), ("stale", "", "loadAll", None, None, 5),
+        ("symbol", "a.go", "f", ["b.go", "c.go"], 2, None), ("symbol", "a.go", "h", None, 2, None), ("symbol", "b.go", "g", [], None, None),
+    ]
