@@ -36,13 +36,13 @@ SEED = 11
 
 
 def token_sizes(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, tokens) of documents with a source and at least one token."""
+    """(doc_id, source, tokens) of all documents with at least one token, those without a source included."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             yield part[["doc_id", "source"]].assign(tokens=[len(encode_text(t, path)) for t in part["text"]])
 
-    rows = documents.filter(F.col("source").isNotNull() & (F.length("text") > 0)).select("doc_id", "source", "text")
+    rows = documents.filter(F.length("text") > 0).select("doc_id", "source", "text")
     return spread(rows, "doc_id").mapInPandas(run, "doc_id long, source string, tokens long").filter("tokens > 0")
 
 
@@ -89,7 +89,8 @@ class Mix(NamedTuple):
 def mixed(documents: DataFrame, targets: DataFrame, exact: bool = False, path: str = VOCABULARY) -> Mix:
     """Selection: (doc_id, source, tokens, copies) of every chosen document.
 
-    ``exact=False``: the budget is the number of all tokens of the documents, and
+    ``exact=False``: the budget is the number of all tokens of the documents, those
+    without a source included (they are never chosen), and
     every source comes as near to its share of it as its repeats allow.
     ``exact=True``: the budget is the largest at which all sources that have any
     document reach their targets exactly (those without share nothing).
@@ -99,7 +100,7 @@ def mixed(documents: DataFrame, targets: DataFrame, exact: bool = False, path: s
     """
     sizes = materialise(token_sizes(documents, path), "token-sizes")
     by_block = (
-        sizes.withColumn("hash", F.xxhash64(F.lit(SEED), "doc_id"))
+        sizes.filter("source is not null").withColumn("hash", F.xxhash64(F.lit(SEED), "doc_id"))
         .withColumn("block", F.pmod("hash", F.lit(BLOCKS)).cast("int"))
     )
     once = targets.filter(F.col("source").isNotNull()).groupBy("source").agg(

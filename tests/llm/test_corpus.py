@@ -92,6 +92,17 @@ def test_mixing(spark):
     assert empty.count() == 0
 
 
+def test_the_budget_counts_documents_without_a_source(spark):
+    docs = [(i, "word " * 20, "big", "x") for i in range(100)] + [(100 + i, "word " * 20, None, "x") for i in range(100)]
+    targets = spark.createDataFrame([("big", 0.4, 1, "x")], TGT)
+    mix = mixed(spark.createDataFrame(docs, DOC), targets)
+    each = len(encode_text("word " * 20))
+    report = share_report(mix).first()
+    assert mix.all_tokens == 200 * each
+    assert report.taken == 80 * each and report.share_of_all_tokens == 0.4
+    assert {r.source for r in mix.selection.collect()} == {"big"}
+
+
 def test_blend_meets_the_limit():
     assert blended(0.1, 0.3, 0.5) == pytest.approx(0.3)
     assert blended(0.1, 0.3, 0.2) == pytest.approx(0.2)
