@@ -9,6 +9,12 @@ from codestrata.plans.registry import Registry
 from codestrata.session import materialise, table
 
 R = Registry()
+#: All exports of Go's package log; a module whose list has gaps must not be called resolved.
+LOG_EXPORTS = (
+    "Default", "Fatal", "Fatalf", "Fatalln", "Flags", "LUTC", "Ldate", "Llongfile", "Lmicroseconds", "Lmsgprefix", "Logger",
+    "Lshortfile", "LstdFlags", "Ltime", "New", "Output", "Panic", "Panicf", "Panicln", "Prefix", "Print", "Printf", "Println",
+    "SetFlags", "SetOutput", "SetPrefix", "Writer",
+)
 
 
 def _facts(spark, d):
@@ -48,9 +54,8 @@ def file_scope_check(spark, d):
 
 @R.query("qualified_check")
 def qualified_check(spark, d):
-    """Standard logging package with its exported print functions as the resolved module."""
-    names = ["Print", "Printf", "Fatal", "Fatalf", "Panic", "New", "Default"]  # Println left out, to have findings
-    exports = spark.createDataFrame([("log", "resolved", n) for n in names], "module string, status string, name string")
+    """Go's package log as the one resolved module; all others are unknown and decide nothing."""
+    exports = spark.createDataFrame([("log", "resolved", n) for n in LOG_EXPORTS], "module string, status string, name string")
     return checks.qualified(materialise(_facts(spark, d), "facts"), exports)
 
 

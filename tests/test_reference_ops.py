@@ -221,3 +221,12 @@ def test_store(spark, tmp_path):
         st.backup(f"file://{tmp_path}/copy")
     st.purge_repo(1)
     assert st.repos().count() == 0 and st.read("files").count() == 0
+
+
+def test_real_exports_of_log_are_no_findings(spark):
+    from codestrata.plans.check_queries import LOG_EXPORTS
+
+    text = 'package m\nimport "log"\nimport "fmt"\nfunc f() {\n\tlog.Println("a")\n\tlog.SetFlags(log.LstdFlags)\n\tlog.Shout("b")\n\tfmt.Nothing()\n}\n'
+    src = spark.createDataFrame([(1, 1, "a.go", text)], "source_id long, repo_id long, path string, content string")
+    exports = spark.createDataFrame([("log", "resolved", n) for n in LOG_EXPORTS], "module string, status string, name string")
+    assert {r.name for r in checks.qualified(extract.extract_facts(src), exports).collect()} == {"Shout"}
