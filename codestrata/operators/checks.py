@@ -7,7 +7,7 @@ know abstains by giving nothing. ``facts`` is the result of ``extract_facts``;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -81,9 +81,28 @@ def dropped_imports(old: DataFrame, new: DataFrame) -> DataFrame:
     return uses.join(gone, ["source_id", "name"], "left_semi").groupBy("source_id", "name").agg(F.min("line").alias("line"))
 
 
+#: Last parts of Go file names that constrain the build.
+GO_PLATFORMS = (
+    "aix android darwin dragonfly freebsd hurd illumos ios js linux nacl netbsd openbsd plan9 solaris wasip1 windows zos "
+    "386 amd64 amd64p32 arm arm64 arm64be armbe loong64 mips mips64 mips64le mips64p32 mips64p32le mipsle ppc ppc64 ppc64le "
+    "riscv riscv64 s390 s390x sparc sparc64 wasm"
+).split()
+
+
+def build_constrained(path: Column, content: Column) -> Column:
+    """Whether a Go file is built on some platforms only: by its name, or by a line before its package clause."""
+    by_name = F.regexp_extract(path, r"[^/]_([^_/]+)\.go$", 1).isin(GO_PLATFORMS)
+    header = F.split(content, r"(?m)^[ \t]*package ", 2)[0]
+    return F.coalesce(by_name, F.lit(False)) | F.coalesce(header.rlike(r"(?m)^[ \t]*(?://go:build|// \+build)"), F.lit(False))
+
+
 def duplicate_definitions(facts: DataFrame, paths: DataFrame) -> DataFrame:
-    """(source_id, name): Go functions another file of the directory defines too; ``init``, methods and test files are exempt."""
-    rows = _of(facts, "def").filter("lang = 'go' and detail = '' and name <> 'init'").join(paths.select("source_id", "path"), "source_id")
-    rows = rows.filter(~F.col("path").endswith("_test.go")).select("repo_id", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), "name", "source_id").distinct()
-    many = rows.groupBy("repo_id", "dir", "name").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    """(source_id, name): Go functions another file of the directory defines too; ``init``, methods and test files are exempt.
+
+    Two files that are both constrained to some builds are no pair. ``paths`` has the files' path and content.
+    """
+    files = paths.select("source_id", "path", build_constrained(F.col("path"), F.col("content")).alias("tied"))
+    rows = _of(facts, "def").filter("lang = 'go' and detail = '' and name <> 'init'").join(files, "source_id")
+    rows = rows.filter(~F.col("path").endswith("_test.go")).select("repo_id", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), "name", "source_id", "tied").distinct()
+    many = rows.groupBy("repo_id", "dir", "name").agg(F.count("*").alias("n"), F.count_if(~F.col("tied")).alias("free")).filter("n > 1 and free > 0").drop("n", "free")
     return rows.join(many, ["repo_id", "dir", "name"], "left_semi").select("source_id", "name")

@@ -161,7 +161,7 @@ def bindings(lang: str, text: str, masked: str) -> set[str]:
         return out
     if lang == "go":
         out = {w for m in re.finditer(r"([\w, \t]+):=", masked) for w in re.findall(r"[A-Za-z_]\w*", m[1])}
-        out |= {w for m in re.finditer(r"^\s*(?:var|const)\s+([\w, ]+)", masked, re.M) for w in re.findall(r"[A-Za-z_]\w*", m[1])[:8]}
+        out |= {w for m in re.finditer(r"^\s*(?:var|const)\s+([\w, ]+)", masked, re.M) for w in re.findall(r"[A-Za-z_]\w*", m[1])}
         for m in re.finditer(r"\bfunc\b[^{\n]*", masked):
             out |= set(re.findall(r"([A-Za-z_]\w*)\s+[\w*\[\].]+", m[0]))
         return out - _SKIP["go"]

@@ -230,3 +230,17 @@ def test_real_exports_of_log_are_no_findings(spark):
     src = spark.createDataFrame([(1, 1, "a.go", text)], "source_id long, repo_id long, path string, content string")
     exports = spark.createDataFrame([("log", "resolved", n) for n in LOG_EXPORTS], "module string, status string, name string")
     assert {r.name for r in checks.qualified(extract.extract_facts(src), exports).collect()} == {"Shout"}
+
+
+def test_all_names_of_a_go_var_line_are_bound():
+    names = [f"v{k}" for k in range(12)]
+    assert set(names) <= extract.bindings("go", "package m\nvar " + ", ".join(names) + " = 1\n", "var " + ", ".join(names) + " = 1\n")
+
+
+def test_files_for_different_builds_are_no_duplicates(spark):
+    go = "package m\nfunc {}() {{}}\n"
+    rows = [(1, 1, "d/lock_linux.go", go.format("Lock")), (2, 1, "d/lock_windows.go", go.format("Lock")), (3, 1, "d/tag.go", "//go:build x\n" + go.format("Lock"))]
+    rows += [(4, 1, "d/a_linux.go", go.format("Open")), (5, 1, "d/b.go", go.format("Open"))]
+    src = spark.createDataFrame(rows, "source_id long, repo_id long, path string, content string")
+    got = {tuple(r) for r in checks.duplicate_definitions(extract.extract_facts(src), src).collect()}
+    assert got == {(4, "Open"), (5, "Open")}
