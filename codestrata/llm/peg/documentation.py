@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import ast
 import re
+from collections.abc import Iterator
 
 from codestrata.llm.peg.languages import Definition
 
-_PREFIX = re.compile(
-    r"(?:^|(?<=[\s;{}(]))(?:export|default|const|let|var|declare|async|abstract|static|public|private|protected|readonly|override)\s*$"
+#: Words that may stand between a block comment and what it documents.
+MODIFIERS = frozenset(
+    "export default const let var declare async abstract static public private protected readonly override accessor".split()
 )
-_DECORATOR = re.compile(r"@[\w$.]+(?:\([^()\n]*\))?\s*$")
 #: The articles and work markers that say nothing.
 ARTICLES = frozenset(["the", "a", "an"])
 _MARKER = re.compile(r"(?:TODO|FIXME|XXX)(?![A-Za-z])")
@@ -18,21 +19,27 @@ _WORDS = re.compile(r"\w+")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_a-zA-Z]+")
 
 
+def _back(text: str, at: int) -> int:
+    """The end of the last text before ``at`` that is no white space."""
+    while at and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
 def _block_before(text: str, at: int) -> str | None:
-    """The ``/** */`` block that ends before ``at``, with only blanks, modifiers and decorators between."""
+    """The ``/** */`` block that ends before ``at``, with only blanks and modifiers between."""
+    at = _back(text, at)
     while True:
-        head = text[max(0, at - 400) : at].rstrip()
-        at = at - (len(text[max(0, at - 400) : at]) - len(head))
-        if not head and at > 0:
-            continue
-        m = _PREFIX.search(head) or _DECORATOR.search(head)
-        if m is None or not m[0].strip():
+        start = at
+        while start and (text[start - 1].isalnum() or text[start - 1] in "_$"):
+            start -= 1
+        if text[start:at] not in MODIFIERS:
             break
-        at -= len(head) - m.start()
-    if not text[:at].endswith("*/"):
+        at = _back(text, start)
+    if not text.endswith("*/", 0, at):
         return None
-    low = text.rfind("*/", 0, at - 2) + 2 if text.rfind("*/", 0, at - 2) >= 0 else 0
-    starts = [m.start() for m in re.compile(r"/\*").finditer(text, low, at - 2)]
+    low = max(text.rfind("*/", 0, at - 2) + 2, 0) if text.rfind("*/", 0, at - 2) >= 0 else 0
+    starts = [m.start() for m in _OPEN.finditer(text, low, at - 2)]
     if not starts:
         return None
     lined = [s for s in starts if not text[text.rfind("\n", 0, s) + 1 : s].strip()]
@@ -41,14 +48,21 @@ def _block_before(text: str, at: int) -> str | None:
     return block if block.startswith("/**") and len(block) > 4 else None
 
 
-def _lines_above(text: str, at: int) -> list[str]:
-    return text[: text.rfind("\n", 0, at) + 1].split("\n")[:-1]
+_OPEN = re.compile(r"/\*")
+
+
+def _lines_above(text: str, at: int) -> Iterator[tuple[int, str]]:
+    """(start, bare line) of the lines above the one ``at`` stands in, the nearest first."""
+    end = text.rfind("\n", 0, at)
+    while end >= 0:
+        start = text.rfind("\n", 0, end) + 1
+        yield start, text[start:end].strip()
+        end = start - 1
 
 
 def _rust_lines(text: str, at: int) -> str | None:
     out: list[str] = []
-    for line in reversed(_lines_above(text, at)):
-        bare = line.strip()
+    for _, bare in _lines_above(text, at):
         if bare.startswith("///") and not bare.startswith("////"):
             out.append(bare)
         elif not (bare.startswith(("#[", "//")) or not bare or bare.endswith(")]")):
@@ -58,10 +72,8 @@ def _rust_lines(text: str, at: int) -> str | None:
 
 def _hash_lines(text: str, at: int) -> str | None:
     out: list[str] = []
-    lines = _lines_above(text, at)
-    for k in range(len(lines) - 1, -1, -1):
-        bare = lines[k].strip()
-        if not bare.startswith("#") or (k == 0 and bare.startswith("#!")):
+    for start, bare in _lines_above(text, at):
+        if not bare.startswith("#") or (start == 0 and bare.startswith("#!")):
             break
         out.append(bare)
     return "\n".join(reversed(out)) or None
@@ -98,7 +110,8 @@ def documentation_of(language: str, text: str, definition: Definition) -> str |
         except (SyntaxError, ValueError):
             return definition.docstring
     if language in ("javascript", "typescript"):
-        return _block_before(text, definition.start)
+        block = _block_before(text, definition.start)
+        return block if block or definition.head is None else _block_before(text, definition.head)
     if language == "rust":
         return _rust_lines(text, definition.start)
     if language == "go":

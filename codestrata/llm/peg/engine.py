@@ -14,17 +14,24 @@ Grammar notation, one rule per ``Name <- expression``:
 ``-Name <- ...``      not memoised (cheap rules)
 ====================  =====================================================
 
-Every token also takes the skippable text after it (one regular expression
-match per token). A parse keeps one memo table per rule, so any position is
-tried at most once per rule, and the furthest position at which a token failed.
-Offsets are those of the text parsed. Captures of abandoned alternatives are
-taken back, and a memo entry carries its captures.
+Every token also takes the skippable text after it. A parse keeps one memo
+table per rule, so any position is tried at most once per rule. Offsets are those
+of the text parsed. Captures of abandoned alternatives are taken back, and a memo
+entry carries its captures.
+
+A grammar is compiled into three programs as they are needed: one that only
+recognises, one that captures as well, and one that records the furthest position
+at which a token failed, which is run over texts that the others have refused.
+Before any sub-expression that begins with known characters the next character is
+asked, so most alternatives cost one look-up; rules that are not memoised are put
+in where they are used.
 """
 
 from __future__ import annotations
 
 import re
 import sys
+from collections.abc import Callable
 from dataclasses import dataclass
 
 try:
@@ -39,16 +46,16 @@ _TOKEN = re.compile(
     r"""|(?P<lit>"(?:[^"\\]|\\.)*")|(?P<raw>=`[^`]*`)|(?P<rx>`[^`]*`)|(?P<ref>[A-Z]\w*)|(?P<nl>@nl)|(?P<op>[()|*+?&!])|(?P<end>\Z))"""
 )
 
-FAIL = -1
-_LIMIT = 40_000
+#: Depth of rule calls a text may always use, and what its length may add to it. A text that
+#: needs more is neither valid nor invalid: a frame takes memory, and no grammar bounds nesting.
+DEPTH, DEEPEST, PER_CHARACTER = 40_000, 200_000, 40
 
 
 @dataclass(frozen=True)
 class Parsed:
-    """``ok`` only if the whole text was consumed; ``furthest`` is the furthest failure."""
+    """``ok`` if the whole text was consumed, None if it is nested too deeply to tell."""
 
-    ok: bool
-    furthest: int
+    ok: bool | None
     captures: tuple[tuple[str, int, int], ...]
 
 
@@ -150,7 +157,10 @@ _ASCII = frozenset(map(chr, range(128)))
 
 def _first_of_regex(pattern: str, flags: int) -> frozenset | None:
     """ASCII characters a match can begin with, None if it can be empty or is unclear."""
+    return _of_pattern(_sp.parse(pattern, flags))
 
+
+def _of_pattern(pattern) -> frozenset | None:
     def of(seq) -> frozenset | None:
         for op, arg in seq:
             if op is _sc.LITERAL:
@@ -194,7 +204,15 @@ def _first_of_regex(pattern: str, flags: int) -> frozenset | None:
             return None
         return None
 
-    return of(_sp.parse(pattern, flags))
+    return of(pattern)
+
+
+def _skip_starts(skip: str, flags: int) -> frozenset | None:
+    """Characters with which skippable text can begin; None if unclear."""
+    op, arg = list(_sp.parse(skip, flags))[0]
+    if op not in (_sc.MAX_REPEAT, _sc.POSSESSIVE_REPEAT):
+        return None
+    return _of_pattern(arg[2])
 
 
 class Grammar:
@@ -203,59 +221,93 @@ class Grammar:
     def __init__(self, text: str, skip: str, start: str = "File", flags: int = 0):
         self.rules = _read(text)
         self.skip, self.flags, self.start = skip, flags, start
-        self._tokens: dict[str, str] = {}
-        self._space = {"__builtins__": {"len": len, "tuple": tuple}, "line_ended": line_ended}
         self._firsts: dict[str, frozenset | None] = {}
+        self._regex_firsts: dict[str, frozenset | None] = {}
         self._busy: set[str] = set()
-        self._n = 0
-        self._index = {name: i for i, name in enumerate(self.rules)}
-        lines: list[str] = []
-        for name, (e, kind, memo) in self.rules.items():
-            lines += self._rule(name, e, kind, memo)
-        exec(compile("\n".join(lines), "<grammar>", "exec"), self._space)  # noqa: S102 - our own generated text
-        self._start = self._space[f"r_{start}"]
-        self._skip = re.compile(skip, flags).match
-
-    def parse(self, text: str) -> Parsed:
-        if sys.getrecursionlimit() < _LIMIT:
-            sys.setrecursionlimit(_LIMIT)
-        memo = [{} for _ in self.rules]
-        furthest, captures = [0], []
-        at = self._skip(text, 0).end()
+        self._programs: dict[str, Callable] = {}
+        self._capturing = {name for name, (_, kind, _) in self.rules.items() if kind}
+        grown = True
+        while grown:
+            more = {n for n, (e, _, _) in self.rules.items() if n not in self._capturing and self.captures(e)}
+            self._capturing |= more
+            grown = bool(more)
+        for e in (e for e, _, _ in self.rules.values()):
+            self._known(e)
+
+    def _known(self, e: tuple) -> None:
+        if e[0] == "ref" and e[1] not in self.rules:
+            raise ValueError(f"grammar: no rule {e[1]}")
+        for x in e[1] if e[0] in ("seq", "choice") else e[1:] if e[0] not in ("tok", "raw", "ref", "nl") else ():
+            self._known(x)
+
+    def captures(self, e: tuple) -> bool:
+        """Whether a match of the expression can capture."""
+        if e[0] == "ref":
+            return e[1] in self._capturing
+        if e[0] in ("seq", "choice"):
+            return any(self.captures(x) for x in e[1])
+        return e[0] in ("star", "plus", "opt") and self.captures(e[1])
+
+    def _program(self, kind: str) -> Callable:
+        if kind not in self._programs:
+            self._programs[kind] = _Writer(self, capture=kind == "capture", track=kind == "track").program()
+        return self._programs[kind]
+
+    def _run(self, kind: str, text: str) -> tuple[int | None, object]:
+        program = self._program(kind)
+        limit = min(DEEPEST, max(DEPTH, PER_CHARACTER * len(text)))
+        if sys.getrecursionlimit() < limit:
+            sys.setrecursionlimit(limit)
         try:
-            end = self._start(text, at, memo, furthest, captures)
+            return program(text)
         except RecursionError:
-            return Parsed(False, furthest[0], ())
-        ok = end == len(text)
-        return Parsed(ok, len(text) if ok else max(furthest[0], end), tuple(captures) if ok else ())
+            return None, None
+
+    def accepts(self, text: str) -> bool | None:
+        """Whether the whole text matches; None if it is nested too deeply to tell."""
+        end, _ = self._run("plain", text)
+        return None if end is None else end == len(text)
+
+    def parse(self, text: str) -> Parsed:
+        end, found = self._run("capture", text)
+        ok = None if end is None else end == len(text)
+        return Parsed(ok, tuple(found) if ok else ())
+
+    def furthest(self, text: str) -> int:
+        """The furthest position at which a token failed; the length of a text that matches."""
+        end, furthest = self._run("track", text)
+        return 0 if end is None else len(text) if end == len(text) else max(furthest, end)
 
     # -- first sets
 
-    def _first(self, e: tuple) -> frozenset | None:
+    def first(self, e: tuple) -> frozenset | None:
+        """ASCII characters a match can begin with, None if it can be empty or is unclear."""
         op = e[0]
         if op in ("tok", "raw"):
-            return _first_of_regex(e[1], self.flags)
+            if e[1] not in self._regex_firsts:
+                self._regex_firsts[e[1]] = _first_of_regex(e[1], self.flags)
+            return self._regex_firsts[e[1]]
         if op == "ref":
             name = e[1]
             if name not in self._firsts:
                 if name in self._busy:
                     return None
                 self._busy.add(name)
-                got = self._first(self.rules[name][0])
+                got = self.first(self.rules[name][0])
                 self._busy.discard(name)
-                if self._busy:
-                    return got
+                if self._busy and got is None:
+                    return None  # perhaps only because a rule around it is being worked on
                 self._firsts[name] = got
             return self._firsts[name]
         if op == "choice":
-            parts = [self._first(x) for x in e[1]]
+            parts = [self.first(x) for x in e[1]]
             return None if any(p is None for p in parts) else frozenset().union(*parts)
         if op == "seq":
             got: frozenset = frozenset()
             for x in e[1]:
                 if x[0] in ("not", "and", "nl"):
                     continue
-                mine = self._first(x[1] if x[0] in ("star", "opt") else x)
+                mine = self.first(x[1] if x[0] in ("star", "opt") else x)
                 if mine is None:
                     return None
                 got |= mine
@@ -263,122 +315,243 @@ class Grammar:
                     return got
             return None
         if op == "plus":
-            return self._first(e[1])
+            return self.first(e[1])
         return None
 
-    # -- code
+
+_PLAIN_TOKEN = re.compile(r"(?:\\[^\w\s]|[^\w\s\\.^$*+?{}\[\]()|])+")
+#: Longer first sets do not pay for asking; deeper blocks become functions of their own.
+_FEW, _DEEP = 100, 40
+
+
+class _Writer:
+    """Writes one program of a grammar as Python source: one function a rule, all sharing the text and the memo tables.
+
+    The tables are emptied, not made anew, for each text: closures made for each would be cyclic garbage.
+    """
+
+    def __init__(self, grammar: Grammar, capture: bool, track: bool):
+        self.g, self.capture, self.track = grammar, capture, track
+        self.space: dict[str, object] = {"line_ended": line_ended, "skip": re.compile(grammar.skip, grammar.flags).match}
+        self.tokens: dict[str, str] = {}
+        self.sets: dict[frozenset, str] = {}
+        self.tables: dict[tuple, str] = {}
+        self.helpers: list[str] = []
+        self.n = 0
+        self.inlining: list[str] = []
+        starts = _skip_starts(grammar.skip, grammar.flags)
+        self.may_skip = None if starts is None else self._set(starts)
+
+    def program(self) -> Callable:
+        body: list[str] = []
+        for name, (e, kind, memo) in self.g.rules.items():
+            body += self._rule(name, e, kind, memo)
+        memos = "".join(f"D_{name}, " for name, (_, _, memo) in self.g.rules.items() if memo)
+        lines = ["def program():", " s, C, F, sw = '', [], 0, ''.startswith"]
+        lines += [f" {line}" for line in [*body, *self.helpers]]
+        lines += [
+            f" memos = ({memos})", " def run(text):", "  nonlocal s, F, sw", "  s, F, sw = text, 0, text.startswith", "  C.clear()",
+            "  for D in memos: D.clear()", f"  end = r_{self.g.start}(skip(s, 0).end())", f"  return end, {'F' if self.track else 'C'}", " return run",
+        ]
+        exec(compile("\n".join(lines), "<grammar>", "exec"), self.space)  # noqa: S102 - our own generated text
+        return self.space["program"]()
+
+    def _var(self) -> str:
+        self.n += 1
+        return f"v{self.n}"
+
+    def _set(self, chars: frozenset) -> str:
+        if chars not in self.sets:
+            self.sets[chars] = f"s{len(self.sets)}"
+            self.space[self.sets[chars]] = chars
+        return self.sets[chars]
+
+    def _cannot(self, e: tuple) -> str | None:
+        """Name of the set of characters (and the end of the text, '') with which no match begins."""
+        first = self.g.first(e)
+        return self._set((_ASCII - first) | {""}) if first is not None and len(first) < _FEW else None
 
     def _token(self, pattern: str, skip: str) -> str:
         key = f"(?:{pattern})(?:{skip})"
-        if key not in self._tokens:
-            name = f"t{len(self._tokens)}"
-            self._tokens[key] = name
-            self._space[name] = re.compile(key, self.flags).match
-        return self._tokens[key]
+        if key not in self.tokens:
+            self.tokens[key] = f"t{len(self.tokens)}"
+            self.space[self.tokens[key]] = re.compile(key, self.g.flags).match
+        return self.tokens[key]
 
-    def _var(self) -> str:
-        self._n += 1
-        return f"v{self._n}"
+    def _caps(self, e: tuple) -> bool:
+        return self.capture and self.g.captures(e)
+
+    def _failed(self, at: str, pad: str) -> list[str]:
+        return [f"{pad}if {at} > F: F = {at}"] if self.track else []
+
+    def _head(self, name: str, argument: str = "p") -> list[str]:
+        return [f"def {name}({argument}):", *([" nonlocal F"] if self.track else [])]
 
     def _rule(self, name: str, e: tuple, kind: str | None, memo: bool) -> list[str]:
-        self._n = 0
-        i = self._index[name]
-        out = [f"def r_{name}(s, p, M, F, C):"]
+        kind = kind if self.capture else None
+        caps = self.capture and name in self.g._capturing
+        out = [f"D_{name} = {{}}", f"G_{name} = D_{name}.get"] if memo else []
+        out += self._head(f"r_{name}")
         if memo:
-            out += [
-                f"    D = M[{i}]", "    r = D.get(p)", "    if r is not None:",
-                "        if r[1]: C.extend(r[1])", "        return r[0]",
-            ]
-        out += ["    n0 = len(C)"]
+            out += [f" r = G_{name}(p)", " if r is not None:"]
+            out += ["  if r[1]: C.extend(r[1])", "  return r[0]"] if caps else ["  return r"]
+        if caps:
+            out += [" n0 = len(C)"]
         if kind:
-            out += [f"    C.append(({kind!r}, p, -1))"]
+            out += [f" C.append(({kind!r}, p, -1))"]
         v = self._var()
-        out += self._gen(e, "p", v, "    ")
+        self.inlining = [name]
+        out += self._gen(e, "p", v, " ")
         if kind:
             # a captured end leaves out the skipped text after the last token
-            out += [f"    if {v} >= 0: C[n0] = ({kind!r}, p, {v})"]
-        out += [f"    if {v} < 0 and len(C) > n0: del C[n0:]"]
+            out += [f" if {v} >= 0: C[n0] = ({kind!r}, p, {v})"]
+        if caps:
+            out += [f" if {v} < 0 and len(C) > n0: del C[n0:]"]
         if memo:
-            out += [f"    D[p] = ({v}, tuple(C[n0:]) if len(C) > n0 else None)"]
-        return [*out, f"    return {v}"]
-
-    def _gen(self, e: tuple, inp: str, out: str, pad: str) -> list[str]:
-        op = e[0]
-        if op == "nl":
-            return [f"{pad}{out} = {inp} if line_ended(s, {inp}) else -1"]
-        if op in ("tok", "raw"):
-            t = self._token(e[1], self.skip if op == "tok" else "")
+            out += [f" D_{name}[p] = ({v}, tuple(C[n0:]) if len(C) > n0 else None)" if caps else f" D_{name}[p] = {v}"]
+        return [*out, f" return {v}"]
+
+    def _gen(self, e: tuple, at: str, out: str, pad: str, char: str | None = None) -> list[str]:
+        """Statements that set ``out`` to the end of a match at ``at``, or -1; ``char`` holds the character there."""
+        if len(pad) > _DEEP and e[0] in ("seq", "choice", "star", "plus", "opt"):
+            name, v = f"h_{len(self.helpers)}_{self.n}", self._var()
+            self.helpers += [*self._head(name), *self._gen(e, "p", v, " "), f" return {v}"]
+            return [f"{pad}{out} = {name}({at})"]
+        return getattr(self, f"_{e[0]}")(e, at, out, pad, char)
+
+    def _nl(self, e, at, out, pad, char) -> list[str]:
+        return [f"{pad}{out} = {at} if line_ended(s, {at}) else -1"]
+
+    def _tok(self, e, at, out, pad, char) -> list[str]:
+        pattern = e[1]
+        if self.may_skip and _PLAIN_TOKEN.fullmatch(pattern):
+            word = re.sub(r"\\(.)", r"\1", pattern)
+            test = f"{char or f's[{at}:{at} + 1]'} == {word!r}" if len(word) == 1 else f"sw({word!r}, {at})"
             return [
-                f"{pad}m = {t}(s, {inp})", f"{pad}if m is None:", f"{pad}    if {inp} > F[0]: F[0] = {inp}",
-                f"{pad}    {out} = -1", f"{pad}else: {out} = m.end()",
+                f"{pad}if {test}:", f"{pad} {out} = {at} + {len(word)}", f"{pad} c = s[{out}:{out} + 1]",
+                f"{pad} if c in {self.may_skip} or c > '\\x7f': {out} = skip(s, {out}).end()",
+                f"{pad}else:", f"{pad} {out} = -1", *self._failed(at, pad + " "),
             ]
-        if op == "ref":
-            if e[1] not in self.rules:
-                raise ValueError(f"grammar: no rule {e[1]}")
-            return [f"{pad}{out} = r_{e[1]}(s, {inp}, M, F, C)"]
-        if op == "seq":
-            lines, cur = [], inp
-            if not e[1]:
-                return [f"{pad}{out} = {inp}"]
-            for k, x in enumerate(e[1]):
-                v = out if k == len(e[1]) - 1 else self._var()
-                lines += self._gen(x, cur, v, pad)
-                if k < len(e[1]) - 1:
-                    lines += [f"{pad}if {v} < 0: {out} = -1", f"{pad}else:"]
-                    pad += "    " if len(pad) < 320 else ""
-                cur = v
+        t = self._token(pattern, self.g.skip)
+        return [f"{pad}m = {t}(s, {at})", f"{pad}if m is not None: {out} = m.end()", f"{pad}else:", f"{pad} {out} = -1", *self._failed(at, pad + " ")]
+
+    def _raw(self, e, at, out, pad, char) -> list[str]:
+        t = self._token(e[1], "")
+        return [f"{pad}m = {t}(s, {at})", f"{pad}if m is not None: {out} = m.end()", f"{pad}else:", f"{pad} {out} = -1", *self._failed(at, pad + " ")]
+
+    def _ref(self, e, at, out, pad, char) -> list[str]:
+        name = e[1]
+        body, kind, memo = self.g.rules[name]
+        if not memo and not (kind and self.capture) and name not in self.inlining and len(pad) < _DEEP:
+            self.inlining.append(name)
+            lines = self._gen(body, at, out, pad, char)
+            self.inlining.pop()
             return lines
-        if op == "choice":
-            n, c = self._var(), self._var()
-            firsts = [self._first(x) for x in e[1]]
-            lines = [f"{pad}{n} = len(C)", f"{pad}{out} = -1"]
-            guarded = sum(f is not None and len(f) < 100 for f in firsts) > 0
-            if guarded:
-                lines += [f"{pad}{c} = s[{inp}:{inp} + 1]"]
-            for k, (x, f) in enumerate(zip(e[1], firsts, strict=True)):
-                inner = pad
-                conditions = [f"{out} < 0"] if k else []
-                if f is not None and len(f) < 100:
-                    g = f"g{len([z for z in self._space if z[0] == 'g'])}"
-                    self._space[g] = f
-                    conditions.append(f"({c} in {g} or {c} > '\\x7f')")
-                if conditions:
-                    lines += [f"{pad}if {' and '.join(conditions)}:"]
-                    inner = pad + "    "
-                lines += self._gen(x, inp, out, inner)
+        return [f"{pad}{out} = r_{name}({at})"]
+
+    def _seq(self, e, at, out, pad, char) -> list[str]:
+        parts = e[1]
+        if not parts:
+            return [f"{pad}{out} = {at}"]
+        lines, cur = [f"{pad}{out} = -1"] if len(parts) > 1 else [], at
+        for k, x in enumerate(parts):
+            last = k == len(parts) - 1
+            v = out if last else self._var()
+            lines += self._gen(x, cur, v, pad, char if k == 0 else None)
+            if not last:
+                lines += [f"{pad}if {v} >= 0:"]
+                pad += " "
+                if len(pad) > _DEEP and len(parts) - k > 2:
+                    return [*lines, *self._gen(("seq", parts[k + 1 :]), v, out, pad)]
+            cur = v
+        return lines
+
+    def _choice(self, e, at, out, pad, char) -> list[str]:
+        firsts = [self.g.first(x) for x in e[1]]
+        firsts = [f if f is not None and len(f) < _FEW else None for f in firsts]
+        asked = any(f is not None for f in firsts)
+        caps, lines, n = self._caps(e), [], self._var()
+        if caps:
+            lines += [f"{pad}{n} = len(C)"]
+        k = self._var()
+        if asked:
+            if char is None:
+                char = self._var()
+                lines += [f"{pad}{char} = s[{at}:{at} + 1]"]
+            always = sum(1 << i for i, f in enumerate(firsts) if f is None)
+            table = {c: always | sum(1 << i for i, f in enumerate(firsts) if f is not None and c in f) for c in _ASCII}
+            key = (tuple(sorted(table.items())), always)
+            if key not in self.tables:
+                self.tables[key] = f"T{len(self.tables)}"
+                self.space[self.tables[key]] = {**table, "": always}.get
+            lines += [f"{pad}{k} = {self.tables[key]}({char}, {(1 << len(firsts)) - 1})"]
+        lines += [f"{pad}{out} = -1"]
+        for i, (x, f) in enumerate(zip(e[1], firsts, strict=True)):
+            tests = ([f"{out} < 0"] if i else []) + ([f"{k} & {1 << i}"] if f is not None else [])
+            inner = pad
+            if tests:
+                lines += [f"{pad}if {' and '.join(reversed(tests))}:"]
+                inner = pad + " "
+            lines += self._gen(x, at, out, inner, char)
+            if self._caps(x):
                 lines += [f"{inner}if {out} < 0 and len(C) > {n}: del C[{n}:]"]
-            if guarded:
-                lines += [f"{pad}if {out} < 0 and {inp} > F[0]: F[0] = {inp}"]
-            return lines
-        if op in ("star", "plus"):
-            n, v, lines, cur = self._var(), self._var(), [], self._var()
-            if op == "plus":
-                first = self._var()
-                lines += self._gen(e[1], inp, first, pad)
-                lines += [f"{pad}if {first} < 0: {out} = -1", f"{pad}else:"]
-                pad += "    "
-                lines += [f"{pad}{cur} = {first}"]
-            else:
-                lines += [f"{pad}{cur} = {inp}"]
-            lines += [f"{pad}while True:", f"{pad}    {n} = len(C)"]
-            lines += self._gen(e[1], cur, v, pad + "    ")
-            return [
-                *lines, f"{pad}    if {v} <= {cur}:", f"{pad}        if len(C) > {n}: del C[{n}:]", f"{pad}        break",
-                f"{pad}    {cur} = {v}", f"{pad}{out} = {cur}",
-            ]
-        if op == "opt":
-            n = self._var()
-            return [
-                f"{pad}{n} = len(C)", *self._gen(e[1], inp, out, pad), f"{pad}if {out} < 0:",
-                f"{pad}    if len(C) > {n}: del C[{n}:]", f"{pad}    {out} = {inp}",
-            ]
-        if op in ("and", "not"):
-            n, v, f = self._var(), self._var(), self._var()
-            lines = [f"{pad}{n} = len(C)", f"{pad}{f} = F[0]", *self._gen(e[1], inp, v, pad)]
-            lines += [f"{pad}if len(C) > {n}: del C[{n}:]"]
-            if op == "not":
-                return [*lines, f"{pad}F[0] = {f}", f"{pad}{out} = {inp} if {v} < 0 else -1"]
-            return [*lines, f"{pad}{out} = {inp} if {v} >= 0 else -1"]
-        raise ValueError(op)
-
-
+        if asked and self.track:
+            lines += [f"{pad}if {out} < 0:", *self._failed(at, pad + " ")]
+        return lines
+
+    def _loop(self, x: tuple, start: str, out: str, pad: str) -> list[str]:
+        """Matches of ``x`` from ``start`` on until none follows; ``out`` ends up at the last one's end."""
+        cannot, v, n, c = self._cannot(x), self._var(), self._var(), self._var()
+        caps = self._caps(x)
+        lines = [f"{pad}{out} = {start}"] if out != start else []
+        lines += [f"{pad}while True:"]
+        if cannot:
+            lines += [f"{pad} {c} = s[{out}:{out} + 1]", f"{pad} if {c} in {cannot}:", *self._failed(out, pad + "  "), f"{pad}  break"]
+        if caps:
+            lines += [f"{pad} {n} = len(C)"]
+        lines += self._gen(x, out, v, pad + " ", c if cannot else None)
+        lines += [f"{pad} if {v} <= {out}:"]
+        if caps:
+            lines += [f"{pad}  if len(C) > {n}: del C[{n}:]"]
+        return [*lines, f"{pad}  break", f"{pad} {out} = {v}"]
+
+    def _star(self, e, at, out, pad, char) -> list[str]:
+        cur = self._var()
+        return [*self._loop(e[1], at, cur, pad), f"{pad}{out} = {cur}"]
+
+    def _plus(self, e, at, out, pad, char) -> list[str]:
+        first = self._var()
+        return [*self._gen(e[1], at, first, pad, char), f"{pad}if {first} >= 0:", *self._loop(e[1], first, first, pad + " "), f"{pad}{out} = {first}"]
+
+    def _opt(self, e, at, out, pad, char) -> list[str]:
+        x = e[1]
+        cannot, caps, n, v = self._cannot(x), self._caps(x), self._var(), self._var()
+        lines = []
+        inner = pad
+        if cannot:
+            if char is None:
+                char = self._var()
+                lines += [f"{pad}{char} = s[{at}:{at} + 1]"]
+            lines += [f"{pad}if {char} in {cannot}:", f"{pad} {v} = -1", *self._failed(at, pad + " "), f"{pad}else:"]
+            inner = pad + " "
+        if caps:
+            lines += [f"{inner}{n} = len(C)"]
+        lines += self._gen(x, at, v, inner, char if cannot else None)
+        if caps:
+            lines += [f"{inner}if {v} < 0 and len(C) > {n}: del C[{n}:]"]
+        return [*lines, f"{pad}{out} = {v} if {v} >= 0 else {at}"]
+
+    def _look(self, e, at, out, pad, wanted: bool) -> list[str]:
+        x, v, n, f = e[1], self._var(), self._var(), self._var()
+        lines = [f"{pad}{n} = len(C)"] if self._caps(x) else []
+        lines += [f"{pad}{f} = F"] if self.track and not wanted else []
+        lines += self._gen(x, at, v, pad)
+        lines += [f"{pad}if len(C) > {n}: del C[{n}:]"] if self._caps(x) else []
+        lines += [f"{pad}F = {f}"] if self.track and not wanted else []
+        return [*lines, f"{pad}{out} = {at} if {v} {'>=' if wanted else '<'} 0 else -1"]
+
+    def _and(self, e, at, out, pad, char) -> list[str]:
+        return self._look(e, at, out, pad, True)
+
+    def _not(self, e, at, out, pad, char) -> list[str]:
+        return self._look(e, at, out, pad, False)

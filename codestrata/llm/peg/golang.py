@@ -11,39 +11,54 @@ KEYWORDS = (
     "break|case|chan|const|continue|default|defer|else|fallthrough|for|func|go|goto|if|import|interface|map|package"
     "|range|return|select|struct|switch|type|var"
 )
-_LEX = re.compile(
-    r"""(?P<line>//[^\n]*)|(?P<block>/\*[\s\S]*?\*/)|(?P<str>"(?:[^"\\\n]|\\.)*"|`[^`]*`|'(?:\\[^\n]'?[^'\n]*|[^'\\\n])')"""
-    r"""|(?P<word>[^\W\d]\w*)|(?P<num>\.?\d(?:[eEpP][+-]|[\w.])*)|(?P<close>\+\+|--|[)\]}])|(?P<nl>\n)|(?P<op>[^\s])"""
-)
+_LEX = re.compile(r"""\n|//[^\n]*|/\*[\s\S]*?\*/|"(?:[^"\\\n]|\\.)*"|`[^`]*`|'(?:\\[^\n]'?[^'\n]*|[^'\\\n])'""")
+_LAST_WORD = re.compile(r"\w+\Z")
 _ENDS = frozenset(["break", "continue", "fallthrough", "return"])
 _ALL = frozenset(KEYWORDS.split("|"))
 #: Stands for a semicolon that a line end stands for.
 MARK = "\x1e"
 
 
+def _ends(text: str, low: int, high: int) -> bool:
+    """Whether a line end after text[low:high] is a semicolon; ``low`` is behind the last literal or comment."""
+    piece = text[low:high].rstrip(" \t\r")
+    if not piece:
+        return False
+    c = piece[-1]
+    if c in ")]}" or piece.endswith(("++", "--")):
+        return True
+    if not (c.isalnum() or c == "_"):
+        return c == "." and piece[-2:-1].isdigit()
+    word = _LAST_WORD.search(piece)[0]
+    return word not in _ALL or word in _ENDS
+
+
 def layout(text: str) -> str:
     """Same length: comments blanked, line ends that are semicolons marked."""
-    out, last, ends = [], 0, False
+    out: list[str] = []
+    last = low = 0
+    literal = False  # the last thing before ``low`` is a literal, or code that a comment followed
     for m in _LEX.finditer(text):
-        kind = m.lastgroup
-        if kind == "nl":
-            if ends:
-                out.append(text[last : m.start()] + MARK)
-                last = m.end()
-            ends = False
-        elif kind == "line":
-            out.append(text[last : m.start()] + " " * (m.end() - m.start()))
-            last = m.end()
-        elif kind == "block":
-            blank = re.sub(r"[^\n]", " ", m[0])
-            if "\n" in blank and ends:
-                blank, ends = blank.replace("\n", MARK, 1), False
-            out.append(text[last : m.start()] + blank)
-            last = m.end()
-        elif kind == "word":
-            ends = m[0] not in _ALL or m[0] in _ENDS
+        at, end = m.span()
+        piece = m[0]
+        if piece == "\n":
+            if _ends(text, low, at) or literal and not text[low:at].strip(" \t\r"):
+                out.append(text[last:at] + MARK)
+                last = end
+            literal = False
+        elif piece[0] == "/":
+            if text[low:at].strip(" \t\r"):
+                literal = _ends(text, low, at)
+            blank = " " * (end - at)
+            if "\n" in piece:
+                blank = re.sub(r"[^\n]", " ", piece)
+                if literal:
+                    blank, literal = blank.replace("\n", MARK, 1), False
+            out.append(text[last:at] + blank)
+            last = end
         else:
-            ends = kind in ("str", "num", "close")
+            literal = True
+        low = end
     return "".join(out) + text[last:]
 
 
@@ -104,7 +119,8 @@ Select <- "select" "{" ((`case\b` Simple | `default\b`) `:(?!=)` Stmts)* "}"
 
 Exprs <- Expr ("," Expr)*
 ExprsH <- ExprH ("," ExprH)*
-Expr <- Unary (Binary Unary)*
+-Short <- `(?:(?!(?:KEYWORDS)\b)[^\W\d]\w*(?:\.(?!(?:KEYWORDS)\b)[^\W\d]\w*)*|[1-9]\d*|0|"[^"\\\n]*")(?=[ \t]*[,)\]};\x1e])`
+Expr <- Short | Unary (Binary Unary)*
 ExprH <- UnaryH (Binary UnaryH)*
 -Binary <- `\|\||&&|[=!]=|[<>]=|(?:<<|>>|&\^|[*/%&|^])(?!=)|\+(?![+=])|-(?![-=])|<(?![-<])|>`
 Unary <- `<-|[-+!^*&~](?!=)` Unary | Operand Tail* Literal? TailAfter*

@@ -28,7 +28,7 @@ TopBinding <- ArrowBinding | Binding
 -Name <- `(?:(?!\d)[\w$\u200c\u200d]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$\u200c\u200d]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*`
 -Ident <- !`(?:RESERVED)(?![\w$])` Name
 -Str <- `"(?:[^"\\\n\r]|\\(?:u(?:[0-9a-fA-F]{4}|\{[0-9a-fA-F]+\})|x[0-9a-fA-F]{2}|\r\n|[^ux1-9]))*"|'(?:[^'\\\n\r]|\\(?:u(?:[0-9a-fA-F]{4}|\{[0-9a-fA-F]+\})|x[0-9a-fA-F]{2}|\r\n|[^ux1-9]))*'`
--Number <- `(?:0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[bB][01](?:_?[01])*n?|0[oO][0-7](?:_?[0-7])*n?|(?:0|[1-9](?:_?\d)*)n|(?:(?:0|[1-9](?:_?\d)*)\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d+)?)(?![\w$])`
+-Number <- `(?:0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[bB][01](?:_?[01])*n?|0[oO][0-7](?:_?[0-7])*n?|(?:0|[1-9](?:_?\d)*)n|(?:(?:0|[1-9](?:_?\d)*)(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d+)?)(?![\w$])`
 -Regex <- `/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[A-Za-z]*`
 Template <- =`\x60(?:[^\x60\\$]|\\[\s\S]|\$(?!\{))*` (`\$\{` Exprs =`\}(?:[^\x60\\$]|\\[\s\S]|\$(?!\{))*`)* `\x60`
 
@@ -87,7 +87,8 @@ With_ <- !`` Name
 Label <- Ident `:(?!:)` Stmt
 
 Exprs <- Assign ("," Assign)*
-Assign <- Arrow | Yield | Cond (`(?:\*\*|<<|>>>?|&&|\|\||\?\?|[-+*/%&|^])?=(?![=>])` Assign)?
+-Short <- `(?:this(?![\w$])|null(?![\w$])|true(?![\w$])|false(?![\w$])|(?!(?:RESERVED)(?![\w$]))[A-Za-z_$][\w$]*)(?:\.[A-Za-z_$][\w$]*)*(?=[ \t]*[,)\]};])|(?:0|[1-9]\d*)(?=[ \t]*[,)\]};])|"[^"\\\n\r]*"(?=[ \t]*[,)\]};])|'[^'\\\n\r]*'(?=[ \t]*[,)\]};])`
+Assign <- Short | Arrow | Yield | Cond (`(?:\*\*|<<|>>>?|&&|\|\||\?\?|[-+*/%&|^])?=(?![=>])` Assign)?
 Yield <- `yield(?![\w$])` (!@nl `\*?` Assign)?
 Arrow <- ArrowHead (Block | !`\{` Assign)
 Cond <- Binary (`\?(?![.?])|\?(?=\.\d)` Assign ":" Assign)?
@@ -108,7 +109,7 @@ Array <- "[" (`,` | Arg (`,` | &`\]`))* "]"
 Object <- "{" (Property ("," Property)* ","?)? "}"
 Property <- `\.\.\.` Assign | ObjMethod | (Name | Str | Number | Computed) ":" Assign | Ident (`=(?![=>])` Assign)?
 ObjMethod <- (`(?:get|set)(?![\w$])` &`[\w$"'\[\\]` | `async(?![\w$])` !@nl &`[\w$"'\[*\\]`)? `\*?` (Name | Str | Number | Computed) Signature Block
-Decorators <- (`@` (Ident Dot* Args? | "(" Exprs ")"))*
+Decorators{deco} <- (`@` (Ident Dot* Args? | "(" Exprs ")"))*
 """
 
 _JS = r"""

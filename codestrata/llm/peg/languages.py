@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from codestrata.llm.peg import golang, javascript, python, ruby, rust, shell
-from codestrata.llm.peg.engine import Grammar, Parsed
+from codestrata.llm.peg.engine import Grammar
 
 #: Extensions and their languages.
 EXTENSIONS = {
@@ -41,11 +41,15 @@ class Definition:
     path: str
     start: int
     docstring: str | None = None
+    #: where its decorators begin, if it has any before it
+    head: int | None = None
 
 
 @dataclass
 class FileParse:
-    ok: bool
+    """``ok`` is None where the text is nested too deeply to tell."""
+
+    ok: bool | None
     line: int = 0
     column: int = 0
     cause: str = ""
@@ -58,11 +62,9 @@ def normalise(content: str) -> str:
     return _SPLIT_CALLS.sub("\n", content)
 
 
-def _run(language: str, text: str) -> tuple[Parsed, str, list[int]]:
-    grammar, layout = _GRAMMARS[language]
-    laid = layout(text)
-    laid, inserted = laid if isinstance(laid, tuple) else (laid, [])
-    return grammar.parse(laid), laid, inserted
+def _laid(language: str, text: str) -> tuple[str, list[int]]:
+    laid = _GRAMMARS[language][1](text)
+    return laid if isinstance(laid, tuple) else (laid, [])
 
 
 def _original(at: int, inserted: list[int]) -> int:
@@ -85,7 +87,7 @@ def _cause(language: str, text: str, at: int) -> str:
         return "conflict"
     for other in _GRAMMARS:
         if other not in (language, "shell") and {language, other} != {"javascript", "typescript"}:
-            if _run(other, text)[0].ok:
+            if _GRAMMARS[other][0].accepts(_laid(other, text)[0]):
                 return "extension"
     if not text[at:].strip():
         return "truncated"
@@ -95,6 +97,7 @@ def _cause(language: str, text: str, at: int) -> str:
 def _definitions(language: str, laid: str, captures: tuple, inserted: list[int]) -> list[Definition]:
     found: list[Definition] = []
     stack: list[dict] = []
+    heads = {end: start for kind, start, end in captures if kind == "deco" and start < end}
 
     def close(node: dict) -> None:
         if node["kind"] == "cls":
@@ -103,7 +106,8 @@ def _definitions(language: str, laid: str, captures: tuple, inserted: list[int])
             own = node["name"]
             around = [n["name"] for n in stack if n["name"]]
             path = ".".join([*around, *([node["owner"]] if node["owner"] else []), own])
-            found.append(Definition(own, path, _original(node["start"], inserted), node["doc"]))
+            head = heads.get(node["start"])
+            found.append(Definition(own, path, _original(node["start"], inserted), node["doc"], None if head is None else _original(head, inserted)))
 
     for kind, start, end in captures:
         while stack and start >= stack[-1]["end"]:
@@ -132,13 +136,27 @@ def _definitions(language: str, laid: str, captures: tuple, inserted: list[int])
     return sorted(found, key=lambda d: d.start)
 
 
+def accepts(language: str, content: str) -> bool | None:
+    """Whether a whole file is valid; None if it is nested too deeply to tell."""
+    return _GRAMMARS[language][0].accepts(_laid(language, normalise(content))[0])
+
+
+def failure(language: str, content: str) -> FileParse:
+    """Where and why a file stops being valid."""
+    text = normalise(content)
+    laid, inserted = _laid(language, text)
+    at = min(_original(_GRAMMARS[language][0].furthest(laid), inserted), len(text))
+    line = text.count("\n", 0, at) + 1
+    column = at - (text.rfind("\n", 0, at) + 1) + 1
+    return FileParse(False, line, column, _cause(language, text, at))
+
+
 def parse_file(language: str, content: str, explain: bool = True) -> FileParse:
     """Parse a whole file; empty and blank contents are valid except where the grammar asks for more."""
-    text = normalise(content)
-    parsed, laid, inserted = _run(language, text)
+    laid, inserted = _laid(language, normalise(content))
+    parsed = _GRAMMARS[language][0].parse(laid)
     if parsed.ok:
         return FileParse(True, definitions=_definitions(language, laid, parsed.captures, inserted))
-    at = min(_original(parsed.furthest, inserted), len(text))
-    line = text.count("\n", 0, at) + 1
-    column = at - (text.rfind("\n", 0, at) + 1) + 1
-    return FileParse(False, line, column, _cause(language, text, at) if explain else "")
+    if parsed.ok is None:
+        return FileParse(None, cause="depth")
+    return failure(language, content) if explain else FileParse(False)

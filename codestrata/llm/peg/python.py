@@ -16,73 +16,77 @@ _LEX = re.compile(
     r"""(?P<str>(?:[fF][rR]?|[rR][fF])(?:\"{3}(?:[^\\{]|\\[\s\S]|\{)*?\"{3}|'{3}(?:[^\\]|\\[\s\S])*?'{3}"""
     r"""|"(?!"")(?:[^"\\\n{]|\\[\s\S]|\{\{|\{(?:[^{}\n]|\{[^{}\n]*\})*\})*"|'(?!'')(?:[^'\\\n{]|\\[\s\S]|\{\{|\{(?:[^{}\n]|\{[^{}\n]*\})*\})*')"""
     r"""|\"{3}(?:[^\\]|\\[\s\S])*?\"{3}|'{3}(?:[^\\]|\\[\s\S])*?'{3}|"(?!"")(?:[^"\\\n\x1e]|\\[\s\S])*"|'(?!'')(?:[^'\\\n\x1e]|\\[\s\S])*')"""
-    r"""|(?P<note>\#[^\n]*)|(?P<join>\\\r?\n)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<nl>\n)|(?P<blank>[ \t\f\r]+)|(?P<other>\w+|.)"""
+    r"""|(?P<note>\#[^\n]*)|(?P<join>\\\r?\n)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<nl>\n)"""
 )
+_BLANKS = " \t\f\r"
+
+
+def _width(blanks: str) -> int:
+    column = 0
+    for c in blanks:
+        column = column + 8 - column % 8 if c == "\t" else 0 if c == "\f" else column + (c == " ")
+    return column
 
 
 def layout(text: str) -> tuple[str, list[int]]:
     """Logical line ends marked in place; INDENT and DEDENT marks inserted.
 
-    Returns the text and the offsets (in it) of the inserted characters.
+    Returns the text and the offsets (in it) of the inserted characters. Only literals,
+    comments, brackets and line ends are looked at; what lies between is code.
     """
     out: list[str] = []
     inserted: list[int] = []
-    size = 0
     stack, depth, fresh, used = [0], 0, True, False
-    column = 0
+    copied = line = behind = 0
 
-    def put(piece: str) -> None:
-        nonlocal size
-        out.append(piece)
-        size += len(piece)
+    def mark(c: str, at: int) -> None:
+        nonlocal copied
+        out.append(text[copied:at] + c)
+        copied = at
+        inserted.append(at + len(inserted))
 
-    def mark(c: str) -> None:
-        inserted.append(size)
-        put(c)
+    def begin(at: int) -> None:
+        """The first code of a logical line stands at ``at``."""
+        column = _width(text[line:at])
+        if column > stack[-1]:
+            stack.append(column)
+            mark(INDENT, at)
+            return
+        while column < stack[-1]:
+            stack.pop()
+            mark(DEDENT, at)
+        if column != stack[-1]:
+            mark(BAD, at)
 
     for m in _LEX.finditer(text):
-        kind, piece = m.lastgroup, m[0]
-        if kind == "nl":
-            if depth == 0 and used:
-                put(NEWLINE)
-                used, fresh, column = False, True, 0
-            else:
-                put(piece)
-                if depth == 0:
-                    fresh, column = True, 0
-            continue
-        if kind == "blank":
+        kind, at = m.lastgroup, m.start()
+        code = text[behind:at].lstrip(_BLANKS)
+        behind = m.end()
+        if code or kind in ("str", "open", "close"):
             if fresh and depth == 0:
-                for c in piece:
-                    column = column + 8 - column % 8 if c == "\t" else 0 if c == "\f" else column + (c == " ")
-            put(piece)
-            continue
-        if kind in ("note", "join"):
-            put(piece)
-            continue
-        if fresh and depth == 0:
-            fresh = False
-            if not used:
-                if column > stack[-1]:
-                    stack.append(column)
-                    mark(INDENT)
-                else:
-                    while column < stack[-1]:
-                        stack.pop()
-                        mark(DEDENT)
-                    if column != stack[-1]:
-                        mark(BAD)
-        used = True
+                fresh = False
+                if not used:
+                    begin(at - len(code))
+            used = True
         if kind == "open":
             depth += 1
         elif kind == "close":
             depth = max(0, depth - 1)
-        put(piece)
+        elif kind == "nl" and depth == 0:
+            if used:
+                out.append(text[copied:at] + NEWLINE)
+                copied = behind
+                used = False
+            fresh, line = True, behind
+    if text[behind:].lstrip(_BLANKS):
+        if fresh and depth == 0 and not used:
+            begin(behind + len(text[behind:]) - len(text[behind:].lstrip(_BLANKS)))
+        used = True
     if used:
-        mark(NEWLINE)
+        mark(NEWLINE, len(text))
     for _ in stack[1:]:
-        mark(DEDENT)
-    return "".join(out), inserted
+        mark(DEDENT, len(text))
+    return "".join(out) + text[copied:], inserted
 
 
 GRAMMAR = Grammar(
@@ -93,11 +97,11 @@ File <- Stmt* `\Z`
 -Plain <- `(?:[uU]|[rR])?(?:\"{3}(?:[^\\]|\\[\s\S])*?\"{3}|'{3}(?:[^\\]|\\[\s\S])*?'{3}|"(?!"")(?:[^"\\\n\x1e]|\\[\s\S])*"|'(?!'')(?:[^'\\\n\x1e]|\\[\s\S])*')`
 -Bytes <- `(?:[bB][rR]?|[rR][bB])(?:\"{3}(?:[^\\]|\\[\s\S])*?\"{3}|'{3}(?:[^\\]|\\[\s\S])*?'{3}|"(?!"")(?:[^"\\\n\x1e]|\\[\s\S])*"|'(?!'')(?:[^'\\\n\x1e]|\\[\s\S])*')`
 -Format <- `(?:[fF][rR]?|[rR][fF])(?:\"{3}(?:[^"\\{}]|\\[\s\S]|\{\{|\}\}|"(?!"")|\{(?:[^{}]|\{[^{}]*\})+\})*\"{3}|'{3}(?:[^'\\{}]|\\[\s\S]|\{\{|\}\}|'(?!'')|\{(?:[^{}]|\{[^{}]*\})+\})*'{3}|"(?!"")(?:[^"\\\n\x1e{}]|\\[\s\S]|\{\{|\}\}|\{(?:[^{}\n]|\{[^{}\n]*\})+\})*"|'(?!'')(?:[^'\\\n\x1e{}]|\\[\s\S]|\{\{|\}\}|\{(?:[^{}\n]|\{[^{}\n]*\})+\})*')`
--Number <- `(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?!\w)`
+-Number <- `(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*+\.?+(?:\d(?:_?\d)*+)?|\.\d(?:_?\d)*+)(?:[eE][+-]?\d(?:_?\d)*+)?[jJ]?)(?!\w)`
 
 Stmt <- Compound | Simple
 Simple <- Small (";" Small)* `;?` NL
-Small <- Return | Import | Raise | "pass" | Del | Assert | "break" | "continue" | `(?:global|nonlocal)\b` Name ("," Name)* | TypeAlias | Assignment | Yield | StarExprs
+Small <- Return | Import | Raise | "pass" | Del | Assert | "break" | "continue" | `(?:global|nonlocal)\b` Name ("," Name)* | TypeAlias | StarExprs &`[;\x1e]` | Assignment | Yield
 Return <- "return" StarExprs?
 Raise <- "raise" (Expr ("from" Expr)?)?
 Del <- "del" Target ("," Target)* `,?` &`[;\x1e]`
@@ -159,7 +163,8 @@ StarExpr <- `\*(?!\*)` BitOr | Expr
 StarNamed <- `\*(?!\*)` BitOr | Named
 Named <- Name `:=` Expr | Expr !`:=`
 Yield <- "yield" ("from" Expr | StarExprs?)
-Expr <- Lambda | Or ("if" Or "else" Expr)?
+Expr <- Short | Lambda | Or ("if" Or "else" Expr)?
+-Short <- `(?:(?!(?:KEYWORDS)\b)[^\W\d]\w*(?:\.(?!(?:KEYWORDS)\b)[^\W\d]\w*)*|[1-9]\d*|None\b|True\b|False\b)(?=[ \t]*[,)\]}:;=\x1e](?!=))`
 Lambda <- "lambda" (LambdaParam ("," LambdaParam)* `,?`)? ":" Expr
 Or <- Not (`(?:and|or)\b` Not)*
 Not <- "not" Not | Compare

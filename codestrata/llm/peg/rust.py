@@ -118,7 +118,8 @@ For <- "for" Pattern "in" ExprH Block
 Match <- "match" ExprH "{" Inner (Arm)* "}"
 Arm <- Attrs Pattern ("if" ExprH)? `=>` (ExprBlock !`\.(?!\.)|\?|[-+*/%&|^<>=](?!=>)|as\b` `,?` | Expr (`,` | &`\}`))
 
-Expr <- Attrs (Unary (Binary Unary?)* | `\.\.=?` Unary?)
+-Short <- `(?:self\b|(?!(?:KEYWORDS)\b)[^\W\d]\w*)(?:\.(?!(?:KEYWORDS)\b)[^\W\d]\w*)*(?=\s*[,)\]};])|(?:0|[1-9]\d*)(?=\s*[,)\]};])`
+Expr <- Short | Attrs (Unary (Binary Unary?)* | `\.\.=?` Unary?)
 ExprH <- UnaryH (Binary UnaryH?)* | `\.\.=?` UnaryH?
 -Binary <- `\|\||&&|==|!=|<=|>=|(?:<<|>>|[-+*/%^])=?|&=?(?!&)|\|=?(?!\|)|<(?!-)|>|=(?![=>])|\.\.=?`
 Unary <- `[-*!]|&&?\s*(?:raw\s+(?:const|mut)\b|mut\b)?` Unary | "let" Pattern `=(?!=)` Unary | Jump | Closure | Primary Tail* As*

@@ -10,7 +10,7 @@ from codestrata.llm.encode import encode_corpus
 from codestrata.llm.mixing import mixed, share_report
 from codestrata.llm.nearest import TOLERANCE_SECONDS, edit_partners
 from codestrata.llm.sentences import sentences
-from codestrata.llm.source_text import checked_files, documented_functions, parse_rates
+from codestrata.llm.source_text import checked_files, documented_functions, parse_rates, unparsable_files
 from codestrata.llm.terms import COMMON_PERCENT, RARE_RECORDS, name_frequencies
 from codestrata.plans.core_queries import ranked_decisions_sql
 from codestrata.session import table
@@ -21,7 +21,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return checked_files(table(spark, d, "source_files")).filter("not ok").select("source_id")
+    return unparsable_files(table(spark, d, "source_files"))
 
 
 def p3_rates(spark: SparkSession, d: str) -> DataFrame:

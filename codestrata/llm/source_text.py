@@ -12,6 +12,8 @@ third of all files changes nothing.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,9 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.llm.peg.documentation import description, documentation_of, informative
-from codestrata.llm.peg.languages import EXTENSIONS, normalise, parse_file
+from codestrata.llm.peg.languages import EXTENSIONS, FileParse, accepts, failure, normalise, parse_file
 from codestrata.llm.spread import spread
 
+_LINE_END = re.compile("\n")
+
 
 def language_of(path: Column) -> Column:
     """Language by the path's extension, in lower or upper case as written; null if unsupported."""
@@ -38,13 +42,30 @@ def _supported(files: DataFrame) -> DataFrame:
     )
 
 
+def _unparsable(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        bad = [accepts(lang, content) is False for lang, content in zip(part["lang"], part["content"], strict=True)]
+        yield part.loc[bad, ["source_id"]]
+
+
+def unparsable_files(files: DataFrame) -> DataFrame:
+    """(source_id) of every file with content and a supported extension that is not valid.
+
+    As ``checked_files``, without looking for places and causes.
+    """
+    return spread(_supported(files), "source_id").mapInPandas(_unparsable, "source_id long")
+
+
 def _check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
-        got = [parse_file(lang, content) for lang, content in zip(part["lang"], part["content"], strict=True)]
+        got = []
+        for lang, content in zip(part["lang"], part["content"], strict=True):
+            ok = accepts(lang, content)
+            got.append(FileParse(True) if ok else FileParse(None, cause="depth") if ok is None else failure(lang, content))
         yield pd.DataFrame(
             {
                 "source_id": part["source_id"], "repo_id": part["repo_id"], "lang": part["lang"],
-                "ok": [g.ok for g in got], "line": [g.line for g in got], "col": [g.column for g in got],
+                "ok": pd.array([g.ok for g in got], dtype="boolean"), "line": [g.line for g in got], "col": [g.column for g in got],
                 "cause": [g.cause for g in got],
             }
         )
@@ -55,8 +76,10 @@ def checked_files(files: DataFrame) -> DataFrame:
 
     ``cause`` of a failure: conflict (a merge marker where parsing stopped),
     truncated (the text ends too early), extension (valid in another language)
-    or syntax; empty where ``ok``. Null content and other extensions are left
-    out; empty content is parsed like any other (an empty Go file is invalid).
+    or syntax; empty where ``ok``. A text nested too deeply for the parser's memory
+    has a null ``ok`` and cause depth: it is not flagged. Null content and other
+    extensions are left out; empty content is parsed like any other (an empty Go
+    file is invalid).
     """
     schema = "source_id long, repo_id long, lang string, ok boolean, line int, col int, cause string"
     return spread(_supported(files), "source_id").mapInPandas(_check, schema)
@@ -86,10 +109,11 @@ def _pairs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for source_id, lang, content in zip(part["source_id"], part["lang"], part["content"], strict=True):
             parsed = parse_file(lang, content, explain=False)
             text = normalise(content) if parsed.definitions else ""
+            ends = [m.start() for m in _LINE_END.finditer(text)]
             for d in parsed.definitions:
                 raw = documentation_of(lang, text, d)
                 if raw and informative(lang, d.name, raw):
-                    line = text.count("\n", 0, d.start) + 1
+                    line = bisect_left(ends, d.start) + 1
                     rows.append((source_id, lang, d.path, line, description(lang, raw)))
         yield pd.DataFrame(rows, columns=["source_id", "lang", "name", "line", "doc"])
 

@@ -81,7 +81,7 @@ def test_every_cut_of_a_python_file_agrees_with_the_interpreter():
 def test_engine_reports_the_furthest_failure_and_takes_back_captures():
     g = Grammar('File <- A "x" | A "y" "z"\nA{a} <- `a+`\n', r"\s*")
     assert g.parse("aa y z").captures == (("a", 0, 3),)
-    assert not g.parse("aa y w").ok and g.parse("aa y w").furthest == 5
+    assert not g.parse("aa y w").ok and g.furthest("aa y w") == 5
 
 
 def test_deep_nesting_and_long_texts_do_not_crash():
@@ -130,6 +130,21 @@ def test_pairs_by_language():
     assert pairs("shell", "#!/bin/bash\nf() { :; }\n# Packs it up.\nfunction pack_up {\n  # inner words\n  inner() { :; }\n}\n# pack up the\npack_up() { :; }\n") == ["pack_up", "pack_up.inner"]
 
 
+def test_documentation_behind_decorators_and_modifiers():
+    many = "class A {\n  /** Sends it off. */\n  @Post({\n    path: ')',\n  })\n  @Log()\n  public async send() {}\n  @Log() /** Reads one row. */\n  read() {}\n}\n"
+    assert pairs("typescript", many) == ["A.send", "A.read"]
+    assert pairs("javascript", "/** Far words. */\n" + " " * 2_000 + "export  \n async function f() {}\n") == ["f"]
+
+
+def test_short_expressions_do_not_hide_errors():
+    for bad in ("f(a.class)", "x = a b", "f(a.)", "f(1.x)", "f(if)", "x = y = 1 = z"):
+        assert not parse_file("python", bad + "\n").ok, bad
+    for good in ("f(a.b, None, 1)", "x = {a: b, **c}", "x: int = y", "f(x=y, z=w.v)", "x[a:b]", "a = b == c", "lambda: x"):
+        assert parse_file("python", good + "\n").ok, good
+    for bad in ("f(a..b);", "f(class);", "let x = 01;", "f('a\n');"):
+        assert not parse_file("javascript", bad).ok, bad
+
+
 def test_informative():
     assert not informative("go", "parseHTTPBody", "// ParseHTTPBody: parse the HTTP body.")
     assert informative("go", "parseBody", "// parses it")
