@@ -1,20 +1,22 @@
 """Encoding of a whole corpus with a public byte-level BPE vocabulary.
 
-Method: overlapping chunk encoding. Texts are cut into overlapping chunks, which
-are pre-tokenised in parallel; two neighbours are stitched at the first boundary
-inside their overlap that both have found, where the pre-tokeniser has
-resynchronised; then each pre-token is encoded by itself. Decoding concatenates
-the raw bytes of the ids.
+Method: overlapping chunk encoding. Every text is cut into overlapping chunks;
+each chunk is pre-tokenised and encoded by itself, spread over all tasks, so one
+huge text is worked on by many; two neighbours are stitched at the first
+boundary inside their overlap that both have found, where the pre-tokeniser has
+resynchronised. Decoding concatenates the raw bytes of the ids.
 
 The pattern looks only ahead, and at most two characters behind a match's end: so
 once two scans share a boundary they agree from there on, and a match that ends
-two characters before the end of its chunk is the match of the whole text. Where an
-overlap has no common boundary (a run of letters longer than the overlap) the
-left scan goes on past its chunk until it meets one, which is exact as well.
-
-Texts of one chunk, nearly all, are encoded where they lie, after being spread
-over all tasks. Only longer texts are exploded into chunk rows, so that one huge
-text is worked on by many tasks; they are joined again by text id.
+two characters before the end of its chunk is the match of the whole text. No match
+goes on past the last of a run of letters or of numbers, so every scan has a
+boundary there, wherever it began. Where neighbours share no boundary in their
+overlap (one run covers it) the earlier chunk hands over its text from its last sure
+boundary on, the later one its text up to the first end of such a run, and what lies
+between is encoded when the two are stitched, which is exact as well.
+
+Plan: chunks are cut in the JVM in one pass over a text and spread by (text,
+chunk); ids are brought together by text, sorted by chunk, and streamed.
 """
 
 from __future__ import annotations
@@ -25,16 +27,16 @@ from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.spread import spread
+from codestrata.llm.spread import spread, tasks_for
 
 #: Where the public vocabularies lie; a parameter of every function that reads them.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Chunk length and overlap in characters.
-CHUNK = 65_536
-OVERLAP = 1_024
+CHUNK = 2_048
+OVERLAP = 128
 #: Fixed value: the pre-token pattern the vocabulary was made with.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -92,83 +94,139 @@ def decode(ids: list[int], path: str = VOCABULARY) -> str:
     return encoder(path).encoding.decode_bytes([int(i) for i in ids]).decode("utf-8", "replace")
 
 
-def _short(path: str):
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame({"doc_id": part["doc_id"], "ids": [encode_text(t, path) for t in part["text"]]})
-
-    return run
+_SCAN = ["ids", "head", "head_at", "tail", "tail_at", "sure", "lead", "lead_at", "own"]
+_RUN_END = regex.compile(r"(?<=\p{L})(?!\p{L})|(?<=\p{N})(?!\p{N})")
 
 
-def _scan(chunk: int, overlap: int):
-    """Boundaries in text coordinates: those near either edge of a chunk that are true of the chunk's scan."""
+def _scan(pieces: PieceEncoder, piece: str, first: bool, last: bool, step: int, overlap: int) -> tuple:
+    """One chunk's ids and what its seams need, offsets inside the chunk.
 
+    ``head`` are boundaries in the overlap with the chunk before, ``tail`` in the one
+    with the next, each with the number of ids before it. ``sure`` is the last boundary
+    that is certain, 0 if none is. ``lead`` is the text up to the first end of a run, with the
+    number of ids before it (all of a last chunk; -1 if there is none), ``own`` the text from
+    ``sure`` up to where the next chunk begins.
+    """
+    if first and last:
+        return [i for p in _PRE.findall(piece) for i in pieces[p]], [], [], [], [], len(piece), "", 0, ""
+    ids: list[int] = []
+    head, head_at, tail, tail_at = [], [], [], []
+    sure, lead, lead_at = 0, piece, -1
+    for m in _PRE.finditer(piece):
+        a, b = m.span()
+        if not last and b >= len(piece) - 1:
+            break
+        ids += pieces[m[0]]
+        sure = b
+        if lead_at < 0 and not first and (b == len(piece) or _RUN_END.match(piece, b)):
+            lead, lead_at = piece[:b], len(ids)
+        if not first and b <= overlap:
+            head.append(b)
+            head_at.append(len(ids))
+        if not last and b >= step:
+            tail.append(b)
+            tail_at.append(len(ids))
+    return ids, head, head_at, tail, tail_at, sure, "" if first else lead, lead_at, "" if last else piece[sure:step]
+
+
+def _chunks(path: str, step: int, overlap: int, keep: list[str]):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pieces = encoder(path)
         for part in parts:
-            heads, tails = [], []
-            for at, piece, last in zip(part["at"], part["piece"], part["last"], strict=True):
-                found = [m.span() for m in _PRE.finditer(piece)]
-                sure = [(a, b) for a, b in found if last or b < len(piece) - 1]
-                starts = [a for a, _ in sure] + ([sure[-1][1]] if sure else [])
-                heads.append([at + a for a in starts if a <= overlap])
-                tails.append([at + a for a in starts if a >= len(piece) - overlap] if not last else [])
-            yield part[["doc_id", "at", "last"]].assign(head=heads, tail=tails)
+            got = [_scan(pieces, p, k == 0, k == n - 1, step, overlap) for p, k, n in zip(part["piece"], part["k"], part["n"], strict=True)]
+            columns = zip(*got, strict=True) if got else [[] for _ in _SCAN]
+            yield part[["row", "k", "n", *keep]].assign(**{name: list(c) for name, c in zip(_SCAN, columns, strict=True)})
 
     return run
 
 
-def _encode_spans(path: str):
-    """Each span of a long text between two cuts; the text after a cut is at hand for the look-ahead."""
+class Stitch:
+    """The chunks of one text, in order, to its ids."""
+
+    def __init__(self, path: str, step: int):
+        self.path, self.step = path, step
+        self.done: list[int] = []
+        self.ids, self.low = [], 0
+        self.shared: dict[int, int] = {}
+        # text from the last sure boundary on to the next chunk; how much of that chunk lies before it
+        self.open, self.drop = "", 0
+
+    def add(self, first: bool, ids, head, head_at, tail, tail_at, sure: int, lead: str, lead_at: int, own: str) -> None:
+        low = 0
+        if not first:
+            cut = next((n for n in range(len(head)) if head[n] in self.shared), None)
+            if cut is not None:
+                self.done += self.ids[self.low : self.shared[head[cut]]]
+                low = head_at[cut]
+            else:
+                self.done += self.ids[self.low :]
+                if lead_at < 0:
+                    self.ids, self.low, self.shared = [], 0, {}
+                    self.open += lead[self.drop : self.step]
+                    self.drop = 0
+                    return
+                self.done += encode_text(self.open + lead[self.drop :], self.path)
+                low = lead_at
+        self.ids, self.low = ids, low
+        # boundaries before the one that the two chunks agree on may be wrong
+        self.shared = {t - self.step: n for t, n in zip(tail, tail_at, strict=True) if n >= low}
+        self.open, self.drop = own, max(0, sure - self.step)
+
+    def finish(self) -> list[int]:
+        return self.done + self.ids[self.low :]
+
+
+def _stitched(path: str, step: int, keep: list[str]):
+    """Rows come sorted by text and chunk; a text's chunks may lie in several batches."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = encoder(path)
+        stitch = Stitch(path, step)
         for part in parts:
-            out = []
-            for text, length in zip(part["span"], part["length"], strict=True):
-                ids: list[int] = []
-                for m in _PRE.finditer(text):
-                    if m.start() >= length:
-                        break
-                    ids += pieces[m[0]]
-                out.append(ids)
-            yield part[["doc_id", "cut"]].assign(ids=out)
+            n, k = part["n"].to_numpy(), part["k"].to_numpy()
+            ids = part["ids"].tolist()
+            for at in (n > 1).nonzero()[0].tolist():
+                stitch = stitch if k[at] else Stitch(path, step)
+                rest = [x.tolist() if hasattr(x, "tolist") else x for x in (part[c].iat[at] for c in _SCAN)]
+                stitch.add(k[at] == 0, *rest)
+                if k[at] == n[at] - 1:
+                    ids[at] = stitch.finish()
+            whole = k == n - 1
+            yield part.loc[whole, keep].assign(ids=[x for x, w in zip(ids, whole.tolist(), strict=True) if w])
 
     return run
 
 
 def encode_corpus(
-    documents: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP
+    documents: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP, keep: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
-    """(doc_id, ids array<int>) of every row of ``documents``.
+    """(doc_id, ids array<int>) of every row of ``documents``; ``keep`` names the columns carried instead of doc_id.
 
-    Repeated doc_ids of short texts give one row each; a text longer than
-    ``chunk`` needs an id of its own. Text that looks like a special token is
-    ordinary text. Very long texts are cut, encoded by many tasks and joined.
+    Every row gives one row, whatever its length, with repeated or null doc_ids too.
+    Null and empty texts have no ids. Text that looks like a special token is ordinary text.
     """
-    texts = documents.select("doc_id", "text")
-    is_long = F.coalesce(F.length("text") > chunk, F.lit(False))
-    short = spread(texts.filter(~is_long), "doc_id").mapInPandas(_short(path), "doc_id long, ids array<int>")
-
-    long = texts.filter(is_long)
+    if not 2 <= overlap <= chunk // 2:
+        raise ValueError("the overlap must be at least 2 characters and at most half a chunk")
     step = chunk - overlap
-    ats = F.sequence(F.lit(0), F.length("text") - 1, F.lit(step))
-    rows = long.select("doc_id", "text", F.explode(ats).alias("at")).select(
-        "doc_id", "at", F.expr(f"substring(text, at + 1, {chunk})").alias("piece"),
-        (F.col("at") + chunk >= F.length("text")).alias("last"),
+    names = [f"c{n}" for n in range(len(keep))]
+    # a scan's rows have the same places whenever they are read again
+    texts = documents.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], "text", F.monotonically_increasing_id().alias("row"))
+    cut = texts.withColumn("s", F.expr(f"regexp_extract_all(coalesce(text, ''), '(?s).{{1,{step}}}', 0)")).drop("text")
+    # a last piece inside the overlap belongs to the chunk before it
+    size = F.size("s")
+    short = (size > 1) & (F.length(F.element_at("s", -1)) <= overlap)
+    count = F.greatest(size - F.when(size > 1, short.cast("int")).otherwise(0), F.lit(1))
+    piece = lambda i: F.concat(F.coalesce(F.get("s", i), F.lit("")), F.substring(F.coalesce(F.get("s", i + 1), F.lit("")), 1, overlap))
+    rows = (
+        cut.withColumn("n", count).withColumn("p", F.transform(F.sequence(F.lit(0), F.col("n") - 1), piece))
+        .select("row", "n", *names, F.posexplode("p").alias("k", "piece"))
     )
-    scanned = spread(rows, "doc_id", "at").mapInPandas(
-        _scan(chunk, overlap), "doc_id long, at int, last boolean, head array<int>, tail array<int>"
-    )
-    order = Window.partitionBy("doc_id").orderBy("at")
-    before = F.lag("tail").over(order)
-    cut = F.when(F.col("at") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("head", before)))
-    cuts = scanned.withColumn("cut", cut).filter(F.col("cut").isNotNull()).groupBy("doc_id").agg(F.sort_array(F.collect_set("cut")).alias("cuts"))
-    spans = (
-        long.join(cuts, "doc_id")
-        .select("doc_id", "text", F.posexplode("cuts").alias("k", "cut"), F.expr("array_append(slice(cuts, 2, size(cuts)), length(text))").alias("ends"))
-        .select("doc_id", "cut", (F.col("ends")[F.col("k")] - F.col("cut")).alias("length"), "text")
-        .select("doc_id", "cut", "length", F.expr("substring(text, cut + 1, length + 2)").alias("span"))
+    types = {f.name: f.dataType.simpleString() for f in texts.schema}
+    kept = ", ".join(f"{n} {types[n]}" for n in names)
+    scanned = spread(rows, "row", "k").mapInPandas(
+        _chunks(path, step, overlap, names),
+        f"row long, k int, n int, {kept}, ids array<int>, head array<int>, head_at array<int>, tail array<int>, tail_at array<int>,"
+        " sure int, lead string, lead_at int, own string",
     )
-    encoded = spread(spans, "doc_id", "cut").mapInPandas(_encode_spans(path), "doc_id long, cut int, ids array<int>")
-    joined = encoded.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("cut", "ids"))).alias("parts"))
-    return short.unionByName(joined.select("doc_id", F.flatten(F.col("parts.ids")).alias("ids")))
+    ordered = scanned.repartition(tasks_for(documents), "row").sortWithinPartitions("row", "k")
+    found = ordered.mapInPandas(_stitched(path, step, names), f"{kept}, ids array<int>")
+    return found.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "ids")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.paths import path_form_sql
 from codestrata.llm.encode import encode_corpus
-from codestrata.llm.mixing import mixed, share_report
+from codestrata.llm.mixing import Mix, mixed, share_report
 from codestrata.llm.nearest import TOLERANCE_SECONDS, edit_partners
 from codestrata.llm.sentences import sentences
 from codestrata.llm.source_text import checked_files, documented_functions, parse_rates, unparsable_files
@@ -56,16 +56,28 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
 
+def _mix(spark: SparkSession, d: str, how: str) -> Mix:
+    return mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"), how)
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixed(table(spark, d, "documents"), table(spark, d, "mix_targets")).selection
+    return _mix(spark, d, "nearest").selection
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return share_report(mixed(table(spark, d, "documents"), table(spark, d, "mix_targets")))
+    return share_report(_mix(spark, d, "nearest"))
+
+
+def p9_temperature_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d, "temperature").selection
+
+
+def p9_temperature_shares(spark: SparkSession, d: str) -> DataFrame:
+    return share_report(_mix(spark, d, "temperature"))
 
 
 def p9_exact_shares(spark: SparkSession, d: str) -> DataFrame:
-    return share_report(mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"), exact=True))
+    return share_report(_mix(spark, d, "exact"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -91,6 +103,8 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p9_temperature_mix": p9_temperature_mix,
+    "p9_temperature_shares": p9_temperature_shares,
     "p9_exact_shares": p9_exact_shares,
     "p10_found": p10_found,
     "p10_lengths": p10_lengths,
