@@ -20,6 +20,11 @@ GATE_ASKS = 20
 STATUSES = ("ok", "violation", "unknown", "skipped")
 
 
+def record_micros() -> Column:
+    """A record's instant in microseconds."""
+    return F.col("ts_sec") * 1_000_000 + F.rpad(F.substring("ts_frac", 1, 6), 6, "0").cast("bigint")
+
+
 def symbol_key(symbols: Column) -> Column:
     """Sorted distinct names joined by ``,``; null and empty give ''."""
     return F.coalesce(F.array_join(F.array_sort(F.array_distinct(symbols)), ","), F.lit(""))
@@ -85,7 +90,7 @@ def approvals(records: DataFrame) -> DataFrame:
     symbols within five minutes, both strict. Both tracks hold the file, so files
     are independent; the fold is ordered and consuming and cannot be a plain join.
     """
-    t = (F.col("ts_sec") * 1_000_000 + F.rpad(F.substring("ts_frac", 1, 6), 6, "0").cast("bigint")).alias("t")
+    t = record_micros().alias("t")
     columns = ["file", t, "delivery_id", "edit", "symbol_key"]
     asks = unique_asks(records).filter("file is not null and symbol_key <> ''").select(*columns)
     approved = (
@@ -151,13 +156,46 @@ def duplicate_fires(records: DataFrame) -> DataFrame:
                 kept = (t, delivery)
         return pd.DataFrame(rows, columns=["delivery_id", "fires_after"])
 
-    t = (F.col("ts_sec") * 1_000_000 + F.rpad(F.substring("ts_frac", 1, 6), 6, "0").cast("bigint")).alias("t")
+    t = record_micros().alias("t")
     asks = records.filter("decision = 'ask' and file is not null").select("file", "reason", symbol_key(F.col("symbols")).alias("symbol_key"), t, "delivery_id")
-    # only groups with more than one ask can hold a repeated fire
-    many = asks.groupBy("file", "reason", "symbol_key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    keys = [asks[k].eqNullSafe(many[k]) for k in ("file", "reason", "symbol_key")]
-    rows = asks.join(many, keys, "left_semi")
-    return rows.groupBy("file", "reason", "symbol_key").applyInPandas(fold, "delivery_id long, fires_after long")
+    # a gap of more than the window begins a new chain; only chains of several asks hold a repeated fire
+    order = Window.partitionBy("file", "reason", "symbol_key").orderBy("t", "delivery_id")
+    apart = F.coalesce(F.col("t") - F.lag("t").over(order) > DUPLICATE_SECONDS * 1_000_000, F.lit(True))
+    chains = asks.withColumn("apart", apart).withColumn("chain", F.count_if("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    alone = F.col("apart") & F.coalesce(F.lead("apart").over(order), F.lit(True))
+    rows = chains.withColumn("alone", alone).filter("not alone")
+    return rows.groupBy("file", "reason", "symbol_key", "chain").applyInPandas(fold, "delivery_id long, fires_after long")
+
+
+def recent_asks(records: DataFrame) -> DataFrame:
+    """(delivery_id, ask_id, track): the ask that each outcome record answers, looked up at the outcome's own time.
+
+    First the newest earlier ask of the same file and edit within a day, unless an outcome
+    of that edit has come since (then none); else the newest earlier ask of the file within
+    five minutes, unless any outcome of the file has come since. Both windows are strict.
+
+    A file's history is cut into buckets of an hour, events being put into the next one
+    too if it begins within five minutes, so a file with a third of all records is spread
+    over time; histories of one edit are short.
+    """
+    events = records.filter("file is not null and decision in ('ask', 'outcome')").select("file", "edit", "decision", record_micros().alias("t"), "delivery_id")
+    place = F.struct("t", "delivery_id")
+    newest = lambda x, w: F.max(F.when(F.col("decision") == x, place)).over(w)
+    upto = lambda *by: Window.partitionBy(*by).orderBy("t", "delivery_id").rowsBetween(Window.unboundedPreceding, -1)
+    keyed = events.filter("edit is not null").withColumn("a", newest("ask", upto("file", "edit"))).withColumn("o", newest("outcome", upto("file", "edit")))
+    by_edit = keyed.filter((F.col("decision") == "outcome") & (F.col("t") - F.col("a.t") < KEYED_WINDOW * 1_000_000)).select(
+        "delivery_id", F.when(F.coalesce(F.col("o") > F.col("a"), F.lit(False)), F.lit(None)).otherwise(F.col("a.delivery_id")).alias("edit_ask")
+    )
+    hour, reach = 3_600_000_000, SYMBOL_WINDOW * 1_000_000
+    own = F.floor(F.col("t") / hour)
+    met = events.withColumn("own", own).withColumn("bucket", F.explode(F.array_distinct(F.array(own, F.floor((F.col("t") + reach) / hour)))))
+    near = met.withColumn("a", newest("ask", upto("file", "bucket"))).withColumn("o", newest("outcome", upto("file", "bucket")))
+    by_file = near.filter("decision = 'outcome' and bucket = own").select(
+        "delivery_id", F.when((F.col("t") - F.col("a.t") < reach) & ~F.coalesce(F.col("o") > F.col("a"), F.lit(False)), F.col("a.delivery_id")).alias("file_ask")
+    )
+    both = by_file.join(by_edit.withColumn("keyed", F.lit(True)), "delivery_id", "left")
+    ask = F.when(F.col("keyed"), F.col("edit_ask")).otherwise(F.col("file_ask"))
+    return both.select("delivery_id", ask.alias("ask_id"), F.when(F.col("keyed"), "edit").otherwise("window").alias("track")).filter("ask_id is not null")
 
 
 def check_tally(records: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codestrata.functions import text
 from codestrata.operators import log_stats
 from codestrata.operators.decisions import kept_decisions
 from codestrata.plans.core_queries import ranked_decisions_sql
@@ -93,15 +94,12 @@ def versions(spark, d):
     return rows.groupBy(log_stats.canonical_version(F.col("gv")).alias("version")).agg(F.count("*").alias("records"), F.count_if(F.col("decision") == "ask").alias("asks"))
 
 
-_SEM = r"try_cast(regexp_extract({c}, '^v?(\d+)\.(\d+)\.(\d+)', {n}) AS INTEGER)"
-
-
-@R.query("newest_version", f"""SELECT repo, max({_SEM.format(c='gv', n=1)} * 1000000 + {_SEM.format(c='gv', n=2)} * 1000 + {_SEM.format(c='gv', n=3)}) AS newest FROM {_K} WHERE regexp_matches(gv, '^v?\\d+\\.\\d+\\.\\d+') GROUP BY repo""")
+@R.query("newest_version", r"""SELECT repo, p[1] || '.' || p[2] || '.' || p[3] AS newest FROM (SELECT repo, max(list_transform(string_split(regexp_extract(gv, '^v?(\d+\.\d+\.\d+)', 1), '.'), lambda x: x::BIGINT)) AS p
+  FROM """ + _K + r""" WHERE regexp_matches(gv, '^v?\d+\.\d+\.\d+') GROUP BY repo)""")
 def newest_version(spark, d):
-    """Largest semantic version a repository's records carry, as one number."""
-    part = lambda n: F.regexp_extract("gv", r"^v?(\d+)\.(\d+)\.(\d+)", n).try_cast("int")
-    rows = records(spark, d, "gv", "repo").filter(F.col("gv").rlike(r"^v?\d+\.\d+\.\d+"))
-    return rows.groupBy("repo").agg(F.max(part(1) * 1000000 + part(2) * 1000 + part(3)).alias("newest"))
+    """Largest semantic version a repository's records carry."""
+    rows = records(spark, d, "gv", "repo").select("repo", text.version_parts(F.col("gv")).alias("p")).filter("p is not null")
+    return rows.groupBy("repo").agg(F.max("p").alias("p")).select("repo", F.concat_ws(".", "p.major", "p.minor", "p.patch").alias("newest"))
 
 
 @R.query("mixed_versions", f"SELECT count(DISTINCT {_V}) > 1 AS mixed, count(DISTINCT {_V}) AS versions FROM {_ASKS} WHERE {_KEY} <> ''")
@@ -125,14 +123,14 @@ _T = "ts_sec * 1000000 + rpad(left(ts_frac, 6), 6, '0')::BIGINT"
 
 
 @R.query("interval_candidates", f"""SELECT a.delivery_id AS ask_id, min(o.t - a.t) AS first_after_us, count(*) AS candidates FROM (SELECT delivery_id, file, {_KEY} AS k, {_T} AS t FROM {_ASKS} WHERE file IS NOT NULL) a
-  JOIN (SELECT file, {_KEY} AS k, {_T} AS t FROM {_K} WHERE decision = 'outcome' AND file IS NOT NULL) o ON a.file = o.file AND a.k = o.k AND a.k <> ''
+  JOIN (SELECT file, {_KEY} AS k, {_T} AS t FROM {_K} WHERE decision = 'outcome' AND reason = 'approved' AND file IS NOT NULL) o ON a.file = o.file AND a.k = o.k AND a.k <> ''
   AND o.t >= a.t AND o.t - a.t < 300000000 GROUP BY a.delivery_id""")
 def interval_candidates(spark, d):
     """Outcomes of an ask's file and symbols within five minutes after it, met in buckets of an hour."""
     r = records(spark, d, "repo", "lang", "gv", "reason", "mode", "symbols")
     t = (F.col("ts_sec") * 1_000_000 + F.rpad(F.substring("ts_frac", 1, 6), 6, "0").cast("bigint")).alias("t")
     a = log_stats.unique_asks(r).filter("file is not null and symbol_key <> ''").select("delivery_id", "file", "symbol_key", t)
-    o = r.filter("decision = 'outcome' and file is not null").select("file", log_stats.symbol_key(F.col("symbols")).alias("symbol_key"), t.alias("ot"))
+    o = r.filter("decision = 'outcome' and reason = 'approved' and file is not null").select("file", log_stats.symbol_key(F.col("symbols")).alias("symbol_key"), t.alias("ot"))
     hour = 3_600_000_000
     a = a.withColumn("bucket", F.explode(F.array_distinct(F.array(F.floor(F.col("t") / hour), F.floor((F.col("t") + 300_000_000) / hour)))))
     o = o.withColumn("bucket", F.floor(F.col("ot") / hour))
@@ -140,24 +138,49 @@ def interval_candidates(spark, d):
     return near.groupBy(F.col("delivery_id").alias("ask_id")).agg(F.min(F.col("ot") - F.col("t")).alias("first_after_us"), F.count("*").alias("candidates"))
 
 
-@R.query("greedy_approvals")
+_RATED = f"""a AS (SELECT file, delivery_id AS id, edit, {_KEY} AS key, {_T} AS t, row_number() OVER (PARTITION BY file ORDER BY {_T}, delivery_id) AS k FROM {_ASKS} WHERE file IS NOT NULL AND {_KEY} <> ''),
+ o AS (SELECT file, delivery_id AS id, edit, {_KEY} AS key, {_T} AS t FROM {_K} WHERE decision = 'outcome' AND reason = 'approved' AND file IS NOT NULL AND {_KEY} <> ''),
+ c AS (SELECT a.id AS ask, o.id, o.t, 1 AS track FROM a JOIN o ON a.file = o.file AND a.edit = o.edit AND a.edit <> '' AND o.t >= a.t AND o.t - a.t < 86400000000
+       UNION ALL SELECT a.id, o.id, o.t, 2 FROM a JOIN o ON a.file = o.file AND a.key = o.key AND o.t >= a.t AND o.t - a.t < 300000000),
+ q AS (SELECT ask, list((track, t, id)) AS cs FROM c GROUP BY ask),
+ s AS (SELECT a.file, a.id, a.t, cs, row_number() OVER (PARTITION BY a.file ORDER BY a.k) AS k FROM a JOIN q ON q.ask = a.id),
+ g(file, k, used, ask, hit) AS (SELECT DISTINCT file, 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::STRUCT(a INTEGER, b BIGINT, c BIGINT) FROM s
+   UNION ALL SELECT file, k, CASE WHEN hit IS NULL THEN used ELSE list_append(used, hit.c) END, ask, hit FROM (
+     SELECT s.file, s.k, g.used, s.id AS ask, list_min(list_transform(list_filter(s.cs, lambda x: NOT list_contains(g.used, x[3])), lambda x: {{'a': x[1], 'b': x[2], 'c': x[3]}})) AS hit FROM g JOIN s ON s.file = g.file AND s.k = g.k + 1)),
+ approvals AS (SELECT g.ask AS ask_id, hit.c AS outcome_id, CASE hit.a WHEN 1 THEN 'fingerprint' ELSE 'symbols' END AS track, hit.b - s.t AS latency_us FROM g JOIN s ON s.id = g.ask WHERE hit IS NOT NULL)"""
+
+
+@R.query("greedy_approvals", f"WITH RECURSIVE {_RATED} SELECT * FROM approvals")
 def greedy_approvals(spark, d):
     return log_stats.approvals(records(spark, d, "repo", "lang", "gv", "reason", "mode", "symbols"))
 
 
-@R.query("approval_report")
+_SINCE = NOW_SEC - DAYS * 86400
+_RECENT = _RATED.replace(_K, f"(SELECT * FROM {_K} WHERE ts_sec >= {_SINCE})")
+_REPORT_ASKS = _ASKS.replace(_K, f"(SELECT * FROM {_K} WHERE ts_sec >= {_SINCE})")
+
+
+@R.query("approval_report", f"""WITH RECURSIVE {_RECENT},
+ p AS (SELECT x.*, {_V} AS version, {_KEY} AS key_, ask_id FROM {_REPORT_ASKS} x LEFT JOIN approvals ON ask_id = delivery_id),
+ e AS (SELECT 'window' AS bucket, NULL::VARCHAR AS key, key_, version, ask_id FROM p UNION ALL SELECT 'reason', reason, key_, version, ask_id FROM p UNION ALL SELECT 'lang', lang, key_, version, ask_id FROM p
+  UNION ALL SELECT 'version', version, key_, version, ask_id FROM p UNION ALL SELECT * FROM (SELECT 'check', trim(unnest(string_split(reason, '+'))) AS c, key_, version, ask_id FROM p) WHERE c <> ''),
+ n AS (SELECT bucket, key, count(*) FILTER (WHERE key_ <> '') AS asks, count(ask_id) AS approved, count(*) FILTER (WHERE key_ = '') AS unrated, count(DISTINCT version) FILTER (WHERE key_ <> '') AS versions, count(*) AS total FROM e GROUP BY bucket, key)
+ SELECT *, CASE WHEN asks = 0 THEN 0 ELSE approved / asks END AS rate, asks / total AS coverage, asks >= 20 AND versions = 1 AND CASE WHEN asks = 0 THEN 0 ELSE approved / asks END > 0.5 AS gate FROM n""")
 def approval_report(spark, d):
     """Asks, approvals, rate and coverage of the window, by reason, check, language and version in one pass."""
     r = records(spark, d, "repo", "lang", "gv", "reason", "mode", "symbols")
     return log_stats.approval_buckets(r, NOW_SEC - DAYS * 86400)
 
 
-@R.query("approval_latency")
+@R.query("approval_latency", f"""WITH RECURSIVE {_RATED} SELECT track, count(*) AS n, min(latency_us) AS min_us, quantile_cont(latency_us, 0.5) AS median_us, floor(avg(latency_us))::BIGINT AS mean_us, max(latency_us) AS max_us FROM approvals GROUP BY track""")
 def approval_latency(spark, d):
     return log_stats.latency(log_stats.approvals(records(spark, d, "repo", "lang", "gv", "reason", "mode", "symbols")), ["track"])
 
 
-@R.query("duplicate_fires")
+@R.query("duplicate_fires", f"""WITH RECURSIVE e AS (SELECT delivery_id, {_T} AS t, row_number() OVER w AS k, dense_rank() OVER (ORDER BY file, reason, {_KEY}) AS g FROM {_K} WHERE decision = 'ask' AND file IS NOT NULL WINDOW w AS (PARTITION BY file, reason, {_KEY} ORDER BY {_T}, delivery_id)),
+  f(g, k, id, kept_t, kept_id) AS (SELECT g, k, delivery_id, t, delivery_id FROM e WHERE k = 1
+   UNION ALL SELECT e.g, e.k, e.delivery_id, CASE WHEN e.t - f.kept_t <= 5000000 THEN f.kept_t ELSE e.t END, CASE WHEN e.t - f.kept_t <= 5000000 THEN f.kept_id ELSE e.delivery_id END FROM f JOIN e ON e.g = f.g AND e.k = f.k + 1)
+  SELECT id AS delivery_id, kept_id AS fires_after FROM f WHERE id <> kept_id""")
 def duplicate_fires(spark, d):
     return log_stats.duplicate_fires(records(spark, d, "reason", "symbols"))
 
@@ -202,23 +225,23 @@ def hallucination_origin(spark, d):
     return records(spark, d, "symbols", "learn_symbols", "reason").filter("decision = 'ask'").select("delivery_id", F.explode(own).alias("symbol"))
 
 
-@R.query("learned_allow", f"""SELECT repo, symbol, count(*) AS count, max(t) AS last_seen_us FROM (SELECT repo, {_T} AS t, unnest(symbols) AS symbol FROM {_K} WHERE decision = 'outcome' AND repo IS NOT NULL)
+@R.query("learned_allow", f"""SELECT repo, symbol, count(*) AS count, max(t) AS last_seen_us FROM (SELECT repo, {_T} AS t, unnest(symbols) AS symbol FROM {_K} WHERE decision = 'outcome' AND reason = 'approved' AND repo IS NOT NULL)
   WHERE symbol IS NOT NULL GROUP BY ALL HAVING count(*) >= 2 AND max(t) >= {(NOW_SEC - 14 * 86400) * 1_000_000}""")
 def learned_allow(spark, d):
     t = (F.col("ts_sec") * 1_000_000 + F.rpad(F.substring("ts_frac", 1, 6), 6, "0").cast("bigint")).alias("t")
-    rows = records(spark, d, "repo", "symbols").filter("decision = 'outcome' and repo is not null").select("repo", t, F.explode("symbols").alias("symbol")).filter("symbol is not null")
+    rows = records(spark, d, "repo", "symbols", "reason").filter("decision = 'outcome' and reason = 'approved' and repo is not null").select("repo", t, F.explode("symbols").alias("symbol")).filter("symbol is not null")
     return log_stats.learned_allow(rows, 14, 2, NOW_SEC * 1_000_000)
 
 
-@R.query("recent_unrecorded_asks", f"""SELECT file, max(t) AS last_ask_us FROM (SELECT file, {_T} AS t, decision FROM {_K} WHERE file IS NOT NULL) GROUP BY file
-  HAVING max(t) FILTER (WHERE decision = 'ask') IS NOT NULL AND coalesce(max(t) FILTER (WHERE decision = 'outcome') < max(t) FILTER (WHERE decision = 'ask'), true) AND max(t) = max(t) FILTER (WHERE decision = 'ask')""")
+@R.query("recent_unrecorded_asks", f"""WITH e AS (SELECT delivery_id, file, edit, decision, {_T} AS t FROM {_K} WHERE file IS NOT NULL AND decision IN ('ask', 'outcome')),
+  w AS (SELECT *, max(CASE WHEN decision = 'ask' THEN (t, delivery_id) END) OVER f AS wa, max(CASE WHEN decision = 'outcome' THEN (t, delivery_id) END) OVER f AS wo,
+    max(CASE WHEN decision = 'ask' THEN (t, delivery_id) END) OVER g AS ha, max(CASE WHEN decision = 'outcome' THEN (t, delivery_id) END) OVER g AS ho FROM e
+    WINDOW f AS (PARTITION BY file ORDER BY t, delivery_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), g AS (PARTITION BY file, edit ORDER BY t, delivery_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  r AS (SELECT delivery_id, edit IS NOT NULL AND ha IS NOT NULL AND t - ha[1] < 86400000000 AS keyed, coalesce(ho > ha, false) AS hrec, ha[2] AS h, wa IS NOT NULL AND t - wa[1] < 300000000 AS near, coalesce(wo > wa, false) AS wrec, wa[2] AS a FROM w WHERE decision = 'outcome')
+  SELECT delivery_id, CASE WHEN keyed THEN h ELSE a END AS ask_id, CASE WHEN keyed THEN 'edit' ELSE 'window' END AS track FROM r WHERE CASE WHEN keyed THEN NOT hrec ELSE near AND NOT wrec END""")
 def recent_unrecorded_asks(spark, d):
-    """Files whose newest record is an ask without an outcome at or after it."""
-    t = (F.col("ts_sec") * 1_000_000 + F.rpad(F.substring("ts_frac", 1, 6), 6, "0").cast("bigint")).alias("t")
-    rows = records(spark, d, "mode").filter("file is not null").select("file", t, "decision")
-    newest = lambda x: F.max(F.when(F.col("decision") == x, F.col("t")))
-    sums = rows.groupBy("file").agg(F.max("t").alias("last_ask_us"), newest("ask").alias("a"), newest("outcome").alias("o"))
-    return sums.filter("a = last_ask_us and coalesce(o < a, true)").select("file", "last_ask_us")
+    """The ask each outcome record answers, as the recorder looks it up at that moment."""
+    return log_stats.recent_asks(records(spark, d, "mode"))
 
 
 @R.query("confusion_matrix", f"""SELECT lang, count(*) FILTER (WHERE flagged AND bad) AS tp, count(*) FILTER (WHERE NOT flagged AND bad) AS fn, count(*) FILTER (WHERE flagged AND NOT bad) AS fp,
@@ -232,11 +255,13 @@ def confusion_matrix(spark, d):
     return rows.groupBy("lang").agg(n(f & b, "tp"), n(~f & b, "fn"), n(f & ~b, "fp"), n(~f & ~b, "tn"))
 
 
-@R.query("edit_fingerprints", "SELECT edit_id, left(sha256(concat_ws(chr(0), tool, file, coalesce(edit, ''), '')), 12) AS fingerprint FROM applied_edits")
+@R.query("edit_fingerprints", """SELECT edit_id, CASE WHEN coalesce(tool, '') = '' THEN '' ELSE left(sha256(tool || chr(0) || file || chr(0) || coalesce(edit, '') || chr(0) || coalesce(repo, '') || chr(0)
+  || coalesce(array_to_string(list_transform(symbols, lambda s: coalesce(s, '') || chr(0) || reverse(coalesce(s, '')) || chr(0)), ''), '')), 12) END AS fingerprint FROM applied_edits""")
 def edit_fingerprints(spark, d):
-    """Fingerprint of an edit: every field is followed by a NUL."""
-    text = F.concat_ws(chr(0), "tool", "file", F.coalesce("edit", F.lit("")), F.lit(""))
-    return table(spark, d, "applied_edits").select("edit_id", F.left(F.sha2(text, 256), F.lit(12)).alias("fingerprint"))
+    """Fingerprints over the texts at hand: file, edit and repository as old, new and content, symbols as a multi-edit."""
+    edits = F.transform("symbols", lambda s: F.struct(s.alias("old"), F.reverse(s).alias("new")))
+    print_ = text.edit_fingerprint(F.col("tool"), F.col("file"), F.col("edit"), F.col("repo"), edits)
+    return table(spark, d, "applied_edits").select("edit_id", print_.alias("fingerprint"))
 
 
 @R.query("active_contracts", f"""SELECT repo, arg_max(contract, (ts_sec, delivery_id)) AS contract, count(DISTINCT contract) AS seen FROM {_K} WHERE contract IS NOT NULL AND repo IS NOT NULL GROUP BY repo""")
