@@ -3,19 +3,21 @@
 Method: similarity flooding. Every file of a stream has a schema graph: the
 record, its fields with their types, item fields of nested arrays, value
 profiles, and the order in which fields follow one another. For consecutive
-files the graphs are joined to a graph of field pairs; first scores from names
-and value profiles are propagated along the edges (same neighbour before and
-after, same parent, same item fields) until they converge; from the converged
-scores consistent one-to-one correspondences are selected. Fields without a
-correspondence were added or removed, those with another name renamed, those
-with another type retyped. The correspondences of a stream, chained, give each
-field its canonical name, under which all lines are cast and united.
-
-Plan: lines are profiled where they lie and summed per (stream, file, field,
-feature), first inside each batch, so a file or stream with a third of all lines
-sends a few thousand summed rows under a 64-bit identifier of the file. A profile
-is bounded by design (a bottom-k sketch of values, histograms of shapes), so
-matching two files is a small task; pairs of files are spread over all tasks.
+files the graphs are joined to one graph of field pairs; first scores from names
+and value profiles are propagated along its edges (same neighbour before and
+after; an array and its item fields, both ways) until they change no more; from
+the converged scores consistent one-to-one correspondences are selected. Fields of
+one name correspond by definition; they are where similarity flows from. Fields
+without a correspondence were added or removed, those with another name renamed,
+those with another type retyped. The correspondences of a stream, chained, give
+each field its canonical name, under which all lines are cast and united.
+
+Plan: lines are profiled where they lie, one row per (file, field) and batch; these
+are merged per (file, field) as they stream by, so a file or stream with a third of
+all lines is spread over its fields and held as one profile a field. A profile is
+bounded by design (a bottom-k sketch of values, histograms of shapes), so matching
+two files is a small task; pairs of files are spread over all tasks. The share of
+common values in two sketches of 96 is within 0.1 of the true one in 95 % of cases.
 """
 
 from __future__ import annotations
@@ -26,18 +28,19 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.session import materialise
+from codestrata.session import cpu_tasks, materialise
 
 #: Size of the bottom-k sketch of a field's values.
 SKETCH = 96
 #: Correspondences need at least this score.
-ACCEPT = 0.49
+ACCEPT = 0.5
 #: Item fields of the structure format's symbols array, in its versions.
 SYMBOL_ITEMS = frozenset(["name", "kind", "line", "hash", "doc"])
 SYMBOL_KINDS = frozenset(["function", "class", "export", "import", "import_name", "export_wildcard", "unexported", "field"])
@@ -45,34 +48,34 @@ SYMBOL_KINDS = frozenset(["function", "class", "export", "import", "import_name"
 _SEP = "\x1f"
 
 
+_TYPES = {type(None): "", bool: "boolean", int: "integer", float: "fraction", str: "string", dict: "object"}
+
+
 def json_type(value: object) -> str:
     """Type of a JSON value; '' for null, 'array' for an array without non-null items."""
-    if value is None:
-        return ""
-    if isinstance(value, bool):
-        return "boolean"
-    if isinstance(value, int):
-        return "integer"
-    if isinstance(value, float):
-        return "fraction"
-    if isinstance(value, str):
-        return "string"
-    if isinstance(value, dict):
-        return "object"
-    kinds = Counter(json_type(v) for v in value if v is not None)
-    return f"array<{min(kinds, key=lambda k: (-kinds[k], k))}>" if kinds else "array"
+    got = _TYPES.get(type(value))
+    if got is not None:
+        return got
+    kinds = [_TYPES.get(type(v)) or json_type(v) for v in value if v is not None]
+    if not kinds:
+        return "array"
+    first = kinds[0]
+    return f"array<{first if kinds.count(first) == len(kinds) else min(set(kinds), key=lambda k: (-kinds.count(k), k))}>"
+
+
+def _no_constant(word: str) -> None:
+    raise ValueError(word)
+
+
+_READ = json.JSONDecoder(parse_constant=_no_constant).decode
 
 
 def read_object(body: str | None) -> dict | None:
     """The JSON object of a line, None for anything else."""
     if not body:
         return None
-
-    def no(word: str) -> None:
-        raise ValueError(word)
-
     try:
-        got = json.loads(body, parse_constant=no)
+        got = _READ(body)
     except (ValueError, RecursionError):
         return None
     return got if isinstance(got, dict) else None
@@ -85,11 +88,13 @@ _SHAPE = [
 
 
 def _shape(text: str) -> str:
+    """The kinds of a text's words and what stands between them; of a long one the first, and a hash of all."""
     for rx, name in _SHAPE:
         m = rx.fullmatch(text)
         if m and any(c.isdigit() for c in text):
             return name(m)
-    return _WORD.sub(_word_kind, text[:80])[:24]
+    shape = _WORD.sub(_word_kind, text)
+    return shape if len(shape) <= 24 else f"{shape[:16]}~{xxhash.xxh32_intdigest(shape):08x}"
 
 
 _WORD = re.compile(r"\w+")
@@ -106,76 +111,134 @@ def _word_kind(m: re.Match) -> str:
     return "a" if w.islower() else "U" if w.isupper() else "P" if w[0].isupper() else "c"
 
 
-def _features(value: object, out: Counter, depth: int = 0) -> None:
-    """Adds what a value says about its field: shapes, hashed values, magnitudes, keys."""
-    if value is None:
-        return
-    if isinstance(value, bool):
-        out["s:bool"] += 1
-    elif isinstance(value, (int, float)):
-        scale = 0 if value == 0 or not math.isfinite(value) else round(math.copysign(math.log2(1 + abs(value)), value) * 2)
-        out[f"m:{scale}"] += 1
-    elif isinstance(value, str):
+_KNOWN: dict[str, tuple[str, ...]] = {}
+
+
+def _text_features(value: str) -> tuple[str, ...]:
+    """Shapes, hashes and length of a text; what is known of short ones is kept."""
+    got = _KNOWN.get(value)
+    if got is None:
         # prose is of one shape; a list written as one text goes on with the same pieces
         prose = len(value.split(None, 3)) > 2
-        whole = prose or len(value) > 400 or _shape(value) == "time"
-        for piece in (value,) if whole else _PIECES.split(value):
+        pieces = (value,) if prose or _shape(value) == "time" else _PIECES.split(value)
+        found = [f"l:{round(math.log2(1 + len(value)) * 2)}"]
+        for piece in pieces:
             if piece:
-                out["s:" + ("text" if prose else _shape(piece))] += 1
-                out[f"v:{xxhash.xxh64_intdigest(piece):016x}"] += 1
-        out[f"l:{round(math.log2(1 + len(value)) * 2)}"] += 1
-    elif isinstance(value, dict):
-        for k, v in value.items():
-            out[f"k:{_shape(k)}"] += 1
-            out[f"v:{xxhash.xxh64_intdigest('k' + k):016x}"] += 1
-            if depth < 2:
-                _features(v, out, depth + 1)
-    else:
-        out[f"n:{round(math.log2(1 + len(value)) * 2)}"] += 1
-        for v in value:
-            if isinstance(v, dict):
-                for k, x in v.items():
-                    out["i:" + k] += x is not None
-                    if depth < 2:
-                        _features(x, out, depth + 1)
-            else:
-                _features(v, out, depth)
+                found += ["s:" + ("text" if prose else _shape(piece)), f"v:{xxhash.xxh64_intdigest(piece):016x}"]
+        got = tuple(found)
+        if len(value) <= 200:
+            if len(_KNOWN) >= 50_000:
+                _KNOWN.clear()
+            _KNOWN[value] = got
+    return got
+
+
+def _features(value: object, found: list[str]) -> None:
+    """Adds what a value says about its field: shapes, hashed values, magnitudes, keys; of all that is nested in it too."""
+    if type(value) is str:
+        found += _text_features(value)
+        return
+    todo = [value]
+    while todo:
+        value = todo.pop()
+        if isinstance(value, str):
+            found += _text_features(value)
+        elif value is None:
+            continue
+        elif isinstance(value, bool):
+            found.append("s:bool")
+        elif isinstance(value, (int, float)):
+            scale = 0 if value == 0 or not math.isfinite(value) else round(math.copysign(math.log2(1 + abs(value)), value) * 2)
+            found.append(f"m:{scale}")
+        elif isinstance(value, dict):
+            for k in value:
+                found += [f"k:{_shape(k)}", f"v:{xxhash.xxh64_intdigest('k' + k):016x}"]
+            todo += value.values()
+        else:
+            found.append(f"n:{round(math.log2(1 + len(value)) * 2)}")
+            for v in value:
+                if isinstance(v, dict):
+                    found += ["i:" + k for k, x in v.items() if x is not None]
+                    todo += v.values()
+                elif type(v) is str:
+                    found += _text_features(v)
+                else:
+                    todo.append(v)
+
+
+def _sketched(features: dict[str, int]) -> dict[str, int]:
+    """Without the values beyond the bottom-k sketch."""
+    values = [f for f in features if f[0] == "v"]
+    if len(values) > SKETCH:
+        for f in sorted(values)[SKETCH:]:
+            del features[f]
+    return features
+
+
+def _describe(record: dict, fields: dict[str, list[str]]) -> None:
+    """Adds what one record says to the features of its fields."""
+    names = [k for k, v in record.items() if v is not None]
+    for name, before, after in zip(names, ["", *names], [*names[1:], ""], strict=False):
+        value = record[name]
+        mine = fields[name]
+        mine += ("t:" + json_type(value), "b:" + before, "a:" + after)
+        _features(value, mine)
+        if type(value) is list:
+            for item in value:
+                if type(item) is dict:
+                    for sub, x in item.items():
+                        if x is not None:
+                            nested = fields[f"{name}{_SEP}{sub}"]
+                            nested.append("t:" + json_type(x))
+                            _features(x, nested)
 
 
 def _profile(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Lines -> (file_id, field, feature, n), summed over the batch."""
+    """Lines -> (file_id, field, profile), summed over the batch; a profile is a JSON object of counted features."""
     for part in parts:
-        sums: Counter = Counter()
-        for key, lines in part.groupby("file_id", sort=False)["body"]:
-            fields: dict[str, Counter] = defaultdict(Counter)
-            for body in lines:
-                record = read_object(body)
-                if record is None:
+        files: dict[int, dict[str, list[str]]] = {}
+        for key, body in zip(part["file_id"].tolist(), part["body"].tolist(), strict=True):
+            record = read_object(body)
+            if record is not None:
+                if key not in files:
+                    files[key] = defaultdict(list)
+                _describe(record, files[key])
+        rows = [(key, name, json.dumps(_sketched(Counter(f)))) for key, fields in files.items() for name, f in fields.items()]
+        yield pd.DataFrame(rows, columns=["file_id", "field", "profile"])
+
+
+def _merged(keys: list[str]):
+    """Profiles of equal keys summed; rows come sorted by the keys, and one sum is held at a time."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: tuple | None = None
+        total: dict[str, int] = {}
+        alone = ""  # the text of a profile that nothing was added to yet
+        columns = [*keys, "profile"]
+        for part in parts:
+            rows = []
+            for *key, profile in part[columns].itertuples(index=False, name=None):
+                if key != held:
+                    if held is not None:
+                        rows.append((*held, alone or json.dumps(total)))
+                    held, alone = key, profile
                     continue
-                names = [k for k, v in record.items() if v is not None]
-                for name, before, after in zip(names, ["", *names], [*names[1:], ""], strict=False):
-                    value = record[name]
-                    mine = fields[name]
-                    mine["t:" + json_type(value)] += 1
-                    mine["b:" + before] += 1
-                    mine["a:" + after] += 1
-                    _features(value, mine)
-                    if isinstance(value, list):
-                        for item in value:
-                            if isinstance(item, dict):
-                                for sub, x in item.items():
-                                    if x is not None:
-                                        nested = fields[f"{name}{_SEP}{sub}"]
-                                        nested["t:" + json_type(x)] += 1
-                                        _features(x, nested)
-            for name, features in fields.items():
-                values = sorted(f for f in features if f.startswith("v:"))
-                for f in values[SKETCH:]:
-                    del features[f]
-                for f, n in features.items():
-                    sums[(key, name, f)] += n
-        rows = [(*k, n) for k, n in sums.items()]
-        yield pd.DataFrame(rows, columns=["file_id", "field", "feature", "n"])
+                if alone:
+                    total, alone = json.loads(alone), ""
+                for f, n in json.loads(profile).items():
+                    total[f] = total.get(f, 0) + n
+                _sketched(total)
+            yield pd.DataFrame(rows, columns=columns)
+        if held is not None:
+            yield pd.DataFrame([(*held, alone or json.dumps(total))], columns=columns)
+
+    return run
+
+
+def _merge(profiles: DataFrame, *keys: str) -> DataFrame:
+    types = {f.name: f.dataType.simpleString() for f in profiles.schema}
+    rows = profiles.select(*keys, "profile").repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInPandas(_merged(list(keys)), ", ".join(f"{k} {types[k]}" for k in keys) + ", profile string")
 
 
 def _identified(lines: DataFrame) -> DataFrame:
@@ -194,40 +257,44 @@ def file_places(lines: DataFrame) -> DataFrame:
 
 
 def file_profiles(lines: DataFrame) -> DataFrame:
-    """(file_id, field, feature, n): summed profile rows of every file."""
+    """(file_id, field, profile): one summed profile for each field of every file."""
     rows = _identified(lines).select("file_id", "body")
-    partial = rows.mapInPandas(_profile, "file_id long, field string, feature string, n long")
-    return partial.groupBy("file_id", "field", "feature").agg(F.sum("n").alias("n"))
+    return _merge(rows.mapInPandas(_profile, "file_id long, field string, profile string"), "file_id", "field")
 
 
 class Schema:
     """The schema graph of one file."""
 
-    def __init__(self, rows: Iterator[tuple[str, str, int]], structured: bool):
-        fields: dict[str, Counter] = defaultdict(Counter)
-        for field, feature, n in rows:
-            if field:
-                fields[field][feature] += n
-        self.features = dict(fields)
+    def __init__(self, profiles: dict[str, dict[str, int]], structured: bool):
+        fields = {field: features for field, features in profiles.items() if field}
+        self._parts: dict[str, dict[str, dict[str, int]]] = {}
+        for field, features in fields.items():
+            mine: dict[str, dict[str, int]] = {}
+            for f, n in features.items():
+                mine.setdefault(f[0], {})[f[2:]] = n
+            self._parts[field] = mine
+        self.features = fields
         self.top = sorted(f for f in fields if _SEP not in f)
         self.types: dict[str, str] = {}
-        for name, counts in fields.items():
-            kinds = {f[2:]: n for f, n in counts.items() if f.startswith("t:") and f not in ("t:array", "t:")}
+        for name in fields:
+            kinds = {k: n for k, n in self.part(name, "t").items() if k not in ("array", "")}
             self.types[name] = min(kinds, key=lambda k: (-kinds[k], k)) if kinds else ""
-        self.before = {f: self._neighbours(f, "b:") for f in self.top}
-        self.after = {f: self._neighbours(f, "a:") for f in self.top}
+        self._items: dict[str, dict[str, str]] = {}
+        for f in fields:
+            if _SEP in f:
+                array, item = f.split(_SEP, 1)
+                self._items.setdefault(array, {})[item] = f
+        self.before = {f: self._neighbours(f, "b") for f in self.top}
+        self.after = {f: self._neighbours(f, "a") for f in self.top}
+        self.shares = {(f, m): _spread(_shares(v)) if m == "m" else _shares(v) for f, parts in self._parts.items() for m, v in parts.items()}
         self.symbols = self._symbols_array() if structured else None
-        self._parts: dict[str, dict[str, Counter]] = {}
 
     def _neighbours(self, field: str, mark: str) -> dict[str, float]:
-        counts = {f[2:]: n for f, n in self.features[field].items() if f.startswith(mark)}
-        total = sum(counts.values()) or 1
-        return {k: n / total for k, n in counts.items()}
+        return _shares(self.part(field, mark))
 
     def items(self, array: str) -> dict[str, str]:
         """Item fields of an array -> their full names."""
-        head = array + _SEP
-        return {f[len(head) :]: f for f in self.features if f.startswith(head)}
+        return self._items.get(array, {})
 
     def _symbols_array(self) -> str | None:
         """The array of symbols, whatever its name: its items carry symbol names, kinds and lines."""
@@ -242,20 +309,31 @@ class Schema:
                 best, found = score, f
         return found
 
-    def part(self, field: str, mark: str) -> Counter:
-        parts = self._parts.setdefault(field, {})
-        if mark not in parts:
-            got = {f[2:]: n for f, n in self.features[field].items() if f.startswith(mark + ":")}
-            if mark == "v":
-                got = {k: got[k] for k in sorted(got)[:SKETCH]}
-            parts[mark] = Counter(got)
-        return parts[mark]
+    def part(self, field: str, mark: str) -> dict[str, int]:
+        return self._parts[field].get(mark, {})
 
 
-def _words(name: str) -> list[str]:
-    return [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", name)]
+def _shares(counts: dict[str, int]) -> dict[str, float]:
+    total = sum(counts.values()) or 1
+    return {k: n / total for k, n in counts.items()}
 
 
+def _spread(shares: dict[str, float]) -> dict[str, float]:
+    """A histogram of magnitudes with half of each share in the two next classes: files of few lines fill few classes."""
+    out: dict[str, float] = {}
+    for k, x in shares.items():
+        for near, part in ((-1, 0.25), (0, 0.5), (1, 0.25)):
+            key = str(int(k) + near)
+            out[key] = out.get(key, 0.0) + part * x
+    return out
+
+
+@lru_cache(maxsize=10_000)
+def _words(name: str) -> tuple[str, ...]:
+    return tuple(w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", name))
+
+
+@lru_cache(maxsize=100_000)
 def name_similarity(a: str, b: str) -> float:
     """0..1 from shared words and trigrams."""
     if a == b:
@@ -270,12 +348,7 @@ def name_similarity(a: str, b: str) -> float:
     return max(0.8 * words, dice, 0.75 * prefix)
 
 
-def _overlap(a: Counter, b: Counter) -> float | None:
-    """Common share of two distributions, None if both are empty."""
-    if not a and not b:
-        return None
-    sa, sb = sum(a.values()) or 1, sum(b.values()) or 1
-    return sum(min(a[k] / sa, b[k] / sb) for k in a.keys() & b.keys())
+_WEIGHTS = (("s", 3.0), ("k", 3.0), ("i", 4.0), ("m", 4.0), ("l", 1.0), ("n", 1.0))
 
 
 def value_similarity(a: Schema, fa: str, b: Schema, fb: str) -> float:
@@ -283,66 +356,101 @@ def value_similarity(a: Schema, fa: str, b: Schema, fb: str) -> float:
     ta, tb = a.types[fa], b.types[fb]
     if ta != tb or not ta:
         return 0.0
-    weights = {"s": 3.0, "k": 3.0, "i": 4.0, "m": 4.0, "l": 1.0, "n": 1.0}
     total = got = 0.0
-    for mark, weight in weights.items():
-        share = _overlap(a.part(fa, mark), b.part(fb, mark))
-        if share is not None:
-            got += weight * (share if mark != "m" else min(1.0, share * 1.5))
+    for mark, weight in _WEIGHTS:
+        pa, pb = a.shares.get((fa, mark)), b.shares.get((fb, mark))
+        if pa or pb:
+            if pa and pb:
+                if len(pa) > len(pb):
+                    pa, pb = pb, pa
+                share = sum(min(x, pb[k]) for k, x in pa.items() if k in pb)
+                got += weight * (share if mark != "m" else min(1.0, share * 1.5))
             total += weight
     score = got / total if total else 1.0
     va, vb = a.part(fa, "v"), b.part(fb, "v")
     if va and vb:
         # repeated values tell more: a field of few values must go on with the same ones
-        def few(v: Counter) -> float:
-            return 1 - len(v) / max(1, sum(v.values()))
-
-        repeating = math.sqrt(max(0.0, few(va)) * max(0.0, few(vb)))
+        few_a, few_b = (1 - len(v) / max(1, sum(v.values())) for v in (va, vb))
+        repeating = math.sqrt(max(0.0, few_a) * max(0.0, few_b))
         same = len(va.keys() & vb.keys()) / max(1, min(len(va), len(vb)))
-        unlike = abs(few(va) - few(vb))
-        score = score * (1 - 0.6 * repeating) + same * 0.6 * repeating + 0.25 * same * (1 - repeating) - 0.3 * unlike
+        score = score * (1 - 0.6 * repeating) + same * 0.6 * repeating + 0.25 * same * (1 - repeating) - 0.3 * abs(few_a - few_b)
     return max(0.0, min(1.0, score))
 
 
-def flooded(a: Schema, fields_a: list[str], b: Schema, fields_b: list[str], ordered: bool) -> dict[tuple[str, str], float]:
-    """Converged scores of field pairs.
+#: Share of a pair's score that comes from the pairs around it; what of that an array takes from
+#: its item fields, and a change of scores that counts as none.
+FLOW, FROM_ITEMS, STILL = 0.2, 0.5, 1e-4
 
-    Fields of one name are taken as the fixed pairs that similarity flows from;
-    the others start from names and values and receive from the pairs before and
-    after them in the records.
-    """
+
+def _first_scores(a: Schema, fields_a: list[str], b: Schema, fields_b: list[str]) -> dict[tuple[str, str], float]:
+    """Scores from names and values alone, 1 for fields of one name."""
     start = {}
     for x in fields_a:
+        name = x.rsplit(_SEP, 1)[-1]
         for y in fields_b:
             if x == y:
                 start[x, y] = 1.0
-            else:
-                values = value_similarity(a, x, b, y)
-                if values > 0:
-                    label = name_similarity(x.split(_SEP)[-1], y.split(_SEP)[-1])
-                    start[x, y] = 0.65 * values + 0.35 * label * min(1.0, 2 * values)
+                continue
+            values = value_similarity(a, x, b, y)
+            if values > 0:
+                start[x, y] = 0.65 * values + 0.35 * name_similarity(name, y.rsplit(_SEP, 1)[-1]) * min(1.0, 2 * values)
+    return start
+
+
+def flooded(a: Schema, b: Schema, fields_a: list[str] | None = None, fields_b: list[str] | None = None) -> dict[tuple[str, str], float]:
+    """Converged scores of field pairs: of top-level fields, and of item fields of arrays that may correspond.
+
+    Edges lead from a pair of fields to the pairs of their neighbours before and
+    after in the record, and between a pair of arrays and the pairs of their items.
+    Every round moves a pair's score by at most ``FLOW`` times the largest change
+    around it, so the scores converge; rounds end when nothing moves by ``STILL``.
+    ``fields_a`` and ``fields_b`` limit the pairs; all fields are taken without them.
+    """
+    tops_a, tops_b = (s.top if f is None else [x for x in f if _SEP not in x] for s, f in ((a, fields_a), (b, fields_b)))
+    start = _first_scores(a, tops_a, b, tops_b)
+    inner: dict[tuple[str, str], list[tuple[str, str]]] = {}
+    parent: dict[tuple[str, str], tuple[str, str]] = {}
+    arrays = [p for p in start if a.items(p[0]) and b.items(p[1])]
+    if fields_a is not None:  # items without their arrays
+        arrays += [p for p in {(x.split(_SEP)[0], y.split(_SEP)[0]) for x in fields_a if _SEP in x for y in fields_b if _SEP in y} if p not in start]
+    for x, y in arrays:
+        ia, ib = a.items(x), b.items(y)
+        # items of one name correspond whatever their arrays are called
+        pairs = {(f, g): (1.0 if i == j else s) for i, f in ia.items() for j, g in ib.items() for s in [_first_scores(a, [f], b, [g]).get((f, g))] if i == j or s is not None}
+        inner[x, y] = list(pairs)
+        for p, s in pairs.items():
+            start[p] = s
+            parent[p] = (x, y)
+    fixed = {p for p in start if p[0].rsplit(_SEP, 1)[-1] == p[1].rsplit(_SEP, 1)[-1] and (p in parent or p[0] == p[1])}
     scores = dict(start)
-    if not ordered:
-        return scores
-    for _ in range(24):
+    moving = [p for p in start if p not in fixed]
+    while True:
+        change = 0.0
         new = {}
-        for (x, y), base in start.items():
-            if x == y:
-                new[x, y] = 1.0
-                continue
-            flow = 0.0
-            for na, nb in ((a.before[x], b.before[y]), (a.after[x], b.after[y])):
-                for p, wp in na.items():
-                    if p == "" or (p, p) in scores:
-                        flow += min(wp, nb.get(p, 0.0))
-                    else:
-                        flow += wp * sum(wq * scores.get((p, q), 0.0) for q, wq in nb.items() if q != p) * 0.5
-            new[x, y] = 0.8 * base + 0.2 * min(1.0, flow)
-        change = max((abs(new[k] - scores[k]) for k in new), default=0.0)
-        scores = new
-        if change < 1e-4:
-            break
-    return scores
+        for pair in moving:
+            x, y = pair
+            if pair in parent:
+                flow = scores.get(parent[pair], 0.0)
+            else:
+                flow = 0.0
+                for na, nb in ((a.before.get(x, {}), b.before.get(y, {})), (a.after.get(x, {}), b.after.get(y, {}))):
+                    for p, wp in na.items():
+                        if p == "" or (p, p) in scores:
+                            flow += min(wp, nb.get(p, 0.0))
+                        else:
+                            flow += wp * sum(wq * scores.get((p, q), 0.0) for q, wq in nb.items() if q != p) * 0.5
+                flow = min(1.0, flow)
+                if pair in inner:
+                    best: dict[str, float] = {}
+                    for f, g in inner[pair]:
+                        best[f] = max(best.get(f, 0.0), scores[f, g])
+                    flow = (1 - FROM_ITEMS) * flow + FROM_ITEMS * sum(best.values()) / max(len(a.items(x)), len(b.items(y)))
+            score = (1 - FLOW) * start[pair] + FLOW * flow
+            change = max(change, abs(score - scores[pair]))
+            new[pair] = score
+        scores.update(new)
+        if change < STILL:
+            return scores
 
 
 def select(scores: dict[tuple[str, str], float], gone: list[str], come: list[str]) -> dict[str, str]:
@@ -360,41 +468,56 @@ def select(scores: dict[tuple[str, str], float], gone: list[str], come: list[str
 def compare(a: Schema, b: Schema) -> list[tuple[str, str, str]]:
     """(field, new_field, change) from the earlier schema to the later."""
     out: list[tuple[str, str, str]] = []
+    scores: dict[tuple[str, str], float] | None = None
 
-    def sets(fa: dict[str, str], fb: dict[str, str], label_a, label_b, ordered: bool) -> None:
+    def sets(fa: dict[str, str], fb: dict[str, str], label) -> None:
         """fa, fb: short name -> full name."""
-        gone = sorted(set(fa) - set(fb))
-        come = sorted(set(fb) - set(fa))
+        nonlocal scores
+        gone = sorted(fa.keys() - fb.keys())
+        come = sorted(fb.keys() - fa.keys())
         renamed: dict[str, str] = {}
         if gone and come:
-            scores = flooded(a, sorted(fa.values()), b, sorted(fb.values()), ordered)
+            scores = flooded(a, b) if scores is None else scores
             full = select(scores, [fa[g] for g in gone], [fb[c] for c in come])
             short_a, short_b = {v: k for k, v in fa.items()}, {v: k for k, v in fb.items()}
             renamed = {short_a[x]: short_b[y] for x, y in full.items()}
-        out.extend((label_a(x), label_b(y), "renamed") for x, y in renamed.items())
-        out.extend((label_a(x), "", "removed") for x in gone if x not in renamed)
-        out.extend((label_b(y), "", "added") for y in come if y not in renamed.values())
-        for x in sorted(set(fa) & set(fb)):
+        out.extend((label(x), label(y), "renamed") for x, y in renamed.items())
+        out.extend((label(x), "", "removed") for x in gone if x not in renamed)
+        out.extend((label(y), "", "added") for y in come if y not in renamed.values())
+        for x in sorted(fa.keys() & fb.keys()):
             ta, tb = a.types[fa[x]], b.types[fb[x]]
             if ta and tb and ta != tb:
-                out.append((label_b(x), "", "retyped"))
-
-    sets({f: f for f in a.top}, {f: f for f in b.top}, str, str, True)
-    if a.symbols and a.symbols == b.symbols:
-        array = a.symbols
-        if not any(f == array or n == array for f, n, _ in out):
-            label = lambda item: f"{array}.{item}"
-            # fields of one name are compared under it; items flow without an order
-            sets(a.items(array), b.items(array), label, label, False)
+                out.append((label(x), "", "retyped"))
+
+    sets({f: f for f in a.top}, {f: f for f in b.top}, str)
+    array = a.symbols
+    if array and array == b.symbols and not any(array in (f, n) for f, n, _ in out):
+        sets(a.items(array), b.items(array), lambda item: f"{array}.{item}")
     return out
 
 
-def _compare_pair(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    later = group["later"].to_numpy(dtype=bool)
-    structured = bool(group["structured"].iloc[0])
-    a, b = (Schema(zip(g["field"], g["feature"], g["n"], strict=True), structured) for g in (group[~later], group[later]))
-    rows = [(key[0], *change) for change in compare(a, b)]
-    return pd.DataFrame(rows, columns=["file_id", "field", "new_field", "change"])
+def _compare_pairs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (pair, later, structured, field, profile) come sorted by pair; one pair of files is held at a time."""
+    held: int | None = None
+    sides: tuple[dict, dict] = ({}, {})
+    structured = False
+
+    def changes() -> list[tuple]:
+        a, b = (Schema({f: json.loads(p) for f, p in side.items()}, structured) for side in sides)
+        return [(held, *change) for change in compare(a, b)]
+
+    columns = ["file_id", "field", "new_field", "change"]
+    for part in parts:
+        rows: list[tuple] = []
+        for pair, later, kind, field, profile in part.itertuples(index=False, name=None):
+            if pair != held:
+                if held is not None:
+                    rows += changes()
+                held, sides, structured = pair, ({}, {}), kind
+            sides[later][field] = profile
+        yield pd.DataFrame(rows, columns=columns)
+    if held is not None:
+        yield pd.DataFrame(changes(), columns=columns)
 
 
 def _all_changes(lines: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
@@ -406,9 +529,10 @@ def _all_changes(lines: DataFrame, profiles: DataFrame | None = None) -> DataFra
         F.struct(F.when(F.col("k") > 1, F.col("file_id")).alias("pair"), F.lit(True).alias("later")),
         F.struct(F.col("next_id").alias("pair"), F.lit(False).alias("later")),
     )
-    rows = placed.select(F.explode(sides).alias("side"), "structured", "field", "feature", "n").filter("side.pair is not null")
-    rows = rows.select("side.pair", "side.later", "structured", "field", "feature", "n")
-    changes = rows.groupBy("pair").applyInPandas(_compare_pair, "file_id long, field string, new_field string, change string")
+    rows = placed.select(F.explode(sides).alias("side"), "structured", "field", "profile").filter("side.pair is not null")
+    rows = rows.select("side.pair", "side.later", "structured", "field", "profile")
+    sorted_rows = rows.repartition(cpu_tasks(lines, 2), "pair").sortWithinPartitions("pair")
+    changes = sorted_rows.mapInPandas(_compare_pairs, "file_id long, field string, new_field string, change string")
     names = places.select("file_id", "stream", F.col("k").alias("pair"), "file_name")
     return changes.join(names, "file_id").select("stream", "pair", "file_name", "field", "new_field", "change")
 
@@ -440,7 +564,7 @@ def _joined(names: list[str], together: set[tuple[str, str]], evidence: list[tup
 
 
 def one_schema(
-    rows: list[tuple[str, str, int]], together: set[tuple[str, str]], renames: list[tuple[str, str, int]], first: dict[str, object], structured: bool
+    profiles: dict[str, dict[str, int]], together: set[tuple[str, str]], renames: list[tuple[str, str, int]], first: dict[str, object], structured: bool
 ) -> dict[str, str]:
     """Field -> canonical field of one kind of stream, from its pooled profile; items as array, separator, item.
 
@@ -449,14 +573,14 @@ def one_schema(
     canonical name of a group.
     """
 
-    def groups(schema: Schema, fields: list[str], pairs: set, moved: list, ordered: bool) -> dict[str, list[str]]:
-        scores = flooded(schema, fields, schema, fields, ordered)
+    def groups(schema: Schema, fields: list[str], pairs: set, moved: list) -> dict[str, list[str]]:
+        scores = flooded(schema, schema, fields, fields)
         flowing = sorted((-s, x, y) for (x, y), s in scores.items() if x < y and s >= ACCEPT)
         found = [(x, y) for x, y, _ in sorted(moved, key=lambda m: (-m[2], m[0], m[1]))]
         return _joined(fields, pairs, found + [(x, y) for _, x, y in flowing])
 
-    whole = Schema(iter(rows), False)
-    tops = groups(whole, whole.top, together, [m for m in renames if "." not in m[0]], True)
+    whole = Schema(profiles, False)
+    tops = groups(whole, whole.top, together, [m for m in renames if "." not in m[0]])
     out = {n: min(g, key=lambda m: (first[m], m)) for n, g in tops.items()}
     if not structured:
         return out
@@ -471,7 +595,11 @@ def one_schema(
         return out
     same = lambda f: _SEP in f and out.get(f.split(_SEP, 1)[0]) == array
     place = lambda f: f"{array}{_SEP}{f.split(_SEP, 1)[1]}"
-    items = Schema(((place(f), x, n) for f, x, n in rows if same(f)), False)
+    united: dict[str, dict[str, int]] = defaultdict(dict)
+    for f in filter(same, profiles):
+        for x, n in profiles[f].items():
+            united[place(f)][x] = united[place(f)].get(x, 0) + n
+    items = Schema({f: _sketched(x) for f, x in united.items()}, False)
     pairs = {(place(x), place(y)) for x, y in together if same(x) and same(y)}
     moved: Counter = Counter()
     for x, y, n in renames:
@@ -481,7 +609,7 @@ def one_schema(
     begun: dict[str, object] = {}
     for f in filter(same, first):
         begun[place(f)] = min(begun.get(place(f), first[f]), first[f])
-    inner = groups(items, sorted(items.features), pairs, [(x, y, n) for (x, y), n in moved.items()], False)
+    inner = groups(items, sorted(items.features), pairs, [(x, y, n) for (x, y), n in moved.items()])
     for f in filter(same, whole.features):
         out[f] = min(inner[place(f)], key=lambda m: (begun[m], m))
     return out
@@ -500,18 +628,26 @@ def canonical_names(lines: DataFrame) -> dict[tuple[str, str], str]:
     profiles = materialise(file_profiles(lines), "file-profiles")
     places = file_places(lines).select("file_id", _kind().alias("kind"), "opened_at", "stream", "file_name")
     placed = profiles.join(places, "file_id")
-    pooled = placed.groupBy("kind", "field", "feature").agg(F.sum("n").alias("n"))
-    least = Window.partitionBy("kind", "field").orderBy("feature")
-    values = pooled.filter(F.col("feature").startswith("v:")).withColumn("rn", F.row_number().over(least)).filter(F.col("rn") <= SKETCH).drop("rn")
-    pooled = pooled.filter(~F.col("feature").startswith("v:")).unionByName(values)
+
+    def within(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Profiles summed over the batch, as there are few fields and many files."""
+        for part in parts:
+            sums: dict[tuple, dict[str, int]] = {}
+            for kind, field, profile in part.itertuples(index=False, name=None):
+                mine = sums.setdefault((kind, field), {})
+                for f, n in json.loads(profile).items():
+                    mine[f] = mine.get(f, 0) + n
+            yield pd.DataFrame([(*k, json.dumps(_sketched(f))) for k, f in sums.items()], columns=["kind", "field", "profile"])
+
+    pooled = _merge(placed.select("kind", "field", "profile").mapInPandas(within, "kind string, field string, profile string"), "kind", "field")
     sets = placed.groupBy("kind", "file_id").agg(F.array_sort(F.collect_set("field")).alias("x")).select("kind", "x").distinct()
     pairs = sets.select("kind", "x", F.explode("x").alias("a")).select("kind", "a", F.explode("x").alias("b")).filter("a <> b").distinct()
     order = F.min(F.struct("opened_at", "stream", "file_name"))
     firsts = placed.groupBy("kind", "field").agg(order.alias("first"))
     moves = _all_changes(lines, profiles).filter("change = 'renamed'").groupBy(_kind().alias("kind"), "field", "new_field").agg(F.count("*").alias("n"))
-    by: dict[str, tuple[list, set, list, dict]] = defaultdict(lambda: ([], set(), [], {}))
+    by: dict[str, tuple[dict, set, list, dict]] = defaultdict(lambda: ({}, set(), [], {}))
     for r in pooled.collect():
-        by[r["kind"]][0].append((r["field"], r["feature"], r["n"]))
+        by[r["kind"]][0][r["field"]] = json.loads(r["profile"])
     for r in pairs.collect():
         by[r["kind"]][1].add((r["a"], r["b"]))
     for r in moves.collect():

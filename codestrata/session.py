@@ -38,6 +38,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Input bytes of one CPU-bound task at most, as the optimizer estimates them from the files.
+TASK_BYTES = 32 << 20
+
+
+def cpu_tasks(df: DataFrame, least: int = 3) -> int:
+    """Number of tasks for work bound by CPU: by the bytes read, but at least ``least`` a core and the session's shuffle partitions."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # a source that does not know its size reports the largest number
+    by_size = -(-size // TASK_BYTES) if size < 1 << 56 else 0
+    return max(least * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), by_size)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
