@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,16 +16,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions.text import language_tag
+from codestrata.session import cpu_tasks
 
 #: Predeclared names that are no reference.
 BUILTINS = {
     "go": "append cap clear close complex copy delete imag len make max min new panic print println real recover string int int8 int16 int32 int64"
     " uint uint8 uint16 uint32 uint64 uintptr float32 float64 complex64 complex128 bool byte rune error any",
     "js": "Array Boolean Date Error Function Infinity JSON Map Math NaN Number Object Promise Proxy Reflect RegExp Set String Symbol TypeError WeakMap WeakSet"
-    " console parseInt parseFloat isNaN require setTimeout setInterval clearTimeout clearInterval fetch structuredClone queueMicrotask BigInt URL Buffer process",
+    " console parseInt parseFloat isNaN isFinite require setTimeout setInterval setImmediate clearTimeout clearInterval clearImmediate fetch structuredClone queueMicrotask BigInt URL URLSearchParams Buffer process"
+    " ArrayBuffer SharedArrayBuffer DataView Atomics Int8Array Uint8Array Uint8ClampedArray Int16Array Uint16Array Int32Array Uint32Array Float32Array Float64Array BigInt64Array BigUint64Array"
+    " AggregateError EvalError RangeError ReferenceError SyntaxError URIError WeakRef FinalizationRegistry Intl WebAssembly globalThis undefined eval decodeURI decodeURIComponent encodeURI encodeURIComponent"
+    " escape unescape atob btoa alert confirm prompt requestAnimationFrame cancelAnimationFrame addEventListener removeEventListener dispatchEvent window document navigator location history"
+    " AbortController AbortSignal Blob Event EventTarget CustomEvent File FormData Headers Request Response TextDecoder TextEncoder ReadableStream WritableStream TransformStream WebSocket Worker MessageChannel"
+    " performance crypto module exports Iterator super this",
     "python": "abs all any ascii bin bool breakpoint bytearray bytes callable chr classmethod compile complex delattr dict dir divmod enumerate eval exec filter float"
     " format frozenset getattr globals hasattr hash help hex id input int isinstance issubclass iter len list locals map max memoryview min next object oct open ord pow"
-    " print property range repr reversed round set setattr slice sorted staticmethod str sum super tuple type vars zip __import__",
+    " print property range repr reversed round set setattr slice sorted staticmethod str sum super tuple type vars zip __import__ aiter anext exit quit copyright credits license"
+    " NotImplemented Ellipsis BaseException BaseExceptionGroup Exception ExceptionGroup ArithmeticError AssertionError AttributeError BlockingIOError BrokenPipeError BufferError BytesWarning ChildProcessError"
+    " ConnectionAbortedError ConnectionError ConnectionRefusedError ConnectionResetError DeprecationWarning EOFError EncodingWarning EnvironmentError FileExistsError FileNotFoundError FloatingPointError"
+    " FutureWarning GeneratorExit IOError ImportError ImportWarning IndentationError IndexError InterruptedError IsADirectoryError KeyError KeyboardInterrupt LookupError MemoryError ModuleNotFoundError NameError"
+    " NotADirectoryError NotImplementedError OSError OverflowError PendingDeprecationWarning PermissionError ProcessLookupError PythonFinalizationError RecursionError ReferenceError ResourceWarning RuntimeError"
+    " RuntimeWarning StopAsyncIteration StopIteration SyntaxError SyntaxWarning SystemError SystemExit TabError TimeoutError TypeError UnboundLocalError UnicodeDecodeError UnicodeEncodeError UnicodeError"
+    " UnicodeTranslateError UnicodeWarning UserWarning ValueError Warning ZeroDivisionError __name__ __file__ __doc__",
 }
 KEYWORDS = {
     "go": "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var",
@@ -195,10 +208,85 @@ def python_signatures(text: str) -> Iterator[tuple[str, int, list[str], bool, bo
             yield n.name, n.lineno, names, n.args.kwarg is not None, bool(n.decorator_list)
 
 
+_LINE_END = re.compile("\n")
+_BRACKETS = re.compile(r"[][(){}]")
+#: Fixed value: deepest nesting of brackets that is looked into.
+DEEPEST = 1_000
+
+
+def too_deep(masked: str) -> bool:
+    """Whether brackets nest so deeply that no facts are taken from the text."""
+    depth = 0
+    for m in _BRACKETS.finditer(masked):
+        depth = depth + 1 if m[0] in "([{" else max(0, depth - 1)
+        if depth > DEEPEST:
+            return True
+    return False
+
+
+_GO_TOP = re.compile(r"^(?:func[ \t]+(?P<func>\w+)[ \t]*[(\[]|(?P<word>type|var|const)[ \t]+(?P<names>\w+(?:[ \t]*,[ \t]*\w+)*)|(?P<block>type|var|const)[ \t]*\()", re.M)
+_GO_NAMES = re.compile(r"[ \t]*(\w+(?:[ \t]*,[ \t]*\w+)*)")
+
+
+def go_exports(text: str) -> set[str] | None:
+    """Exported top-level names of a Go file without methods; None where its brackets do not match, so that nothing is known of it."""
+    masked = mask("go", text)
+    depths, depth = [], 0
+    for m in _BRACKETS.finditer(masked):
+        depth += 1 if m[0] in "([{" else -1
+        if depth < 0:
+            return None
+        depths.append((m.start(), depth))
+    if depth or not re.search(r"^[ \t]*package[ \t]+\w", masked, re.M):
+        return None
+    starts = [a for a, _ in depths]
+    at_depth = lambda k: depths[n - 1][1] if (n := bisect_left(starts, k)) else 0
+    found: set[str] = set()
+    for m in _GO_TOP.finditer(masked):
+        if at_depth(m.start()):
+            continue
+        if m["block"]:
+            end = next((a for a, d in depths[bisect_left(starts, m.end()) :] if d == 0), len(masked))
+            at = m.end()
+            for row in re.split(r"[\n;]", masked[at:end]):
+                if at_depth(at + len(row) - len(row.lstrip())) == 1 and (names := _GO_NAMES.match(row)):
+                    found.update(n.strip() for n in names[1].split(","))
+                at += len(row) + 1
+        else:
+            found.update(n.strip() for n in (m["func"] or m["names"]).split(","))
+    return {n for n in found if n[:1].isupper()}
+
+
+def package_exports(files: DataFrame) -> DataFrame:
+    """(package, status, name) of Go packages from (package, content), test files left out before.
+
+    A package with a file that cannot be read in full is ``unknown`` and has one row without a
+    name: exports that may lack some would make checks report what exists.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for package, content in zip(part["package"], part["content"], strict=True):
+                names = go_exports(content)
+                rows += [(package, False, None)] if names is None else [(package, True, n) for n in names or [None]]
+            yield pd.DataFrame(rows, columns=["package", "whole", "name"])
+
+    types = files.schema["package"].dataType.simpleString()
+    rows = files.filter("content is not null").select("package", "content").mapInPandas(run, f"package {types}, whole boolean, name string")
+    broken = rows.groupBy("package").agg(F.min("whole").alias("resolved"))
+    names = rows.filter("whole").select("package", "name").distinct()
+    known = broken.join(names, "package", "left").withColumn("name", F.when(F.col("resolved"), F.col("name")))
+    return known.select("package", F.when(F.col("resolved"), "resolved").otherwise("unknown").alias("status"), "name").distinct().filter("status = 'unknown' or name is not null")
+
+
 def file_facts(lang: str, text: str) -> Iterator[tuple[str, str, int, str]]:
     """(fact, name, line, detail) of one file."""
     masked = mask(lang, text)
-    line = lambda at: masked.count("\n", 0, at) + 1
+    if too_deep(masked):
+        return
+    ends = [m.start() for m in _LINE_END.finditer(masked)]
+    line = lambda at: bisect_left(ends, at) + 1
     for name, at, recv in definitions(lang, masked):
         yield "def", name, line(at), recv
     if lang in DEFINITION_ONLY.values():
@@ -245,10 +333,8 @@ def extract_facts(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["source_id", "repo_id", "lang", "fact", "name", "line", "detail"])
 
     rows = files.filter("content is not null").select("source_id", "repo_id", _language(F.col("path")).alias("lang"), "content").filter("lang <> ''")
-    spark = files.sparkSession
-    n = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     schema = "source_id long, repo_id long, lang string, fact string, name string, line int, detail string"
-    return rows.repartition(n, "source_id").mapInPandas(run, schema)
+    return rows.repartition(cpu_tasks(rows), "source_id").mapInPandas(run, schema)
 
 
 def masked_files(files: DataFrame) -> DataFrame:

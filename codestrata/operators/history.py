@@ -33,30 +33,32 @@ def _of_side(old: bool, value: str) -> Column:
 
 
 def file_changes(pairs: DataFrame, files: DataFrame) -> DataFrame:
-    """(before_id, after_id, path, status) of all pairs in one join; files of equal hash are left out.
+    """(pair columns, path, status) of all pairs in one join; files of equal hash are left out.
 
     Listings are joined to both sides of their pairs at once, so one aggregate by
     (pair, path) replaces a full outer join per pair; it combines before the
     shuffle and has no hot key, as a path is listed once in a snapshot.
     """
     listing = files.groupBy("snapshot_id", "path").agg(F.max_by("content_hash", "file_id").alias("h"))
-    both = _sides(pairs.select("before_id", "after_id")).join(listing, "snapshot_id").groupBy("before_id", "after_id", "path").agg(
+    key = [*pairs.columns, "path"]
+    both = _sides(pairs).join(listing, "snapshot_id").groupBy(*key).agg(
         _of_side(True, "h").alias("a"), _of_side(False, "h").alias("b")
     )
     status = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("modified")
-    return both.filter(~F.col("a").eqNullSafe(F.col("b"))).select("before_id", "after_id", "path", status.alias("status"))
+    return both.filter(~F.col("a").eqNullSafe(F.col("b"))).select(*key, status.alias("status"))
 
 
 def symbol_changes(changes: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(before_id, after_id, path, kind, name, status) inside changed files only.
+    """(pair columns, path, kind, name, status) inside changed files only.
 
     Identity is kind and name within a path, the last row of several counting;
     modified needs a hash on both sides and differing ones.
     """
     listed = symbols.join(files.select("file_id", "snapshot_id", "path"), "file_id")
     known = listed.groupBy("snapshot_id", "path", "kind", "name").agg(F.max_by("sig_hash", "symbol_id").alias("h"))
-    key = ["before_id", "after_id", "path", "kind", "name"]
-    one = _sides(changes.select("before_id", "after_id", "path")).join(known, ["snapshot_id", "path"]).groupBy(*key).agg(
+    own = [c for c in changes.columns if c != "status"]
+    key = [*own, "kind", "name"]
+    one = _sides(changes.select(*own)).join(known, ["snapshot_id", "path"]).groupBy(*key).agg(
         _of_side(True, "h").alias("a"), _of_side(False, "h").alias("b")
     )
     status = (
@@ -78,7 +80,7 @@ def change_receipt(
     ``changes`` counts the path's changes there if at least two. ``stale`` (doc_id, symbol)
     are claims that nothing defines, part ``stale``.
     """
-    hot = recent_files.join(repos, "after_id").groupBy("repo_id", "path").agg(F.count("*").alias("changes")).filter("changes >= 2")
+    hot = recent_files.select("after_id", "path").join(repos, "after_id").groupBy("repo_id", "path").agg(F.count("*").alias("changes")).filter("changes >= 2")
     pair = ["before_id", "after_id", "path"]
     none = F.lit(None).cast("string")
     whole = files.select(*pair, F.lit("file").alias("part"), none.alias("kind"), none.alias("name"), "status")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,21 +12,27 @@ from pyspark.sql import functions as F
 
 from codestrata.operators.extract import literal_spans, mask
 
-#: Reasons for which a check abstains by design.
-GATE_REASONS = ("disabled", "no-symbols", "not-applicable", "star-import", "budget-spent")
+#: Reasons for which a check declines a candidate by its own design.
+GATE_REASONS = (
+    "shadowed-qualifier", "unexported-selector", "ambiguous-receiver", "ambiguous-local", "name-known-elsewhere", "no-indexed-members",
+    "unreliable-call-shape", "shadowed-callee", "nested-def-shadow", "ambiguous-decl-shapes", "unusable-decl-shape",
+    "unparseable-added-signature", "decl-edited-in-hunk",
+)
+#: Directories of generated files.
+GENERATED = ("node_modules", "dist", "build", "vendor", ".venv", "_astro", "coverage", "immutable", ".next", "out", "target")
 
 
 def folded_symbols(symbols: DataFrame) -> DataFrame:
     """One row per (path, kind, name): hashes of repeats folded in source order, line and doc of the first.
 
-    A repeat's hash is the SHA-256 of the hash so far, a NUL and its own. Input
+    A repeat's hash is the SHA-256 of the hash so far and its own, side by side. Input
     has ``ordinal``, the place in the file.
     """
     rows = F.array_sort(F.collect_list(F.struct("ordinal", "hash", "line", "doc")))
     one = symbols.groupBy("path", "kind", "name").agg(rows.alias("r"))
     fold = F.aggregate(
         F.slice("r", 2, F.greatest(F.size("r") - 1, F.lit(0))), F.col("r")[0]["hash"],
-        lambda acc, x: F.sha2(F.concat(acc, F.lit("\x00"), x["hash"]), 256),
+        lambda acc, x: F.sha2(F.concat(acc, x["hash"]), 256),
     )
     return one.select("path", "kind", "name", fold.alias("hash"), F.col("r")[0]["line"].alias("line"), F.col("r")[0]["doc"].alias("doc"))
 
@@ -62,8 +69,13 @@ def verdict_maps(results: DataFrame) -> DataFrame:
     )
 
 
+def without_reported(symbols: Column, reported: Column) -> Column:
+    """Sorted distinct symbols without those that another check has reported; null reports nothing."""
+    return F.array_sort(F.array_distinct(F.array_except(symbols, F.coalesce(reported, F.array().cast("array<string>")))))
+
+
 def degraded_unknowns(results: DataFrame) -> DataFrame:
-    """(event, n): unknown verdicts whose reason is no gate."""
+    """(event, n): unknown verdicts whose reason is no gate; an empty reason is none."""
     bad = (F.col("verdict") == "unknown") & ~F.coalesce(F.col("reason").isin(*GATE_REASONS), F.lit(False))
     return results.groupBy("event").agg(F.count_if(bad).alias("n"))
 
@@ -97,8 +109,10 @@ def captured_cases(cases: DataFrame) -> DataFrame:
 
 
 def triage(findings: DataFrame) -> DataFrame:
-    """(repo, findings, generated, genuine, fp_rate) of detector findings; generated paths by directory or suffix."""
-    generated = F.col("path").rlike(r"(^|/)(node_modules|dist|build|vendor|gen|generated)/|\.min\.js$|\.pb\.go$")
+    """(repo, findings, generated, genuine, fp_rate) of detector findings; paths are full, and generated below certain directories."""
+    generated = F.lit(False)
+    for name in GENERATED:
+        generated = generated | F.contains("path", F.lit(f"/{name}/"))
     rows = findings.withColumn("generated", generated)
     return rows.groupBy("repo").agg(
         F.count("*").alias("findings"), F.count_if("generated").alias("generated"), F.count_if(F.col("genuine") & ~F.col("generated")).alias("genuine"),
@@ -147,6 +161,10 @@ def block_position(old: Column, file_text: Column) -> Column:
     return F.when(at > 0, F.size(F.split(F.substring(file_text, F.lit(1), at - 1), "\n", -1))).otherwise(0)
 
 
+_BRACKET = re.compile(r"[][(){}]")
+_OPENING = {"}": "{", "]": "[", ")": "("}
+
+
 def line_states(files: DataFrame) -> DataFrame:
     """(source_id, line_no, brace, bracket, paren, open): nesting depths before each line and whether a literal or comment is open.
 
@@ -158,17 +176,20 @@ def line_states(files: DataFrame) -> DataFrame:
             rows = []
             for sid, lang, text in zip(part["source_id"], part["lang"], part["content"], strict=True):
                 masked = mask(lang, text)
-                spans = literal_spans(lang, text)
+                spans = iter(literal_spans(lang, text))
+                span = next(spans, None)
                 depth = {"{": 0, "[": 0, "(": 0}
                 at = 0
                 for n, line in enumerate(masked.split("\n"), 1):
-                    rows.append((sid, n, depth["{"], depth["["], depth["("], any(a < at < b for a, b in spans)))
-                    for c in line:
+                    while span is not None and span[1] <= at:  # spans come in order and do not overlap
+                        span = next(spans, None)
+                    rows.append((sid, n, depth["{"], depth["["], depth["("], span is not None and span[0] < at < span[1]))
+                    for m in _BRACKET.finditer(line):
+                        c = m[0]
                         if c in depth:
                             depth[c] += 1
-                        elif c in "}])":
-                            o = {"}": "{", "]": "[", ")": "("}[c]
-                            depth[o] = max(0, depth[o] - 1)
+                        else:
+                            depth[_OPENING[c]] = max(0, depth[_OPENING[c]] - 1)
                     at += len(line) + 1
             yield pd.DataFrame(rows, columns=["source_id", "line_no", "brace", "bracket", "paren", "open"])
 

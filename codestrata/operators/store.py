@@ -47,6 +47,10 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}").select(*schema.names)
 
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Append rows that have the columns of a table's current layout."""
+        self._append(name, rows)
+
     def _append(self, name: str, rows: DataFrame) -> None:
         schema = T.StructType.fromDDL(SCHEMAS[name])
         writer = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.mode("append")

@@ -19,8 +19,11 @@ IGNORED_DIRS = (
 )
 #: Kinds that are kept in the store but not shown.
 INTERNAL_KINDS = ("unexported", "field")
-#: Short names of kinds.
-KIND_ALIASES = {"func": "function", "cls": "class", "exp": "export", "imp": "import"}
+#: Names a kind may be asked by.
+KIND_ALIASES = {
+    "func": "function", "function": "function", "class": "class", "cls": "class", "export": "export", "exp": "export",
+    "import": "import", "imp": "import",
+}
 
 
 def distinct_snapshots(snapshots: DataFrame) -> DataFrame:
@@ -115,6 +118,73 @@ def locate_matches(name: Column, query: str) -> Column:
     return (name == query) | name.startswith(query) | ((F.instr(name, ".") > 0) & (F.substring_index(name, ".", -1) == query))
 
 
+def normal_kind(asked: Column) -> Column:
+    """The kind that a name asks for, '' for the empty name (any kind), null for an unknown one."""
+    kind = F.when(asked == "", F.lit(""))
+    for alias, name in KIND_ALIASES.items():
+        kind = kind.when(asked == alias, name)
+    return kind
+
+
+def containing(files: DataFrame, repos: DataFrame) -> DataFrame:
+    """(file_id, repo_id): the repository whose root is the path or a directory above it, the innermost, then the lowest id.
+
+    Every directory of a path joins by equality, so there is no range or cross join.
+    """
+    parts = F.split("path", "/")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    roots = repos.select(F.regexp_replace("root", "/+$", "").alias("head"), "repo_id")
+    met = files.select("file_id", F.explode(heads).alias("head")).filter("head <> ''").join(roots, "head")
+    return met.groupBy("file_id").agg(F.max_by("repo_id", F.struct(F.length("head"), -F.col("repo_id"))).alias("repo_id"))
+
+
+def resolve_repos(dirs: DataFrame, repos: DataFrame) -> DataFrame:
+    """(dir, repo_id) of (dir, top, common_dir, worktrees), null where nothing is enrolled.
+
+    First by common directory: one enrolment counts at once; of several the one whose path is
+    the top level, else the lowest id. Then by the top level's path, then by the paths of the
+    worktrees in their order.
+    """
+    trimmed = lambda c: F.regexp_replace(c, "/+$", "")
+    known = repos.filter("coalesce(common_dir, '') <> ''").select("common_dir", trimmed("path").alias("path"), "repo_id")
+    shared = known.groupBy("common_dir").agg(F.min("repo_id").alias("first"), F.count("*").alias("n"))
+    own = known.groupBy("common_dir", F.col("path").alias("own_path")).agg(F.min("repo_id").alias("own"))
+    paths = repos.groupBy("path").agg(F.min("repo_id").alias("repo_id"))
+    rows = dirs.join(shared, "common_dir", "left").join(own, (dirs.common_dir == own.common_dir) & (trimmed(dirs.top) == own.own_path), "left").drop(own.common_dir)
+    rows = rows.join(paths.select(F.col("path").alias("top"), F.col("repo_id").alias("at_top")), "top", "left")
+    trees = dirs.select("dir", F.posexplode("worktrees").alias("k", "path")).join(paths, "path")
+    trees = trees.groupBy("dir").agg(F.min_by("repo_id", "k").alias("at_tree"))
+    found = F.when(F.col("n") == 1, F.col("first")).when(F.col("n") > 1, F.coalesce("own", "first")).otherwise(F.coalesce("at_top", "at_tree"))
+    return rows.join(trees, "dir", "left").select("dir", found.alias("repo_id"))
+
+
+def upserted(rows: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
+    """Rows after single-row changes: a change with null values deletes its key, any other replaces or adds it."""
+    rest = [c for c in changes.columns if c not in key]
+    written = changes.dropna(how="all", subset=rest)
+    return rows.join(changes.select(*key), key, "left_anti").select(*key, *rest).unionByName(written.select(*key, *rest))
+
+
+def live_symbol_changes(stored: DataFrame, live: DataFrame) -> DataFrame:
+    """(path, kind, name, status) of a stored state against a live one, both (path, kind, name, sig_hash) once each.
+
+    Kinds that are not shown are left out of the live side, as they are when a live tree is
+    compared; a stored one therefore comes out as removed. Changed needs a hash on both sides.
+    """
+    shown = live.filter(~F.col("kind").isin(*INTERNAL_KINDS))
+    key = ["path", "kind", "name"]
+    both = stored.select(*key, F.col("sig_hash").alias("a")).join(shown.select(*key, F.col("sig_hash").alias("b")), key, "full")
+    status = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when((F.col("a") != "") & (F.col("b") != "") & (F.col("a") != F.col("b")), "modified")
+    return both.select(*key, status.alias("status")).filter("status is not null")
+
+
+def one_repository(snapshots: DataFrame, before_id: int, after_id: int) -> None:
+    """Raises unless both snapshots are of one repository: states of different ones are not compared."""
+    found = snapshots.filter(F.col("snapshot_id").isin(before_id, after_id)).select("repo_id").distinct().limit(2).collect()
+    if len(found) != 1:
+        raise ValueError("the snapshots are of different repositories")
+
+
 def coverage_percent(indexed: Column, supported: Column) -> Column:
     """Share in percent with one decimal; 0 where nothing is supported."""
     return F.when(supported == 0, F.lit(0.0)).otherwise(F.round(indexed * F.lit(1000.0) / supported) / 10)

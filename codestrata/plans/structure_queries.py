@@ -8,10 +8,11 @@ for names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions.paths import path_form, path_form_sql
+from codestrata.functions.text import derived_name
 from codestrata.operators import history, structure
 from codestrata.plans.registry import Registry
 from codestrata.session import table
@@ -318,9 +319,9 @@ _SDIFF = f"""(SELECT before_id, after_id, path, kind, name, CASE WHEN a.h IS NUL
   USING (before_id, after_id, path, kind, name))"""
 
 
-def _changes(spark, d) -> tuple[DataFrame, DataFrame]:
+def _changes(spark, d, *carry: str) -> tuple[DataFrame, DataFrame]:
     s, f, sy, _ = stored(spark, d)
-    files = history.file_changes(history.consecutive_pairs(s, "repo_id"), f)
+    files = history.file_changes(history.consecutive_pairs(s, "repo_id").select(*carry, "before_id", "after_id"), f)
     return files, history.symbol_changes(files, f, sy)
 
 
@@ -343,16 +344,13 @@ def diff_totals(spark, d):
 
 @R.query("churn_files", f"SELECT repo_id, path, count(*) AS changes FROM {_FDIFF} JOIN {_OSNAPS} s ON s.snapshot_id = after_id GROUP BY ALL")
 def churn_files(spark, d):
-    s = stored(spark, d)[0]
-    return _changes(spark, d)[0].join(s.select(F.col("snapshot_id").alias("after_id"), "repo_id"), "after_id").groupBy("repo_id", "path").agg(F.count("*").alias("changes"))
+    return _changes(spark, d, "repo_id")[0].groupBy("repo_id", "path").agg(F.count("*").alias("changes"))
 
 
 @R.query("churn_symbols", f"""SELECT repo_id, path, kind, name, count(*) AS changes FROM {_SDIFF} JOIN {_OSNAPS} s ON s.snapshot_id = after_id
   WHERE status IS NOT NULL GROUP BY ALL""")
 def churn_symbols(spark, d):
-    s = stored(spark, d)[0]
-    rows = _changes(spark, d)[1].join(s.select(F.col("snapshot_id").alias("after_id"), "repo_id"), "after_id")
-    return rows.groupBy("repo_id", "path", "kind", "name").agg(F.count("*").alias("changes"))
+    return _changes(spark, d, "repo_id")[1].groupBy("repo_id", "path", "kind", "name").agg(F.count("*").alias("changes"))
 
 
 @R.query("hot_files", f"""SELECT path, count(*) AS changes FROM {_FDIFF} GROUP BY path HAVING count(*) >= 2 ORDER BY changes DESC, path LIMIT 50""")
@@ -371,17 +369,32 @@ def truth_trail(spark, d):
     return gone.join(calls, ["before_id", "name"]).groupBy("after_id", "path", "name").agg(F.countDistinct("caller").alias("callers"))
 
 
-@R.query("truth_trail_receipt")
+_OPAIRS20 = f"(SELECT lag(snapshot_id) OVER (PARTITION BY repo_id ORDER BY timestamp, snapshot_id) AS before_id, snapshot_id AS after_id FROM (SELECT * FROM {_OSNAPS} QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY timestamp DESC, snapshot_id DESC) <= 20))"
+
+
+def _receipt_sql() -> str:
+    from codestrata.plans.text_queries import SQL as TEXT
+
+    return f"""WITH h AS (SELECT repo_id, path, count(*) AS changes FROM {_FDIFF.replace(_OPAIRS, _OPAIRS20)} JOIN {_OSNAPS} s ON s.snapshot_id = after_id GROUP BY ALL HAVING count(*) >= 2),
+ k AS (SELECT before_id, name, string_agg(DISTINCT f.path, ',' ORDER BY f.path) AS callers FROM (SELECT DISTINCT before_id, name FROM {_SDIFF} WHERE status = 'removed') JOIN {_OFILES} f ON f.snapshot_id = before_id JOIN {_OREFS} USING (file_id, name) GROUP BY ALL)
+ SELECT after_id, 'file' AS part, c.path, NULL::VARCHAR AS kind, NULL::VARCHAR AS name, status, NULL::VARCHAR AS callers, changes, NULL::BIGINT AS doc_id FROM {_FDIFF} c JOIN {_OSNAPS} s ON s.snapshot_id = after_id LEFT JOIN h ON h.repo_id = s.repo_id AND h.path = c.path
+ UNION ALL SELECT after_id, 'symbol', c.path, kind, c.name, status, CASE WHEN status = 'removed' THEN coalesce(callers, '') END, changes, NULL FROM {_SDIFF} c JOIN {_OSNAPS} s ON s.snapshot_id = after_id LEFT JOIN h ON h.repo_id = s.repo_id AND h.path = c.path
+   LEFT JOIN k ON k.before_id = c.before_id AND k.name = c.name WHERE status IS NOT NULL
+ UNION ALL SELECT NULL, 'stale', NULL, NULL, symbol, NULL, NULL, NULL, doc_id FROM ({TEXT['stale_claims']})"""
+
+
+@R.query("truth_trail_receipt", _receipt_sql())
 def truth_trail_receipt(spark, d):
     """All four parts of the trail: changes, callers of removed names, churn over the last 20 snapshots, stale claims."""
     from codestrata.plans.text_queries import stale_claims
 
     s, f, _, rf = stored(spark, d)
     files, symbols = _changes(spark, d)
-    recent = history.file_changes(history.consecutive_pairs(s, "repo_id", 20), f)
+    recent = history.file_changes(history.consecutive_pairs(s, "repo_id", 20).select("before_id", "after_id"), f)
     repos = s.select(F.col("snapshot_id").alias("after_id"), "repo_id")
     callers = f.join(rf, "file_id").select("snapshot_id", F.col("path").alias("caller"), "name").distinct()
-    return history.change_receipt(files, symbols, recent, repos, callers, stale_claims(spark, d))
+    receipt = history.change_receipt(files, symbols, recent, repos, callers, stale_claims(spark, d))
+    return receipt.withColumn("callers", F.array_join("callers", ","))
 
 
 @R.query("dangling_refs", f"""SELECT after_id, name, string_agg(path, ',' ORDER BY path) AS referrers FROM (SELECT *, row_number() OVER (PARTITION BY after_id, name ORDER BY path) AS n
@@ -392,8 +405,10 @@ def dangling_refs(spark, d):
     _, f, _, rf = stored(spark, d)
     gone = _changes(spark, d)[1].filter("status = 'removed' and kind in ('function', 'class')").select("after_id", "path", "name")
     calls = f.join(rf, "file_id").select(F.col("snapshot_id").alias("after_id"), F.col("path").alias("referrer"), "name")
-    hits = gone.join(calls, ["after_id", "name"]).filter("referrer <> path").groupBy("after_id", "name").agg(F.array_sort(F.collect_set("referrer")).alias("r"))
-    return hits.select("after_id", "name", F.array_join(F.slice("r", 1, 5), ",").alias("referrers"))
+    hits = gone.join(calls, ["after_id", "name"]).filter("referrer <> path").select("after_id", "name", "referrer").distinct()
+    # the limit on the rank is applied before the rows meet, so a name that everything calls sends five rows a task
+    first = hits.withColumn("n", F.row_number().over(Window.partitionBy("after_id", "name").orderBy("referrer"))).filter("n <= 5")
+    return first.groupBy("after_id", "name").agg(F.array_join(F.array_sort(F.collect_list("referrer")), ",").alias("referrers"))
 
 
 @R.query("duplicate_defs", f"""SELECT DISTINCT a.snapshot_id, x.name, a.path FROM {_OFILES} a JOIN {_OSYMBOLS} x ON x.file_id = a.file_id AND x.kind = 'function'
@@ -441,8 +456,6 @@ def incremental_update(spark, d):
   (SELECT *, lag(root_hash) OVER (PARTITION BY repo_id ORDER BY timestamp, snapshot_id) AS last FROM {_SNAPS} WHERE label = 'reindex' AND repo_id IS NOT NULL) GROUP BY repo_id""")
 def reindex_dedupe(spark, d):
     """Reindex runs that would write a snapshot: the root hash differs from the newest one before (others only touch it)."""
-    from pyspark.sql import Window
-
     rows = snaps(spark, d).filter("label = 'reindex' and repo_id is not null")
     last = F.lag("root_hash").over(Window.partitionBy("repo_id").orderBy("timestamp", "snapshot_id"))
     return rows.select("repo_id", (~F.col("root_hash").eqNullSafe(last)).alias("new")).groupBy("repo_id").agg(F.count("*").alias("runs"), F.count_if("new").alias("written"))
@@ -455,28 +468,12 @@ def rolling_auto(spark, d):
     return rows.groupBy("repo_id").agg(F.max_by("snapshot_id", F.struct("timestamp", "snapshot_id")).alias("snapshot_id"), F.count("*").alias("replaced"))
 
 
-@R.query("resolve_repo", """SELECT s.root, coalesce(c.repo_id, p.repo_id) AS repo_id FROM (SELECT DISTINCT root, regexp_extract(root, '^(/work/trees/[^/]+)', 1) AS top FROM snapshots) s
-  LEFT JOIN (SELECT min(repo_id) AS repo_id, common_dir FROM repos WHERE common_dir IS NOT NULL GROUP BY common_dir) c ON c.common_dir = replace(s.top, '/work/trees/', '/work/git/') || '.git'
-  LEFT JOIN (SELECT min(repo_id) AS repo_id, path FROM repos GROUP BY path) p ON p.path = s.top""")
-def resolve_repo(spark, d):
-    """Repository of a worktree root: by common directory, else by path; the lowest id of several."""
-    roots = table(spark, d, "snapshots").select("root", F.regexp_extract("root", "^(/work/trees/[^/]+)", 1).alias("top")).distinct()
-    r = table(spark, d, "repos")
-    by_dir = r.filter("common_dir is not null").groupBy("common_dir").agg(F.min("repo_id").alias("a"))
-    by_path = r.groupBy(F.col("path").alias("top")).agg(F.min("repo_id").alias("b"))
-    rows = roots.withColumn("common_dir", F.concat(F.replace("top", F.lit("/work/trees/"), F.lit("/work/git/")), F.lit(".git")))
-    return rows.join(by_dir, "common_dir", "left").join(by_path, "top", "left").select("root", F.coalesce("a", "b").alias("repo_id"))
-
-
 @R.query("derived_names", """SELECT repo_id, base || CASE WHEN n = 1 THEN '' ELSE '-' || n END AS unique_name FROM (SELECT repo_id, base, row_number() OVER (PARTITION BY base ORDER BY repo_id) AS n
-  FROM (SELECT repo_id, split_part(path, '/', -2) || '-' || left(split_part(path, '/', -1), 1) AS base FROM repos))""")
+  FROM (SELECT repo_id, split_part(path, '/', -2) || '-' || split_part(path, '/', -1) AS base FROM repos))""")
 def derived_names(spark, d):
-    """Names from path segments made unique by a running number."""
-    from pyspark.sql import Window
-
-    base = F.concat(F.element_at(F.split("path", "/"), -2), F.lit("-"), F.left(F.element_at(F.split("path", "/"), -1), F.lit(1)))
+    """Names from the last two path segments, made unique by a running number."""
     n = F.row_number().over(Window.partitionBy("base").orderBy("repo_id"))
-    rows = table(spark, d, "repos").select("repo_id", base.alias("base")).withColumn("n", n)
+    rows = table(spark, d, "repos").select("repo_id", derived_name(F.col("path")).alias("base")).withColumn("n", n)
     return rows.select("repo_id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("n").cast("string"))).alias("unique_name"))
 
 

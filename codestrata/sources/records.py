@@ -51,8 +51,8 @@ def decision_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_decisions(lines, F.col("value"))
 
 
-def parse_decisions(lines: DataFrame, body: Column) -> DataFrame:
-    rows = lines.select(F.from_json(body, DECISION).alias("r")).select("r.*")
+def parse_decisions(lines: DataFrame, body: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    rows = lines.select(*keep, F.from_json(body, DECISION).alias("r")).select(*keep, "r.*")
     return rows.filter(instant_seconds(F.col("ts")).isNotNull())
 
 
@@ -60,12 +60,14 @@ def write_decision_log(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
-def structure_facts(spark: SparkSession, path: str) -> DataFrame:
+def structure_facts(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
     """(path, content_hash, kind, name, line, hash) from structure files, newer shape or older parallel arrays.
 
+    A file is one JSON object, or, with ``whole_files=False``, an object a line.
+
     The older shape has names by kind and maps keyed ``kind:name``.
     """
-    docs = spark.read.schema(STRUCTURE).option("multiLine", True).json(path)
+    docs = spark.read.schema(STRUCTURE).option("multiLine", whole_files).json(path)
     files = docs.select(F.explode("files").alias("path", "f"))
     def listed(plural: str, kind: str) -> Column:
         key = lambda n: F.concat(F.lit(kind + ":"), n)

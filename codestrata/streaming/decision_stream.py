@@ -32,9 +32,15 @@ def decision_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def exactly_once(records: DataFrame) -> DataFrame:
-    """The first copy of each record; copies later than the watermark are late data and dropped."""
-    key = F.xxhash64("ts", "edit", "file", "decision", F.col("edit").isNull(), F.col("file").isNull())
-    return records.withColumn("record_key", key).dropDuplicatesWithinWatermark(["record_key", "ts", "file", "decision"])
+    """The first copy of each record: equal instant, edit, file and decision, null equal to null.
+
+    State leaves with the watermark, so a copy that comes more than a day after the newest
+    record is late data and dropped, be it the first or not; the batch operator keeps such a first copy.
+    """
+    fraction = instant_fraction(F.col("ts"))
+    rows = records.withColumns({"record_sec": instant_seconds(F.col("ts")), "record_frac": fraction})
+    unique = rows.dropDuplicatesWithinWatermark(["record_sec", "record_frac", "edit", "file", "decision"])
+    return unique.drop("record_sec", "record_frac")
 
 
 def volumes(records: DataFrame, window: str = "1 hour") -> DataFrame:

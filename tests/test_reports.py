@@ -11,7 +11,7 @@ from codestrata.operators import extract, reports
 def test_folds_and_shapes(spark):
     s = spark.createDataFrame([("p", "function", "f", 1, "a", 3, "d"), ("p", "function", "f", 2, "b", 9, "e"), ("p", "class", "C", 3, "", 0, None)], "path string, kind string, name string, ordinal int, hash string, line int, doc string")
     got = {r.name: r for r in reports.folded_symbols(s).collect()}
-    assert got["f"].hash == hashlib.sha256(b"a\x00b").hexdigest() and got["f"].line == 3 and got["f"].doc == "d"
+    assert got["f"].hash == hashlib.sha256(b"ab").hexdigest() and got["f"].line == 3 and got["f"].doc == "d"
     old = reports.legacy_shape(reports.folded_symbols(s).withColumn("content_hash", F.lit("h"))).first()
     assert old.functions == ["f"] and old.classes == ["C"] and old.exports == []
     assert [x.name for x in reports.symbols_by_file(s).first().symbols] == ["C", "f", "f"]
@@ -22,8 +22,8 @@ def test_cache_verdicts_scores(spark):
     none = spark.createDataFrame([], "key string")
     misses = reports.cache_misses(p, none, "v1")
     assert misses.count() == 2 and reports.cache_misses(p, misses.select("key"), "v1").count() == 0 and reports.cache_misses(p, misses.select("key"), "v2").count() == 2
-    r = spark.createDataFrame([(1, "lint", "ok", ""), (1, "scope", "unknown", "timeout"), (1, "x", "unknown", "star-import")], "event long, check string, verdict string, reason string")
-    assert reports.verdict_maps(r).first().reasons == {"scope": "timeout", "x": "star-import"}
+    r = spark.createDataFrame([(1, "lint", "ok", ""), (1, "scope", "unknown", "timeout"), (1, "x", "unknown", "ambiguous-local")], "event long, check string, verdict string, reason string")
+    assert reports.verdict_maps(r).first().reasons == {"scope": "timeout", "x": "ambiguous-local"}
     assert reports.degraded_unknowns(r).first().n == 1
     c = spark.createDataFrame([("go", True, True), ("go", False, True), ("go", False, False)], "lang string, flagged boolean, label boolean")
     s = reports.scorecard(c, ["lang"]).first()
@@ -38,9 +38,9 @@ def test_captured_and_triage(spark):
     assert reports.captured_cases(good).first().position == "arg"
     with pytest.raises(Exception, match="invalid case"):
         reports.captured_cases(good.withColumn("label", F.lit("real"))).collect()
-    f = spark.createDataFrame([("r", "a.go", True), ("r", "dist/x.js", True), ("q", "b.go", True), ("q", "c.go", True), ("q", "d.go", False)], "repo string, path string, genuine boolean")
+    f = spark.createDataFrame([("r", "a.go", True), ("r", "a/dist/x.js", True), ("q", "b.go", True), ("q", "c.go", True), ("q", "d.go", False)], "repo string, path string, genuine boolean")
     assert reports.triage_verdict(reports.triage(f)).first().worth
-    assert [r.path for r in reports.changed_paths(f.select("path"), f.select("path")).collect()] == ["a.go", "b.go", "c.go", "d.go", "dist/x.js"]
+    assert [r.path for r in reports.changed_paths(f.select("path"), f.select("path")).collect()] == ["a.go", "a/dist/x.js", "b.go", "c.go", "d.go"]
 
 
 def test_lines_and_payloads(spark):
