@@ -5,8 +5,8 @@ sort, spilling as Spark's sort does), then each range is scanned once for runs:
 equal terms give the occurrences, changes of the record inside a term the number
 of distinct records.
 
-Before the sort the pairs are summed per (term, record), so a record that
-repeats a term sends one row a task. Ranges are cut by (term, record): a term
+Before the sort equal pairs of one Arrow batch become one, so a record that repeats a
+term a million times sends a row a batch. Ranges are cut by (term, record): a term
 that is a third of all pairs fills many ranges, and as equal pairs meet in one
 range, the few partial runs of a term are added exactly.
 """
@@ -70,14 +70,22 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out([held[0]], [held[1]], [held[2]])
 
 
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal pairs of a batch as one."""
+    for batch in batches:
+        if batch.num_rows:
+            summed = pa.Table.from_batches([batch]).group_by(["name", "record"], use_threads=False).aggregate([("n", "sum")])
+            yield from summed.rename_columns(["name", "record", "n"]).to_batches()
+
+
 def term_counts(pairs: DataFrame) -> DataFrame:
     """(name, occurrences, records) from (name, record, n): n occurrences of a name in a record.
 
     Null names or records are no pairs; an n of null counts as 0.
     """
-    clean = pairs.dropna(subset=["name", "record"])
-    summed = clean.groupBy("name", "record").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"))
-    ranges = summed.repartitionByRange("name", "record").sortWithinPartitions("name", "record")
+    clean = pairs.dropna(subset=["name", "record"]).select("name", "record", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    combined = clean.mapInArrow(_combined, "name string, record string, n long")
+    ranges = combined.repartitionByRange("name", "record").sortWithinPartitions("name", "record")
     partial = ranges.mapInArrow(_runs, "name string, occurrences long, records long")
     return partial.groupBy("name").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
