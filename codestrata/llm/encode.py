@@ -30,7 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.spread import spread, tasks_for
+from codestrata.llm.spread import spread
+from codestrata.session import cpu_tasks
 
 #: Where the public vocabularies lie; a parameter of every function that reads them.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -227,6 +228,6 @@ def encode_corpus(
         f"row long, k int, n int, {kept}, ids array<int>, head array<int>, head_at array<int>, tail array<int>, tail_at array<int>,"
         " sure int, lead string, lead_at int, own string",
     )
-    ordered = scanned.repartition(tasks_for(documents), "row").sortWithinPartitions("row", "k")
+    ordered = scanned.repartition(cpu_tasks(documents), "row").sortWithinPartitions("row", "k")
     found = ordered.mapInPandas(_stitched(path, step, names), f"{kept}, ids array<int>")
     return found.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "ids")

@@ -7,8 +7,10 @@ one, and the nearer within the tolerance is chosen.
 An entity that holds a third of all rows is split by time: rows meet in buckets
 of many tolerances' width, and right-side rows within the tolerance of a bucket's
 edge are also put into the neighbour, so no pair is lost and none is seen twice
-(a left row is in one bucket). Carrying needs one running value a pass, never a
-buffered group.
+(a left row is in one bucket). Carrying needs one running value a pass; Spark's
+window holds the rows of one entity and bucket, and spills them to disk. The width of
+the buckets is a parameter: narrower ones split a hotter entity further, as long as
+they are wider than the tolerance.
 """
 
 from __future__ import annotations

@@ -4,17 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-#: Input bytes of one task at most, as the optimizer estimates them from the files.
-TASK_BYTES = 32 << 20
-
-
-def tasks_for(df: DataFrame) -> int:
-    """Number of tasks by the bytes read, but at least three a core and the session's shuffle partitions."""
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    # a source that does not know its size reports the largest number
-    by_size = -(-size // TASK_BYTES) if size < 1 << 56 else 0
-    return max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), by_size)
+from codestrata.session import cpu_tasks
 
 
 def spread(df: DataFrame, *key: str) -> DataFrame:
@@ -23,4 +13,4 @@ def spread(df: DataFrame, *key: str) -> DataFrame:
     The number is given explicitly, as adaptive coalescing measures bytes and
     would put CPU-bound work back into a few tasks.
     """
-    return df.repartition(tasks_for(df), *key)
+    return df.repartition(cpu_tasks(df), *key)
