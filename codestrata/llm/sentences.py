@@ -9,22 +9,32 @@ length, and its quotations and brackets, which must be balanced and may make up
 the whole span. Scores of a span need both of its ends, which is why spans and
 not boundaries are selected.
 
+Which words are abbreviations is known of the common ones and learned for the
+rest: in one pass over all documents every short word is counted with and without a
+stop behind it, and by whether a lower-case word or a digit follows; what nearly
+always has the stop, and is often carried on after, is an abbreviation.
+
 The search from a candidate back over possible starts stops when no longer span
 can win any more (the score of the best start so far less the growing cost of
 length), so it is exact and near linear in the text's length.
 
-Texts are worked on where they lie after being spread over all tasks; there is
-no other shuffle.
+Texts are worked on where they lie after being spread over all tasks; the counts of
+words are summed in every batch and bounded by the vocabulary. What is learned is a
+list of short words, collected (it is checked to be small) and sent along.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from codestrata.llm.spread import spread
 
@@ -35,22 +45,33 @@ NEVER = frozenset(
 )
 #: ... and those that end one only where a new one begins.
 MAYBE = frozenset("etc usw ltd inc co corp jr bros a.m p.m т.д т.п и.т.д u.s e.s.p".split())
+#: Titles and parts of names, which end no sentence before a capital if they have one themselves,
+TITLES = frozenset("gen col capt lt sgt cpl maj adm rev hon gov sen rep pres messrs ms st mt ft ste hr fr frau sig dott ing".split())
+#: ... and words that end none before a number.
+BEFORE_NUMBER = frozenset("no nos vol vols ch art par ed bd abs jan feb mar apr jun jul aug sep sept oct nov dec okt dez núms tel".split())
 #: Words before an ordinal number in German.
 ORDINAL_AFTER = frozenset("der die das dem den des vom zum zur am im beim seit bis ab ein einen einem".split())
-#: Words that may open a sentence in lower case.
-LOWER_OPENERS = frozenset(["approx."])
 #: Particles that carry on after a quotation (Japanese).
 CARRY_ON = ("と", "って", "という", "とか", "は", "が", "を", "に", "の")
 
 _LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _MARK = re.compile(r"[^\S\n\r\x0b\x0c\x85\u2028\u2029]*(?:[-*]|\d+\.)[ \t\u00a0]")
-_STOP = re.compile(r"[.!?…؟۔。！？｡।॥]+")
+#: Every character with the property, and the ellipsis; those that need no space after them are all but a few.
+_TERMINALS = "".join(c for c in map(chr, range(0x10FFFF)) if not "\ud800" <= c <= "\udfff" and regex.match(r"\p{Sentence_Terminal}", c)) + "…"
+_SPACED = frozenset(".!?…؟۔․‼‽⁇⁈⁉")
+_STOP, _PLAIN_STOP = re.compile(f"[{re.escape(_TERMINALS)}]+"), re.compile(r"[.!?]+")
+_THAI = re.compile("[\u0e00-\u0e7f]")
 _THAI_SPACE = re.compile(r"(?<=[฀-๿])[^\S\n\r\x0b\x0c\x85\u2028\u2029]+(?=[฀-๿])")
 _CODE = re.compile(r"`[^`\n]*(?:\n[^`\n]+)?`")
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "»": "«", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "《": "》", '"': '"'}
 _CLOSERS = frozenset("”“»«」』)）]》\"’'")
 _WIDE = frozenset("。！？｡")
 _WORD_BEFORE = re.compile(r"(\S+)\Z")
+_NEXT = re.compile(r"\s*(\S*)")
+_PAIRED = re.compile(r"[“”„«»「」『』()（）\[\]《》\"]")
+_LETTERS = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")
+_SHORT_BEFORE = re.compile(r"([^\W\d_]{1,2})\.\Z")
+_PLAIN_BEFORE = re.compile(r"([^\W\d_]+)\s*\Z")
 _IDENTIFIER = re.compile(r"[a-zа-я][A-Z]|_|\w[./-]\w*[./\w]|\d|[()$=@#`]")
 
 SPAN_COST = 0.4
@@ -83,13 +104,13 @@ def _matched(block: str, code: list[tuple[int, int]]) -> dict[int, int]:
     """Opening offset -> closing offset of quotations and brackets that are closed inside the block."""
     stack: list[tuple[str, int]] = []
     pairs: dict[int, int] = {}
-    inside = [False] * (len(block) + 1)
-    for a, b in code:
-        for k in range(a, b):
-            inside[k] = True
-    for m in re.finditer(r"[“”„«»「」『』()（）\[\]《》\"]", block):
+    ends = iter([*code, (len(block), len(block))])
+    a, b = next(ends)
+    for m in _PAIRED.finditer(block):
         c, k = m[0], m.start()
-        if inside[k]:
+        while k >= b:
+            a, b = next(ends)
+        if k >= a:
             continue
         depth = next((n for n in range(len(stack) - 1, -1, -1) if c in _PAIRS[stack[n][0]]), None)
         if depth is not None and not (c == '"' and stack[depth][0] != '"'):
@@ -100,12 +121,19 @@ def _matched(block: str, code: list[tuple[int, int]]) -> dict[int, int]:
     return pairs
 
 
-def _candidates(block: str, first: int) -> tuple[list[int], list[float], dict[int, int]]:
+class Known(NamedTuple):
+    """Learned abbreviations: those that never end a sentence, and those that do where a new one begins."""
+
+    never: frozenset[str] = frozenset()
+    maybe: frozenset[str] = frozenset()
+
+
+def _candidates(block: str, first: int, known: Known) -> tuple[list[int], list[float], dict[int, int]]:
     """Offsets at which a sentence may end, the score of ending there, and matched pairs.
 
     ``first`` is the offset behind a list mark.
     """
-    code = [m.span() for m in _CODE.finditer(block)]
+    code = [m.span() for m in _CODE.finditer(block)] if "`" in block else []
     code_starts = [a for a, _ in code]
 
     def in_code(k: int) -> bool:
@@ -115,68 +143,70 @@ def _candidates(block: str, first: int) -> tuple[list[int], list[float], dict[in
     pairs = _matched(block, code)
     closing = {b: a for a, b in pairs.items()}
     found: dict[int, float] = {}
-    for m in _STOP.finditer(block, first):
-        if in_code(m.start()):
+    size = len(block.rstrip())
+    plain = block.isascii()
+    for m in (_PLAIN_STOP if plain else _STOP).finditer(block, first):
+        stop, end = m.span()
+        if code and in_code(stop):
             continue
-        end = m.end()
         closed_at = None
-        while end < len(block):
+        while end < size:
             k = end
-            while k < len(block) and block[k] in " \u00a0\u202f" and k - end < 1 and block[k + 1 : k + 2] == "»":
+            if block[k] in " \u00a0\u202f" and block[k + 1 : k + 2] == "»":
                 k += 1
-            if block[k : k + 1] in _CLOSERS and (k in closing or block[k] in "’'" and not block[k + 1 : k + 2].isalnum()):
+            c = block[k]
+            if c in _CLOSERS and (k in closing or c in "’'" and not block[k + 1 : k + 2].isalnum()):
                 closed_at = k
                 end = k + 1
             else:
                 break
-        wide = m[0][-1] in _WIDE
-        if end < len(block) and not block[end].isspace() and not wide and m[0][-1] not in "।॥":
+        if end >= size:
             continue
-        if not block[end:].strip():
+        spaced = block[end - 1 if closed_at is None else stop + len(m[0]) - 1] in _SPACED
+        if spaced and not block[end].isspace():
             continue
-        found[end] = _ending(block, m.start(), m[0], end, closed_at, closing)
-    for m in _THAI_SPACE.finditer(block, first):
-        if not in_code(m.start()):
-            found[m.start()] = 40.0
+        found[end] = _ending(block, stop, m[0], end, closed_at, known)
+    if not plain and _THAI.search(block):
+        for m in _THAI_SPACE.finditer(block, first):
+            if not in_code(m.start()):
+                found[m.start()] = 40.0
     at = sorted(found)
     return at, [found[k] for k in at], pairs
 
 
 def _opening(block: str, end: int) -> tuple[str, str]:
     """(kind, word) of what follows: lower, code, digit, quote, capital or caseless."""
-    rest = block[end : end + 120].lstrip()
-    word = rest.split(None, 1)[0] if rest else ""
+    word = _NEXT.match(block, end)[1]
     c = word[:1]
     if c in "“„«「『\"(（[《¿¡":
         return "quote", word
-    if c == "`" or _IDENTIFIER.search(word.rstrip(".,;:!?")) and not c.isdigit() and not c.isupper():
-        return "code", word
-    if c.isdigit():
-        return "digit", word
     if c.isupper():
         return "capital", word
-    if c.islower():
-        return "lower", word
-    return "caseless", word
+    if c.isdigit():
+        return "digit", word
+    if c == "`" or _IDENTIFIER.search(word.rstrip(".,;:!?")):
+        return "code", word
+    return ("lower" if c.islower() else "caseless"), word
+
+
+_OPENS = {"lower": -7.0, "code": 1.0, "digit": 1.0, "quote": 2.0, "capital": 2.0, "caseless": 2.0}
 
 
-def _ending(block: str, stop: int, stops: str, end: int, closed_at: int | None, closing: dict[int, int]) -> float:
+def _ending(block: str, stop: int, stops: str, end: int, closed_at: int | None, known: Known) -> float:
     """Score of a sentence that ends here, of its last words and of the words that follow."""
+    last_stop = stops[-1]
     kind, word = _opening(block, end)
-    if stops[-1] in _WIDE:
-        score = 4.0
+    if last_stop in _WIDE:
         if closed_at is not None and block[closed_at] in "”」』":
             # a quotation inside a sentence does not end it; one that is the sentence does (see the span's score)
-            score = -3.0
-            if word.startswith(CARRY_ON):
-                score = -12.0
-        return score
-    opens = {"lower": -7.0, "code": 1.0, "digit": 1.0, "quote": 2.0, "capital": 2.0, "caseless": 2.0}[kind]
-    if kind == "lower" and word in LOWER_OPENERS:
-        opens = 1.0
-    if stops[-1] in "।॥؟۔":
+            return -12.0 if word.startswith(CARRY_ON) else -3.0
         return 4.0
-    if set(stops) & set("!?"):
+    if last_stop not in _SPACED or last_stop in "؟۔":
+        return 4.0
+    opens = _OPENS[kind]
+    if kind == "lower" and word[-1:] == "." and (bare := word[:-1]) in NEVER | known.never and _NEXT.match(block, block.find(word, end) + len(word))[1][:1].isdigit():
+        opens = 1.0  # an abbreviation before a number may open a sentence
+    if "!" in stops or "?" in stops or last_stop in "‼‽⁇⁈⁉":
         return 3.0 + opens
     if stops[0] == "…" or len(stops) > 1:
         return 2.0 + opens
@@ -186,33 +216,38 @@ def _ending(block: str, stop: int, stops: str, end: int, closed_at: int | None,
     low = last.lower()
     if closed_at is None or block[closed_at] in "’'":
         before = head[: len(head) - len(last)].rstrip() if last else head
-        pair = re.search(r"([^\W\d_]{1,2})\.\Z", before)
+        pair = _SHORT_BEFORE.search(before) if before[-1:] == "." else None
         joined = f"{pair[1].lower()}.{low}" if pair else ""
-        if joined in MAYBE or low in MAYBE or re.fullmatch(r"(?:[a-zа-я]\.)+[a-zа-я]", low) and low not in NEVER:
-            return opens
         if low in NEVER or joined in NEVER:
             return -12.0
-        if low == "no" and kind == "digit":
-            return -9.0
-        if len(last) == 1 and last.isalpha() and last.isupper() and kind == "capital":
+        if joined in MAYBE or low in MAYBE:
+            return opens
+        if low in known.never:
             return -12.0
-        if last.isdigit() and len(last) <= 2 and kind == "capital":
-            previous = re.search(r"([^\W\d_]+)\s*\Z", before)
-            if previous and previous[1].lower() in ORDINAL_AFTER:
+        if low in known.maybe or "." in low and _LETTERS.fullmatch(low):
+            return opens
+        if kind == "digit" and low in BEFORE_NUMBER:
+            return -9.0
+        if kind == "capital":
+            if len(last) == 1 and last.isalpha() and last.isupper() or low in TITLES and last[:1].isupper():
                 return -12.0
+            if len(last) <= 2 and last.isdigit():
+                previous = _PLAIN_BEFORE.search(before)
+                if previous and previous[1].lower() in ORDINAL_AFTER:
+                    return -12.0
     return 3.0 + opens
 
 
-def divide(block: str) -> list[tuple[int, int]]:
+def divide(block: str, known: Known = Known()) -> list[tuple[int, int]]:
     """The best division of one block into spans, edges without white space."""
     m = _MARK.match(block)
     first = m.end() if m else 0
-    at, ends, pairs = _candidates(block, first)
+    at, ends, pairs = _candidates(block, first, known)
     if not at:
         return _trim(block, [(0, len(block))])
-    openings = sorted(pairs)
-    # depth of quotation after each candidate, by the number of pairs around it
-    around = [sum(1 for a in openings if a < k and pairs[a] >= k) for k in at] if openings else [0] * len(at)
+    # depth of quotation after each candidate: pairs opened before it less those closed before it
+    openings, closings = sorted(pairs), sorted(pairs.values())
+    around = [bisect_left(openings, k) - bisect_left(closings, k) for k in at] if openings else [0] * len(at)
     cuts = [0, *at, len(block)]
     gain = [0.0, *[e + UNBALANCED * bool(d) for e, d in zip(ends, around, strict=True)], 0.0]
     best = [0.0] * len(cuts)
@@ -239,17 +274,20 @@ def divide(block: str) -> list[tuple[int, int]]:
 
 
 def _span(block: str, start: int, end: int, pairs: dict[int, int], first: int) -> float:
-    """What only both ends of a span tell: an empty span, a whole quotation, the answer "No."."""
-    piece = block[max(start, first) if start == 0 else start : end].strip()
+    """What only both ends of a span tell: an empty span, a whole quotation, a whole answer of one word."""
+    low = max(start, first) if start == 0 else start
+    while low < end and block[low].isspace():
+        low += 1
+    if end - low > 3 and block[low] not in _PAIRS:
+        return 0.0
+    piece = block[low:end].rstrip()
     if len(piece) < 4:
-        if piece == "No.":
+        if piece[-1:] == "." and piece[:1].isupper() and piece[:-1].lower() in BEFORE_NUMBER and (start == 0 or _NEXT.match(block, end)[1][:1].isupper()):
             return 12.0
         if not any(c.isalnum() for c in piece):
             return EMPTY
-    if piece[0] in _PAIRS:
-        k = start + block[start:end].index(piece[0]) if start else block.index(piece[0], first)
-        if pairs.get(k) == k + len(piece) - 1:
-            return WHOLE_QUOTE
+    if pairs.get(low) == low + len(piece) - 1:
+        return WHOLE_QUOTE
     return 0.0
 
 
@@ -264,30 +302,74 @@ def _trim(block: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def sentence_spans(text: str | None) -> list[tuple[int, int]]:
+def sentence_spans(text: str | None, known: Known = Known()) -> list[tuple[int, int]]:
     """Code-point offsets of the sentences of a text; none for null and blank texts."""
     if not text or text.isspace():
         return []
-    return [(a + s, a + e) for a, b in blocks(text) for s, e in divide(text[a:b])]
+    return [(a + s, a + e) for a, b in blocks(text) for s, e in divide(text[a:b], known)]
+
+
+_TOKEN = re.compile(r"(?<![\w.])([^\W\d_]{1,6}(?:\.[^\W\d_]{1,4})*)(?:(\.)\s+([^\W_])|(?![\w.]))")
+
+
+def word_counts(texts: Iterator[str]) -> Counter:
+    """(word in lower case, how it stands) -> times; it stands ``bare``, or with a stop and then ``on`` (a lower-case word or a digit) or ``new``."""
+    found: Counter = Counter()
+    for text in texts:
+        found.update(_TOKEN.findall(text))
+    out: Counter = Counter()
+    for (word, stop, after), n in found.items():
+        out[word.lower(), "bare" if not stop else "on" if after.islower() or after.isdigit() else "new"] += n
+    return out
+
+
+#: A word is an abbreviation if it has a stop in this share of at least so many cases and is carried on in this share of those;
+#: from the last share on it never ends a sentence.
+LEAST, WITH_STOP, CARRIED, ALWAYS = 20, 0.98, 0.25, 0.98
+#: More learned words than any language has would mean that something is wrong with the texts.
+MOST_LEARNED = 20_000
+
 
+def learned_abbreviations(documents: DataFrame) -> Known:
+    """What the texts themselves show to be abbreviations; every text counts, repeated ones again."""
 
-def _run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        rows = [
-            (doc_id, n, a, b, text[a:b])
-            for doc_id, text in zip(part["doc_id"], part["text"], strict=True)
-            for n, (a, b) in enumerate(sentence_spans(text))
-        ]
-        yield pd.DataFrame(rows, columns=["doc_id", "seq", "start_pos", "end_pos", "sentence"])
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(*k, n) for k, n in word_counts(part["text"]).items()]
+            yield pd.DataFrame(rows, columns=["word", "stands", "n"])
 
+    counts = documents.filter("text is not null").select("text").mapInPandas(run, "word string, stands string, n long")
+    n = lambda x: F.coalesce(F.sum(F.when(F.col("stands") == x, F.col("n"))), F.lit(0)).alias(x)
+    sums = counts.groupBy("word").agg(n("bare"), n("on"), n("new")).withColumn("stops", F.col("on") + F.col("new"))
+    share = F.col("on") / F.col("stops")
+    learned = sums.filter(
+        (F.col("stops") >= LEAST) & (F.col("stops") >= WITH_STOP * (F.col("stops") + F.col("bare"))) & (share >= CARRIED)
+    ).select("word", (share >= ALWAYS).alias("never"))
+    rows = learned.limit(MOST_LEARNED + 1).collect()
+    if len(rows) > MOST_LEARNED:
+        raise ValueError("too many words look like abbreviations")
+    return Known(frozenset(r["word"] for r in rows if r["never"]), frozenset(r["word"] for r in rows if not r["never"]))
 
-def sentences(documents: DataFrame) -> DataFrame:
+
+def sentences(documents: DataFrame, known: Known | None = None) -> DataFrame:
     """(doc_id, seq, start_pos, end_pos, sentence) of every document.
 
     Offsets are code points, from 0, end exclusive; no white space at either
     edge; together the sentences cover everything but white space. Null and
-    blank texts have no rows; a repeated doc_id gives its rows again.
+    blank texts have no rows; a repeated doc_id gives its rows again. ``known`` are
+    abbreviations besides the common ones, learned from the documents if not given.
     """
+    learned = learned_abbreviations(documents) if known is None else known
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [
+                (doc_id, n, a, b, text[a:b])
+                for doc_id, text in zip(part["doc_id"], part["text"], strict=True)
+                for n, (a, b) in enumerate(sentence_spans(text, learned))
+            ]
+            yield pd.DataFrame(rows, columns=["doc_id", "seq", "start_pos", "end_pos", "sentence"])
+
     schema = "doc_id long, seq int, start_pos long, end_pos long, sentence string"
     rows = documents.select("doc_id", "text").filter("text is not null")
-    return spread(rows, "doc_id").mapInPandas(_run, schema)
+    return spread(rows, "doc_id").mapInPandas(run, schema)

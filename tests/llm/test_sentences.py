@@ -1,10 +1,11 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
-from codestrata.llm.sentences import sentence_spans, sentences
+from codestrata.llm.sentences import Known, learned_abbreviations, sentence_spans, sentences
 
 
 def split(text):
@@ -31,6 +32,30 @@ def test_spaced_scripts(parts):
     assert split("\n".join(parts)) == parts
 
 
+@pytest.mark.parametrize("parts", [
+    ["Gen. Smith met Sgt. Pepper in St. Louis on Oct. 5.", "They climbed Mt. Everest.", "See Vol. 3, ch. 4 and art. 12."],
+    ["ខ្ញុំទៅផ្សារ។", "គាត់ទៅសាលា។"], ["ကျွန်တော်သွားသည်။", "သူလာသည်။"], ["ሰላም ነው።", "ደህና ነህ፧"], ["Is it?!", "It is‼"],
+])
+def test_more_abbreviations_and_scripts(parts):
+    assert split(" ".join(parts)) == parts
+
+
+def test_learned_abbreviations(spark):
+    texts = [f"It took {k} zyk. in all and zyk. {k} more. The abk. Foo ran, abk. bar too. A plain end. Then more." for k in range(60)]
+    texts += ["plain words and an end here", None, ""]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, word string")
+    known = learned_abbreviations(df)
+    assert known.never == {"zyk"} and known.maybe == {"abk"}
+    assert [t[a:b] for t in texts[3:4] for a, b in sentence_spans("It took 3 zyk. Later abk. Then more.", known) for t in ["It took 3 zyk. Later abk. Then more."]] == ["It took 3 zyk. Later abk.", "Then more."]
+    assert learned_abbreviations(df.limit(0)) == Known()
+
+
+def test_many_quotations_are_not_quadratic():
+    begin = time.process_time()
+    sentence_spans('"a" b. ' * 20_000)
+    assert time.process_time() - begin < 20
+
+
 def test_scripts_without_spaces():
     parts = ["担当者は「終わった。」と書いた。", "「確認済みです。」", "次の枝は変わらない。", "版0.1.3では？", "はい！"]
     assert split("".join(parts)) == parts
