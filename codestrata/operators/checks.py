@@ -106,3 +106,30 @@ def duplicate_definitions(facts: DataFrame, paths: DataFrame) -> DataFrame:
     rows = rows.filter(~F.col("path").endswith("_test.go")).select("repo_id", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), "name", "source_id", "tied").distinct()
     many = rows.groupBy("repo_id", "dir", "name").agg(F.count("*").alias("n"), F.count_if(~F.col("tied")).alias("free")).filter("n > 1 and free > 0").drop("n", "free")
     return rows.join(many, ["repo_id", "dir", "name"], "left_semi").select("source_id", "name")
+
+
+#: Fixed order in which the checks that fired are named.
+CHECK_ORDER = ("violations", "filescope", "qualified", "recv-method", "var-type", "call-shape", "duplicate")
+
+
+def decisions(files: DataFrame, findings: dict[str, DataFrame]) -> DataFrame:
+    """(source_id, decision, reason, symbols, found) of each file: the composed answer of all checks.
+
+    ``findings`` has a check's (source_id, name) rows under its name. A file with any finding is
+    asked about: the reason joins the checks in fixed order, the symbols are sorted and named once,
+    whichever checks report them; ``found`` counts them. All other files are deferred.
+    """
+    rows = None
+    for n, check in enumerate(c for c in CHECK_ORDER if c in findings):
+        part = findings[check].select("source_id", "name", F.lit(n).alias("place"), F.lit(check).alias("check")).distinct()
+        rows = part if rows is None else rows.unionByName(part)
+    by_symbol = rows.groupBy("source_id", "name").agg(F.collect_set(F.struct("place", "check")).alias("c"))
+    sums = by_symbol.groupBy("source_id").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("c")))).alias("c"), F.array_sort(F.collect_list("name")).alias("symbols"), F.count("*").alias("found")
+    )
+    reason = F.array_join(F.transform("c", lambda x: x["check"]), "+")
+    joined = files.select("source_id").join(sums, "source_id", "left")
+    return joined.select(
+        "source_id", F.when(F.col("found") > 0, "ask").otherwise("defer").alias("decision"), F.coalesce(reason, F.lit("")).alias("reason"),
+        F.coalesce("symbols", F.array().cast("array<string>")).alias("symbols"), F.coalesce("found", F.lit(0)).alias("found"),
+    )

@@ -48,7 +48,7 @@ def unique_asks(records: DataFrame) -> DataFrame:
     return asks.join(first.select("delivery_id"), "delivery_id", "left_semi")
 
 
-def _match(key, asks: pd.DataFrame, outcomes: pd.DataFrame) -> pd.DataFrame:
+def _match(asks: pd.DataFrame, outcomes: pd.DataFrame) -> pd.DataFrame:
     """Earliest unconsumed outcome at or after each ask, asks in order of time; one outcome serves one ask."""
     asks = asks.sort_values(["t", "delivery_id"])
     outcomes = outcomes.sort_values(["t", "delivery_id"])
@@ -79,7 +79,6 @@ def _match(key, asks: pd.DataFrame, outcomes: pd.DataFrame) -> pd.DataFrame:
         if found is not None:
             consumed.add(found[1])
             rows.append((ask_id, found[1], track, found[0] - at))
-    del key
     return pd.DataFrame(rows, columns=["ask_id", "outcome_id", "track", "latency_us"])
 
 
@@ -87,31 +86,39 @@ def approvals(records: DataFrame) -> DataFrame:
     """(ask_id, outcome_id, track, latency_us): greedy one-to-one pairing of asks with approved outcomes.
 
     First by equal file and edit fingerprint within a day, else by equal file and
-    symbols within five minutes, both strict. Both tracks hold the file, so files
-    are independent; the fold is ordered and consuming and cannot be a plain join.
+    symbols within five minutes, both strict. The fold is ordered and consuming and
+    cannot be a plain join. It runs over stretches of a file's history: an ask reaches
+    to the last outcome it could take, and where nothing reaches across, the history is
+    cut; asks that could take none are left out. So a file with a third of all records
+    is folded in as many pieces as it has busy times.
     """
-    t = record_micros().alias("t")
-    columns = ["file", t, "delivery_id", "edit", "symbol_key"]
-    asks = unique_asks(records).filter("file is not null and symbol_key <> ''").select(*columns)
+    columns = ["file", record_micros().alias("t"), "delivery_id", F.nullif("edit", F.lit("")).alias("edit"), "symbol_key"]
+    asks = unique_asks(records).filter("file is not null and symbol_key <> ''").select(*columns, F.lit(True).alias("is_ask"))
     approved = (
         records.filter("decision = 'outcome' and reason = 'approved' and file is not null")
-        .withColumn("symbol_key", symbol_key(F.col("symbols"))).filter("symbol_key <> ''").select(*columns)
-    )
-    asks = asks.select(*[F.col(c).alias(c) for c in asks.columns])
-    approved = approved.select(*[F.col(c).alias(c) for c in approved.columns])
-    # only asks that have an outcome of their fingerprint, or of their symbols in the same or next bucket, enter the fold
-    bucket = lambda c, add=0: F.floor((F.col(c) + add) / (SYMBOL_WINDOW * 1_000_000))
-    by_edit = approved.filter("edit is not null").select("file", "edit").distinct()
-    by_symbols = approved.select("file", "symbol_key", bucket("t").alias("bucket")).distinct()
-    near = asks.withColumn("bucket", F.explode(F.array(bucket("t"), bucket("t", SYMBOL_WINDOW * 1_000_000))))
-    hopeful = (
-        asks.join(by_edit, ["file", "edit"], "left_semi").select("delivery_id")
-        .unionByName(near.join(by_symbols, ["file", "symbol_key", "bucket"], "left_semi").select("delivery_id")).distinct()
+        .withColumn("symbol_key", symbol_key(F.col("symbols"))).filter("symbol_key <> ''").select(*columns, F.lit(False).alias("is_ask"))
     )
-    rateable = asks.join(hopeful, "delivery_id", "left_semi")
-    rateable = rateable.select(*[F.col(c).alias(c) for c in approved.columns])
-    schema = "ask_id long, outcome_id long, track string, latency_us long"
-    return rateable.groupBy("file").cogroup(approved.groupBy("file")).applyInPandas(_match, schema)
+
+    def reach(by: list[Column], seconds: int) -> Column:
+        within = Window.partitionBy("file", *by).orderBy("t").rangeBetween(0, seconds * 1_000_000 - 1)
+        return F.max(F.when(~F.col("is_ask"), F.col("t"))).over(within)
+
+    # records without an edit are no group of that key
+    keyed = [F.col("edit").isNull().alias("none"), F.coalesce("edit", "symbol_key")]
+    events = asks.unionByName(approved)
+    events = events.withColumn("by_edit", F.when(F.col("edit").isNotNull(), reach(keyed, KEYED_WINDOW))).withColumn("by_symbols", reach([F.col("symbol_key")], SYMBOL_WINDOW))
+    live = events.withColumn("end", F.when(F.col("is_ask"), F.greatest("by_edit", "by_symbols")).otherwise(F.col("t"))).filter("end is not null")
+    order = Window.partitionBy("file").orderBy("t", "delivery_id")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    cut = live.withColumn("apart", F.coalesce(F.col("t") > before, F.lit(True)))
+    pieces = cut.withColumn("piece", F.count_if("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    asked = F.max("is_ask").over(Window.partitionBy("file", "piece"))
+    rows = pieces.withColumn("asked", asked).filter("asked").select("file", "piece", "t", "delivery_id", "edit", "symbol_key", "is_ask")
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        return _match(group[group["is_ask"]], group[~group["is_ask"]])
+
+    return rows.groupBy("file", "piece").applyInPandas(fold, "ask_id long, outcome_id long, track string, latency_us long")
 
 
 def approval_buckets(records: DataFrame, since_sec: int, max_rate: float = 0.5) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codestrata.functions.paths import path_form
 from codestrata.operators import checks, extract
 from codestrata.plans.registry import Registry
 from codestrata.session import materialise, table
@@ -79,4 +80,25 @@ def duplicate_definitions_check(spark, d):
     return checks.duplicate_definitions(_facts(spark, d), table(spark, d, "source_files"))
 
 
+@R.query("package_exports")
+def package_exports(spark, d):
+    """Exports of every directory with Go files; unreadable ones are unknown."""
+    rows = table(spark, d, "source_files").filter("path like '%.go' and content is not null").withColumn("path", path_form(F.col("path"))).filter("path not like '%\\_test.go'")
+    package = F.concat_ws(":", "repo_id", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+    return extract.package_exports(rows.select(package.alias("package"), "content"))
+
+
+@R.query("write_decisions")
+def write_decisions(spark, d):
+    """The composed answer of all checks for every file."""
+    facts, known = materialise(_facts(spark, d), "facts"), _known(spark, d)
+    exports = spark.createDataFrame([("log", "resolved", n) for n in LOG_EXPORTS], "module string, status string, name string")
+    found = {
+        "violations": checks.additive(facts, known), "filescope": checks.file_scope(facts, known), "qualified": checks.qualified(facts, exports),
+        "recv-method": checks.member_calls(facts, known, "receiver"), "var-type": checks.member_calls(facts, known, "var_type"),
+        "call-shape": checks.call_shapes(facts), "duplicate": checks.duplicate_definitions(facts, table(spark, d, "source_files")),
+    }
+    return checks.decisions(table(spark, d, "source_files"), found)
+
+
 QUERIES, SQL = R.queries, R.sql

@@ -79,9 +79,12 @@ def clear_shared(spark: SparkSession) -> None:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by a table written in the shared folder.
 
-    Unlike blocks held by executors the files outlive any executor.
+    Unlike blocks held by executors the files outlive any executor; they are removed when the
+    application ends, or before by ``clear_shared``.
     """
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    written = spark._jvm.org.apache.hadoop.fs.Path(path)
+    written.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(written)
     return spark.read.schema(df.schema).parquet(path)
