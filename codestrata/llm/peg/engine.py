@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 try:
@@ -155,75 +155,89 @@ def line_ended(text: str, at: int) -> bool:
 _ASCII = frozenset(map(chr, range(128)))
 
 
-def _first_of_regex(pattern: str, flags: int) -> frozenset | None:
-    """ASCII characters a match can begin with, None if it can be empty or is unclear."""
+#: ASCII characters a match can begin with (None if that is unclear), and whether it can be empty.
+First = tuple[frozenset | None, bool]
+_NONE: First = (frozenset(), False)
+
+
+def _either(parts: list[First]) -> First:
+    sets = [s for s, _ in parts]
+    return (None if any(s is None for s in sets) else frozenset().union(*sets)), any(empty for _, empty in parts)
+
+
+def _after(parts: Iterator[First]) -> First:
+    """Of a sequence: what its parts can begin with up to the first that cannot be empty."""
+    got: frozenset | None = frozenset()
+    for mine, empty in parts:
+        got = None if got is None or mine is None else got | mine
+        if not empty:
+            return got, False
+    return got, True
+
+
+def _first_of_regex(pattern: str, flags: int) -> First:
     return _of_pattern(_sp.parse(pattern, flags))
 
 
-def _of_pattern(pattern) -> frozenset | None:
-    def of(seq) -> frozenset | None:
-        for op, arg in seq:
-            if op is _sc.LITERAL:
-                return frozenset([chr(arg)])
-            if op is _sc.NOT_LITERAL:
-                return _ASCII - {chr(arg)}
-            if op is _sc.ANY:
-                return _ASCII
-            if op is _sc.IN:
-                chars: set[str] = set()
-                negate = False
-                for o, a in arg:
-                    if o is _sc.NEGATE:
-                        negate = True
-                    elif o is _sc.LITERAL:
-                        chars.add(chr(a))
-                    elif o is _sc.RANGE:
-                        chars.update(chr(c) for c in range(a[0], min(a[1], 127) + 1))
-                    elif o is _sc.CATEGORY:
-                        test = {
-                            _sc.CATEGORY_DIGIT: r"\d", _sc.CATEGORY_NOT_DIGIT: r"\D", _sc.CATEGORY_SPACE: r"\s",
-                            _sc.CATEGORY_NOT_SPACE: r"\S", _sc.CATEGORY_WORD: r"\w", _sc.CATEGORY_NOT_WORD: r"\W",
-                        }[a]
-                        chars.update(c for c in _ASCII if re.match(test, c))
-                got = frozenset(chars) & _ASCII
-                return _ASCII - got if negate else got
-            if op is _sc.BRANCH:
-                parts = [of(b) for b in arg[1]]
-                return None if any(p is None for p in parts) else frozenset().union(*parts)
-            if op is _sc.SUBPATTERN:
-                got = of(arg[3])
-                return got
-            if op in (_sc.MAX_REPEAT, _sc.MIN_REPEAT, _sc.POSSESSIVE_REPEAT):
-                if arg[0] == 0:
-                    rest = of(seq[list(seq).index((op, arg)) + 1 :])
-                    mine = of(arg[2])
-                    return None if rest is None or mine is None else mine | rest
-                return of(arg[2])
-            if op in (_sc.AT, _sc.ASSERT, _sc.ASSERT_NOT):
-                continue
-            return None
-        return None
-
-    return of(pattern)
+_CATEGORIES = {
+    _sc.CATEGORY_DIGIT: r"\d", _sc.CATEGORY_NOT_DIGIT: r"\D", _sc.CATEGORY_SPACE: r"\s", _sc.CATEGORY_NOT_SPACE: r"\S",
+    _sc.CATEGORY_WORD: r"\w", _sc.CATEGORY_NOT_WORD: r"\W",
+}
+
+
+def _of_pattern(pattern) -> First:
+    def of(op, arg) -> First:
+        if op is _sc.LITERAL:
+            return frozenset([chr(arg)]), False
+        if op is _sc.NOT_LITERAL:
+            return _ASCII - {chr(arg)}, False
+        if op is _sc.ANY:
+            return _ASCII, False
+        if op is _sc.IN:
+            chars: set[str] = set()
+            negate = False
+            for o, a in arg:
+                if o is _sc.NEGATE:
+                    negate = True
+                elif o is _sc.LITERAL:
+                    chars.add(chr(a))
+                elif o is _sc.RANGE:
+                    chars.update(chr(c) for c in range(a[0], min(a[1], 127) + 1))
+                elif o is _sc.CATEGORY:
+                    chars.update(c for c in _ASCII if re.match(_CATEGORIES[a], c))
+            return (_ASCII - chars if negate else frozenset(chars) & _ASCII), False
+        if op is _sc.BRANCH:
+            return _either([_of_pattern(x) for x in arg[1]])
+        if op is _sc.SUBPATTERN:
+            return _of_pattern(arg[3])
+        if op in (_sc.MAX_REPEAT, _sc.MIN_REPEAT, _sc.POSSESSIVE_REPEAT):
+            got, empty = _of_pattern(arg[2])
+            return got, empty or arg[0] == 0
+        if op in (_sc.AT, _sc.ASSERT, _sc.ASSERT_NOT):
+            return frozenset(), True
+        return None, True
+
+    return _after(of(op, arg) for op, arg in pattern)
 
 
 def _skip_starts(skip: str, flags: int) -> frozenset | None:
     """Characters with which skippable text can begin; None if unclear."""
-    op, arg = list(_sp.parse(skip, flags))[0]
-    if op not in (_sc.MAX_REPEAT, _sc.POSSESSIVE_REPEAT):
-        return None
-    return _of_pattern(arg[2])
+    return _first_of_regex(skip, flags)[0]
 
 
 class Grammar:
     """Compiled rules; ``parse`` runs the rule ``start`` over a whole text."""
 
-    def __init__(self, text: str, skip: str, start: str = "File", flags: int = 0):
+    def __init__(self, text: str, skip: str, start: str = "File", flags: int = 0, memo: str = ""):
+        """``memo`` names the rules that are memoised, if not all are: those tried more than once at a position."""
         self.rules = _read(text)
+        if memo:
+            kept = frozenset(memo.split())
+            self.rules = {n: (e, kind, m and n in kept) for n, (e, kind, m) in self.rules.items()}
+        self.plain = frozenset(re.findall(r"^\s*-([A-Z]\w*)", text, re.M))
         self.skip, self.flags, self.start = skip, flags, start
-        self._firsts: dict[str, frozenset | None] = {}
-        self._regex_firsts: dict[str, frozenset | None] = {}
-        self._busy: set[str] = set()
+        self._firsts: dict[str, First] = {}
+        self._regex_firsts: dict[str, First] = {}
         self._programs: dict[str, Callable] = {}
         self._capturing = {name for name, (_, kind, _) in self.rules.items() if kind}
         grown = True
@@ -233,6 +247,7 @@ class Grammar:
             grown = bool(more)
         for e in (e for e, _, _ in self.rules.values()):
             self._known(e)
+        self._compute_firsts()
 
     def _known(self, e: tuple) -> None:
         if e[0] == "ref" and e[1] not in self.rules:
@@ -280,48 +295,54 @@ class Grammar:
 
     # -- first sets
 
-    def first(self, e: tuple) -> frozenset | None:
-        """ASCII characters a match can begin with, None if it can be empty or is unclear."""
+    def _compute_firsts(self) -> None:
+        """Least solution for all rules at once, as they refer to each other."""
+        self._firsts = dict.fromkeys(self.rules, _NONE)
+        changed = True
+        while changed:
+            changed = False
+            for name, (e, _, _) in self.rules.items():
+                got = self.first(e)
+                if got != self._firsts[name]:
+                    self._firsts[name] = got
+                    changed = True
+
+    def first(self, e: tuple) -> First:
         op = e[0]
         if op in ("tok", "raw"):
             if e[1] not in self._regex_firsts:
                 self._regex_firsts[e[1]] = _first_of_regex(e[1], self.flags)
             return self._regex_firsts[e[1]]
         if op == "ref":
-            name = e[1]
-            if name not in self._firsts:
-                if name in self._busy:
-                    return None
-                self._busy.add(name)
-                got = self.first(self.rules[name][0])
-                self._busy.discard(name)
-                if self._busy and got is None:
-                    return None  # perhaps only because a rule around it is being worked on
-                self._firsts[name] = got
-            return self._firsts[name]
+            return self._firsts[e[1]]
         if op == "choice":
-            parts = [self.first(x) for x in e[1]]
-            return None if any(p is None for p in parts) else frozenset().union(*parts)
+            return _either([self.first(x) for x in e[1]])
         if op == "seq":
-            got: frozenset = frozenset()
-            for x in e[1]:
-                if x[0] in ("not", "and", "nl"):
-                    continue
-                mine = self.first(x[1] if x[0] in ("star", "opt") else x)
-                if mine is None:
-                    return None
-                got |= mine
-                if x[0] not in ("star", "opt"):
-                    return got
-            return None
+            return _after(self.first(x) for x in e[1])
+        if op in ("star", "opt"):
+            return self.first(e[1])[0], True
         if op == "plus":
             return self.first(e[1])
-        return None
+        return frozenset(), True
+
+    def begins(self, e: tuple) -> frozenset | None:
+        """The ASCII characters one of which every match begins with, None if it can be empty, is unclear or begins with almost any."""
+        got, empty = self.first(e)
+        return None if got is None or empty or len(got) >= _FEW else got
 
 
 _PLAIN_TOKEN = re.compile(r"(?:\\[^\w\s]|[^\w\s\\.^$*+?{}\[\]()|])+")
 #: Longer first sets do not pay for asking; deeper blocks become functions of their own.
 _FEW, _DEEP = 100, 40
+#: Rules without memo and of at most so many parts are put in where they are used.
+_SMALL = 10
+
+
+def _size(e: tuple) -> int:
+    """Number of parts of an expression."""
+    if e[0] in ("seq", "choice"):
+        return 1 + sum(map(_size, e[1]))
+    return 1 if e[0] in ("tok", "raw", "ref", "nl") else 1 + _size(e[1])
 
 
 class _Writer:
@@ -337,7 +358,7 @@ class _Writer:
         self.sets: dict[frozenset, str] = {}
         self.tables: dict[tuple, str] = {}
         self.helpers: list[str] = []
-        self.n = 0
+        self.n = self.parts = 0
         self.inlining: list[str] = []
         starts = _skip_starts(grammar.skip, grammar.flags)
         self.may_skip = None if starts is None else self._set(starts)
@@ -368,8 +389,8 @@ class _Writer:
 
     def _cannot(self, e: tuple) -> str | None:
         """Name of the set of characters (and the end of the text, '') with which no match begins."""
-        first = self.g.first(e)
-        return self._set((_ASCII - first) | {""}) if first is not None and len(first) < _FEW else None
+        first = self.g.begins(e)
+        return None if first is None else self._set((_ASCII - first) | {""})
 
     def _token(self, pattern: str, skip: str) -> str:
         key = f"(?:{pattern})(?:{skip})"
@@ -399,6 +420,7 @@ class _Writer:
             out += [" n0 = len(C)"]
         if kind:
             out += [f" C.append(({kind!r}, p, -1))"]
+        self.n = 0
         v = self._var()
         self.inlining = [name]
         out += self._gen(e, "p", v, " ")
@@ -414,10 +436,15 @@ class _Writer:
     def _gen(self, e: tuple, at: str, out: str, pad: str, char: str | None = None) -> list[str]:
         """Statements that set ``out`` to the end of a match at ``at``, or -1; ``char`` holds the character there."""
         if len(pad) > _DEEP and e[0] in ("seq", "choice", "star", "plus", "opt"):
-            name, v = f"h_{len(self.helpers)}_{self.n}", self._var()
+            self.parts += 1
+            name, v = f"h_{self.parts}", self._var()
             self.helpers += [*self._head(name), *self._gen(e, "p", v, " "), f" return {v}"]
             return [f"{pad}{out} = {name}({at})"]
-        return getattr(self, f"_{e[0]}")(e, at, out, pad, char)
+        # what an expression keeps inside is done with at its end: few locals make cheap calls
+        n = self.n
+        lines = getattr(self, f"_{e[0]}")(e, at, out, pad, char)
+        self.n = n
+        return lines
 
     def _nl(self, e, at, out, pad, char) -> list[str]:
         return [f"{pad}{out} = {at} if line_ended(s, {at}) else -1"]
@@ -442,7 +469,8 @@ class _Writer:
     def _ref(self, e, at, out, pad, char) -> list[str]:
         name = e[1]
         body, kind, memo = self.g.rules[name]
-        if not memo and not (kind and self.capture) and name not in self.inlining and len(pad) < _DEEP:
+        small = name in self.g.plain or _size(body) <= _SMALL
+        if not memo and small and not (kind and self.capture) and name not in self.inlining and len(pad) < _DEEP:
             self.inlining.append(name)
             lines = self._gen(body, at, out, pad, char)
             self.inlining.pop()
@@ -467,8 +495,7 @@ class _Writer:
         return lines
 
     def _choice(self, e, at, out, pad, char) -> list[str]:
-        firsts = [self.g.first(x) for x in e[1]]
-        firsts = [f if f is not None and len(f) < _FEW else None for f in firsts]
+        firsts = [self.g.begins(x) for x in e[1]]
         asked = any(f is not None for f in firsts)
         caps, lines, n = self._caps(e), [], self._var()
         if caps:

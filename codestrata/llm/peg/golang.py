@@ -139,4 +139,5 @@ Element <- Value (`:(?!=)` Value)?
 Value <- Literal | Expr
 """.replace("KEYWORDS", KEYWORDS),
     skip=r"[ \t\r\n]*",
+    memo="Expr ExprH ExprsH SimpleH Operand Type Block Arg",
 )

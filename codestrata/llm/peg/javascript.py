@@ -161,6 +161,12 @@ Ambient <- Interface | Alias | Enum | Namespace | `(?:const|let|var)(?![\w$])` T
 """
 
 
+_MEMO = (
+    "Assign Exprs Signature ArrowHead Target TypeAnn Type TypeArgs TypeParams Modifiers FuncType Block Decorators Unary3 PrimaryType Object"
+    " ObjectPattern ArrayPattern Computed TypeOnly"
+)
+
+
 def _grammar(typed: bool) -> Grammar:
     text = _COMMON + (_TS if typed else _JS)
     words = "|".join(w for w in RESERVED.split("|") if not typed or w not in TYPED_WORDS.split("|"))
@@ -181,7 +187,7 @@ def _grammar(typed: bool) -> Grammar:
     }
     for k in sorted(fill, key=len, reverse=True):
         text = text.replace(k, fill[k])
-    return Grammar(text, skip=r"(?:[\s\ufeff]+|//[^\n\r\u2028\u2029]*|/\*[\s\S]*?\*/)*+")
+    return Grammar(text, skip=r"(?:[\s\ufeff]+|//[^\n\r\u2028\u2029]*|/\*[\s\S]*?\*/)*+", memo=_MEMO)
 
 
 GRAMMAR = _grammar(typed=False)

@@ -187,4 +187,5 @@ Dict <- "{" ("}" | Pair Comp "}" | Pair ("," Pair)* `,?` "}" | Named Comp "}" |
 Pair <- `\*\*` BitOr | Expr `:(?!=)` Expr
 """.replace("KEYWORDS", KEYWORDS),
     skip=r"(?:[ \t\f\r\n]+|\\\r?\n|#[^\n\x1e]*)*+",
+    memo="Expr Atom SingleSub Named Trailer Pair Slices Block",
 )

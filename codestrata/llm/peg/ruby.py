@@ -136,6 +136,9 @@ Module{cls} <- `module\b` ClassName Terms BodyStmt `end\b`
 """
 
 
+_MEMO = "Postfix Tail Ternary NotExpr Assign PostfixN TailN TernaryN NotExprN AssignN DoubleStr MultiItem Primary Stmts Arg Param"
+
+
 def _text() -> str:
     names = re.findall(r"^([A-Z]\w*) <-", _EXPR, re.M)
     plain = _EXPR.replace("DOBLOCKREQ", "DoBlock").replace("DOBLOCK", "DoBlock?")
@@ -145,4 +148,4 @@ def _text() -> str:
     return (plain + no_do + _REST).replace("KEYWORDS", KEYWORDS)
 
 
-GRAMMAR = Grammar(_text(), skip=r"(?:[ \t]+|\\\n|\#(?!\{)[^\n]*)*+", flags=re.M)
+GRAMMAR = Grammar(_text(), skip=r"(?:[ \t]+|\\\n|\#(?!\{)[^\n]*)*+", flags=re.M, memo=_MEMO)

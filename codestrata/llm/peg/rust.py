@@ -137,4 +137,5 @@ PrimaryH <- Lit | ExprBlock | "(" Attrs (Expr ("," Expr)* ","?)? ")" | "[" (Expr
       | Path (`!(?!=)` ("(" TokenTree* ")" | "[" TokenTree* "]" | "{" TokenTree* "}"))? | `_(?!\w)`
 """.replace("KEYWORDS", KEYWORDS),
     skip=r"\s*",
+    memo="Path Attrs Expr ExprBlock PrimaryH TypeNoBounds Type Pattern SimplePath Block Lit",
 )

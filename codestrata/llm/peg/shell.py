@@ -73,4 +73,5 @@ ParamPartQ <- =`(?:[^"\x60$\\}]|\\[\s\S])+` | Double | ExpansionQ | =`\x60(?:[^\
 Redirect <- `(?:\d+(?=[<>])|\{\w+\}(?=[<>]))?(?:<<<|<<-?|<>|<&|>&|>>|>\||&>>?|[<>](?!\())` Word
 """,
     skip=r"(?:[ \t]+|\\\n|(?<![^\s;&|()])\#[^\n]*)*+",
+    memo="Part Sep Word Command List Expansion ExpansionQ Double",
 )
