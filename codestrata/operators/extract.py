@@ -7,6 +7,7 @@ over them (``checks``). Three languages: Go, JavaScript/TypeScript, Python.
 from __future__ import annotations
 
 import ast
+import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -127,6 +128,11 @@ def references(lang: str, masked: str) -> Iterator[tuple[str, int]]:
                 yield m[1], m.start(1)
 
 
+_PLAIN_IMPORTS = {
+    "shell": re.compile(r"^[ \t]*(?P<word>source|\.)[ \t]+[\"']?(?P<module>[^\s\"';|&]+)", re.M),
+    "ruby": re.compile(r"^[ \t]*(?P<word>require(?:_relative)?)[ \t(]+[\"'](?P<module>[^\"'\n]+)[\"']", re.M),
+    "rust": re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?(?P<word>use)[ \t]+(?P<module>[^;{]+)", re.M),
+}
 _GO_IMPORT = re.compile(r'^\s*(?:import\s+)?(?P<alias>[\w.]+\s+)?"(?P<path>[^"]+)"', re.M)
 _GO_BLOCK = re.compile(r"^import\s*\((?P<body>[^)]*)\)|^import\s+(?P<one>[^\n(]+)", re.M)
 
@@ -149,6 +155,11 @@ def imports(lang: str, text: str, masked: str) -> Iterator[tuple[str, int, str]]
                 if words:
                     name = words[-1] if len(words) == 3 and words[1] == "as" else words[0] if m["mod"] else words[0].split(".")[0]
                     yield name, m.start(), m["mod"] or words[0]
+    elif lang in _PLAIN_IMPORTS:
+        for m in _PLAIN_IMPORTS[lang].finditer(text):
+            if masked[m.start("word")] != " ":  # not inside a literal or comment
+                module = m["module"].strip()
+                yield re.split(r"::|/|\s+as\s+", module)[-1].strip("{}; "), m.start("module"), module
     else:
         for m in re.finditer(r"\bimport\s+(?:type\s+)?(?P<clause>[^;\n'\"]*?\{[^}]*\}|[^;\n'\"]+?)\s+from\b|\b(?:const|let|var)\s+(?P<req>\{[^}]*\}|\w+)\s*=\s*require\(", masked):
             clause = m["clause"] or m["req"]
@@ -280,6 +291,109 @@ def package_exports(files: DataFrame) -> DataFrame:
     return known.select("package", F.when(F.col("resolved"), "resolved").otherwise("unknown").alias("status"), "name").distinct().filter("status = 'unknown' or name is not null")
 
 
+_PY_ALL = re.compile(r"^__all__\s*(?::[^=\n]+)?\+?=\s*[\[(](?P<names>[^\])]*)[\])]", re.M)
+_JS_EXPORT = re.compile(
+    r"\bexport\s+(?:(?:default\s+)?(?:async\s+)?(?:abstract\s+)?(?:function\s*\*?|class|interface|type|enum|const|let|var|namespace)\s+(?P<name>[A-Za-z_$][\w$]*)"
+    r"|(?:type\s+)?\{(?P<list>[^}]*)\}|(?P<star>\*)(?:\s+as\s+(?P<as>[\w$]+))?\s+from\b|(?P<default>default)\b)"
+)
+_GO_TYPE_BODY = re.compile(r"^type\s+(?P<type>\w+)(?:\[[^\]\n]*\])?\s+(?P<kind>struct|interface)\s*\{", re.M)
+_GO_MEMBER = re.compile(r"^[ \t]*(?P<names>\w+(?:[ \t]*,[ \t]*\w+)*)(?P<after>[ \t]*\(|[ \t]+[\w*\[\]({.<]|[ \t]*$)", re.M)
+_TS_MEMBER = re.compile(r"(?:^|(?<=[;{,]))[ \t]*(?:readonly\s+|static\s+|public\s+|private\s+|protected\s+)*(?P<name>[A-Za-z_$][\w$]*)\??\s*(?P<after>[:(])", re.M)
+_TS_BODY = re.compile(r"\binterface\s+(?P<type>[A-Za-z_$][\w$]*)[^{;]*\{")
+_LISTED = re.compile(r"[\w$]+(?:\s+as\s+(?P<as>[\w$]+))?")
+_BRACE = re.compile(r"[{}]")
+
+
+def _closing(masked: str, at: int) -> int:
+    """Offset of the brace that closes the one before ``at``; the end of the text if none does."""
+    depth = 1
+    for m in _BRACE.finditer(masked, at):
+        depth += 1 if m[0] == "{" else -1
+        if not depth:
+            return m.start()
+    return len(masked)
+
+
+def _outer(masked: str, start: int, end: int) -> str:
+    """The text between two braces with what nested braces hold blanked."""
+    out, depth = [], 0
+    for c in masked[start:end]:
+        depth -= c == "}"
+        out.append(c if not depth or c == "\n" else " ")
+        depth += c == "{"
+    return "".join(out)
+
+
+def exported(lang: str, text: str, masked: str) -> Iterator[tuple[str, int, str]]:
+    """(name, offset, how) of what a file shows to others: ``__all__``, JavaScript exports and wildcards, capital names in Go."""
+    if lang == "python":
+        for m in _PY_ALL.finditer(text):
+            if masked[m.start()] == "_":
+                for name in re.finditer(r"[\"']([\w.]+)[\"']", m["names"]):
+                    yield name[1], m.start("names") + name.start(1), "all"
+    elif lang == "js":
+        for m in _JS_EXPORT.finditer(masked):
+            if m["list"] is not None:
+                for x in _LISTED.finditer(m["list"]):
+                    if x[0] != "type":
+                        yield x["as"] or x[0], m.start("list") + x.start(), "list"
+            elif m["star"]:
+                yield m["as"] or "*", m.start("star"), "wildcard"
+            else:
+                yield (m["name"] or "default"), m.start(), "declaration" if m["name"] else "default"
+    elif lang == "go":
+        for name in sorted(go_exports(text) or ()):
+            at = re.search(rf"\b{re.escape(name)}\b", masked)
+            yield name, at.start() if at else 0, "capital"
+
+
+def members(lang: str, masked: str) -> Iterator[tuple[str, int, str]]:
+    """(type.name, offset, field or method) of struct fields and interface members in Go, interface members in TypeScript."""
+    opening, member = {"go": (_GO_TYPE_BODY, _GO_MEMBER), "js": (_TS_BODY, _TS_MEMBER)}.get(lang, (None, None))
+    if opening is None:
+        return
+    for t in opening.finditer(masked):
+        body = _outer(masked, t.end(), _closing(masked, t.end()))
+        for m in member.finditer(body):
+            call = m["after"].strip() == "("
+            if lang == "go":
+                if t["kind"] == "struct" and (call or not m["after"].strip()) or t["kind"] == "interface" and not call:
+                    continue
+                for name in re.finditer(r"\w+", m["names"]):
+                    yield f"{t['type']}.{name[0]}", t.end() + m.start("names") + name.start(), "method" if call else "field"
+            else:
+                yield f"{t['type']}.{m['name']}", t.end() + m.start("name"), "method" if call else "field"
+
+
+def signature_hash(lang: str, text: str, at: int) -> str:
+    """First 12 hex digits of the SHA-256 of a definition's head: its line from the name to the body, white space folded."""
+    end = text.find("\n", at)
+    head = text[at : end if end >= 0 else len(text)]
+    body = r":\s*(?:\#.*)?$" if lang == "python" else r"\{.*$"
+    return hashlib.sha256(" ".join(re.sub(body, "", head).split()).encode("utf-8", "replace")).hexdigest()[:12]
+
+
+_DOC_MARK = re.compile(r"^\s*(?://[/!]?|\#+|/\*\*?|\*(?!/))\s?|\s*\*/\s*$")
+_DOCSTRING = re.compile(r"[^\n]*:[ \t]*\n\s*[rRuU]?(\"{3}|'{3}|\"|')\s*([^\n]*)")
+
+
+def doc_line(lang: str, text: str, at: int) -> str:
+    """First line of the comment that ends on the line above a definition; of the docstring in Python; '' if there is none."""
+    if lang == "python":
+        m = _DOCSTRING.match(text, at)
+        return m[2].split(m[1])[0].strip()[:200] if m else ""
+    first = ""
+    end = text.rfind("\n", 0, at)
+    while end > 0:
+        start = text.rfind("\n", 0, end) + 1
+        line = text[start:end].strip()
+        if not line.startswith(("//", "#", "/*", "*")) or line.startswith(("#[", "#!")):
+            break
+        first = _DOC_MARK.sub("", line).strip() or first
+        end = start - 1
+    return first[:200]
+
+
 def file_facts(lang: str, text: str) -> Iterator[tuple[str, str, int, str]]:
     """(fact, name, line, detail) of one file."""
     masked = mask(lang, text)
@@ -289,7 +403,16 @@ def file_facts(lang: str, text: str) -> Iterator[tuple[str, str, int, str]]:
     line = lambda at: bisect_left(ends, at) + 1
     for name, at, recv in definitions(lang, masked):
         yield "def", name, line(at), recv
+        yield "signature_hash", name, line(at), signature_hash(lang, text, at)
+        if doc := doc_line(lang, text, at):
+            yield "doc", name, line(at), doc
+    for name, at, how in exported(lang, text, masked):
+        yield "export", name, line(at), how
+    for name, at, kind in members(lang, masked):
+        yield "member", name, line(at), kind
     if lang in DEFINITION_ONLY.values():
+        for name, at, module in imports(lang, text, masked):
+            yield "import", name, line(at), module
         return
     for name, at in references(lang, masked):
         yield "ref", name, line(at), ""
@@ -321,7 +444,10 @@ def _language(path: Column) -> Column:
 def extract_facts(files: DataFrame) -> DataFrame:
     """(source_id, repo_id, lang, fact, name, line, detail) of every supported file; null content gives none.
 
-    Shell, Rust and Ruby give definitions only."""
+    Facts: def, signature_hash, doc, export, member and import of all languages, as far as they have them; ref,
+    binding, qualified, receiver, var_type, call and signature of Go, JavaScript, TypeScript and Python. A file whose
+    brackets nest deeper than ``DEEPEST`` gives none.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
