@@ -13,12 +13,14 @@ KEYWORDS = (
 )
 NEWLINE, INDENT, DEDENT, BAD = "\x1e", "\x0e", "\x0f", "\x00"
 _LEX = re.compile(
-    r"""(?P<str>(?:[fF][rR]?|[rR][fF])(?:\"{3}(?:[^\\{]|\\[\s\S]|\{)*?\"{3}|'{3}(?:[^\\]|\\[\s\S])*?'{3}"""
+    r"""(?P<str>(?:(?<=[fF])|(?<=[fF][rR]))(?:\"{3}(?:[^\\{]|\\[\s\S]|\{)*?\"{3}|'{3}(?:[^\\]|\\[\s\S])*?'{3}"""
     r"""|"(?!"")(?:[^"\\\n{]|\\[\s\S]|\{\{|\{(?:[^{}\n]|\{[^{}\n]*\})*\})*"|'(?!'')(?:[^'\\\n{]|\\[\s\S]|\{\{|\{(?:[^{}\n]|\{[^{}\n]*\})*\})*')"""
     r"""|\"{3}(?:[^\\]|\\[\s\S])*?\"{3}|'{3}(?:[^\\]|\\[\s\S])*?'{3}|"(?!"")(?:[^"\\\n\x1e]|\\[\s\S])*"|'(?!'')(?:[^'\\\n\x1e]|\\[\s\S])*')"""
+    r"""|(?P<flat>\([^()\[\]{}\n"'\#\\]*\)|\[[^()\[\]{}\n"'\#\\]*\])"""
     r"""|(?P<note>\#[^\n]*)|(?P<join>\\\r?\n)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<nl>\n)"""
 )
 _BLANKS = " \t\f\r"
+_CODE = frozenset(["str", "flat", "open", "close"])
 
 
 def _width(blanks: str) -> int:
@@ -59,15 +61,17 @@ def layout(text: str) -> tuple[str, list[int]]:
             mark(BAD, at)
 
     for m in _LEX.finditer(text):
-        kind, at = m.lastgroup, m.start()
-        code = text[behind:at].lstrip(_BLANKS)
-        behind = m.end()
-        if code or kind in ("str", "open", "close"):
-            if fresh and depth == 0:
-                fresh = False
-                if not used:
-                    begin(at - len(code))
-            used = True
+        kind = m.lastgroup
+        at, end = m.span()
+        if not used or fresh:
+            code = text[behind:at].lstrip(_BLANKS)
+            if code or kind in _CODE:
+                if fresh and depth == 0:
+                    fresh = False
+                    if not used:
+                        begin(at - len(code))
+                used = True
+        behind = end
         if kind == "open":
             depth += 1
         elif kind == "close":
@@ -143,9 +147,15 @@ Class{cls} <- "class" ClassName TypeParams? ("(" Args? ")")? ":" Block
 -ClassName{name} <- Name
 TypeParams <- "[" TypeParam ("," TypeParam)* `,?` "]"
 TypeParam <- `\*{0,2}` Name (":" Expr)? (`=(?!=)` StarExpr)?
-Params <- Param ("," Param)* `,?`
-Param <- `\*\*` Name (":" Expr)? | `\*(?!\*)` (Name (":" StarExpr)?)? | `/` | Name (":" Expr)? (`=(?!=)` Expr)?
-LambdaParam <- `\*\*` Name | `\*(?!\*)` Name? | `/` | Name (`=(?!=)` Expr)?
+Params <- (Need ("," Need)* ("," `/` ("," Need)*)? ("," Have)* ("," `/` ("," Have)*)? | Have ("," Have)* ("," `/` ("," Have)*)?) ("," Star)? `,?` | Star `,?`
+Need <- Name (":" Expr)? !`=(?!=)`
+Have <- Name (":" Expr)? `=(?!=)` Expr
+Star <- `\*(?!\*)` Name (":" StarExpr)? ("," (Have | Need))* ("," Rest)? | `\*(?!\*)` ("," (Have | Need))+ ("," Rest)? | Rest
+Rest <- `\*\*` Name (":" Expr)?
+LambdaParams <- (LNeed ("," LNeed)* ("," `/` ("," LNeed)*)? ("," LHave)* ("," `/` ("," LHave)*)? | LHave ("," LHave)* ("," `/` ("," LHave)*)?) ("," LStar)? `,?` | LStar `,?`
+LNeed <- Name !`=(?!=)`
+LHave <- Name `=(?!=)` Expr
+LStar <- `\*(?!\*)` Name ("," (LHave | LNeed))* ("," `\*\*` Name)? | `\*(?!\*)` ("," (LHave | LNeed))+ ("," `\*\*` Name)? | `\*\*` Name
 Match <- `match\b` Subject ":" NL `\x0e` Case+ `\x0f`
 Subject <- StarNamed "," (StarNamed ("," StarNamed)* `,?`)? | Named
 Case <- `case\b` Patterns ("if" Named)? ":" Block
@@ -165,7 +175,7 @@ Named <- Name `:=` Expr | Expr !`:=`
 Yield <- "yield" ("from" Expr | StarExprs?)
 Expr <- Short | Lambda | Or ("if" Or "else" Expr)?
 -Short <- `(?:(?!(?:KEYWORDS)\b)[^\W\d]\w*(?:\.(?!(?:KEYWORDS)\b)[^\W\d]\w*)*|[1-9]\d*|None\b|True\b|False\b)(?=[ \t]*[,)\]}:;=\x1e](?!=))`
-Lambda <- "lambda" (LambdaParam ("," LambdaParam)* `,?`)? ":" Expr
+Lambda <- "lambda" LambdaParams? ":" Expr
 Or <- Not (`(?:and|or)\b` Not)*
 Not <- "not" Not | Compare
 Compare <- BitOr (`[=!]=|[<>]=?(?![<>])|in\b|not\s+in\b|is\b(?:\s+not\b)?` BitOr)*
@@ -175,9 +185,12 @@ Primary <- Atom Trailer*
 Trailer <- `\.(?!\.)` Name | "(" Args? ")" | "[" Slices "]"
 Slices <- Slice ("," Slice)* `,?`
 Slice <- Expr? ":" Expr? (":" Expr?)? | `\*(?!\*)` BitOr | Named
-Args <- Arg ("," Arg)* `,?` | GenArg
-GenArg <- Named Comp
-Arg <- `\*\*` Expr | `\*(?!\*)` Expr | Name `=(?!=)` Expr | Named Comp | Named
+Args <- GenArg | (Value ("," Value)* ("," Keyed)* ("," Late)* | Keyed ("," Keyed)* ("," Late)* | Late ("," Late)*) `,?`
+GenArg <- Named Comp &`,?\s*\)`
+Value <- `\*(?!\*)` Expr | !Key Named
+-Key <- `(?!(?:KEYWORDS)\b)[^\W\d]\w*\s*=(?!=)`
+Keyed <- `\*(?!\*)` Expr | Name `=(?!=)` Expr
+Late <- `\*\*` Expr | Name `=(?!=)` Expr
 Comp <- (`(?:async\b\s*)?for\b` Targets "in" Or ("if" CompIf)*)+
 CompIf <- Name `:=` Or | Or
 Atom <- (Plain | Format)+ | Bytes+ | Name | Number | `\.\.\.` | `(?:None|True|False)\b` | Paren | List | Dict

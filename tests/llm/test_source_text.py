@@ -136,6 +136,14 @@ def test_documentation_behind_decorators_and_modifiers():
     assert pairs("javascript", "/** Far words. */\n" + " " * 2_000 + "export  \n async function f() {}\n") == ["f"]
 
 
+def test_order_of_parameters_and_arguments():
+    for bad in ("def f(a=1, b): pass", "def f(*): pass", "def f(**k, a): pass", "def f(/, a): pass", "g(x=1, y)", "g(**k, *a)", "g(**k, a)", "g(x for x in y, 1)", "f = lambda a=1, b: 0", "def f(*a, *b): pass"):
+        assert not parse_file("python", bad + "\n").ok, bad
+    for good in ("def f(a, b=1, /, c=2, *, d, e=3, **k): pass", "def f(a, /, b, *c: int, d, **k,): pass", "def f(*, a): pass", "g(*a, b, *c, k=1, *d, **e, z=2)", "g(x for x in y)", "g(a, **k, b=1,)",
+                 "f = lambda a, b=1, *c, d, **e: 0", "f = lambda *, a: a", "class A(B, metaclass=M, **k): pass", "g(a == b, c := 1)", "def f(a, b=1, *, c, d=2, e): pass"):
+        assert parse_file("python", good + "\n").ok, good
+
+
 def test_short_expressions_do_not_hide_errors():
     for bad in ("f(a.class)", "x = a b", "f(a.)", "f(1.x)", "f(if)", "x = y = 1 = z"):
         assert not parse_file("python", bad + "\n").ok, bad
