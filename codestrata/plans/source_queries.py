@@ -339,4 +339,42 @@ def live_diff(spark, d):
     return structure.live_symbol_changes(k.filter(F.length("name") % 5 != 0), live)
 
 
+@R.query("diff_payloads", """WITH k AS (SELECT snapshot_id, lag(snapshot_id) OVER (PARTITION BY root ORDER BY t, snapshot_id) AS before FROM (SELECT root, snapshot_id, min(timestamp) AS t FROM snapshots WHERE root IS NOT NULL AND snapshot_id IS NOT NULL GROUP BY ALL)),
+  f AS (SELECT snapshot_id, path, arg_max(h, file_id) AS h FROM (SELECT snapshot_id, file_id, """ + path_form_sql("path") + """ AS path, coalesce(lower(content_hash), '') AS h FROM files WHERE path IS NOT NULL) GROUP BY ALL),
+  n AS (SELECT k.snapshot_id, path, h FROM k JOIN f USING (snapshot_id) WHERE before IS NOT NULL), b AS (SELECT k.snapshot_id, path, h FROM k JOIN f ON f.snapshot_id = k.before),
+  c AS (SELECT snapshot_id, path, CASE WHEN b.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'removed' ELSE 'modified' END AS status FROM n FULL JOIN b USING (snapshot_id, path) WHERE n.h IS DISTINCT FROM b.h)
+  SELECT snapshot_id AS after_id, '{"added":[' || coalesce(string_agg('"' || path || '"', ',' ORDER BY path) FILTER (WHERE status = 'added'), '') || '],"removed":[' || coalesce(string_agg('"' || path || '"', ',' ORDER BY path) FILTER (WHERE status = 'removed'), '')
+   || '],"modified":[' || coalesce(string_agg('"' || path || '"', ',' ORDER BY path) FILTER (WHERE status = 'modified'), '') || ']}' AS payload FROM c GROUP BY snapshot_id""")
+def diff_payloads(spark, d):
+    """What changed in each snapshot as one JSON object."""
+    from codestrata.operators.snapdiff import snapshot_changes
+
+    changes = snapshot_changes(table(spark, d, "snapshots"), table(spark, d, "files"))
+    status = F.when(F.col("change") == "changed", "modified").otherwise(F.col("change"))
+    return reports.payload(changes.select(F.col("snapshot_id").alias("after_id"), "path", status.alias("status")))
+
+
+@R.query("stream_records", f"SELECT decision, count(*) AS records FROM {_K} GROUP BY decision")
+def stream_records(spark, d):
+    """All deliveries written as JSON lines and read as a stream, one copy of each record kept."""
+    from codestrata.streaming.decision_stream import decision_stream, exactly_once
+
+    folder = f"{shared_dir(spark)}/codestrata/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    names = [c for c in table(spark, d, "decisions").columns if c not in ("delivery_id", "batch_no", "received_at", "join_track")]
+    table(spark, d, "decisions").select(*names, F.col("join_track").alias("join")).write.json(f"{folder}/in")
+    kept = exactly_once(decision_stream(spark, f"{folder}/in")).select("decision")
+    writer = kept.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("decision string").parquet(f"{folder}/out").groupBy("decision").agg(F.count("*").alias("records"))
+
+
+@R.query("line_states")
+def line_states(spark, d):
+    """Nesting depths and open literals before every line of the sources whose language is known."""
+    from codestrata.functions.text import language_tag
+
+    rows = table(spark, d, "source_files").filter("content is not null").select("source_id", language_tag(F.col("path")).alias("lang"), "content")
+    return reports.line_states(rows.filter("lang <> ''"))
+
+
 QUERIES, SQL = R.queries, R.sql
