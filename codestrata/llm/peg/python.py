@@ -14,7 +14,7 @@ KEYWORDS = (
 NEWLINE, INDENT, DEDENT, BAD = "\x1e", "\x0e", "\x0f", "\x00"
 _LEX = re.compile(
     r"""(?P<str>(?:(?<=[fF])|(?<=[fF][rR]))(?:\"{3}(?:[^\\{]|\\[\s\S]|\{)*?\"{3}|'{3}(?:[^\\]|\\[\s\S])*?'{3}"""
-    r"""|"(?!"")(?:[^"\\\n{]|\\[\s\S]|\{\{|\{(?:[^{}\n]|\{[^{}\n]*\})*\})*"|'(?!'')(?:[^'\\\n{]|\\[\s\S]|\{\{|\{(?:[^{}\n]|\{[^{}\n]*\})*\})*')"""
+    r"""|"(?!"")(?:[^"\\\n{]|\\[\s\S]|\{\{|\{(?:[^{}\n]|\{(?:[^{}\n]|\{[^{}\n]*\})*\})*\})*"|'(?!'')(?:[^'\\\n{]|\\[\s\S]|\{\{|\{(?:[^{}\n]|\{(?:[^{}\n]|\{[^{}\n]*\})*\})*\})*')"""
     r"""|\"{3}(?:[^\\]|\\[\s\S])*?\"{3}|'{3}(?:[^\\]|\\[\s\S])*?'{3}|"(?!"")(?:[^"\\\n\x1e]|\\[\s\S])*"|'(?!'')(?:[^'\\\n\x1e]|\\[\s\S])*')"""
     r"""|(?P<flat>\([^()\[\]{}\n"'\#\\]*\)|\[[^()\[\]{}\n"'\#\\]*\])"""
     r"""|(?P<note>\#[^\n]*)|(?P<join>\\\r?\n)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<nl>\n)"""
@@ -93,6 +93,27 @@ def layout(text: str) -> tuple[str, list[int]]:
     return "".join(out) + text[copied:], inserted
 
 
+#: The four ways to quote a format string: rule, quotes, the text between fields, the text of a field's format.
+_QUOTED = (
+    ("FormatD3", '"{3}', r'[^"\\{}]|"(?!"")', r'[^"{}]|"(?!"")'), ("FormatS3", "'{3}", r"[^'\\{}]|'(?!'')", r"[^'{}]|'(?!'')"),
+    ("FormatD", '"(?!"")', r'[^"\\\n\x1e{}]', r'[^"{}\n]'), ("FormatS", "'(?!'')", r"[^'\\\n\x1e{}]", r"[^'{}\n]"),
+)
+
+
+def _formats() -> str:
+    """Format strings: text, doubled braces and escapes, and fields, which hold expressions and formats with fields of their own."""
+    rules = ["Format <- FormatD3 | FormatS3 | FormatE | FormatD | FormatS"]
+    # the empty ones, which are no beginning of three quotes
+    rules += [r"""-FormatE <- `(?:[fF][rR]?|[rR][fF])(?:""(?!")|''(?!'))`"""]
+    for name, quotes, text, spec in _QUOTED:
+        close = quotes.split("(")[0]
+        rules += [
+            rf"{name} <- =`(?:[fF][rR]?|[rR][fF]){quotes}` (=`(?:{text}|\\N\{{[^{{}}]*\}}|\\[^{{}}]|\\(?=[{{}}])|\{{\{{|\}}\}})+` | {name}Field)* `{close}`",
+            rf"{name}Field <- `\{{` (Yield | StarExprs) (`=(?!=)`)? (`![rsa](?!\w)`)? (=`\}}` | =`:` (=`(?:{spec})+` | {name}Field)* =`\}}`)",
+        ]
+    return "\n".join(rules)
+
+
 GRAMMAR = Grammar(
     r"""
 File <- Stmt* `\Z`
@@ -100,7 +121,7 @@ File <- Stmt* `\Z`
 -Name <- `(?!(?:KEYWORDS)\b)[^\W\d]\w*`
 -Plain <- `(?:[uU]|[rR])?(?:\"{3}(?:[^\\]|\\[\s\S])*?\"{3}|'{3}(?:[^\\]|\\[\s\S])*?'{3}|"(?!"")(?:[^"\\\n\x1e]|\\[\s\S])*"|'(?!'')(?:[^'\\\n\x1e]|\\[\s\S])*')`
 -Bytes <- `(?:[bB][rR]?|[rR][bB])(?:\"{3}(?:[^\\]|\\[\s\S])*?\"{3}|'{3}(?:[^\\]|\\[\s\S])*?'{3}|"(?!"")(?:[^"\\\n\x1e]|\\[\s\S])*"|'(?!'')(?:[^'\\\n\x1e]|\\[\s\S])*')`
--Format <- `(?:[fF][rR]?|[rR][fF])(?:\"{3}(?:[^"\\{}]|\\[\s\S]|\{\{|\}\}|"(?!"")|\{(?:[^{}]|\{[^{}]*\})+\})*\"{3}|'{3}(?:[^'\\{}]|\\[\s\S]|\{\{|\}\}|'(?!'')|\{(?:[^{}]|\{[^{}]*\})+\})*'{3}|"(?!"")(?:[^"\\\n\x1e{}]|\\[\s\S]|\{\{|\}\}|\{(?:[^{}\n]|\{[^{}\n]*\})+\})*"|'(?!'')(?:[^'\\\n\x1e{}]|\\[\s\S]|\{\{|\}\}|\{(?:[^{}\n]|\{[^{}\n]*\})+\})*')`
+FORMATS
 -Number <- `(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*+\.?+(?:\d(?:_?\d)*+)?|\.\d(?:_?\d)*+)(?:[eE][+-]?\d(?:_?\d)*+)?[jJ]?)(?!\w)`
 
 Stmt <- Compound | Simple
@@ -198,7 +219,7 @@ Paren <- "(" (")" | Yield ")" | Named Comp ")" | StarNamed ("," StarNamed)* `,?`
 List <- "[" ("]" | Named Comp "]" | StarNamed ("," StarNamed)* `,?` "]")
 Dict <- "{" ("}" | Pair Comp "}" | Pair ("," Pair)* `,?` "}" | Named Comp "}" | StarNamed ("," StarNamed)* `,?` "}")
 Pair <- `\*\*` BitOr | Expr `:(?!=)` Expr
-""".replace("KEYWORDS", KEYWORDS),
+""".replace("FORMATS", _formats()).replace("KEYWORDS", KEYWORDS),
     skip=r"(?:[ \t\f\r\n]+|\\\r?\n|#[^\n\x1e]*)*+",
     memo="Expr Atom SingleSub Named Trailer Pair Slices Block",
 )

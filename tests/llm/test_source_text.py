@@ -144,6 +144,48 @@ def test_order_of_parameters_and_arguments():
         assert parse_file("python", good + "\n").ok, good
 
 
+GOOD_FORMATS = r"""
+f'{x:=10}'
+f'{x!r:>{w}}'
+f'{x = }'
+f'{{}}'
+f'{x:{y:{z}}}'
+f'{a["b"]}'
+f'{a['b']}'
+f'{"\n".join(x)}'
+f'{x:%H:%M}'
+f'{*a, b}'
+f'{a!=b}'
+rf'\d{x}'
+fr'{x}' 'plain' f"{y}"
+f'\N{DASH} {x}'
+f''
+f"" ""
+f"{(lambda x: 1)}"
+F'{ {1: 2}[1] }'
+f'{x:}'
+"""
+BAD_FORMATS = r"""
+f'{a b}'
+f'{}'
+f'{x!z}'
+f'}'
+f'{x'
+f'{x:{y}'
+f'{1 +}'
+f'{x:}}'
+f'{for}'
+"""
+
+
+def test_fields_of_format_strings():
+    for good in GOOD_FORMATS.strip().split("\n"):
+        assert parse_file("python", f"v = {good}\n").ok, good
+    assert parse_file("python", 'v = f"""{\nx\n} "q" \\n""" f\'\'\'{x:%Y\n}\'\'\'\n').ok
+    for bad in BAD_FORMATS.strip().split("\n"):
+        assert not parse_file("python", f"v = {bad}\n").ok, bad
+
+
 def test_short_expressions_do_not_hide_errors():
     for bad in ("f(a.class)", "x = a b", "f(a.)", "f(1.x)", "f(if)", "x = y = 1 = z"):
         assert not parse_file("python", bad + "\n").ok, bad
