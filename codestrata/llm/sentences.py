@@ -57,7 +57,7 @@ CARRY_ON = ("と", "って", "という", "とか", "は", "が", "を", "に",
 _LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _MARK = re.compile(r"[^\S\n\r\x0b\x0c\x85\u2028\u2029]*(?:[-*]|\d+\.)[ \t\u00a0]")
 #: Every character with the property, and the ellipsis; those that need no space after them are all but a few.
-_TERMINALS = "".join(c for c in map(chr, range(0x10FFFF)) if not "\ud800" <= c <= "\udfff" and regex.match(r"\p{Sentence_Terminal}", c)) + "…"
+_TERMINALS = "".join(regex.findall(r"\p{Sentence_Terminal}", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])))) + "…"
 _SPACED = frozenset(".!?…؟۔․‼‽⁇⁈⁉")
 _STOP, _PLAIN_STOP = re.compile(f"[{re.escape(_TERMINALS)}]+"), re.compile(r"[.!?]+")
 _THAI = re.compile("[\u0e00-\u0e7f]")
