@@ -45,27 +45,31 @@ class ScalableBloom:
         self.room = 0
         self.next_bits = bits
 
-    def _positions(self, hashes: np.ndarray, bits: int) -> np.ndarray:
+    def _positions(self, hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """(byte, mask) of every probe."""
         low = hashes.astype(np.uint64)
         high = (low >> np.uint64(32)) | np.uint64(1)
         steps = np.arange(self.probes, dtype=np.uint64)[:, None]
-        return ((low[None, :] + steps * high[None, :]) % np.uint64(bits)).astype(np.int64)
+        at = (low[None, :] + steps * high[None, :]) % np.uint64(bits)
+        return (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8))
 
     def may_contain(self, hashes: np.ndarray) -> np.ndarray:
         found = np.zeros(len(hashes), dtype=bool)
         for cells, bits in self.layers:
-            found |= cells[self._positions(hashes, bits)].all(axis=0)
+            at, mask = self._positions(hashes, bits)
+            found |= ((cells[at] & mask) != 0).all(axis=0)
         return found
 
     def add(self, hashes: np.ndarray) -> None:
         while len(hashes):
             if self.room <= 0:
-                self.layers.append((np.zeros(self.next_bits, dtype=bool), self.next_bits))
+                self.layers.append((np.zeros(self.next_bits // 8, dtype=np.uint8), self.next_bits))
                 self.room = self.next_bits // 12
                 self.next_bits *= 2
             now, hashes = hashes[: self.room], hashes[self.room :]
             cells, bits = self.layers[-1]
-            cells[self._positions(now, bits).ravel()] = True
+            at, mask = self._positions(now, bits)
+            np.bitwise_or.at(cells, at.ravel(), mask.ravel())
             self.room -= len(now)
 
 
@@ -105,17 +109,46 @@ def _combine(keys: list[str], order: list[str]):
     return run
 
 
-def _rows(batch: pa.RecordBatch, at: np.ndarray, keys: list[str]) -> list[tuple]:
+def _rows(batch: pa.RecordBatch | pa.Table, at: np.ndarray, keys: list[str]) -> list[tuple]:
     columns = [batch.column(k).take(pa.array(at)).to_pylist() for k in keys]
     return list(zip(*columns, strict=True))
 
 
+class BucketStorage:
+    """The kept records of one time bucket, found by hash.
+
+    Runs sorted by hash, each at least twice as long as the next: records are merged a
+    logarithmic number of times, and a look-up is a binary search in each run.
+    """
+
+    def __init__(self):
+        self.runs: list[tuple[np.ndarray, pa.Table]] = []
+
+    def add(self, hashes: np.ndarray, rows: pa.Table) -> None:
+        order = np.argsort(hashes, kind="stable")
+        self.runs.append((hashes[order], rows.take(pa.array(order))))
+        while len(self.runs) > 1 and len(self.runs[-2][0]) < 2 * len(self.runs[-1][0]):
+            (a, x), (b, y) = self.runs[-2:]
+            both = np.concatenate([a, b])
+            order = np.argsort(both, kind="stable")
+            self.runs[-2:] = [(both[order], pa.concat_tables([x, y]).take(pa.array(order)).combine_chunks())]
+
+    def matching(self, wanted: np.ndarray, keys: list[str]) -> set[tuple]:
+        """Keys of the records with one of the sorted hashes."""
+        found: set[tuple] = set()
+        for hashes, rows in self.runs:
+            low, high = np.searchsorted(hashes, wanted, "left"), np.searchsorted(hashes, wanted, "right")
+            hit = high > low
+            if hit.any():
+                at = np.concatenate([np.arange(a, b) for a, b in zip(low[hit], high[hit], strict=True)])
+                found.update(_rows(rows, at, keys))
+        return found
+
+
 def _screen(keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: int | None = None
-        bloom = ScalableBloom()
-        stored_hash: list[np.ndarray] = []
-        stored: list[pa.RecordBatch] = []
+        bloom, storage = ScalableBloom(), BucketStorage()
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -126,7 +159,7 @@ def _screen(keys: list[str]):
             edges = np.flatnonzero(np.diff(buckets)) + 1
             for start, end in zip([0, *edges.tolist()], [*edges.tolist(), n], strict=True):
                 if buckets[start] != current:
-                    current, bloom, stored_hash, stored = int(buckets[start]), ScalableBloom(), [], []
+                    current, bloom, storage = int(buckets[start]), ScalableBloom(), BucketStorage()
                 rows = np.flatnonzero(~repeat[start:end]) + start
                 if not len(rows):
                     continue
@@ -139,9 +172,7 @@ def _screen(keys: list[str]):
                 if maybe.any():
                     suspects = rows[maybe]
                     wanted = np.unique(hashes[suspects])
-                    seen: set[tuple] = set()
-                    for kept_hash, kept in zip(stored_hash, stored, strict=True):
-                        seen.update(_rows(kept, np.flatnonzero(np.isin(kept_hash, wanted)), keys))
+                    seen = storage.matching(wanted, keys)
                     here = np.union1d(fresh[np.isin(hashes[fresh], wanted)], suspects)
                     new = []
                     for row, key in zip(here.tolist(), _rows(batch, here, keys), strict=True):
@@ -151,9 +182,9 @@ def _screen(keys: list[str]):
                             seen.add(key)
                             new.append(row)
                     fresh = np.union1d(fresh, np.array(new, dtype=np.int64))
-                bloom.add(hashes[fresh])
-                stored_hash.append(hashes[fresh])
-                stored.append(batch.select(keys).take(pa.array(fresh)))
+                if len(fresh):
+                    bloom.add(hashes[fresh])
+                    storage.add(hashes[fresh], pa.Table.from_batches([batch.select(keys).take(pa.array(fresh))]))
             at = batch.schema.get_field_index(_LOST)
             yield batch.set_column(at, pa.field(_LOST, pa.bool_()), pa.array(repeat))
 

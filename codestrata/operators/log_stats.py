@@ -7,6 +7,7 @@ windows are parameters, so every result is reproducible.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -48,13 +49,14 @@ def unique_asks(records: DataFrame) -> DataFrame:
     return asks.join(first.select("delivery_id"), "delivery_id", "left_semi")
 
 
-def _match(asks: pd.DataFrame, outcomes: pd.DataFrame) -> pd.DataFrame:
-    """Earliest unconsumed outcome at or after each ask, asks in order of time; one outcome serves one ask."""
-    asks = asks.sort_values(["t", "delivery_id"])
-    outcomes = outcomes.sort_values(["t", "delivery_id"])
+def _match(asks: list[tuple], outcomes: list[tuple]) -> Iterator[tuple]:
+    """Earliest unconsumed outcome at or after each ask, asks in order of time; one outcome serves one ask.
+
+    Both are (t, delivery_id, edit, symbol_key) in order of time and id.
+    """
     by_edit: dict[str, list] = defaultdict(list)
     by_symbols: dict[str, list] = defaultdict(list)
-    for o in zip(outcomes["t"], outcomes["delivery_id"], outcomes["edit"], outcomes["symbol_key"], strict=True):
+    for o in outcomes:
         if o[2]:
             by_edit[o[2]].append(o)
         by_symbols[o[3]].append(o)
@@ -69,8 +71,7 @@ def _match(asks: pd.DataFrame, outcomes: pd.DataFrame) -> pd.DataFrame:
         heads[track, value] = k
         return queue[k] if k < len(queue) and queue[k][0] - at < window * 1_000_000 else None
 
-    rows = []
-    for at, ask_id, edit, symbols in zip(asks["t"], asks["delivery_id"], asks["edit"], asks["symbol_key"], strict=True):
+    for at, ask_id, edit, symbols in asks:
         found, track = None, ""
         if edit:
             found, track = take("edit", edit, by_edit[edit], at, KEYED_WINDOW), "fingerprint"
@@ -78,8 +79,23 @@ def _match(asks: pd.DataFrame, outcomes: pd.DataFrame) -> pd.DataFrame:
             found, track = take("symbols", symbols, by_symbols[symbols], at, SYMBOL_WINDOW), "symbols"
         if found is not None:
             consumed.add(found[1])
-            rows.append((ask_id, found[1], track, found[0] - at))
-    return pd.DataFrame(rows, columns=["ask_id", "outcome_id", "track", "latency_us"])
+            yield ask_id, found[1], track, found[0] - at
+
+
+def _match_pieces(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (file, piece, t, delivery_id, edit, symbol_key, is_ask) come sorted; one piece of a history is held at a time."""
+    held: tuple | None = None
+    sides: tuple[list, list] = ([], [])
+    columns = ["ask_id", "outcome_id", "track", "latency_us"]
+    for part in parts:
+        rows: list[tuple] = []
+        for file, piece, t, delivery, edit, symbols, is_ask in part.itertuples(index=False, name=None):
+            if (file, piece) != held:
+                rows += _match(*sides)
+                held, sides = (file, piece), ([], [])
+            sides[not is_ask].append((t, delivery, edit, symbols))
+        yield pd.DataFrame(rows, columns=columns)
+    yield pd.DataFrame(list(_match(*sides)), columns=columns)
 
 
 def approvals(records: DataFrame) -> DataFrame:
@@ -115,10 +131,8 @@ def approvals(records: DataFrame) -> DataFrame:
     asked = F.max("is_ask").over(Window.partitionBy("file", "piece"))
     rows = pieces.withColumn("asked", asked).filter("asked").select("file", "piece", "t", "delivery_id", "edit", "symbol_key", "is_ask")
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        return _match(group[group["is_ask"]], group[~group["is_ask"]])
-
-    return rows.groupBy("file", "piece").applyInPandas(fold, "ask_id long, outcome_id long, track string, latency_us long")
+    pieces_sorted = rows.repartition("file", "piece").sortWithinPartitions("file", "piece", "t", "delivery_id")
+    return pieces_sorted.mapInPandas(_match_pieces, "ask_id long, outcome_id long, track string, latency_us long")
 
 
 def approval_buckets(records: DataFrame, since_sec: int, max_rate: float = 0.5) -> DataFrame:
@@ -154,14 +168,18 @@ def duplicate_fires(records: DataFrame) -> DataFrame:
     At 0, 4 and 8 seconds two asks are kept, so this is a fold and no lag.
     """
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        rows, kept = [], None
-        for t, delivery in group.sort_values(["t", "delivery_id"])[["t", "delivery_id"]].itertuples(index=False):
-            if kept is not None and t - kept[0] <= DUPLICATE_SECONDS * 1_000_000:
-                rows.append((delivery, kept[1]))
-            else:
-                kept = (t, delivery)
-        return pd.DataFrame(rows, columns=["delivery_id", "fires_after"])
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, kept = None, (0, 0)
+        for part in parts:
+            rows = []
+            for file, reason, key, chain, t, delivery in part.itertuples(index=False, name=None):
+                if (file, reason, key, chain) != held:
+                    held, kept = (file, reason, key, chain), (t, delivery)
+                elif t - kept[0] <= DUPLICATE_SECONDS * 1_000_000:
+                    rows.append((delivery, kept[1]))
+                else:
+                    kept = (t, delivery)
+            yield pd.DataFrame(rows, columns=["delivery_id", "fires_after"])
 
     t = record_micros().alias("t")
     asks = records.filter("decision = 'ask' and file is not null").select("file", "reason", symbol_key(F.col("symbols")).alias("symbol_key"), t, "delivery_id")
@@ -170,8 +188,9 @@ def duplicate_fires(records: DataFrame) -> DataFrame:
     apart = F.coalesce(F.col("t") - F.lag("t").over(order) > DUPLICATE_SECONDS * 1_000_000, F.lit(True))
     chains = asks.withColumn("apart", apart).withColumn("chain", F.count_if("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     alone = F.col("apart") & F.coalesce(F.lead("apart").over(order), F.lit(True))
-    rows = chains.withColumn("alone", alone).filter("not alone")
-    return rows.groupBy("file", "reason", "symbol_key", "chain").applyInPandas(fold, "delivery_id long, fires_after long")
+    keys = ["file", "reason", "symbol_key", "chain"]
+    rows = chains.withColumn("alone", alone).filter("not alone").select(*keys, "t", "delivery_id").repartition(*keys)
+    return rows.sortWithinPartitions(*keys, "t", "delivery_id").mapInPandas(fold, "delivery_id long, fires_after long")
 
 
 def recent_asks(records: DataFrame) -> DataFrame:
@@ -220,18 +239,28 @@ def latency(pairs: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], value: str) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: list[str], value: str, width: int = 86_400) -> DataFrame:
     """Adds to each left row ``value`` of the newest right row with the same keys at or before ``t``, null if none.
 
-    One union, one sort, one running value; rights come first on equal times,
-    later ids counting.
+    Rows meet in buckets of ``width``, so a key with a third of all rows is split by time. What
+    a bucket starts with is carried over from the last earlier bucket that has a right row: one
+    value for each key and bucket. Inside a bucket there is one sort and one running value;
+    rights come first on equal times, later values counting.
     """
+    bucket = F.floor(F.col("t") / width).alias("bucket")
     cols = [c for c in left.columns if c not in by and c != "t"]
-    l_rows = left.select(*by, "t", F.lit(1).alias("side"), F.struct(*cols).alias("l"), F.lit(None).cast(right.schema[value].dataType).alias("r"))
-    r_rows = right.select(*by, "t", F.lit(0).alias("side"), F.lit(None).cast(l_rows.schema["l"].dataType).alias("l"), F.col(value).alias("r"))
-    order = Window.partitionBy(*by).orderBy("t", "side", F.col("r").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    held = l_rows.unionByName(r_rows).withColumn("v", F.last("r", ignorenulls=True).over(order))
-    return held.filter("side = 1").select(*by, "t", *[F.col(f"l.{c}").alias(c) for c in cols], F.col("v").alias(value))
+    kind = right.schema[value].dataType
+    l_rows = left.select(*by, "t", bucket, F.lit(2).alias("side"), F.struct(*cols).alias("l"), F.lit(None).cast(kind).alias("r"))
+    none = F.lit(None).cast(l_rows.schema["l"].dataType).alias("l")
+    r_rows = right.select(*by, "t", bucket, F.lit(1).alias("side"), none, F.col(value).alias("r"))
+    lasts = right.groupBy(*by, bucket).agg(F.max(F.struct("t", value)).alias("last"))
+    asked = left.select(*by, bucket).distinct()
+    before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = asked.join(lasts, [*by, "bucket"], "full").withColumn("v", F.last("last", ignorenulls=True).over(before)).filter("v is not null")
+    c_rows = starts.select(*by, F.col("v.t").alias("t"), "bucket", F.lit(0).alias("side"), none, F.col(f"v.{value}").alias("r"))
+    order = Window.partitionBy(*by, "bucket").orderBy("t", "side", F.col("r").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    held = l_rows.unionByName(r_rows).unionByName(c_rows).withColumn("v", F.last("r", ignorenulls=True).over(order))
+    return held.filter("side = 2").select(*by, "t", *[F.col(f"l.{c}").alias(c) for c in cols], F.col("v").alias(value))
 
 
 def learned_allow(approved: DataFrame, ttl_days: int, threshold: int, now_us: int) -> DataFrame:

@@ -191,7 +191,12 @@ def coverage_percent(indexed: Column, supported: Column) -> Column:
 
 
 def capped(files: DataFrame, cap: Column, group: str) -> DataFrame:
-    """Walk order (component-wise, directories by name) with the first ``cap`` parsed files of each group marked indexed."""
-    order = Window.partitionBy(group).orderBy(~F.col("parse_ok"), F.split("path", "/"), "file_id")
-    rank = F.row_number().over(order)
-    return files.withColumn("indexed", F.col("parse_ok") & (rank <= cap))
+    """Walk order (component-wise, directories by name) with the first ``cap`` parsed files of each group marked indexed.
+
+    The limit on the rank is applied before the rows of a group meet, so a group with a third
+    of all files sends ``cap`` rows a task. ``file_id`` is unique.
+    """
+    order = Window.partitionBy(group).orderBy(F.split("path", "/"), "file_id")
+    first = files.filter("parse_ok").select(group, "path", "file_id").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= cap)
+    marked = files.join(first.select("file_id", F.lit(True).alias("indexed")), "file_id", "left")
+    return marked.withColumn("indexed", F.coalesce("indexed", F.lit(False)))

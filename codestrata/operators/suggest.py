@@ -58,8 +58,9 @@ def suggestions(probes: DataFrame, known: DataFrame) -> DataFrame:
     p = probes.select("probe").dropna().distinct().join(known.select(F.col("name").alias("probe")), "probe", "left_anti").withColumn("b", _bytes("probe"))
     left = p.select("probe", F.explode(_pieces_probe()).alias("x")).select("probe", "x.*")
     right = k.select("name", F.explode(_pieces_known()).alias("x")).select("name", "x.*")
-    pairs = left.join(right, ["len", "k", "piece"]).select("probe", "name").distinct()
+    # the distance is taken where a pair meets, so only near pairs travel on; a pair may meet in three pieces
     distance = byte_levenshtein(F.col("probe"), F.col("name"), BOUND)
-    near = pairs.withColumn("distance", distance).filter((F.col("distance") >= 0) & (2 * F.col("distance") <= F.octet_length("probe")))
+    met = left.join(right, ["len", "k", "piece"]).select("probe", "name", distance.alias("distance"))
+    near = met.filter((F.col("distance") >= 0) & (2 * F.col("distance") <= F.octet_length("probe"))).distinct()
     rank = F.row_number().over(Window.partitionBy("probe").orderBy("distance", "name"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= TOP)

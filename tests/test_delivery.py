@@ -4,9 +4,10 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 
 from codestrata.operators.decisions import kept_decisions, marked_deliveries
-from codestrata.operators.delivery import ScalableBloom, mark_repeats
+from codestrata.operators.delivery import BucketStorage, ScalableBloom, mark_repeats
 
 SCHEMA = "delivery_id long, received_at timestamp, ts string, edit string, file string, decision string, extra string, is_repeat string"
 T0 = datetime(2026, 6, 1)
@@ -30,6 +31,19 @@ def test_bloom_has_no_false_negatives():
     assert bloom.may_contain(others).mean() < 0.2
 
 
+def test_storage_finds_records_in_any_run():
+    rng = np.random.default_rng(3)
+    storage, expected = BucketStorage(), {}
+    for n in range(60):
+        hashes = rng.integers(0, 500, 40)
+        storage.add(hashes, pa.table({"k": [f"{n}-{i}" for i in range(40)]}))
+        for i, h in enumerate(hashes.tolist()):
+            expected.setdefault(h, set()).add((f"{n}-{i}",))
+    assert len(storage.runs) < 12
+    wanted = np.unique(rng.integers(0, 600, 200))
+    assert storage.matching(wanted, ["k"]) == set().union(*(expected.get(h, set()) for h in wanted.tolist()))
+
+
 def test_instants_nulls_paths_and_ties(spark):
     at = lambda m: T0 + timedelta(minutes=m)
     df = rows(spark, [
