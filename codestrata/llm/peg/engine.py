@@ -335,7 +335,7 @@ _PLAIN_TOKEN = re.compile(r"(?:\\[^\w\s]|[^\w\s\\.^$*+?{}\[\]()|])+")
 #: Longer first sets do not pay for asking; deeper blocks become functions of their own.
 _FEW, _DEEP = 100, 40
 #: Rules without memo and of at most so many parts are put in where they are used.
-_SMALL = 10
+_SMALL = 4
 
 
 def _size(e: tuple) -> int:
@@ -505,12 +505,15 @@ class _Writer:
             if char is None:
                 char = self._var()
                 lines += [f"{pad}{char} = s[{at}:{at} + 1]"]
-            always = sum(1 << i for i, f in enumerate(firsts) if f is None)
-            table = {c: always | sum(1 << i for i, f in enumerate(firsts) if f is not None and c in f) for c in _ASCII}
-            key = (tuple(sorted(table.items())), always)
+            key = tuple(firsts)
             if key not in self.tables:
                 self.tables[key] = f"T{len(self.tables)}"
-                self.space[self.tables[key]] = {**table, "": always}.get
+                always = sum(1 << i for i, f in enumerate(firsts) if f is None)
+                table = {**dict.fromkeys(_ASCII, always), "": always}
+                for i, f in enumerate(firsts):
+                    for c in f or ():
+                        table[c] |= 1 << i
+                self.space[self.tables[key]] = table.get
             lines += [f"{pad}{k} = {self.tables[key]}({char}, {(1 << len(firsts)) - 1})"]
         lines += [f"{pad}{out} = -1"]
         for i, (x, f) in enumerate(zip(e[1], firsts, strict=True)):
