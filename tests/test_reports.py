@@ -99,3 +99,48 @@ def test_change_receipt_keeps_symbols_without_callers_and_adds_churn_and_claims(
         ("file", "a.go", "", None, 2, None), ("file", "b.go", "", None, None, None), ("stale", "", "loadAll", None, None, 5),
         ("symbol", "a.go", "f", ["b.go", "c.go"], 2, None), ("symbol", "a.go", "h", None, 2, None), ("symbol", "b.go", "g", [], None, None),
     ]
+
+
+def test_receipt_by_runs_is_that_of_the_joins_wherever_a_history_is_cut(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from codestrata.operators import history
+
+    dice = random.Random(7)
+    snaps = [(i, None if i == 3 else 1 if i < 30 else i % 5 + 2, i // 2) for i in range(1, 60)] + [(99, 50, 1)]
+    files, symbols, refs = [], [], []
+    for i, _, _ in snaps:
+        for k in range(0 if i % 11 == 0 else 4):
+            if dice.random() < 0.7:
+                files.append((i * 100 + k, i, f"f{k}", dice.choice("xyz")))
+                symbols += [(i * 100 + k, 0, n, kind, dice.choice(["", "h1", "h2"])) for n in "ab" for kind in ("class", "field") if dice.random() < 0.5]
+                refs += [(i * 100 + k, n) for n in "abc" if dice.random() < 0.5]
+    s = spark.createDataFrame(snaps, "snapshot_id long, repo_id long, timestamp long")
+    f = spark.createDataFrame(files, "file_id long, snapshot_id long, path string, content_hash string")
+    sy = spark.createDataFrame(symbols, "file_id long, symbol_id long, name string, kind string, sig_hash string")
+    rf = spark.createDataFrame(refs, "file_id long, name string")
+    stale = spark.createDataFrame([(5, "loadAll")], "doc_id long, symbol string")
+
+    changed = history.file_changes(history.consecutive_pairs(s, "repo_id").select("before_id", "after_id"), f)
+    recent = history.file_changes(history.consecutive_pairs(s, "repo_id", 4).select("before_id", "after_id"), f)
+    callers = f.join(rf, "file_id").select("snapshot_id", F.col("path").alias("caller"), "name")
+    repos = s.select(F.col("snapshot_id").alias("after_id"), "repo_id")
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = rows(history.change_receipt(changed, history.symbol_changes(changed, f, sy), recent, repos, callers, stale))
+    listed = f.select("file_id", "snapshot_id", "path", F.col("content_hash").alias("h"))
+    listed = listed.join(sy.groupBy("file_id").agg(F.collect_list(F.struct("kind", "name", F.col("sig_hash").alias("h"))).alias("symbols")), "file_id", "left")
+    listed = listed.join(rf.groupBy("file_id").agg(F.collect_list("name").alias("refs")), "file_id", "left")
+    for length in (1, 2, 7, 256):
+        placed = history.runs(s, "repo_id", 4, length)
+        assert rows(history.with_claims(history.run_receipt(placed.join(listed, "snapshot_id")), stale)) == want
+
+
+def test_truth_trail_receipt_moves_each_line_twice(spark, sf):
+    from codestrata.plans.structure_queries import QUERIES
+
+    plan = QUERIES["truth_trail_receipt"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1 and plan.count("orders.parquet") == 1
+    # orders by repository; lines and orders by order; both by run; claims and known names
+    assert plan.count("Exchange hashpartitioning") <= 8
